@@ -44,4 +44,4 @@ def writer(uri: str):
     """An output stream for a new file; folders are made."""
     store, path = filesystem(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
-    return store.open_output_stream(path)
+    return store.open_output_stream(path, compression=None)

@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def _in_one_process(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master.startswith("local") and not master.startswith("local-cluster")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,19 +26,37 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+    if not _in_one_process(spark):
         raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if context.applicationId not in _own:
+    app = spark.sparkContext.applicationId
+    if app not in _own:
         made = tempfile.mkdtemp(prefix="wardcraft-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
-        _own[context.applicationId] = f"file://{made}"
-    return _own[context.applicationId]
+        _own[app] = f"file://{made}"
+    return _own[app]
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder name in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/wardcraft/{name}-{uuid.uuid4().hex}"
+    """A folder name in the shared folder that nothing else uses. In local mode it goes when the process ends."""
+    folder = f"{shared_dir(spark)}/wardcraft/{name}-{uuid.uuid4().hex}"
+    if _in_one_process(spark) and (folder.startswith("/") or folder.startswith("file:")):
+        atexit.register(shutil.rmtree, "/" + folder.removeprefix("file:").lstrip("/"), ignore_errors=True)
+    return folder
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Give the executors this package, for clusters on which it isn't installed. Once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    root = Path(__file__).resolve().parent.parent
+    made = os.path.join(tempfile.mkdtemp(prefix="wardcraft-code-"), "wardcraft.zip")
+    atexit.register(shutil.rmtree, os.path.dirname(made), ignore_errors=True)
+    with zipfile.ZipFile(made, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(made)
 
 
 def materialise(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
