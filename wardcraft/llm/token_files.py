@@ -31,7 +31,7 @@ from wardcraft.llm.text import Cache, as_batch, table, texts, two
 from wardcraft.plans.files import Window, writer
 from wardcraft.plans.shared import materialise, new_folder, remove
 
-MAGIC, HEAD, END_ID, BLOCK_TOKENS, HELD = b"WCTOKEN1", struct.Struct("<8sQQQ"), 2, 1 << 20, 300_000
+MAGIC, HEAD, END_ID, BLOCK_TOKENS, HELD = b"WCTOKEN1", struct.Struct("<8sQQQ"), 2, 1 << 20, 600_000
 LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.uint8) + 1
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 #: A space before white space or the end: there the words of a text may not be encoded apart.
@@ -75,35 +75,73 @@ def tokenizer(path: str):
 class Encoder:
     """Ids of texts by the tokenizers library, called once per distinct word.
 
-    The byte-level pre-tokenizer always starts anew at a space that stands before a non-space, so the stretches between such
-    spaces are encoded apart from each other; common ones are held with their ids.
+    The byte-level pre-tokenizer always starts anew at a space that stands before a non-space, so the stretches between
+    such spaces are encoded apart from each other; common ones are held with their ids. New ones go to the library
+    together, each on a line of its own: it starts anew at line breaks too, and they come out as ids of their own.
     """
 
     def __init__(self, path: str):
-        self.library, self.first = tokenizer(path), Cache(self._one, HELD // 10)
+        self.library = tokenizer(path)
+        self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
+        self.line = self._library("\n")
+        self.first = Cache(lambda x: np.array(self._library(x), self.kind).tobytes(), HELD)
         self.held: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _one(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _library(self, text: str) -> list[int]:
+        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _plain(self, words: list[str], tails: list[str]) -> None:
+        """Hold words as after a space, and tails as after a line break; all are printable."""
+        if not (words or tails):
+            return
+        ids = np.array(self._library("\n".join([*[" " + x for x in words], *tails])), self.kind)
+        cut = np.flatnonzero(ids == self.line[0]) * self.kind.itemsize
+        raw = ids.tobytes()
+        found = [raw[a:b] for a, b in zip([0, *(cut + self.kind.itemsize).tolist()], [*cut.tolist(), len(raw)], strict=True)]
+        self.held.update(zip(words, found[: len(words)], strict=True))
+        self.first.update(zip(tails, found[len(words) :], strict=True))
+
+    def _new(self, words: set[str]) -> None:
+        """Hold the ids of words, each as after a space. A point or comma after a letter, and what stands behind a line break, are encoded apart, as the pre-tokenizer does."""
+        held, first, line = self.held, self.first, np.array(self.line, self.kind).tobytes()
+        made, odd, plain, tails = [], [], set(), set()
+        for x in words:
+            head, broken, tail = x.partition("\n")
+            if len(self.line) != 1 or not head.isprintable() or broken and not (head and tail and tail.isprintable()):
+                odd.append(x)
+                continue
+            mark = head[-1] if head[-1] in ".," and head[-2:-1].isalpha() else ""
+            stem = head[:-1] if mark else head
+            if stem not in held:
+                plain.add(stem)
+            if tail and tail not in first:
+                tails.add(tail)
+            if mark or tail:
+                made.append((x, stem, mark, tail))
+        known = [x for x in plain if x in self.older]
+        held.update((x, self.older[x]) for x in known)
+        self._plain(list(plain.difference(known)), list(tails))
+        for x, stem, mark, tail in made:
+            held[x] = held[stem] + (first[mark] if mark else b"") + (line + first[tail] if tail else b"")
+        for x, found in zip(odd, self.library.encode_batch_fast([" " + x for x in odd], add_special_tokens=False), strict=True):
+            held[x] = np.array(found.ids, self.kind).tobytes()
 
     def ids(self, batch: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
+        """For each text its ids, as arrays of `kind`."""
         parts = [APART.split(x) if ODD.search(x) else x.split(" ") for x in batch]
         if len(self.held) >= HELD:
             self.older, self.held = self.held, {}
+        if len(self.first) >= HELD // 4:
+            self.first.clear()
         held, older = self.held, self.older
-        need = set().union(*[p[1:] for p in parts]) - held.keys()
-        new = []
-        for x in need:
-            if (found := older.get(x)) is None:
-                new.append(x)
-            else:
-                held[x] = found
-        if new:
-            for x, found in zip(new, self.library.encode_batch_fast([" " + x for x in new], add_special_tokens=False), strict=True):
-                held[x] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join([self.first[p[0]] if p[0] else b"", *[held[x] for x in p[1:]]]) for p in parts]
+        need = set().union(*[p[1:] for p in parts]).difference(held)
+        if need:
+            new = need.difference(older)
+            held.update((x, older[x]) for x in need.difference(new))
+            self._new(new)
+        get = held.__getitem__
+        return [self.first[p[0]] + b"".join(map(get, p[1:])) if p[0] else b"".join(map(get, p[1:])) for p in parts]
 
 
 @cache
@@ -125,35 +163,31 @@ def _groups(batch: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[tuple[int,
 def _encode(path: str, end_id: int):
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        end = np.array([end_id], "<u4").tobytes()
+        kind = encoder(path).kind
+        end = np.array([end_id], kind).tobytes()
         for batch in batches:
             for at, part in _groups(batch):
                 ids = [x + end for x in encoder(path).ids(part)]
-                yield as_batch(["doc_id", "n", "crc", "ids"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()], [batch.column("doc_id").slice(at, len(part)), [len(x) // 4 for x in ids], [zlib.crc32(x) for x in ids], [squeeze(_narrow(x)) for x in ids]])
+                yield as_batch(["doc_id", "n", "crc", "ids"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()], [batch.column("doc_id").slice(at, len(part)), [len(x) // kind.itemsize for x in ids], [zlib.crc32(x) for x in ids], [squeeze(x) for x in ids]])
 
     return run
 
 
-def _narrow(ids: bytes) -> bytes:
-    """A byte that tells the width, then the ids in 2 bytes each where they all fit, else in 4."""
-    x = np.frombuffer(ids, "<u4")
-    return b"\2" + x.astype("<u2").tobytes() if not len(x) or x.max() < 1 << 16 else b"\4" + ids
-
-
-def _wide(packed: bytes) -> np.ndarray:
+def _ids(packed: bytes, n: int) -> np.ndarray:
+    """The n ids that _encode has packed, in 2 or 4 bytes each."""
     raw = zstandard.ZstdDecompressor().decompress(packed)
-    return np.frombuffer(raw, "<u2" if raw[0] == 2 else "<u4", offset=1).astype(np.uint32)
+    return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4")
 
 
 def _tally(batches):
     """(id, count) of one partition; as many rows as the vocabulary at most."""
     total = np.zeros(1, np.int64)
     for batch in batches:
-        for x in batch.column("ids").to_pylist():
-            n = np.bincount(_wide(x))
-            if len(n) > len(total):
-                total = np.r_[total, np.zeros(len(n) - len(total), np.int64)]
-            total[: len(n)] += n
+        rows = list(zip(batch.column("ids").to_pylist(), batch.column("n").to_pylist(), strict=True))
+        for k in range(0, len(rows), 256):
+            n = np.bincount(np.concatenate([_ids(*x) for x in rows[k : k + 256]]), minlength=len(total))
+            n[: len(total)] += total
+            total = n
     found = np.flatnonzero(total)
     yield as_batch(["id", "n"], [pa.int64()] * 2, [pa.array(found), pa.array(total[found])])
 
@@ -188,10 +222,10 @@ def _write(folder: str, rank, block_tokens: int):
             rows.clear()
 
         for batch in batches:
-            for doc_id, packed in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+            for doc_id, packed, n in zip(*[batch.column(k).to_pylist() for k in ("doc_id", "ids", "n")], strict=True):
                 out = out or writer(path)
-                rows.append((doc_id, _wide(packed)))
-                size += len(rows[-1][1])
+                rows.append((doc_id, _ids(packed, n)))
+                size += n
                 if size >= block_tokens:
                     flush()
                     size = 0
@@ -213,7 +247,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, folder: str | None = None
     folder = folder or new_folder(spark, "tokens")
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     encoded = materialise(spark, two(docs).mapInArrow(_encode(path, end_id), "doc_id long, n long, crc long, ids binary"), "encoded")
-    counts = encoded.select("ids").mapInArrow(_tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # vocabulary rows
+    counts = encoded.select("ids", "n").mapInArrow(_tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # vocabulary rows
     size = max([tokenizer(path).get_vocab_size(), *[r.id + 1 for r in counts]])
     count = np.zeros(size, np.int64)
     for r in counts:
