@@ -22,7 +22,6 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +30,7 @@ from wardcraft.llm.text import Cache, as_batch, table, texts, two
 from wardcraft.plans.files import Window, writer
 from wardcraft.plans.shared import materialise, new_folder, remove
 
-MAGIC, HEAD, END_ID, BLOCK_TOKENS, HELD = b"WCTOKEN1", struct.Struct("<8sQQQ"), 2, 1 << 20, 600_000
+MAGIC, HEAD, END_ID, BLOCK_TOKENS, HELD = b"WCTOKEN1", struct.Struct("<8sQQQ"), 2, 1 << 20, 800_000
 LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.uint8) + 1
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 #: A space before white space or the end: there the words of a text may not be encoded apart.
@@ -161,33 +160,38 @@ def _groups(batch: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[tuple[int,
 
 
 def _encode(path: str, end_id: int):
+    """(doc_id, n, crc, ids) of each row; last, with n -1, the partition's count of each id."""
+
     def run(batches):
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        kind = encoder(path).kind
+        kind, total = encoder(path).kind, np.zeros(1, np.int64)
         end = np.array([end_id], kind).tobytes()
+        names, types = ["doc_id", "n", "crc", "ids"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
             for at, part in _groups(batch):
                 ids = [x + end for x in encoder(path).ids(part)]
-                yield as_batch(["doc_id", "n", "crc", "ids"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()], [batch.column("doc_id").slice(at, len(part)), [len(x) // kind.itemsize for x in ids], [zlib.crc32(x) for x in ids], [squeeze(x) for x in ids]])
+                n = np.bincount(np.frombuffer(b"".join(ids), kind), minlength=len(total))
+                n[: len(total)] += total
+                total = n
+                yield as_batch(names, types, [batch.column("doc_id").slice(at, len(part)), [len(x) // kind.itemsize for x in ids], [zlib.crc32(x) for x in ids], ids])
+        yield as_batch(names, types, [[None], [-1], [0], [total.tobytes()]])
 
     return run
 
 
-def _ids(packed: bytes, n: int) -> np.ndarray:
-    """The n ids that _encode has packed, in 2 or 4 bytes each."""
-    raw = zstandard.ZstdDecompressor().decompress(packed)
+def _ids(raw: bytes, n: int) -> np.ndarray:
+    """The n ids that _encode has written, in 2 or 4 bytes each."""
     return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4")
 
 
 def _tally(batches):
-    """(id, count) of one partition; as many rows as the vocabulary at most."""
+    """(id, count) of one partition of counts; as many rows as the vocabulary at most."""
     total = np.zeros(1, np.int64)
     for batch in batches:
-        rows = list(zip(batch.column("ids").to_pylist(), batch.column("n").to_pylist(), strict=True))
-        for k in range(0, len(rows), 256):
-            n = np.bincount(np.concatenate([_ids(*x) for x in rows[k : k + 256]]), minlength=len(total))
-            n[: len(total)] += total
-            total = n
+        for x in batch.column("ids").to_pylist():
+            n = np.frombuffer(x, np.int64)
+            total, n = (total, n) if len(total) >= len(n) else (n, total)
+            total = total.copy()
+            total[: len(n)] += n
     found = np.flatnonzero(total)
     yield as_batch(["id", "n"], [pa.int64()] * 2, [pa.array(found), pa.array(total[found])])
 
@@ -247,7 +251,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, folder: str | None = None
     folder = folder or new_folder(spark, "tokens")
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     encoded = materialise(spark, two(docs).mapInArrow(_encode(path, end_id), "doc_id long, n long, crc long, ids binary"), "encoded")
-    counts = encoded.select("ids", "n").mapInArrow(_tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # vocabulary rows
+    counts = encoded.where("n = -1").select("ids").mapInArrow(_tally, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()  # vocabulary rows
     size = max([tokenizer(path).get_vocab_size(), *[r.id + 1 for r in counts]])
     count = np.zeros(size, np.int64)
     for r in counts:
@@ -258,7 +262,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, folder: str | None = None
     with writer(f"{folder}/ranks.bin") as f:
         f.write(by_rank.tobytes())
     key = ("doc_id", "crc", "n")
-    encoded.repartitionByRange(*key).sortWithinPartitions(*key).mapInArrow(_write(folder, spark.sparkContext.broadcast(rank), block_tokens), _MANIFEST).write.parquet(f"{folder}/manifest.parquet")
+    encoded.where("n >= 0").repartitionByRange(*key).sortWithinPartitions(*key).mapInArrow(_write(folder, spark.sparkContext.broadcast(rank), block_tokens), _MANIFEST).write.parquet(f"{folder}/manifest.parquet")
     remove(spark, encoded)
     return folder
 
