@@ -36,10 +36,10 @@ def housenumber_int(c: Column) -> Column:
 
 
 def _overlaps(cover: Column, a: Column, b: Column) -> Column:
-    """Whether a covered number lies in [a, b], whichever end is first."""
+    """Whether a covered number lies in [a, b], whichever end is first; not if an end is null."""
     lo, hi = F.least(a, b), F.greatest(a, b)
     up = F.when(lo > cover["lo"], ((lo - cover["lo"] + cover["step"] - 1) / cover["step"]).cast("bigint") * cover["step"]).otherwise(F.lit(0))
-    return cover["lo"] + up <= F.least(cover["hi"], hi)
+    return a.isNotNull() & b.isNotNull() & (cover["lo"] + up <= F.least(cover["hi"], hi))
 
 
 def covers(cover: Column, parity: Column, ranges: Column, singles: Column) -> Column:

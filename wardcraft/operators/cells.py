@@ -58,7 +58,7 @@ def parts(spark: SparkSession, cells: DataFrame) -> DataFrame:
     n = cells.withColumn("n", F.expr(number))
     steps = n.select(F.col("n").alias("u"), F.explode(F.array(F.expr("n + 1"), F.expr("n + 33554432"))).alias("v"))
     edges = steps.join(n.select(F.col("n").alias("v")), "v", "left_semi").select("u", "v")
-    roots = connected_components(spark, edges)
+    roots = connected_components(spark, edges.repartitionByRange("u"))  # neighbours share a task, whose forest takes in most of them
     return n.join(roots, n.n == roots.node, "left").select("key", "ci", "cj", F.coalesce("root", "n").alias("part"))
 
 
