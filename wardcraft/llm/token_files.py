@@ -30,7 +30,7 @@ from wardcraft.llm.text import Cache, as_batch, table, texts, two
 from wardcraft.plans.files import Window, writer
 from wardcraft.plans.shared import materialise, new_folder, remove
 
-MAGIC, HEAD, END_ID, BLOCK_TOKENS, HELD = b"WCTOKEN1", struct.Struct("<8sQQQ"), 2, 1 << 20, 800_000
+MAGIC, HEAD, END_ID, BLOCK_TOKENS, HELD = b"WCTOKEN1", struct.Struct("<8sQQQ"), 2, 1 << 20, 500_000
 LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.uint8) + 1
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 #: A space before white space or the end: there the words of a text may not be encoded apart.
