@@ -8,6 +8,7 @@ the words of a bounded sample: about `per_language` rows of each language.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 
@@ -16,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardcraft.llm.lattice import default_model, pieces, segments
-from wardcraft.llm.text import Cache, as_batch, is_held_out, per_batch, table, texts
+from wardcraft.llm.lattice import default_model, piece_table, pieces, segments
+from wardcraft.llm.text import as_batch, groups, is_held_out, table
 
-PER_LANGUAGE, ROUNDS, HELD = 300, 3, 250_000
+PER_LANGUAGE, ROUNDS, HELD, SHORT = 300, 3, 500_000, 32
 LETTER = re.compile(r"[^\W\d_]")
 #: Added to each piece's expected count.
 PRIOR = 0.02
@@ -55,13 +56,13 @@ class Model:
         self._held = None
 
     def __getstate__(self):
-        return self.__dict__ | {"_held": None}
+        return self.__dict__ | {"_held": None, "_older": None, "_columns": None}
 
-    def segment(self, segment: str) -> tuple[float, ...]:
-        """Log-likelihood of a segment in each language."""
+    def segment(self, segment: str) -> np.ndarray:
+        """Log-likelihood of a segment in each language, scaled along the way, for segments of any length."""
         edges, n, unknown = pieces(self.path).edges(segment), len(segment), self.unknown
         out = []
-        for p in self._lists:
+        for p in self.probabilities:
             a, log = [1.0] + [0.0] * n, 0.0
             at = 0
             for i, j, piece in edges:
@@ -71,29 +72,48 @@ class Model:
                         low = max(a[i], 1e-300)
                         log += math.log(low)
                         a[i:] = [x / low for x in a[i:]]
-                a[j] += a[i] * (p[piece] if piece >= 0 else unknown)
+                a[j] += a[i] * (float(p[piece]) if piece >= 0 else unknown)
             out.append(log + math.log(max(a[n], 1e-300)))
-        return tuple(out)
-
-    def score(self, text: str) -> np.ndarray:
-        """Log-likelihood of a text in each language."""
+        return np.array(out)
+
+    def _hold(self, new: list[str]) -> None:
+        """Log-likelihoods of segments, many at once where they are short enough not to run out of range."""
+        new.sort(key=len)
+        short = bisect.bisect_right(new, SHORT, key=len)
+        for k in range(0, short, 4096):
+            part = new[k : min(short, k + 4096)]
+            raw = piece_table(self.path).forward(part, self._columns, self.unknown).tobytes()
+            size = 8 * len(self.languages)
+            self._held.update(zip(part, [raw[a : a + size] for a in range(0, len(raw), size)], strict=True))
+        for x in new[short:]:
+            self._held[x] = self.segment(x).tobytes()
+
+    def scores(self, texts_: list[str]) -> list[np.ndarray]:
+        """Log-likelihood of each text in each language."""
         if self._held is None:
-            self._lists = [x.tolist() for x in self.probabilities]
-            self._held = Cache(self.segment, HELD)
-        held = self._held
-        total = np.zeros(len(self.languages))
-        parts = segments(text)
-        for k in range(0, len(parts), 100_000):
-            total += np.array([held[x] for x in parts[k : k + 100_000]]).sum(0)
-        return total
-
-    def predict(self, text: str) -> tuple[str, float]:
-        """(language, its posterior with equal priors); ties go to the first by name; `und`, 0 without a letter."""
-        if not self.languages or not LETTER.search(text):
-            return "und", 0.0
-        s = self.score(text)
-        k = int(s.argmax())
-        return self.languages[k], float(1 / np.exp(np.minimum(s - s[k], 0)).sum())
+            self._columns, self._held, self._older = np.ascontiguousarray(self.probabilities.T, float), {}, {}
+        if len(self._held) >= HELD:
+            self._older, self._held = self._held, {}
+        parts = [segments(x) for x in texts_]
+        held, older = self._held, self._older
+        need = set().union(*parts).difference(held)
+        if need:
+            new = need.difference(older)
+            held.update([(x, older[x]) for x in need.difference(new)])
+            self._hold(list(new))
+        get, width = held.__getitem__, len(self.languages)
+        return [np.frombuffer(b"".join(map(get, p))).reshape(-1, width).sum(0) for p in parts]
+
+    def predict(self, texts_: list[str]) -> list[tuple[str, float]]:
+        """(language, its posterior with equal priors) of each text; ties go to the first by name; `und`, 0 without a letter."""
+        out = []
+        for x, s in zip(texts_, self.scores(texts_) if self.languages else [None] * len(texts_), strict=True):
+            if s is None or not LETTER.search(x):
+                out.append(("und", 0.0))
+            else:
+                k = int(s.argmax())
+                out.append((self.languages[k], float(1 / np.exp(np.minimum(s - s[k], 0)).sum())))
+        return out
 
 
 def _count(batches):
@@ -102,8 +122,8 @@ def _count(batches):
 
     found: dict[str, Counter] = {}
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), texts(batch), strict=True):
-            found.setdefault(lang, Counter()).update(segments(text.decode()))
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            found.setdefault(lang, Counter()).update(segments(text))
     for lang, counts in found.items():
         yield as_batch(["lang", "segment", "n"], [pa.string(), pa.string(), pa.int64()], [[lang] * len(counts), list(counts), list(counts.values())])
 
@@ -139,23 +159,26 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
     """documents -> doc_id, held_out, lang_pred, score. One row per row; null or letterless texts are `und` with score 0; a null doc_id counts as the empty text for held_out."""
     held = spark.sparkContext.broadcast(model)  # languages x vocabulary floats, whatever the corpus
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [held.value.predict(x.decode()) for x in texts(batch)]
-        return as_batch(["doc_id", "held_out", "lang_pred", "score"], [pa.int64(), pa.bool_(), pa.string(), pa.float64()], [batch.column("doc_id"), batch.column("held_out"), [r[0] for r in rows], [r[1] for r in rows]])
+    def run(batches):
+        for batch in batches:
+            for at, part in groups(batch):
+                rows, own = held.value.predict(part), batch.slice(at, len(part))
+                yield as_batch(["doc_id", "held_out", "lang_pred", "score"], [pa.int64(), pa.bool_(), pa.string(), pa.float64()], [own.column("doc_id"), own.column("held_out"), [r[0] for r in rows], [r[1] for r in rows]])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), is_held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(per_batch(run), "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_known(spark: SparkSession, docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """docs, with all their columns, whose language is known with a posterior of `least` or more."""
     held = spark.sparkContext.broadcast(model)
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ok = [p[0] != "und" and p[1] >= least for p in (held.value.predict(x.decode()) for x in texts(batch))]
-        return batch.filter(pa.array(ok, pa.bool_()))
+    def run(batches):
+        for batch in batches:
+            for at, part in groups(batch):
+                yield batch.slice(at, len(part)).filter(pa.array([p[0] != "und" and p[1] >= least for p in held.value.predict(part)], pa.bool_()))
 
-    return docs.mapInArrow(per_batch(run), docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

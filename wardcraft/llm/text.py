@@ -29,6 +29,17 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def groups(batch: pa.RecordBatch, limit: int = 1 << 20, column: str = "text") -> Iterator[tuple[int, list[str]]]:
+    """The texts of a batch in runs of about `limit` bytes, with each run's place; null counts as empty."""
+    rows = texts(batch, column)
+    at = size = 0
+    for k, x in enumerate(rows):
+        size += len(x)
+        if size >= limit or k == len(rows) - 1:
+            yield at, [y.decode() for y in rows[at : k + 1]]
+            at, size = k + 1, 0
+
+
 def as_batch(names: list[str], types: list[pa.DataType], columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 

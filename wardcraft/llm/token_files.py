@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardcraft.llm.text import Cache, as_batch, table, texts, two
+from wardcraft.llm.text import Cache, as_batch, groups, table, two
 from wardcraft.plans.files import Window, writer
 from wardcraft.plans.shared import materialise, new_folder, remove
 
@@ -148,17 +148,6 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _groups(batch: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
-    """Rows of a batch in runs of about `limit` bytes."""
-    rows = texts(batch)
-    at = size = 0
-    for k, x in enumerate(rows):
-        size += len(x)
-        if size >= limit or k == len(rows) - 1:
-            yield at, [y.decode() for y in rows[at : k + 1]]
-            at, size = k + 1, 0
-
-
 def _encode(path: str, end_id: int):
     """(doc_id, n, crc, ids) of each row; last, with n -1, the partition's count of each id."""
 
@@ -167,7 +156,7 @@ def _encode(path: str, end_id: int):
         end = np.array([end_id], kind).tobytes()
         names, types = ["doc_id", "n", "crc", "ids"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
-            for at, part in _groups(batch):
+            for at, part in groups(batch):
                 ids = [x + end for x in encoder(path).ids(part)]
                 n = np.bincount(np.frombuffer(b"".join(ids), kind), minlength=len(total))
                 n[: len(total)] += total
