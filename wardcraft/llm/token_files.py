@@ -22,6 +22,7 @@ from functools import cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ from wardcraft.plans.files import Window, writer
 from wardcraft.plans.shared import materialise, new_folder, remove
 
 MAGIC, HEAD, END_ID, BLOCK_TOKENS, HELD = b"WCTOKEN1", struct.Struct("<8sQQQ"), 2, 1 << 20, 500_000
+#: Bytes of text whose distinct words are looked up together.
+GROUP = 6 << 20
 LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.uint8) + 1
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 #: A space before white space or the end: there the words of a text may not be encoded apart.
@@ -126,21 +129,46 @@ class Encoder:
         for x, found in zip(odd, self.library.encode_batch_fast([" " + x for x in odd], add_special_tokens=False), strict=True):
             held[x] = np.array(found.ids, self.kind).tobytes()
 
-    def ids(self, batch: list[str]) -> list[bytes]:
-        """For each text its ids, as arrays of `kind`."""
-        parts = [APART.split(x) if ODD.search(x) else x.split(" ") for x in batch]
+    def _known(self, words: list[str]) -> list[bytes]:
+        """The ids of words, each as after a space."""
         if len(self.held) >= HELD:
             self.older, self.held = self.held, {}
         if len(self.first) >= HELD // 4:
             self.first.clear()
         held, older = self.held, self.older
-        need = set().union(*[p[1:] for p in parts]).difference(held)
+        held[""] = b""
+        need = [x for x in words if x not in held]
         if need:
-            new = need.difference(older)
-            held.update((x, older[x]) for x in need.difference(new))
-            self._new(new)
-        get = held.__getitem__
-        return [self.first[p[0]] + b"".join(map(get, p[1:])) if p[0] else b"".join(map(get, p[1:])) for p in parts]
+            held.update([(x, older[x]) for x in need if x in older])
+            self._new({x for x in need if x not in held})
+        return list(map(held.__getitem__, words))
+
+    def ids(self, batch: list[str]) -> list[bytes]:
+        """For each text its ids, as arrays of `kind`."""
+        odd = {k: APART.split(x) for k, x in enumerate(batch) if ODD.search(x)}
+        parts = pc.split_pattern(pa.array(["" if k in odd else x for k, x in enumerate(batch)], pa.string()), " ")
+        every = parts.flatten().dictionary_encode()  # the distinct words of all texts, and the place of each word among them
+        words = every.dictionary.to_pylist()
+        edge = parts.offsets.to_numpy()
+        heads = parts.flatten().take(pa.array(edge[:-1])).to_pylist()  # what stands before the first space has none in front
+        spare = [x for p in odd.values() for x in p[1:]]
+        found = self._known([*words, *spare])
+        known = dict(zip(spare, found[len(words) :], strict=True))
+        rows = found[: len(words)] + [self.first[x] if x else b"" for x in heads]
+        code = every.indices.to_numpy().astype(np.int64)
+        code[edge[:-1]] = len(words) + np.arange(len(batch))
+        length = np.fromiter(map(len, rows), np.int64, len(rows)) // self.kind.itemsize
+        start = np.cumsum(length) - length
+        size = length[code]
+        ends = np.cumsum(size)
+        at = np.repeat(start[code] - (ends - size), size)
+        at += np.arange(len(at))
+        raw = np.frombuffer(b"".join(rows), self.kind)[at].tobytes()
+        cut = np.r_[0, ends][edge] * self.kind.itemsize
+        out = [raw[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        for k, p in odd.items():
+            out[k] = (self.first[p[0]] if p[0] else b"") + b"".join([known[x] for x in p[1:]])
+        return out
 
 
 @cache
@@ -156,7 +184,7 @@ def _encode(path: str, end_id: int):
         end = np.array([end_id], kind).tobytes()
         names, types = ["doc_id", "n", "crc", "ids"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
-            for at, part in groups(batch):
+            for at, part in groups(batch, GROUP):
                 ids = [x + end for x in encoder(path).ids(part)]
                 n = np.bincount(np.frombuffer(b"".join(ids), kind), minlength=len(total))
                 n[: len(total)] += total
