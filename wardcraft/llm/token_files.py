@@ -11,6 +11,7 @@ doc_id, uint8 whether it is null, uint32 tokens (as three columns), then control
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import struct
@@ -31,9 +32,11 @@ from wardcraft.llm.text import Cache, as_batch, groups, table, two
 from wardcraft.plans.files import Window, writer
 from wardcraft.plans.shared import materialise, new_folder, remove
 
-MAGIC, HEAD, END_ID, BLOCK_TOKENS, HELD = b"WCTOKEN1", struct.Struct("<8sQQQ"), 2, 1 << 20, 500_000
+MAGIC, HEAD, END_ID, BLOCK_TOKENS, HELD = b"WCTOKEN1", struct.Struct("<8sQQQ"), 2, 1 << 20, 400_000
 #: Bytes of text whose distinct words are looked up together.
-GROUP = 6 << 20
+GROUP = 8 << 20
+#: New words that the library gets in one text.
+LINES = 100
 LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.uint8) + 1
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 #: A space before white space or the end: there the words of a text may not be encoded apart.
@@ -48,7 +51,8 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     code = np.zeros(-(-len(values) // 4) * 4, np.uint8)
     code[: len(values)] = length - 1
     control = (code.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    data = values.view(np.uint8).reshape(-1, 4)[np.arange(4) < length[:, None]]
+    most = int(length.max(initial=1))
+    data = values.view(np.uint8).reshape(-1, 4)[:, :most][np.arange(most) < length[:, None]]
     return control.tobytes(), data.tobytes()
 
 
@@ -58,7 +62,7 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     start = np.cumsum(length, dtype=np.int64) - length
     d = np.frombuffer(data + b"\0\0\0", np.uint8)
     out = d[start].astype(np.uint32)
-    for k in (1, 2, 3):
+    for k in range(1, int(length.max(initial=1))):
         more = np.flatnonzero(length > k)
         out[more] |= d[start[more] + k].astype(np.uint32) << np.uint32(8 * k)
     return out & MASKS[length]
@@ -97,7 +101,9 @@ class Encoder:
         """Hold words as after a space, and tails as after a line break; all are printable."""
         if not (words or tails):
             return
-        ids = np.array(self._library("\n".join([*[" " + x for x in words], *tails])), self.kind)
+        lines = [*[" " + x for x in words], *tails]
+        some = self.library.encode_batch_fast(["\n".join(lines[k : k + LINES]) for k in range(0, len(lines), LINES)], add_special_tokens=False)
+        ids = np.array([*itertools.chain.from_iterable([x.ids + self.line for x in some])][:-1], self.kind)
         cut = np.flatnonzero(ids == self.line[0]) * self.kind.itemsize
         raw = ids.tobytes()
         found = [raw[a:b] for a, b in zip([0, *(cut + self.kind.itemsize).tolist()], [*cut.tolist(), len(raw)], strict=True)]
@@ -109,6 +115,10 @@ class Encoder:
         held, first, line = self.held, self.first, np.array(self.line, self.kind).tobytes()
         made, odd, plain, tails = [], [], set(), set()
         for x in words:
+            if x.isalpha():
+                if x not in held:
+                    plain.add(x)
+                continue
             head, broken, tail = x.partition("\n")
             if len(self.line) != 1 or not head.isprintable() or broken and not (head and tail and tail.isprintable()):
                 odd.append(x)
@@ -154,6 +164,8 @@ class Encoder:
         spare = [x for p in odd.values() for x in p[1:]]
         found = self._known([*words, *spare])
         known = dict(zip(spare, found[len(words) :], strict=True))
+        if len(self.line) == 1:
+            self._plain([], [x for x in {*heads}.difference(self.first) if x and x.isprintable()])
         rows = found[: len(words)] + [self.first[x] if x else b"" for x in heads]
         code = every.indices.to_numpy().astype(np.int64)
         code[edge[:-1]] = len(words) + np.arange(len(batch))
