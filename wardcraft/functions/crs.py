@@ -26,6 +26,15 @@ _C = (_N + _S0) * (1 - _X0) / ((_N - _S0) * (1 + _X0))
 _W2 = _C * _W1
 _CHI0 = math.asin((_W2 - 1) / (_W2 + 1))
 
+_E2 = _E**2
+#: Factors of sin 2c, 4c, 6c and 8c in the latitude by the conformal latitude c.
+_SERIES = (
+    _E2 / 2 + 5 * _E2**2 / 24 + _E2**3 / 12 + 13 * _E2**4 / 360,
+    7 * _E2**2 / 48 + 29 * _E2**3 / 240 + 811 * _E2**4 / 11520,
+    7 * _E2**3 / 120 + 81 * _E2**4 / 1120,
+    4279 * _E2**4 / 161280,
+)
+
 
 def is_geographic(srid: int) -> bool:
     if srid not in GEOGRAPHIC:
@@ -45,8 +54,8 @@ def to_3844(lon: Column, lat: Column) -> tuple[Column, Column]:
     return FALSE + x, FALSE + y
 
 
-def from_3844(x: Column, y: Column, rounds: int = 8) -> tuple[Column, Column]:
-    """Degrees; the latitude by Newton steps from the conformal one."""
+def from_3844(x: Column, y: Column) -> tuple[Column, Column]:
+    """Degrees; the latitude by the usual series from the conformal one."""
     g = 2 * _R * K0 * math.tan(math.pi / 4 - _CHI0 / 2)
     h = 4 * _R * K0 * math.tan(_CHI0) + g
     dx, dy = x - FALSE, y - FALSE
@@ -55,11 +64,10 @@ def from_3844(x: Column, y: Column, rounds: int = 8) -> tuple[Column, Column]:
     chi = _CHI0 + 2 * F.atan((dy - dx * F.tan(j / 2)) / (2 * _R * K0))
     lon = (j + 2 * i) / _N
     psi = 0.5 * F.ln((1 + F.sin(chi)) / (_C * (1 - F.sin(chi)))) / _N
-    lat = 2 * F.atan(F.exp(psi)) - math.pi / 2
-    for _ in range(rounds):
-        s = _E * F.sin(lat)
-        now = F.ln(F.tan(lat / 2 + math.pi / 4) * F.pow((1 - s) / (1 + s), F.lit(_E / 2)))
-        lat = lat - (now - psi) * F.cos(lat) * (1 - s * s) / (1 - _E**2)
+    c = 2 * F.atan(F.exp(psi)) - math.pi / 2
+    lat = c
+    for k, factor in enumerate(_SERIES, 1):
+        lat = lat + factor * F.sin(2 * k * c)
     return LON0 + F.degrees(lon), F.degrees(lat)
 
 

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space as Unicode has it; Java's own \s is ASCII only.
 WS = r"(?U)\s"
@@ -45,7 +46,7 @@ def normalize_street(c: Column) -> Column:
     return _squeezed(fold_accents(F.lower(bare)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkd(s: pd.Series) -> pd.Series:
     return s.map(lambda x: "".join(ch for ch in unicodedata.normalize("NFKD", x) if not unicodedata.combining(ch)))
 
