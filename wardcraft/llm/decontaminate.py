@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardcraft.llm.text import as_batch, per_batch, table, table_of, texts
+from wardcraft.llm.text import as_batch, only, table, table_of, texts
 from wardcraft.plans.shared import materialise
 
 WINDOW, COVERAGE = 5, 0.8
@@ -111,6 +111,7 @@ def _windows(sizes, among):
     """Rows of (key, text) -> a row per window: key, hash, place, slots. sizes: None: WINDOW words, or all where there are fewer."""
 
     def run(batches):
+        only(None)
         for batch in batches:
             for key, text in zip(batch.column("key").to_pylist(), texts(batch), strict=True):
                 token, own, slot = template(text)

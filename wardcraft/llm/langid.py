@@ -11,6 +11,7 @@ from __future__ import annotations
 import bisect
 import math
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardcraft.llm.lattice import default_model, piece_table, pieces, segments
-from wardcraft.llm.text import as_batch, groups, is_held_out, table
+from wardcraft.llm.text import as_batch, groups, is_held_out, only, table
 
-PER_LANGUAGE, ROUNDS, HELD, SHORT = 300, 3, 500_000, 32
+PER_LANGUAGE, ROUNDS, HELD, SHORT = 300, 3, 400_000, 32
 LETTER = re.compile(r"[^\W\d_]")
 #: Added to each piece's expected count.
 PRIOR = 0.02
@@ -53,10 +54,7 @@ class Model:
     def __init__(self, path: str, languages: list[str], probabilities: np.ndarray, unknown: float = 1e-7):
         self.path, self.languages, self.unknown = path, languages, unknown
         self.probabilities = probabilities.astype(np.float32)
-        self._held = None
-
-    def __getstate__(self):
-        return self.__dict__ | {"_held": None, "_older": None, "_columns": None}
+        self.name = zlib.crc32(self.probabilities.tobytes())
 
     def segment(self, segment: str) -> np.ndarray:
         """Log-likelihood of a segment in each language, scaled along the way, for segments of any length."""
@@ -76,31 +74,30 @@ class Model:
             out.append(log + math.log(max(a[n], 1e-300)))
         return np.array(out)
 
-    def _hold(self, new: list[str]) -> None:
+    def _hold(self, new: list[str], held: dict[str, bytes], columns: np.ndarray) -> None:
         """Log-likelihoods of segments, many at once where they are short enough not to run out of range."""
         new.sort(key=len)
         short = bisect.bisect_right(new, SHORT, key=len)
         for k in range(0, short, 4096):
             part = new[k : min(short, k + 4096)]
-            raw = piece_table(self.path).forward(part, self._columns, self.unknown).tobytes()
+            raw = piece_table(self.path).forward(part, columns, self.unknown).tobytes()
             size = 8 * len(self.languages)
-            self._held.update(zip(part, [raw[a : a + size] for a in range(0, len(raw), size)], strict=True))
+            held.update(zip(part, [raw[a : a + size] for a in range(0, len(raw), size)], strict=True))
         for x in new[short:]:
-            self._held[x] = self.segment(x).tobytes()
+            held[x] = self.segment(x).tobytes()
 
     def scores(self, texts_: list[str]) -> list[np.ndarray]:
         """Log-likelihood of each text in each language."""
-        if self._held is None:
-            self._columns, self._held, self._older = np.ascontiguousarray(self.probabilities.T, float), {}, {}
-        if len(self._held) >= HELD:
-            self._older, self._held = self._held, {}
+        kept = only(("langid", self.name), lambda: [np.ascontiguousarray(self.probabilities.T, float), {}, {}])
+        if len(kept[1]) >= HELD:
+            kept[1:] = [{}, kept[1]]
+        columns, held, older = kept
         parts = [segments(x) for x in texts_]
-        held, older = self._held, self._older
         need = set().union(*parts).difference(held)
         if need:
             new = need.difference(older)
             held.update([(x, older[x]) for x in need.difference(new)])
-            self._hold(list(new))
+            self._hold(list(new), held, columns)
         get, width = held.__getitem__, len(self.languages)
         return [np.frombuffer(b"".join(map(get, p))).reshape(-1, width).sum(0) for p in parts]
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -44,10 +45,23 @@ def as_batch(names: list[str], types: list[pa.DataType], columns: list) -> pa.Re
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
+_kept: list = [None, None]
+
+
+def only(owner, make: Callable = lambda: None):
+    """What `make` gives, kept in this worker process until another owner comes: a reused worker holds the caches of one operator at a time."""
+    if _kept[0] != owner:
+        _kept[:] = [None, None]
+        gc.collect()
+        _kept[:] = [owner, make()]
+    return _kept[1]
+
+
 def per_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function for mapInArrow out of one for a batch."""
+    """A function for mapInArrow out of one for a batch, for operators without caches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only(None)
         for batch in batches:
             yield f(batch)
 

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardcraft.llm.text import Cache, as_batch, groups, table, two
+from wardcraft.llm.text import Cache, as_batch, groups, only, table, two
 from wardcraft.plans.files import Window, writer
 from wardcraft.plans.shared import materialise, new_folder, remove
 
@@ -183,9 +183,8 @@ class Encoder:
         return out
 
 
-@cache
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return only(("tokens", path), lambda: Encoder(path))
 
 
 def _encode(path: str, end_id: int):
@@ -243,6 +242,7 @@ _MANIFEST = "part long, path string, documents long, tokens long, bytes long"
 
 def _write(folder: str, rank, block_tokens: int):
     def run(batches):
+        only(None)
         part = TaskContext.get().partitionId()
         path, rows, size = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.wctok", [], 0
         out, total = None, [0, 0, 0]
@@ -325,6 +325,7 @@ def read_tokens(spark: SparkSession, folder: str, ids: bool = True) -> DataFrame
     kinds = {"doc_id": pa.int64(), "start": pa.int64(), "n_tokens": pa.int64(), "ids_crc32": pa.int64()} | ({"ids": pa.list_(pa.int32())} if ids else {})
 
     def run(batches):
+        only(None)
         file = Window(f"{folder}/ranks.bin")
         by_rank = np.frombuffer(file.read(0, file.size), "<u4")
         file.close()
