@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardcraft.llm.text import as_batch, only, table, table_of, texts
+from wardcraft.llm.text import as_batch, only, slices, table, table_of, texts
 from wardcraft.plans.shared import materialise
 
 WINDOW, COVERAGE = 5, 0.8
@@ -112,7 +112,7 @@ def _windows(sizes, among):
 
     def run(batches):
         only(None)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             for key, text in zip(batch.column("key").to_pylist(), texts(batch), strict=True):
                 token, own, slot = template(text)
                 for size in sizes.value if sizes else [min(WINDOW, len(token))]:

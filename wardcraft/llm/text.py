@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,22 +32,33 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def groups(batch: pa.RecordBatch, limit: int = 1 << 20, column: str = "text") -> Iterator[tuple[int, list[str]]]:
+def slices(batch: pa.RecordBatch, rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of `rows`, so that only a part of it stands in Python objects at a time."""
+    for k in range(0, batch.num_rows, rows):
+        yield batch.slice(k, rows)
+
+
+def groups(batch: pa.RecordBatch, limit: int = 1 << 20, column: str = "text", rows: int = 1000) -> Iterator[tuple[int, list[str]]]:
     """The texts of a batch in runs of about `limit` bytes, with each run's place; null counts as empty."""
-    rows = texts(batch, column)
-    at = size = 0
-    for k, x in enumerate(rows):
-        size += len(x)
-        if size >= limit or k == len(rows) - 1:
-            yield at, [y.decode() for y in rows[at : k + 1]]
-            at, size = k + 1, 0
+    first = 0
+    for part in slices(batch, rows):
+        found = texts(part, column)
+        at = size = 0
+        for k, x in enumerate(found):
+            size += len(x)
+            if size >= limit or k == len(found) - 1:
+                yield first + at, [y.decode() for y in found[at : k + 1]]
+                at, size = k + 1, 0
+        first += part.num_rows
 
 
 def as_batch(names: list[str], types: list[pa.DataType], columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
-_kept: list = [None, None]
+_kept: list = ["nothing yet", None]
+#: Where the C library can give freed memory back, do so between operators.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
 
 
 def only(owner, make: Callable = lambda: None):
@@ -53,6 +66,9 @@ def only(owner, make: Callable = lambda: None):
     if _kept[0] != owner:
         _kept[:] = [None, None]
         gc.collect()
+        pa.default_memory_pool().release_unused()
+        if _TRIM:
+            _TRIM(0)
         _kept[:] = [owner, make()]
     return _kept[1]
 
@@ -63,7 +79,8 @@ def per_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only(None)
         for batch in batches:
-            yield f(batch)
+            for part in slices(batch):
+                yield f(part)
 
     return run
 

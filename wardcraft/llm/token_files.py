@@ -195,7 +195,7 @@ def _encode(path: str, end_id: int):
         end = np.array([end_id], kind).tobytes()
         names, types = ["doc_id", "n", "crc", "ids"], [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
-            for at, part in groups(batch, GROUP):
+            for at, part in groups(batch, GROUP, rows=5000):
                 ids = [x + end for x in encoder(path).ids(part)]
                 n = np.bincount(np.frombuffer(b"".join(ids), kind), minlength=len(total))
                 n[: len(total)] += total
