@@ -32,7 +32,7 @@ from wardcraft.llm.text import Cache, as_batch, groups, only, table, two
 from wardcraft.plans.files import Window, writer
 from wardcraft.plans.shared import materialise, new_folder, remove
 
-MAGIC, HEAD, END_ID, BLOCK_TOKENS, HELD = b"WCTOKEN1", struct.Struct("<8sQQQ"), 2, 1 << 20, 400_000
+MAGIC, HEAD, END_ID, BLOCK_TOKENS, HELD = b"WCTOKEN1", struct.Struct("<8sQQQ"), 2, 1 << 20, 650_000
 #: Bytes of text whose distinct words are looked up together.
 GROUP = 8 << 20
 #: New words that the library gets in one text.
