@@ -32,15 +32,15 @@ from wardcraft.llm.text import Cache, as_batch, groups, only, table, two
 from wardcraft.plans.files import Window, writer
 from wardcraft.plans.shared import materialise, new_folder, remove
 
-MAGIC, HEAD, END_ID, BLOCK_TOKENS, HELD = b"WCTOKEN1", struct.Struct("<8sQQQ"), 2, 1 << 20, 650_000
+MAGIC, HEAD, END_ID, BLOCK_TOKENS, HELD = b"WCTOKEN1", struct.Struct("<8sQQQ"), 2, 1 << 20, 700_000
 #: Bytes of text whose distinct words are looked up together.
-GROUP = 8 << 20
+GROUP = 12 << 20
 #: New words that the library gets in one text.
 LINES = 100
 LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.uint8) + 1
 MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 #: A space before white space or the end: there the words of a text may not be encoded apart.
-ODD = re.compile(r" (?=\s|\Z)")
+ODD = r" (?:[\s\x0b\x1c-\x1f\x{85}]|\pZ|$)"
 APART = re.compile(r" (?=\S)")
 
 
@@ -155,8 +155,10 @@ class Encoder:
 
     def ids(self, batch: list[str]) -> list[bytes]:
         """For each text its ids, as arrays of `kind`."""
-        odd = {k: APART.split(x) for k, x in enumerate(batch) if ODD.search(x)}
-        parts = pc.split_pattern(pa.array(["" if k in odd else x for k, x in enumerate(batch)], pa.string()), " ")
+        column = pa.array(batch, pa.string())
+        strange = pc.match_substring_regex(column, ODD)
+        odd = {k: APART.split(batch[k]) for k in np.flatnonzero(strange.to_numpy(zero_copy_only=False)).tolist()}
+        parts = pc.split_pattern(pc.if_else(strange, "", column) if odd else column, " ")
         every = parts.flatten().dictionary_encode()  # the distinct words of all texts, and the place of each word among them
         words = every.dictionary.to_pylist()
         edge = parts.offsets.to_numpy()
