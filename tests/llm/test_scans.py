@@ -79,7 +79,7 @@ def test_templates():
         licences.Automaton("a <<optional>> b")
 
 
-BENCH = [(1, "Alice told Bob that 12 km are 7 miles, and Alice gave Bob 12 apples for 5 dollars yesterday evening."), (2, "two words"), (3, None), (4, ""), (1, BENCH1 := "the quick brown fox jumps over the lazy dog near the river bank today"), (None, "no id at all here in this item of words"), (7, BENCH1)]
+BENCH = [(1, "Alice told Bob that 12 km are 7 miles, and Alice gave Bob 12 apples for 5 dollars yesterday evening."), (2, "two words"), (3, None), (4, ""), (1, BENCH1 := "the quick brown fox jumps over the lazy dog near the river bank today"), (None, "no id at all here in this item of words"), (7, BENCH1), (9, "¿Qué día es mañana, señor Ibáñez, según el calendario de Ávila y de Óscar?")]
 
 
 def test_templates_catch_reparameterised_items(spark, docs, empty):
@@ -93,13 +93,19 @@ def test_templates_catch_reparameterised_items(spark, docs, empty):
         6: None,
         7: "here are two words",
         8: "words two here",
+        9: "SO: ALICE TOLD BOB THAT 12 KM ARE 7 MILES, AND ALICE GAVE BOB 12 APPLES FOR 5 DOLLARS YESTERDAY EVENING. END.",
+        10: "so: alice told bob that 12 km are 7 miles, and alice gave bob 12 apples for 5 dollars yesterday evening. end.",
+        11: "So: Alice Told Bob That 12 Km Are 7 Miles, And Alice Gave Bob 12 Apples For 5 Dollars Yesterday Evening. End.",
+        12: "alice told carol that 12 km are 7 miles, and alice gave dave 12 apples for 5 dollars yesterday evening.",
+        13: "Y: ¿QUÉ DÍA ES MAÑANA, SEÑOR IBÁÑEZ, SEGÚN EL CALENDARIO DE ÁVILA Y DE ÓSCAR? İ",
+        14: "y: ¿Qué día es mañana, señor Núñez, según el calendario de Élche y de Úrsula?",
     }
     d = spark.createDataFrame([(k, v, 0) for k, v in cases.items()] + [(None, cases[1], 0), (5, cases[5], 0)], "doc_id bigint, text string, place bigint")
     for limit in (decontaminate.FILTER_BYTES, 0):  # with and without sending the hashes to all tasks
         got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark, d, bench, filter_bytes=limit).collect()}
-        assert got == {(1, 1), (2, 1), (5, 1), (7, 2)}
+        assert got == {(1, 1), (2, 1), (5, 1), (7, 2), (9, 1), (10, 1), (11, 1), (13, 9), (14, 9)}
     kept = decontaminate.drop_contaminated(spark, d, bench)
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "4", "6", "8", "None"] and kept.columns == d.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["12", "3", "4", "6", "8", "None"] and kept.columns == d.columns
     assert decontaminate.contaminated(spark, empty, bench).count() == 0 == decontaminate.contaminated(spark, docs, bench.limit(0)).count()
 
 

@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become sequences of template tokens: numbers, names (capitalised words inside a sentence) and units (after a
-number) become typed placeholders, other words stay, in lower case. Windows of five template tokens are hash-joined
+number) become typed placeholders, other words stay, in lower case. Where a text has names, a second form keeps them
+as words, so that a copy in capitals, in lower case or with every word capitalised still meets its item. Windows of five template tokens are hash-joined
 between documents and benchmark items. Matched windows on one diagonal (the same shift between item and document)
 belong together; a diagonal counts if it covers enough of the item's windows and if the fillers of its
 slots are consistent: each filler of the item always has the same filler in the document, and the reverse. So a
@@ -26,9 +27,7 @@ UNITS = "km m cm mm mi miles mile ft feet foot inch inches yd yards kg g mg lb l
 
 _WORD = table_of("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 _WORD[128:] = True
-_DIGIT, _UPPER = table_of("0123456789"), table_of("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_DIGIT = table_of("0123456789")
 _STOP = table_of(".!?\n:;")
 _P, _Q = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (1, 2, 3))
@@ -52,9 +51,23 @@ def _powers(n: int) -> np.ndarray:
     return _POWERS[:n]
 
 
-def template(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(template tokens, word hashes, whether a slot) of a text in UTF-8; arrays over its words."""
+def _lower(text: bytes) -> bytes:
+    """The text in lower case, every character at its old place; one whose lower case takes other bytes stays."""
+    if text.isascii():
+        return text.lower()
+    whole = text.decode()
+    found = whole.lower().encode()
+    if len(found) == len(text):
+        a, b = np.frombuffer(found, np.uint8), np.frombuffer(text, np.uint8)
+        if np.array_equal(a & 0xC0 == 0x80, b & 0xC0 == 0x80):
+            return found
+    return "".join([x if len((x := c.lower()).encode()) == len(c.encode()) else c for c in whole]).encode()
+
+
+def template(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(template tokens, word hashes, whether a slot, whether a name) of a text in UTF-8; arrays over its words."""
     b = np.frombuffer(text, np.uint8)
+    low = np.frombuffer(_lower(text), np.uint8)
     word = _WORD[b]
     digit = _DIGIT[b]
     if len(b) > 2:  # a point or comma between digits is part of a number
@@ -63,22 +76,26 @@ def template(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(start):
         empty = np.zeros(0, np.uint64)
-        return empty, empty, np.zeros(0, bool)
+        return empty, empty, np.zeros(0, bool), np.zeros(0, bool)
     # a polynomial hash of each word, from its end, so that only the word's own length matters
     length = end - start
     at = np.flatnonzero(word)
     back = np.repeat(end, length) - 1 - at
-    own = np.add.reduceat((_LOWER[b[at]].astype(np.uint64) + np.uint64(1)) * _powers(int(length.max()))[back], np.r_[0, np.cumsum(length)[:-1]])
+    own = np.add.reduceat((low[at].astype(np.uint64) + np.uint64(1)) * _powers(int(length.max()))[back], np.r_[0, np.cumsum(length)[:-1]])
     own = _mix(own ^ (length.astype(np.uint64) * _Q))
     digits = np.add.reduceat((digit | (b == 46) | (b == 44))[at].astype(np.int64), np.r_[0, np.cumsum(length)[:-1]])
     number = (digits == length) & digit[start]
     stops = np.r_[0, np.cumsum(_STOP[b])]
     fresh = np.r_[True, stops[start[1:]] > stops[end[:-1]]]
-    second = np.minimum(start + 1, len(b) - 1)
-    name = _UPPER[b[start]] & ~fresh & (length > 1) & ~_UPPER[b[second]]
+    changed = np.r_[b != low, False, False, False, False]
+    wide = 1 + (b >= 0xC0) + (b >= 0xE0) + (b >= 0xF0)  # bytes of the character that begins here
+    capital = lambda i: changed[i] | (wide[i] > 1) & changed[i + 1] | (wide[i] > 2) & changed[i + 2] | (wide[i] > 3) & changed[i + 3]
+    second = start + wide[start]
+    name = capital(start) & ~fresh & (second < end) & ~capital(np.minimum(second, len(b) - 1))
     unit = np.r_[False, number[:-1]] & np.isin(own, _UNIT_HASHES)
+    name &= ~unit
     token = np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, own)))
-    return token, own, number | unit | name
+    return token, own, number | unit | name, name
 
 
 _UNIT_HASHES = np.zeros(0, np.uint64)
@@ -108,30 +125,44 @@ def _lists(values: np.ndarray, slot: np.ndarray, at: np.ndarray, size: int) -> p
 
 
 def _windows(sizes, among):
-    """Rows of (key, text) -> a row per window: key, hash, place, slots. sizes: None: WINDOW words, or all where there are fewer."""
+    """Rows of (key, text) -> a row per window: key, form, hash, place, slots. sizes: None: WINDOW words, or all where there are fewer.
+
+    Form 1 has names as words. Of an item it is whole; of a document it has only the windows that hold a name, as
+    the others are those of form 0.
+    """
+
+    def forms(token, own, slot, name):
+        yield 0, token, slot
+        if name.any():
+            yield 1, np.where(name, own, token), slot & ~name
 
     def run(batches):
         only(None)
         for batch in (part for whole in batches for part in slices(whole)):
             for key, text in zip(batch.column("key").to_pylist(), texts(batch), strict=True):
-                token, own, slot = template(text)
-                for size in sizes.value if sizes else [min(WINDOW, len(token))]:
-                    if not size:
-                        continue
-                    h = window_hashes(token, size)
-                    at = np.arange(len(h))
-                    if among is not None:
-                        known = among.value
-                        place = np.searchsorted(known, h)
-                        at = np.flatnonzero(known[np.minimum(place, len(known) - 1)] == h) if len(known) else at[:0]
-                    for k in range(0, len(at), 50_000):
-                        part = at[k : k + 50_000]
-                        yield as_batch(["key", "hash", "place", "words", "slots"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())], [[key] * len(part), _signed(h[part]), pa.array(part), [len(token)] * len(part), _lists(own, slot, part, size)])
+                token, own, slot, name = template(text)
+                for form, tokens, slots in forms(token, own, slot, name):
+                    for size in sizes.value if sizes else [min(WINDOW, len(token))]:
+                        if not size or len(token) < size:
+                            continue
+                        h = window_hashes(tokens, size)
+                        at = np.arange(len(h))
+                        if among is not None:
+                            known = among.value
+                            place = np.searchsorted(known, h)
+                            at = np.flatnonzero(known[np.minimum(place, len(known) - 1)] == h) if len(known) else at[:0]
+                        if sizes and form:
+                            names = np.r_[0, np.cumsum(name)]
+                            at = at[names[at + size] > names[at]]
+                        for k in range(0, len(at), 50_000):
+                            part = at[k : k + 50_000]
+                            n = len(part)
+                            yield as_batch(["key", "form", "hash", "place", "words", "slots"], [*[pa.int64()] * 5, pa.list_(pa.int64())], [[key] * n, [form] * n, _signed(h[part]), pa.array(part), [len(token)] * n, _lists(own, slots, part, size)])
 
     return run
 
 
-_SCHEMA = "key long, hash long, place long, words long, slots array<long>"
+_SCHEMA = "key long, form long, hash long, place long, words long, slots array<long>"
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, filter_bytes: int = FILTER_BYTES) -> DataFrame:
@@ -153,9 +184,9 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cov
         among = spark.sparkContext.broadcast(known)
     rows = docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text")).where("key is not null")
     found = rows.mapInArrow(_windows(spark.sparkContext.broadcast(sizes), among), _SCHEMA).select(F.col("key").alias("doc_id"), "hash", F.col("place").alias("at"), F.col("slots").alias("doc_slots"))
-    pairs = found.join(made.select(F.col("key").alias("item_id"), "hash", "place", "words", F.col("slots").alias("item_slots")), "hash")
+    pairs = found.join(made.select(F.col("key").alias("item_id"), "form", "hash", "place", "words", F.col("slots").alias("item_slots")), "hash")
     both = F.filter(F.zip_with("item_slots", "doc_slots", lambda a, b: F.when(a.isNotNull(), F.struct(a.alias("a"), b.alias("b")))), lambda x: x.isNotNull())
-    diagonal = pairs.groupBy("doc_id", "item_id", (F.col("at") - F.col("place")).alias("shift")).agg(F.count_distinct("place").alias("n"), F.first("words").alias("words"), F.array_distinct(F.flatten(F.collect_set(both))).alias("fillers"))
+    diagonal = pairs.groupBy("doc_id", "item_id", "form", (F.col("at") - F.col("place")).alias("shift")).agg(F.count_distinct("place").alias("n"), F.first("words").alias("words"), F.array_distinct(F.flatten(F.collect_set(both))).alias("fillers"))
     share = F.col("n") / F.greatest(F.col("words") - WINDOW + 1, F.lit(1))
     function = lambda k: F.size(F.array_distinct(F.transform("fillers", lambda x: x[k]))) == F.size("fillers")
     good = diagonal.withColumn("coverage", share).where((F.col("coverage") >= coverage) & function("a") & function("b"))
