@@ -42,6 +42,15 @@ MASKS = np.array([0, 0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 #: A space before white space or the end: there the words of a text may not be encoded apart.
 ODD = r" (?:[\s\x0b\x1c-\x1f\x{85}]|\pZ|$)"
 APART = re.compile(r" (?=\S)")
+#: Classes of bytes: letters, signs without the apostrophe (it takes some letters along), line breaks; 0 for all else.
+LETTER, SIGN, BREAK = 1, 2, 3
+KINDS = np.zeros(256, np.uint8)
+KINDS[list(rb"!\"#$%&()*+,-./:;<=>?@[\]^_`{|}~")] = SIGN
+KINDS[10] = BREAK
+KINDS[65:91] = KINDS[97:123] = LETTER
+LEADS = np.zeros(256, bool)
+LEADS[[*range(0xC3, 0xCA), 0xD0, 0xD1]] = True  # U+00C0 to U+024F and U+0400 to U+047F are letters but for two signs
+KINDS[LEADS] = LETTER
 
 
 def pack(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -68,6 +77,18 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out & MASKS[length]
 
 
+def chosen(values: np.ndarray, edge: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """values[edge[k] : edge[k + 1]] for each k of code, one after the other, and where each begins, with the end of all.
+
+    Places are 32-bit: there are fewer ids than bytes of text, of which an Arrow array of strings has less than 2 GB.
+    """
+    size = np.diff(edge).astype(np.int32)[code]
+    ends = np.r_[np.int32(0), np.cumsum(size, dtype=np.int32)]
+    at = np.repeat(edge[code].astype(np.int32) - ends[:-1], size)
+    at += np.arange(len(at), dtype=np.int32)
+    return values[at], ends
+
+
 @cache
 def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -111,31 +132,29 @@ class Encoder:
         self.first.update(zip(tails, found[len(words) :], strict=True))
 
     def _new(self, words: set[str]) -> None:
-        """Hold the ids of words, each as after a space. A point or comma after a letter, and what stands behind a line break, are encoded apart, as the pre-tokenizer does."""
+        """Hold the ids of words, each as after a space; none is held yet. What stands behind a line break is encoded apart, as the pre-tokenizer does."""
         held, first, line = self.held, self.first, np.array(self.line, self.kind).tobytes()
-        made, odd, plain, tails = [], [], set(), set()
-        for x in words:
-            if x.isalpha():
-                if x not in held:
-                    plain.add(x)
-                continue
+        plain = {x for x in words if x.isalpha()}
+        made, odd, stems, tails = [], [], set(), set()
+        for x in words.difference(plain):
             head, broken, tail = x.partition("\n")
             if len(self.line) != 1 or not head.isprintable() or broken and not (head and tail and tail.isprintable()):
                 odd.append(x)
                 continue
-            mark = head[-1] if head[-1] in ".," and head[-2:-1].isalpha() else ""
-            stem = head[:-1] if mark else head
-            if stem not in held:
-                plain.add(stem)
-            if tail and tail not in first:
-                tails.add(tail)
-            if mark or tail:
-                made.append((x, stem, mark, tail))
-        known = [x for x in plain if x in self.older]
-        held.update((x, self.older[x]) for x in known)
-        self._plain(list(plain.difference(known)), list(tails))
-        for x, stem, mark, tail in made:
-            held[x] = held[stem] + (first[mark] if mark else b"") + (line + first[tail] if tail else b"")
+            (stems if broken else plain).add(head)
+            if broken:
+                if tail not in first:
+                    tails.add(tail)
+                made.append((x, head, tail))
+        stems = stems.difference(held)
+        held.update([(x, self.older[x]) for x in stems if x in self.older])
+        plain |= stems.difference(held)
+        if len(self.line) == 1:
+            self._plain(list(plain), list(tails))
+        else:
+            odd += plain
+        for x, head, tail in made:
+            held[x] = held[head] + line + first[tail]
         for x, found in zip(odd, self.library.encode_batch_fast([" " + x for x in odd], add_special_tokens=False), strict=True):
             held[x] = np.array(found.ids, self.kind).tobytes()
 
@@ -147,12 +166,54 @@ class Encoder:
             self.first.clear()
         held, older = self.held, self.older
         held[""] = b""
-        need = [x for x in words if x not in held]
-        if need:
-            held.update([(x, older[x]) for x in need if x in older])
-            self._new({x for x in need if x not in held})
+        if need := set(words).difference(held):
+            new = need.difference(older)
+            held.update([(x, older[x]) for x in need.difference(new)])
+            self._new(new)
         return list(map(held.__getitem__, words))
 
+    def _after_break(self, words: list[str]) -> list[bytes]:
+        """The ids of words, each as after a line break or signs."""
+        if len(self.line) == 1:
+            self._plain([], [x for x in {*words}.difference(self.first) if x and x.isprintable()])
+        return [self.first[x] if x else b"" for x in words]
+
+    def _words(self, words: pa.Array, spare: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Ids of distinct words, each as after a space, one word after the other; where each begins; and those of spare ones.
+
+        Of words of letters, signs and single line breaks, letters first, each such run is encoded apart.
+        """
+        edge, data = np.frombuffer(words.buffers()[1], np.int32)[words.offset :][: len(words) + 1], words.buffers()[2]
+        b = np.frombuffer(data, np.uint8)[: edge[-1]] if data else np.zeros(0, np.uint8)
+        full = edge[:-1] < edge[1:]
+        start = edge[:-1][full]
+        kind = KINDS[b]
+        before = np.r_[np.zeros(min(1, len(b)), np.uint8), b[:-1]]
+        kind[(b & 0xC0 == 0x80) & LEADS[before] & ~((before == 0xC3) & (b & 0xDF == 0x97))] = LETTER
+        same = np.r_[np.zeros(min(1, len(b)), bool), kind[1:] == kind[:-1]]
+        wrong = np.r_[0, np.cumsum((kind == 0) | same & (kind == BREAK), dtype=np.int32)]
+        apart = wrong[edge[1:]] == wrong[edge[:-1]]
+        apart[full] &= kind[start] == LETTER
+        cut = ~same & np.repeat(apart, np.diff(edge))
+        cut[start] = True
+        count = np.r_[0, np.cumsum(cut, dtype=np.int32)]
+        at = np.r_[np.flatnonzero(cut), len(b)].astype(np.int32)
+        runs = pa.Array.from_buffers(pa.string(), len(at) - 1, [None, pa.py_buffer(at), data])
+        first = np.zeros(len(runs), bool)
+        first[count[start]] = True
+        stems, rest = (runs.filter(pa.array(x)).dictionary_encode() for x in (first, ~first))
+        n = len(stems.dictionary)
+        found = self._known([*stems.dictionary.to_pylist(), *spare])
+        code = np.empty(len(runs), np.int32)
+        code[first], code[~first] = stems.indices.to_numpy(), n + rest.indices.to_numpy()
+        ids, ends = self._laid(found[:n] + self._after_break(rest.dictionary.to_pylist()), code)
+        return ids, ends[count[edge]], found[n:]
+
+    def _laid(self, rows: list[bytes], code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of rows[k] for each k of code, and where each begins, with the end of all."""
+        ends = np.cumsum(np.fromiter(map(len, rows), np.int32, len(rows)) // self.kind.itemsize, dtype=np.int32)
+        return chosen(np.frombuffer(b"".join(rows), self.kind), np.r_[np.int32(0), ends], code)
+
     def ids(self, batch: list[str]) -> list[bytes]:
         """For each text its ids, as arrays of `kind`."""
         column = pa.array(batch, pa.string())
@@ -160,25 +221,17 @@ class Encoder:
         odd = {k: APART.split(batch[k]) for k in np.flatnonzero(strange.to_numpy(zero_copy_only=False)).tolist()}
         parts = pc.split_pattern(pc.if_else(strange, "", column) if odd else column, " ")
         every = parts.flatten().dictionary_encode()  # the distinct words of all texts, and the place of each word among them
-        words = every.dictionary.to_pylist()
         edge = parts.offsets.to_numpy()
         heads = parts.flatten().take(pa.array(edge[:-1])).to_pylist()  # what stands before the first space has none in front
         spare = [x for p in odd.values() for x in p[1:]]
-        found = self._known([*words, *spare])
-        known = dict(zip(spare, found[len(words) :], strict=True))
-        if len(self.line) == 1:
-            self._plain([], [x for x in {*heads}.difference(self.first) if x and x.isprintable()])
-        rows = found[: len(words)] + [self.first[x] if x else b"" for x in heads]
-        code = every.indices.to_numpy().astype(np.int64)
-        code[edge[:-1]] = len(words) + np.arange(len(batch))
-        length = np.fromiter(map(len, rows), np.int64, len(rows)) // self.kind.itemsize
-        start = np.cumsum(length) - length
-        size = length[code]
-        ends = np.cumsum(size)
-        at = np.repeat(start[code] - (ends - size), size)
-        at += np.arange(len(at))
-        raw = np.frombuffer(b"".join(rows), self.kind)[at].tobytes()
-        cut = np.r_[0, ends][edge] * self.kind.itemsize
+        ids, start, found = self._words(every.dictionary, spare)
+        known = dict(zip(spare, found, strict=True))
+        more, begin = self._laid(self._after_break(heads), np.arange(len(batch)))
+        code = every.indices.to_numpy().astype(np.int32)
+        code[edge[:-1]] = len(start) - 1 + np.arange(len(batch))
+        ids, ends = chosen(np.concatenate([ids, more]), np.r_[start, len(ids) + begin[1:]], code)
+        raw = ids.tobytes()
+        cut = ends.astype(np.int64)[edge] * self.kind.itemsize
         out = [raw[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
         for k, p in odd.items():
             out[k] = (self.first[p[0]] if p[0] else b"") + b"".join([known[x] for x in p[1:]])
