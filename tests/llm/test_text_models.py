@@ -130,6 +130,19 @@ def test_words_are_encoded_as_the_library_does():
     assert [np.frombuffer(x, e.kind).tolist() for x in e.ids(odd)] == [e.library.encode(x, add_special_tokens=False).ids for x in odd]
 
 
+def test_mixed_words_are_encoded_as_the_library_does():
+    import random
+
+    import public_tokenizers
+
+    e, rng = token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json")), random.Random(5)
+    signs = ["a", "B", "ab", "\u00e9", "\u00d7", "\u00f7", "\u00d7a", "\u03a9", "\u0439", "\u0482", "\u024f", "\u4e2d", "1", "\u0663", "'", "'s", "'re", " ", " ", " ", "  ", "\n", "\n\n", "\r\n", "\t", ".", ",", "!!", "$", "-", "_", "\u2019", "\u0301", "\x85", "\u2028", "\xa0", "\x1c", "\U0001f600", "\u200d", "<|endoftext|>", "\u00aa", "\u01c5"]
+    for _ in range(4):
+        batch = ["".join(rng.choices(signs, k=rng.randint(0, 30))) for _ in range(1500)]
+        assert [np.frombuffer(x, e.kind).tolist() for x in e.ids(batch)] == [x.ids for x in e.library.encode_batch_fast(batch, add_special_tokens=False)]
+    assert e.ids([]) == []
+
+
 def test_token_files(spark, docs, corpus, empty):
     folder = token_files.write_tokens(spark, docs, block_tokens=50)
     got = sorted(token_files.read_tokens(spark, folder).collect(), key=lambda r: r.start)
