@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardcraft.llm import decontaminate, exact, langid, nbest, simhash
+from wardcraft.llm import decontaminate, exact, langid, nbest, shingles
 from wardcraft.llm.text import is_held_out, table
 from wardcraft.plans.shared import materialise, ship_code
 
@@ -21,8 +21,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one of the smallest doc_id."""
-    return simhash.drop_near_duplicates(spark, docs)
+    """One document of each group of near copies (0.8 of their five-word shingles): the one of the smallest doc_id."""
+    return shingles.drop_near_copies(spark, docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -116,3 +116,45 @@ def test_every_five_shared_bytes_share_a_posting():
     for level, fixed in ((0, 0), (1, simhash.masks()[3])):
         assert all(any(not set(gone) & set(b) for b in simhash.BLOCKS) for gone in itertools.combinations(range(8), 3))
         assert len({*simhash.masks(fixed, level)}) == 14 and all(m & fixed == fixed for m in simhash.masks(fixed, level))
+
+
+def test_near_copies_against_brute_force(spark, docs, empty, small):
+    from wardcraft.llm import shingles
+
+    def sets(t):
+        w = (t or "").encode().lower().split()
+        return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+    long = [f"w{k}" for k in range(200)]
+    edited = [" ".join([*long[:k], f"x{k}", *long[k + 1 :]]) for k in range(10, 190, 2)]  # 5 of 196 shingles each
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()] + [(10_000 + k, t) for k, t in enumerate(edited)] + [(None, edited[0]), (20_000, None), (20_001, " ")]
+    s = [sets(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    fps = [int.from_bytes(simhash.fingerprint((t or "").encode())) for _, t in rows]
+    near = 0
+    for a in range(len(rows)):
+        for b in range(a):
+            n = len(s[a] & s[b])
+            alike, close = n >= 0.8 * (len(s[a]) + len(s[b]) - n), (fps[a] ^ fps[b]).bit_count() <= 3
+            near += alike and not close
+            if alike or close:
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    assert near  # links that 3 bits don't give
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(i, least.get(find(k), i))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for most in (shingles.MOST, 20):  # 20: postings dealt out in chunks
+        got = shingles.near_copies(spark, df, most=most).collect()
+        assert sorted(str((r.doc_id, r.component_id)) for r in got) == sorted(str((i, least[find(k)])) for k, (i, _) in enumerate(rows)), most
+    kept = shingles.drop_near_copies(spark, docs)
+    assert kept.columns == docs.columns and kept.where("doc_id is null").count() == 2
+    assert shingles.near_copies(spark, empty).count() == 0

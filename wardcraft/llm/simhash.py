@@ -185,6 +185,15 @@ def similar_fingerprints(spark: SparkSession, fps: DataFrame, bits: int = BITS,
     return out
 
 
+def components(fps: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
+    """fps(doc_id, fp), distinct(fp, least) and the components of linked fps -> doc_id, fp, component_id."""
+    member = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    linked = roots.select(F.col("root").alias("fp")).distinct()  # only components of several fingerprints need a minimum
+    least = member.join(linked.withColumnRenamed("fp", "root"), "root", "left_semi").groupBy("root").agg(F.min("least").alias("component"))
+    of = member.join(least, "root", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
+    return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = WORDS, seed: int = SEED, bits: int = BITS, most: int = MOST) -> DataFrame:
     """documents -> doc_id, fp long, component_id: the smallest doc_id that links of at most `bits` bits reach.
 
@@ -195,12 +204,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, words: int = WORDS, se
     fps = materialise(spark, two(docs).mapInArrow(_fingerprints(words, seed), "doc_id long, fp long"), "fingerprints")
     distinct = materialise(spark, fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     links = similar_fingerprints(spark, distinct.select("fp"), bits, most)
-    roots = connected_components(spark, links)
-    member = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    linked = roots.select(F.col("root").alias("fp")).distinct()  # only components of several fingerprints need a minimum
-    least = member.join(linked.withColumnRenamed("fp", "root"), "root", "left_semi").groupBy("root").agg(F.min("least").alias("component"))
-    of = member.join(least, "root", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+    return components(fps, distinct, connected_components(spark, links))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, **kw) -> DataFrame:
@@ -208,7 +212,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, **kw) -> DataFram
 
     Rows without a doc_id stay, as nothing names them; of rows that repeat id and text one stays.
     """
-    found = materialise(spark, near_duplicates(spark, docs, **kw), "near")
+    return one_of_each(spark, docs, near_duplicates(spark, docs, **kw))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs without the rows of which `found` (doc_id, component_id) names a smaller doc_id."""
+    found = materialise(spark, found, "near")
     gone = found.groupBy("doc_id").agg(F.bool_and(F.col("doc_id") != F.col("component_id")).alias("away"), F.count(F.lit(1)).alias("n"))
     gone = materialise(spark, gone.where("doc_id is not null and (away or n > 1)"), "gone")
     out = docs.join(gone.where("away").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
