@@ -150,3 +150,20 @@ def test_unwanted_payloads_stay_packed(tmp_path):
     assert [r.payload() for r in warc.records(f"file://{tmp_path}/b.warc.gz")] == [b"y" * k for k in range(4)]
     (tmp_path / "c.warc").write_bytes(b"".join(warc.record("response", k, None, b"z" * k, "0" * 64, None, "d") for k in range(4)))
     assert [r.payload() for r in warc.records(f"file://{tmp_path}/c.warc")] == [b"z" * k for k in range(4)]
+
+
+def test_edited_and_partial_items_are_caught(spark):
+    words = [f"{a}{b}" for a in "bcdfgh" for b in ("alo", "emi", "iru", "osa", "uvi", "ane", "ela", "ite", "opu", "ura")][:59]
+    item, short = words[:38], words[38:53]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short)), (3, " ".join(words))], "item_id bigint, text string")
+    cases = {
+        1: [*item[:20], "extra", *item[20:]],
+        2: [*item[:10], *item[11:25], "extra", *item[25:]],
+        3: [*short[:7], "other", *short[8:]],
+        4: words[25:55],
+        5: words[30:43],
+        6: words[30:42],
+    }
+    docs = spark.createDataFrame([(k, f"Before. {' '.join(v)} after.") for k, v in cases.items()], "doc_id bigint, text string")
+    got = {r.doc_id for r in decontaminate.contaminated(spark, docs, bench).collect()}
+    assert got == {1, 2, 3, 4, 5}

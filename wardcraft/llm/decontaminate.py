@@ -4,9 +4,11 @@ Texts become sequences of template tokens: numbers, names (capitalised words ins
 number) become typed placeholders, other words stay, in lower case. Where a text has names, a second form keeps them
 as words, so that a copy in capitals, in lower case or with every word capitalised still meets its item. Windows of five template tokens are hash-joined
 between documents and benchmark items. Matched windows on one diagonal (the same shift between item and document)
-belong together; a diagonal counts if it covers enough of the item's windows and if the fillers of its
+belong together, and so do diagonals within a few words of each other, as inserted or deleted words shift the rest. They
+count if they cover enough of the item's windows, or all but those one edited word breaks, and if the fillers of their
 slots are consistent: each filler of the item always has the same filler in the document, and the reverse. So a
-question asked again with other numbers or names is caught, and one that mixes them up is not.
+question asked again with other numbers or names is caught, and one that mixes them up is not. A run of 13 words
+with the item's own fillers counts whatever its share of the item.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from wardcraft.llm.text import as_batch, only, slices, table, table_of, texts
 from wardcraft.plans.shared import materialise
 
 WINDOW, COVERAGE = 5, 0.8
+#: Words between neighbouring diagonals that are taken together, and words of a verbatim run that counts by itself.
+NEAR, RUN = 5, 13
 #: Window hashes of a benchmark up to this many bytes are sent to all tasks, to send on only windows that will match.
 FILTER_BYTES = 64 << 20
 #: Words that are units when they follow a number. Fixed values.
@@ -165,11 +169,61 @@ def _windows(sizes, among):
 _SCHEMA = "key long, form long, hash long, place long, words long, slots array<long>"
 
 
+def _consistent(pairs: set) -> bool:
+    return len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
+
+
+def covered(words: int, hits: list[tuple[int, int, list]], coverage: float) -> float:
+    """The share of an item's windows that a document holds, 0 if too few. hits: place in the document, in the item, fillers (item, document)."""
+    windows = max(words - WINDOW + 1, 1)
+    least = min(coverage, (windows - WINDOW) / windows) if windows >= 2 * WINDOW else coverage  # an edited word breaks WINDOW windows
+    by: dict[int, dict[int, set]] = {}
+    for at, place, fillers in hits:
+        by.setdefault(at - place, {})[place] = set(fillers)
+    best, shifts = 0.0, sorted(by)
+    cuts = [0, *[k for k in range(1, len(shifts)) if shifts[k] - shifts[k - 1] > NEAR], len(shifts)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        chain = shifts[a:b]
+        if len(set().union(*(by[s] for s in chain))) / windows < max(least, best):
+            continue
+        own = {s: set().union(*by[s].values()) for s in chain}
+        for seed in chain:
+            if not _consistent(own[seed]):
+                continue
+            low = high = seed
+            places, pairs = set(by[seed]), own[seed]
+            for s in sorted(chain, key=lambda s: (abs(s - seed), -len(by[s]))):  # noqa: B023
+                if low - NEAR <= s <= high + NEAR and _consistent(pairs | own[s]):
+                    places, pairs, low, high = places | set(by[s]), pairs | own[s], min(low, s), max(high, s)
+            if (found := len(places) / windows) >= least:
+                best = max(best, found)
+    for diagonal in by.values() if not best and words >= RUN else ():
+        run, last = 0, None
+        for p in sorted(p for p, f in diagonal.items() if all(x == y for x, y in f)):
+            run = run + 1 if last == p - 1 else 1
+            last = p
+            if run + WINDOW - 1 >= RUN:
+                best = max(best, run / windows)
+    return best
+
+
+def _judged(coverage: float):
+    def run(batches):
+        only(None)
+        for batch in (part for whole in batches for part in slices(whole)):
+            doc, item, words, hits = (c.to_pylist() for c in batch.columns)
+            found = [covered(n, [(h["at"], h["place"], [(f["a"], f["b"]) for f in h["both"]]) for h in x], coverage) for n, x in zip(words, hits, strict=True)]
+            good = [k for k, x in enumerate(found) if x]
+            yield as_batch(["doc_id", "item_id", "coverage"], [pa.int64(), pa.int64(), pa.float64()], [[y[k] for k in good] for y in (doc, item, found)])
+
+    return run
+
+
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """(doc_id, item_id, coverage) of documents that hold an item or a re-parameterised form of it.
 
-    coverage: the share of the item's windows on the document's best consistent diagonal; at least the one asked for. An
-    item of fewer than five words is one window. Items and documents without words match nothing; null ids match
+    coverage: the share of the item's windows on the document's best consistent chain of diagonals; at least the one asked
+    for, unless only one edited word is in the way or RUN words in a row are there as they are. An item of fewer than five words is one window. Items and documents without words match nothing; null ids match
     nothing, as they can't be named; items of equal words are compared once, and their smallest id stands for them. Repeated rows of a document
     count once; other columns are ignored.
     """
@@ -186,10 +240,8 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cov
     found = rows.mapInArrow(_windows(spark.sparkContext.broadcast(sizes), among), _SCHEMA).select(F.col("key").alias("doc_id"), "hash", F.col("place").alias("at"), F.col("slots").alias("doc_slots"))
     pairs = found.join(made.select(F.col("key").alias("item_id"), "form", "hash", "place", "words", F.col("slots").alias("item_slots")), "hash")
     both = F.filter(F.zip_with("item_slots", "doc_slots", lambda a, b: F.when(a.isNotNull(), F.struct(a.alias("a"), b.alias("b")))), lambda x: x.isNotNull())
-    diagonal = pairs.groupBy("doc_id", "item_id", "form", (F.col("at") - F.col("place")).alias("shift")).agg(F.count_distinct("place").alias("n"), F.first("words").alias("words"), F.array_distinct(F.flatten(F.collect_set(both))).alias("fillers"))
-    share = F.col("n") / F.greatest(F.col("words") - WINDOW + 1, F.lit(1))
-    function = lambda k: F.size(F.array_distinct(F.transform("fillers", lambda x: x[k]))) == F.size("fillers")
-    good = diagonal.withColumn("coverage", share).where((F.col("coverage") >= coverage) & function("a") & function("b"))
+    each = pairs.groupBy("doc_id", "item_id", "form").agg(F.first("words").alias("words"), F.collect_list(F.struct("at", "place", both.alias("both"))).alias("hits"))
+    good = each.select("doc_id", "item_id", "words", "hits").mapInArrow(_judged(coverage), "doc_id long, item_id long, coverage double")
     return good.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"))
 
 
