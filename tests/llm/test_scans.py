@@ -167,3 +167,10 @@ def test_edited_and_partial_items_are_caught(spark):
     docs = spark.createDataFrame([(k, f"Before. {' '.join(v)} after.") for k, v in cases.items()], "doc_id bigint, text string")
     got = {r.doc_id for r in decontaminate.contaminated(spark, docs, bench).collect()}
     assert got == {1, 2, 3, 4, 5}
+
+
+@pytest.mark.parametrize("wrapped", [B64(gzip.compress(gzip.compress(RAW.encode()))), B64(gzip.compress(zlib.compress(RAW.encode()))), urllib.parse.quote(gzip.compress(RAW.encode())), B64(gzip.compress(b"first ") + gzip.compress(RAW.encode())), B64(b"\xe9 caf\xe9 " + RAW.encode()), B64(b"\x01 " + RAW.encode())])
+def test_bytes_between_layers(wrapped):
+    base, every = secrets.find_secrets(f"x {wrapped} end")
+    found = [s for s in every if s not in base and s[1] == 0]
+    assert found and all(2 <= a < b <= 2 + len(wrapped) for a, _, b in found)

@@ -1,7 +1,8 @@
 """Secret scans with a recursive decoding worklist.
 
 The text is the first layer. Each layer is scanned for secrets and for encoded stretches: percent-encoding, Unicode and
-HTML character escapes, base64, and compressed data (gzip, zlib) that base64 gave. Each stretch is decoded to a new
+HTML character escapes, base64, and compressed data (gzip, zlib) that base64 or percent-encoding gave, inflated as often as it
+is compressed. Bytes that aren't UTF-8 are read one character a byte, so that nothing between them is lost. Each stretch is decoded to a new
 layer, which goes on the worklist until nothing new comes up; a layer that was seen before is not taken up again, so cycles
 end. A layer knows for each of its characters which characters of the original text it came from, so a span found in any layer is given as a span
 of the original text.
@@ -12,7 +13,6 @@ Decompression of one stretch stops with an empty layer at `most_bytes` (a bomb);
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import re
 import zlib
@@ -31,6 +31,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # runs are maximal, so this is the run pattern with its least length
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+#: Percent-encoded gzip or zlib data; bytes that need no encoding stand as they are.
+PACKED = re.compile(r"(?:%1[fF]%8[bB]|(?:%78|x)%(?:01|5[eE]|9[cC]|[dD][aA])|(?:%78|x)\^)(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~!$'()*,;:@/+-])*")
 ESCAPE = re.compile(r"\\u\{?([0-9A-Fa-f]{4})\}?|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 
@@ -72,15 +74,8 @@ def _by_characters(text: str, mapping: Map, pattern: re.Pattern, decode) -> tupl
 
 def _percent(m: re.Match):
     raw = unquote_to_bytes(m[0])
-    new = raw.decode("utf-8", "replace")
-    if len(new) == len(raw):
-        return new, [(3 * k, 3 * k + 3) for k in range(len(raw))]
-    spans, at = [], 0
-    for c in new:  # several bytes make a character; a replaced byte is one
-        n = len(c.encode()) if c != "�" else 1
-        spans.append((min(3 * at, len(m[0]) - 3), min(3 * (at + n), len(m[0]))))
-        at += n
-    return new, spans
+    new, at = _read(raw)  # several bytes make a character
+    return new, list(zip((3 * at).tolist(), (3 * np.r_[at[1:], len(raw)]).tolist(), strict=True))
 
 
 def _escape(m: re.Match):
@@ -91,61 +86,96 @@ def _escape(m: re.Match):
 
 
 def _inflate(raw: bytes, most: int) -> bytes | None:
-    """What gzip or zlib data holds; None for other data or beyond `most` bytes."""
-    if raw[:2] != b"\x1f\x8b" and not (len(raw) > 2 and raw[0] == 0x78 and (raw[0] << 8 | raw[1]) % 31 == 0):
-        return None
-    try:
-        d = zlib.decompressobj(47)
-        out = d.decompress(raw, most)
-        return out if d.eof else None
-    except zlib.error:
-        return None
+    """What gzip (all members) or zlib data holds, and what follows it; None for other data or beyond `most` bytes."""
+    out, left = [], most
+    while raw[:2] == b"\x1f\x8b" or len(raw) > 2 and raw[0] & 15 == 8 and raw[0] >> 4 < 8 and (raw[0] << 8 | raw[1]) % 31 == 0:
+        try:
+            d = zlib.decompressobj(47)
+            part = d.decompress(raw, left)
+        except zlib.error:
+            break
+        if not d.eof:
+            return None if d.unconsumed_tail or not out else b"".join(out)
+        out.append(part)
+        left -= len(part)
+        raw = d.unused_data
+        if left <= 0:
+            return None if raw else b"".join(out)
+    return b"".join([*out, raw]) if out else None
+
+
+def _opened(raw: bytes, most: int) -> bytes | None:
+    """The bytes inflated as long as they are compressed; None for data that aren't or beyond `most` bytes."""
+    found, seen = None, set()
+    while raw and (now := _inflate(raw, most)) is not None and now not in seen:
+        seen.add(now)
+        found = raw = now
+    return found
+
+
+def _base64(text: str) -> bytes:
+    body = text.rstrip("=").replace("-", "+").replace("_", "/")
+    body = body[: len(body) - (len(body) % 4 == 1)]
+    return base64.b64decode(body + "=" * (-len(body) % 4))
 
 
-def _base64(text: str) -> bytes | None:
-    body = text.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
+def _clean(raw: bytes) -> bool:
+    """Whether it is UTF-8 text without control characters other than white space."""
     try:
-        return base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
+        return not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", raw.decode())
+    except UnicodeDecodeError:
+        return False
 
 
-def _readable(raw: bytes) -> str | None:
-    """UTF-8 text without control characters other than white space."""
+def _read(raw: bytes) -> tuple[str, np.ndarray]:
+    """The bytes as text, and where its characters begin: UTF-8, or one character a byte."""
     try:
-        text = raw.decode()
+        return raw.decode(), np.flatnonzero(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80)
     except UnicodeDecodeError:
-        return None
-    return None if not text or re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else text
+        return raw.decode("latin-1"), np.arange(len(raw))
+
+
+def _stretches(text: str):
+    """Base64 stretches: (characters, the place of each in the text)."""
+    for m in BASE64.finditer(text):
+        yield m[0], np.arange(m.start(), m.end())
+
+
+def _starts(body: str, most: int):
+    """(start, bytes, whether inflated) of what a stretch decodes to."""
+    raw = _base64(body)
+    packed = _opened(raw, most)
+    if raw:
+        yield 0, (raw if packed is None else packed), packed is not None
 
 
 def unwrap(text: str, mapping: Map, most: int = MOST_BYTES) -> list[tuple[str, np.ndarray]]:
     """The layers right below one: (text, map)."""
     out = []
-    if "%" in text and (found := _by_characters(text, mapping, PERCENT, _percent)):
-        out.append(found)
+    span = lambda a, b: (a, b) if mapping is None else (mapping[a][0], mapping[b - 1][1])
+
+    def inflated(raw: bytes, a: int, b: int) -> None:  # all of it stands for all of the stretch
+        new = _read(raw)[0]
+        out.append((new, np.tile(np.array([span(a, b)], np.int64), (len(new), 1))))
+
+    if "%" in text:
+        if found := _by_characters(text, mapping, PERCENT, _percent):
+            out.append(found)
+        for m in PACKED.finditer(text):
+            if raw := _opened(unquote_to_bytes(m[0].replace("+", " ")), most):
+                inflated(raw, m.start(), m.end())
     if ("\\" in text or "&#" in text) and (found := _by_characters(text, mapping, ESCAPE, _escape)):
         out.append(found)
-    for m in BASE64.finditer(text):
-        raw = _base64(m[0])
-        if raw is None:
-            continue
-        a, b = m.start(), m.end()
-        whole = (a, b) if mapping is None else (mapping[a][0], mapping[b - 1][1])
-        packed = _inflate(raw, most)
-        if packed is not None:  # compressed: all of it stands for all of the stretch
-            if (new := _readable(packed)) is not None:
-                out.append((new, np.tile(np.array([whole], np.int64), (len(new), 1))))
-        elif (new := _readable(raw)) is not None:
-            spans, at = [], 0
-            for c in new:  # bytes at to at + n lie in these of the stretch's characters
-                n = len(c.encode())
-                first, last = a + at * 4 // 3, a + -(-(at + n) * 4 // 3)
-                spans.append((first, min(last, b)) if mapping is None else (mapping[first][0], mapping[min(last, b) - 1][1]))
-                at += n
-            out.append((new, np.array(spans, np.int64).reshape(-1, 2)))
+    for body, places in _stretches(text):
+        for start, raw, packed in _starts(body, most):
+            if packed:
+                if raw:
+                    inflated(raw, int(places[start]), int(places[-1]) + 1)
+                continue
+            new, at = _read(raw)  # bytes at to end lie in these of the stretch's characters
+            end = np.r_[at[1:], len(raw)]
+            first, last = places[start + at * 4 // 3], places[np.minimum(start - (-end * 4 // 3), len(places)) - 1]
+            out.append((new, np.stack([first, last + 1] if mapping is None else [mapping[first, 0], mapping[last, 1]], 1)))
     return out
 
 
