@@ -174,3 +174,14 @@ def test_bytes_between_layers(wrapped):
     base, every = secrets.find_secrets(f"x {wrapped} end")
     found = [s for s in every if s not in base and s[1] == 0]
     assert found and all(2 <= a < b <= 2 + len(wrapped) for a, _, b in found)
+
+
+LONG = ("some words before it, " * 3 + RAW + " and after").encode()
+NOISE = base64.b85encode(hashlib.sha512(b"x").digest() * 2) + RAW.encode()
+
+
+@pytest.mark.parametrize("wrapped", [base64.encodebytes(LONG).decode(), "\r\n".join(re.findall(".{1,64}", B64(LONG))), base64.encodebytes(gzip.compress(NOISE)).decode(), "https://host.io/cb/" + B64(LONG), "id-" + B64(RAW.encode()), "https://host.io/cb/" + B64(gzip.compress(NOISE)), "id-" + B64(zlib.compress(NOISE))])
+def test_wrapped_and_glued_base64(wrapped):
+    base, every = secrets.find_secrets(f"x {wrapped} end")
+    found = [s for s in every if s not in base and s[1] == 0]
+    assert found and all(2 <= a < b <= 2 + len(wrapped) for a, _, b in found)

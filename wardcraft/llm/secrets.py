@@ -35,6 +35,10 @@ PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 PACKED = re.compile(r"(?:%1[fF]%8[bB]|(?:%78|x)%(?:01|5[eE]|9[cC]|[dD][aA])|(?:%78|x)\^)(?:%[0-9A-Fa-f]{2}|[A-Za-z0-9_.~!$'()*,;:@/+-])*")
 ESCAPE = re.compile(r"\\u\{?([0-9A-Fa-f]{4})\}?|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: The same over line ends, as MIME and PEM wrap it: full lines and a last one.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:[\x20\t]*\r?\n[\x20\t]*[A-Za-z0-9+/_-]+)+={0,2}")
+#: How gzip and zlib data begin in base64.
+MAGIC = re.compile(r"H4sI|eJ[w-z]|eN[o-r]|eF[4-7]|eA[E-H]")
 
 #: (start, end) in the original of each character of a layer; None for the original itself.
 Map = np.ndarray | None
@@ -136,17 +140,35 @@ def _read(raw: bytes) -> tuple[str, np.ndarray]:
 
 
 def _stretches(text: str):
-    """Base64 stretches: (characters, the place of each in the text)."""
+    """Base64 stretches, each line and lines joined over their ends: (characters, the place of each in the text)."""
     for m in BASE64.finditer(text):
         yield m[0], np.arange(m.start(), m.end())
+    if "\n" in text:
+        for m in WRAPPED.finditer(text):
+            places = np.concatenate([np.arange(m.start() + x.start(), m.start() + x.end()) for x in re.finditer(r"\S+", m[0])])
+            yield "".join(m[0].split()), places
 
 
 def _starts(body: str, most: int):
-    """(start, bytes, whether inflated) of what a stretch decodes to."""
+    """(start, bytes, whether inflated) of what a stretch decodes to.
+
+    Where the whole isn't text or compressed, what stands before the encoded part may be a path or prefix: all four
+    alignments are read, which include those after any '/', '-' or '_', and compressed data may begin anywhere.
+    """
     raw = _base64(body)
     packed = _opened(raw, most)
-    if raw:
-        yield 0, (raw if packed is None else packed), packed is not None
+    if packed is not None:
+        yield 0, packed, True
+        return
+    yield 0, raw, False
+    if _clean(raw):
+        return
+    for k in (1, 2, 3):
+        if other := _base64(body[k:]):
+            yield k, other, False
+    for m in MAGIC.finditer(body, 1):
+        if (packed := _opened(_base64(body[m.start() :]), most)) is not None:
+            yield m.start(), packed, True
 
 
 def unwrap(text: str, mapping: Map, most: int = MOST_BYTES) -> list[tuple[str, np.ndarray]]:
@@ -168,9 +190,10 @@ def unwrap(text: str, mapping: Map, most: int = MOST_BYTES) -> list[tuple[str, n
         out.append(found)
     for body, places in _stretches(text):
         for start, raw, packed in _starts(body, most):
+            if not raw:
+                continue
             if packed:
-                if raw:
-                    inflated(raw, int(places[start]), int(places[-1]) + 1)
+                inflated(raw, int(places[start]), int(places[-1]) + 1)
                 continue
             new, at = _read(raw)  # bytes at to end lie in these of the stretch's characters
             end = np.r_[at[1:], len(raw)]
