@@ -51,6 +51,46 @@ def test_nbest_of_texts():
     assert nbest.encode_nbest("", 3) == [(0.0, [])]
 
 
+@pytest.mark.parametrize("x", ["x" * 9, "=" * 11, "xxxyyy" * 2, "日" * 6 + "x" * 5])
+def test_ties_against_all_paths(x):
+    v = lattice.pieces(MODEL)
+    every = sorted(_paths(v, x), key=lambda p: -p[0])
+    for n in (1, 3, 20):
+        got = nbest.segment_nbest(v, x, n)
+        assert [s for s, _ in got] == pytest.approx([s for s, _ in every[:n]])
+        assert {i for _, i in got} <= {i for _, i in every} and len({i for _, i in got}) == len(got)
+
+
+@pytest.mark.parametrize("x", ["x", "=", "-", "xy", "日"])
+def test_long_runs_stay_small(x):
+    import time
+    import tracemalloc
+
+    v = lattice.pieces(MODEL)
+    began = time.time()
+    assert nbest.encode_nbest("a " + x * 20_000, 3)
+    assert time.time() - began < 5
+    tracemalloc.start()
+    nbest.segment_nbest(v, x * 20_000, 3)
+    assert tracemalloc.get_traced_memory()[1] < 120e6
+    tracemalloc.stop()
+    assert not any(len(k) > nbest.LONGEST for k in nbest._cache(MODEL))
+
+
+def test_digest_is_of_the_best_segmentation(small):
+    import zlib
+
+    import pyarrow.parquet as pq
+
+    v, held = lattice.pieces(MODEL), nbest._cache(MODEL)
+    for x in pq.read_table(f"{small}/documents.parquet").column("text").to_pylist():
+        got = nbest._digest(x or "", 3, held, v)
+        want = nbest.encode_nbest(x or "", 3)
+        ids = np.array(want[0][1], np.uint32)
+        assert got[0] == len(ids) and got[2] == zlib.crc32(ids.astype("<u4").tobytes()) and got[3] == (v.decode(ids) == (x or ""))
+        assert [s for s in got[1] if s is not None] == pytest.approx([s for s, _ in want])
+
+
 def test_encode_documents(spark, docs, corpus, empty):
     got = nbest.encode_documents(docs).collect()
     assert len(got) == len(corpus) and all(r.round_trip for r in got if r.doc_id != 9)

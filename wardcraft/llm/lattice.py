@@ -47,6 +47,7 @@ class Pieces:
             raise ValueError("this vocabulary has pieces across words, or no byte pieces")
         #: Every beginning of a piece, with the piece's id or -1 if it is only a beginning.
         self.trie = {p[:k]: -1 for p in self.ids for k in range(1, len(p) + 1)} | self.ids
+        self.longest = max(map(len, self.ids), default=1)
         #: Neighbouring characters within pieces. Between any others each path has a boundary.
         self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self._flat = np.frombuffer(b"".join(self.text), np.uint8)

@@ -86,12 +86,14 @@ def per_batch(f: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Iterat
 
 
 class Cache(dict):
-    """A dict of two generations: at `limit` new entries the older ones go, so that memory stays bounded."""
+    """A dict of two generations: at `limit` new entries the older ones go, so that memory stays bounded. Keys above `longest` aren't held."""
 
-    def __init__(self, make: Callable, limit: int):
-        self.make, self.limit, self.old = make, limit, {}
+    def __init__(self, make: Callable, limit: int, longest: int = sys.maxsize):
+        self.make, self.limit, self.longest, self.old = make, limit, longest, {}
 
     def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.make(key)
         found = self.old.get(key)
         if found is None:
             found = self.make(key)
