@@ -152,9 +152,35 @@ def test_near_copies_against_brute_force(spark, docs, empty, small):
         if i is not None:
             least[find(k)] = min(i, least.get(find(k), i))
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    for most in (shingles.MOST, 20):  # 20: postings dealt out in chunks
+    for most in (shingles.MOST, 20, 3):  # the small ones: postings dealt out in chunks, and what is left of them in blocks
         got = shingles.near_copies(spark, df, most=most).collect()
         assert sorted(str((r.doc_id, r.component_id)) for r in got) == sorted(str((i, least[find(k)])) for k, (i, _) in enumerate(rows)), most
     kept = shingles.drop_near_copies(spark, docs)
     assert kept.columns == docs.columns and kept.where("doc_id is null").count() == 2
     assert shingles.near_copies(spark, empty).count() == 0
+
+
+def test_positional_bytes_agree_as_often_as_sets_do():
+    from wardcraft.llm import shingles
+
+    r = np.random.default_rng(2)
+    shared, lost = [], 0
+    for _ in range(300):
+        x = r.integers(0, 1 << 63, 220).astype(np.uint64)
+        a, b = shingles.positional(np.sort(x[:200])), shingles.positional(np.sort(np.r_[x[:178], x[200:222]]))  # 178 of 220 to 222: just over 0.8
+        shared.append(int((a == b).sum()))
+        lost += not np.intersect1d(shingles.bands(a), shingles.bands(b)).size or shared[-1] < shingles.least_shared(0.8)
+    assert 98 < np.mean(shared) < 103 and not lost
+
+
+def test_links_within_takes_known_components_for_granted():
+    from wardcraft.llm import shingles
+
+    r = np.random.default_rng(4)
+    base = r.integers(0, 1 << 63, 100).astype(np.uint64)
+    sets = [np.unique(np.r_[base[:95], r.integers(0, 1 << 63, 3).astype(np.uint64)]) for _ in range(40)] + [np.unique(r.integers(0, 1 << 63, 50).astype(np.uint64)) for _ in range(5)]
+    fps = np.array([shingles.positional(s) for s in sets])
+    assert len(shingles.links_within(fps, sets, 0.8)) == 39
+    label = np.array([7] * 30 + [8] * 10 + [1, 2, 3, 4, 5])
+    found = shingles.links_within(fps, sets, 0.8, label)
+    assert len(found) == 1 and all({a < 30, b < 30} == {True, False} for a, b in found)

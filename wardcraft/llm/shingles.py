@@ -1,13 +1,24 @@
-"""Near copies by the Jaccard similarity of their shingles: MinHash bands find candidates, shingle sets decide.
-
-A text's shingles are its runs of `words` words (ASCII lower case, split at white space); a shorter text is one
-shingle. Texts that agree in all `ROWS` minima of one of `BANDS` bands meet in a posting. A pair of similarity 0.8
-meets in none with probability (1 - 0.8**5)**25 = 0.00005, a more similar one more rarely; that is the only loss.
-Postings with the same members are taken once. Only members of a posting of two or more send their shingle sets,
-and a link is what their exact similarity says. A posting above `most` members is dealt out in pairs of chunks, so
-that no pair is left out and no task holds more than two chunks.
-
-Fingerprints of at most `bits` differing bits (operator 7) link as well: they meet copies with so many small edits that
+"""Operator 7 for texts that share most of their shingles: SimHash with heavy-tailed weights, one byte at a time.
+
+A plain SimHash weighs all shingles alike, so two texts of 0.8 Jaccard similarity differ in about 15 % of its bits: 3 of 64 bits
+link few of them, and no index finds 10 of 64. Here each shingle has a weight of its own at each of `BANDS * ROWS` byte
+positions, u ** (-1 / a) for a uniform hash u. For a towards 0 the greatest weight outdoes the sum of all others, so the sign
+of each of the position's 8 sums is that shingle's bit. Two texts then share a positional byte with the probability of
+their Jaccard similarity (and 1/256 of the rest), and the inverted index of byte positions works as for plain fingerprints:
+
+- a posting is `ROWS` neighbouring positional bytes, so that postings don't grow with the square of the corpus; a pair of
+  similarity 0.8 has a posting in common but for a probability of (1 - 0.8**5)**25 = 0.00005;
+- within a posting the shared positional bytes of each pair are tallied. A pair of similarity 0.8 shares 100 of the 125 on
+  average, with a deviation of 4.5; pairs under four deviations less go (`least_shared`: a loss of under 0.0001);
+- the others are verified by their exact similarity.
+
+A text's shingles are its runs of `words` words (ASCII lower case, split at white space); a shorter text is one shingle.
+Postings with the same members are taken once. Only members of a posting of two or more send their shingle sets. A
+posting above `most` members, or whose sets are above `MOST_BYTES`, is dealt out in chunks, and then only members that are not in its
+main component meet the other chunks, in blocks: no pair that could join two components is left out, no task holds more than two
+chunks, and a large group of copies is not compared all with all.
+
+Fingerprints of at most `bits` differing bits (plain operator 7) link as well: they meet copies with so many small edits that
 their shingles fall under the similarity.
 """
 
@@ -26,7 +37,7 @@ from wardcraft.llm.text import as_batch, only, slices, texts
 from wardcraft.plans.components import connected_components
 from wardcraft.plans.shared import materialise
 
-WORDS, SIMILARITY, MOST = 5, 0.8, 1024
+WORDS, SIMILARITY, MOST, MOST_BYTES = 5, 0.8, 1024, 32 << 20
 BANDS, ROWS = 25, 5
 _R = np.random.default_rng(42)
 _A, _B = (_R.integers(0, 1 << 63, BANDS * ROWS, np.uint64) << np.uint64(1) | np.uint64(1) for _ in range(2))
@@ -50,18 +61,29 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(out)
 
 
-def bands(found: np.ndarray) -> np.ndarray:
-    """The posting of each band, of shingle hashes."""
+def positional(found: np.ndarray) -> np.ndarray:
+    """The positional bytes of shingle hashes: at each position 8 bits of the shingle of the greatest weight there."""
     least = np.full(BANDS * ROWS, ~np.uint64(0))
     for k in range(0, len(found), 512):  # so that what is computed stays in the processor's cache
         x = found[k : k + 512] * _A[:, None] + _B[:, None]
         least = np.minimum(least, (x ^ (x >> np.uint64(32))).min(1))
+    return (_mix(least) & np.uint64(0xFF)).astype(np.uint8)
+
+
+def bands(fp: np.ndarray) -> np.ndarray:
+    """The postings of positional bytes: one for each run of ROWS positions, with the run's number."""
     key = np.arange(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, ROWS).T:
-        key = _mix(key * _P + column)
+    for column in fp.reshape(BANDS, ROWS).T:
+        key = key << np.uint64(8) | column.astype(np.uint64)
     return key
 
 
+def least_shared(similarity: float) -> int:
+    """Positional bytes that a pair of this similarity shares but for four deviations."""
+    n = BANDS * ROWS
+    return max(0, int(n * similarity - 4 * (n * similarity * (1 - similarity)) ** 0.5))
+
+
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     """Whether two sets, sorted, have this Jaccard similarity."""
     if min(len(a), len(b)) < similarity * max(len(a), len(b)):
@@ -71,20 +93,39 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both)
 
 
-def links_within(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """A forest of the links among sets that has the components of all links."""
-    parts: list[list[int]] = []
-    out = []
-    for i, s in enumerate(sets):
-        joined, rest = [i], []
-        for part in parts:
-            hit = next((j for j in part if similar(s, sets[j], similarity)), None)
-            if hit is None:
-                rest.append(part)
-            else:
-                out.append((hit, i))
-                joined = part + joined if len(part) >= len(joined) else joined + part
-        parts = [*rest, joined]
+def links_within(fps: np.ndarray, sets: list[np.ndarray], similarity: float, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A forest of the links among sets that has the components of all links. label: of each set, the component it is known to be in.
+
+    Of each set the shared positional bytes with all later ones of other components are tallied at once; those that share
+    enough are verified, at once as well: what their members are in the set is looked up in one table of all members.
+    """
+    n, out = len(sets), []
+    label = np.arange(n) if label is None else np.unique(label, return_inverse=True)[1]
+    least = least_shared(similarity)
+    sizes = np.array([len(x) for x in sets])
+    ends = np.cumsum(sizes)
+    flat = mark = None
+    for i in range(n - 1):
+        j = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        if len(j):
+            j = j[(fps[j] == fps[i]).sum(1) >= least]
+        if not len(j):
+            continue
+        if len(j) < 16:
+            good = [k for k in j.tolist() if similar(sets[i], sets[k], similarity)]
+        else:
+            if flat is None:
+                members, flat = np.unique(np.concatenate(sets), return_inverse=True)
+                mark = np.zeros(len(members), bool)
+            own = flat[ends[i] - sizes[i] : ends[i]]
+            mark[own] = True
+            both = np.add.reduceat(mark[flat], ends - sizes)[j]  # no set is empty
+            mark[own] = False
+            good = j[both >= similarity * (sizes[i] + sizes[j] - both)].tolist()
+        for k in good:
+            if label[k] != label[i]:
+                out.append((i, k))
+                label[label == label[k]] = label[i]
     return out
 
 
@@ -93,10 +134,11 @@ def _postings(words: int):
         only(None)
         for batch in (part for whole in batches for part in slices(whole)):
             found = texts(batch)
-            keys = np.concatenate([bands(shingles(x, words)) for x in found] or [np.zeros(0, np.uint64)])
+            sets = [shingles(x, words) for x in found]
+            keys = np.concatenate([bands(positional(x)) for x in sets] or [np.zeros(0, np.uint64)])
             fp = np.frombuffer(b"".join([fingerprint(x) for x in found]), ">i8").astype(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(keys) + 1, BANDS), pa.int32()), pa.array(keys.view(np.int64)))
-            yield as_batch(["node", "fp", "keys"], [pa.int64(), pa.int64(), pa.list_(pa.int64())], [batch.column("node"), pa.array(fp), lists])
+            yield as_batch(["node", "fp", "size", "keys"], [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())], [batch.column("node"), pa.array(fp), [8 * len(x) for x in sets], lists])
 
     return run
 
@@ -105,34 +147,69 @@ def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only(None)
         for batch in (part for whole in batches for part in slices(whole, 100)):
-            yield as_batch(["node", "shingles"], [pa.int64(), pa.binary()], [batch.column("node"), [shingles(x, words).tobytes() for x in texts(batch)]])
+            sets = [shingles(x, words) for x in texts(batch)]
+            yield as_batch(["node", "bytes", "shingles"], [pa.int64(), pa.binary(), pa.binary()], [batch.column("node"), [positional(x).tobytes() for x in sets], [x.tobytes() for x in sets]])
 
     return run
 
 
 def _verified(similarity: float):
-    """Sorted rows (key, part, node, shingles) -> links (u, v)."""
+    """Sorted rows (key, part, label, node, bytes, shingles) -> links (u, v). label: the component the node is known to be in."""
 
-    def links(nodes: list[int], sets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        if found := links_within(sets, similarity):
-            yield as_batch(["u", "v"], [pa.int64()] * 2, [[nodes[a] for a, _ in found], [nodes[b] for _, b in found]])
+    def links(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        rows = list({r[1]: r for r in rows}.values())  # a block's node may be on both of its sides
+        if len(rows) < 2:
+            return
+        fps = np.frombuffer(b"".join([r[2] for r in rows]), np.uint8).reshape(len(rows), -1)
+        if found := links_within(fps, [np.frombuffer(r[3], np.uint64) for r in rows], similarity, np.array([r[0] for r in rows])):
+            yield as_batch(["u", "v"], [pa.int64()] * 2, [[rows[a][1] for a, _ in found], [rows[b][1] for _, b in found]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only(None)
-        now, nodes, sets = None, [], []
+        now, held = None, []
         for batch in (part for whole in batches for part in slices(whole, 100)):
-            key, part, node, held = (c.to_pylist() for c in batch.columns)
-            for k, p, n, s in zip(key, part, node, held, strict=True):
+            key, part, *rows = (c.to_pylist() for c in batch.columns)
+            for k, p, *row in zip(key, part, *rows, strict=True):
                 if (k, p) != now:
-                    yield from links(nodes, sets)
-                    now, nodes, sets = (k, p), [], []
-                nodes.append(n)
-                sets.append(np.frombuffer(s, np.uint64))
-        yield from links(nodes, sets)
+                    yield from links(held)
+                    now, held = (k, p), []
+                held.append(row)
+        yield from links(held)
 
     return run
 
 
+def _links(spark: SparkSession, members: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """members(key, part, label, node) -> links (u, v) between members of one part with different labels."""
+    sent = members.join(sets, "node").select("key", "part", "label", "node", "bytes", "shingles").repartition("key", "part").sortWithinPartitions("key", "part")
+    return materialise(spark, sent.mapInArrow(_verified(similarity), "u long, v long"), "links")
+
+
+def _chunk(*of: str):
+    """Which of `chunks` a row goes to, by a hash of these columns."""
+    return F.pmod(F.xxhash64(*of, F.lit(2)), F.col("chunks"))
+
+
+def _across(spark: SparkSession, members: DataFrame, links: DataFrame, most: int) -> DataFrame | None:
+    """members(key, node, chunks) of postings of several chunks, links within the chunks -> blocks (key, part, label, node), or None if nothing is left.
+
+    Members of a posting's main component are in one component already. Each other one meets every chunk: blocks
+    of the others times the chunks, so rows grow with the members plus the others times the chunks.
+    """
+    roots = connected_components(spark, links)
+    known = materialise(spark, members.join(roots, members.node == roots.node, "left").select("key", members.node, "chunks", F.coalesce("root", members.node).alias("label")), "known")
+    main = known.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("n"), F.max("count").alias("m"))
+    main = materialise(spark, main.where("n > m").select("key", "main", F.ceil((F.col("n") - F.col("m")) / most).cast("long").alias("blocks")), "main")
+    if main.isEmpty():
+        return None
+    found = known.join(main, "key")
+    part = F.col("chunk") * F.col("blocks") + F.col("block")
+    block = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks"))
+    held = found.withColumn("chunk", _chunk("node", "key")).withColumn("block", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    others = found.where("label <> main").withColumn("block", block).withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)")))
+    return held.union(others.select(held.columns)).select("key", part.alias("part"), "label", "node")
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, bits: int = BITS, most: int = MOST) -> DataFrame:
     """documents -> doc_id, fp long (a hash of the text), component_id: the smallest doc_id that links of at least `similarity` or at most `bits` bits reach.
 
@@ -141,20 +218,18 @@ def near_copies(spark: SparkSession, docs: DataFrame, words: int = WORDS, simila
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("node"), text.alias("text"))
-    made = materialise(spark, rows.select("node", "text").mapInArrow(_postings(words), "node long, fp long, keys array<long>"), "bands")
-    posted = made.select("node", F.explode("keys").alias("key")).distinct()
-    sizes = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.shiftright(F.xxhash64("node", F.lit(1)), 24)).alias("y"))
-    once = sizes.where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key"))
-    chunks = F.ceil(F.col("n") / most).cast("int")
-    own = F.pmod(F.xxhash64("node", F.lit(2)), chunks).cast("int")
-    other = F.expr("filter(sequence(0, chunks - 1), c -> c <> own or chunks = 1)")
-    members = posted.join(once.select("key", "n"), "key").withColumns({"chunks": chunks, "own": own}).select("key", "node", "chunks", "own", F.explode(other).alias("c"))
-    members = members.select("key", (F.least("own", "c") * F.col("chunks") + F.greatest("own", "c")).cast("long").alias("part"), "node")
-    members = materialise(spark, members, "members")
+    made = materialise(spark, rows.select("node", "text").mapInArrow(_postings(words), "node long, fp long, size long, keys array<long>"), "bands")
+    posted = made.select("node", "size", F.explode("keys").alias("key")).distinct()
+    sizes = posted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.shiftright(F.xxhash64("node", F.lit(1)), 24)).alias("y"))
+    once = sizes.where("n > 1").groupBy("n", "x", "y").agg(F.min("key").alias("key"), F.max("bytes").alias("bytes"))
+    chunks = F.greatest(F.ceil(F.col("n") / most), F.ceil(F.col("bytes") / MOST_BYTES)).cast("long")
+    members = materialise(spark, posted.join(once.select("key", chunks.alias("chunks")), "key").select("key", "node", "chunks"), "members")
     needed = rows.select("node", "text").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    sets = materialise(spark, needed.mapInArrow(_sets(words), "node long, shingles binary"), "sets")
-    sent = members.join(sets, "node").select("key", "part", "node", "shingles").repartition("key", "part").sortWithinPartitions("key", "part")
-    links = materialise(spark, sent.mapInArrow(_verified(similarity), "u long, v long"), "links")
+    sets = materialise(spark, needed.mapInArrow(_sets(words), "node long, bytes binary, shingles binary"), "sets")
+    links = _links(spark, members.select("key", _chunk("node", "key").alias("part"), F.col("node").alias("label"), "node"), sets, similarity)
+    large = members.where("chunks > 1")
+    if not large.isEmpty() and (blocks := _across(spark, large, links, most)) is not None:
+        links = links.union(_links(spark, blocks, sets, similarity))
     first = materialise(spark, made.groupBy("fp").agg(F.min("node").alias("first")), "first")  # a node for each fingerprint
     same = made.join(first, "fp").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
     near = similar_fingerprints(spark, first.select("fp"), bits)
