@@ -15,6 +15,8 @@ def test_run_against_brute_force(spark, small):
         keep["".join(c.lower() if "A" <= c <= "Z" else c for c in t)] = (i, t)
     left = sorted(keep.values())
     fps = [int.from_bytes(fingerprint(t.encode()), "big") for _, t in left]
+    words = [t.encode().lower().split() for _, t in left]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in words]
     root = list(range(len(left)))
 
     def find(x):
@@ -24,7 +26,8 @@ def test_run_against_brute_force(spark, small):
 
     for a in range(len(left)):
         for b in range(a):
-            if (fps[a] ^ fps[b]).bit_count() <= 3:
+            both = len(sets[a] & sets[b])
+            if (fps[a] ^ fps[b]).bit_count() <= 3 or both >= 0.8 * (len(sets[a]) + len(sets[b]) - both):  # the stage's links
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     left = [d for k, d in enumerate(left) if find(k) == k and not any(x in d[1] for x in items)]
