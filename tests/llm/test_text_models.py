@@ -116,6 +116,52 @@ def test_forward_sums_all_segmentations():
     assert np.isfinite(m.scores([long])[0]).all()
 
 
+def test_expected_counts_against_all_paths():
+    v = lattice.pieces(MODEL)
+    p = np.random.default_rng(1).random(len(v.scores))
+    p /= p.sum()
+    counts, u = {"▁the": 3, "▁hello": 1, "a日": 2, "▁▁ab": 5}, 1e-7
+    want = np.zeros(len(p))
+    for x, times in counts.items():
+        paths = [(ids, math.prod(p[i] if i not in v.bytes else 1 for i in ids) * (u if any(i in v.bytes for i in ids) else 1)) for _, ids in _paths(v, x)]
+        for ids, own in paths:
+            for i in ids:
+                if i not in v.bytes:
+                    want[i] += times * own / sum(w for _, w in paths)
+    assert langid._expected(v, counts, p, u) == pytest.approx(want, rel=1e-9)
+    long = "ab" * 400  # its sum is far under the least float
+    got = langid._expected(v, {long: 1}, p, u)
+    assert sum(got[i] * len(t) for t, i in v.ids.items()) == pytest.approx(len(long), rel=1e-6)
+
+
+def test_predictions_against_all_paths(spark, small):
+    train = [("the cat sat", "en"), ("der hund lief", "de"), ("el gato", "es"), ("the cat sat", "en"), (None, "en"), ("x", None)]
+    m = langid.fit(spark.createDataFrame(train, "text string, lang string"))
+    assert m.languages == ["de", "en", "es"]
+    v, u = lattice.pieces(MODEL), m.unknown
+    texts = ["the cat", "hund", "gato el", "2 ²½①Ⅷ₂", "", "日 the", "the\nhund"]
+    got = m.predict(texts)
+    for x, (lang, score) in zip(texts, got, strict=True):
+        if not any(c.isalpha() for c in x):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        logs = [sum(math.log(sum(math.prod(float(q[i]) if i not in v.bytes else 1 for i in ids) * (u if any(i in v.bytes for i in ids) else 1) for _, ids in _paths(v, s))) for s in lattice.segments(x)) for q in m.probabilities]
+        assert lang == m.languages[int(np.argmax(logs))] and score == pytest.approx(1 / sum(math.exp(y - max(logs)) for y in logs), rel=1e-4)
+    assert [x[0] for x in got[:3]] == ["en", "de", "es"]
+
+
+def test_long_segments_take_linear_time():
+    import time
+
+    v = lattice.pieces(MODEL)
+    p = np.random.default_rng(0).random((2, len(v.scores)))
+    m = langid.Model(MODEL, ["a", "b"], p / p.sum(1, keepdims=True))
+    for x in ("ab", "x", "x日"):
+        began = time.time()
+        assert np.isfinite(m.scores([x * 50_000])[0]).all()
+        assert time.time() - began < 6
+
+
 def test_language_accuracy_and_odd_rows(spark, docs, empty, small):
     every = spark.read.parquet(small.replace("sf0.001", "sf0.01") + "/documents.parquet")
     model = langid.fit(every.where(~is_held_out(F.col("doc_id"))), 60)
