@@ -109,6 +109,73 @@ def test_templates_catch_reparameterised_items(spark, docs, empty):
     assert decontaminate.contaminated(spark, empty, bench).count() == 0 == decontaminate.contaminated(spark, docs, bench.limit(0)).count()
 
 
+def _all_pairs(docs, items):
+    """What `contaminated` should give, by comparing every window of every document with every window of every item."""
+    d, out = decontaminate, set()
+    for i, item in items:
+        for form, size, words, windows, whole, own, slots, h, void, _ in d._item(item.encode()):
+            for k, text in docs:
+                token, other, slot, name = d.template(text.encode())
+                if len(token) < size or whole and len(token) != words:
+                    continue
+                hits = []
+                views = [(2, other, slot & False)] if form == 2 else list(d._forms(token, other, slot, name))
+                for view, tokens, gaps in views:
+                    g = d.window_hashes(other, size) ^ d._LITERAL if view == 2 else d._hashes(tokens, other, gaps, size)[0]
+                    for a in range(len(g)):
+                        for p in range(len(h)):
+                            if g[a] == h[p]:
+                                hits.append((a, p, [(int(own[p + x]), int(other[a + x])) for x in range(size) if slots[p + x] and not void[p]], bool(void[p])))
+                if d.covered(words, windows, hits, d.COVERAGE):
+                    out.add((k, i))
+    return out
+
+
+def test_decontamination_against_all_pairs(spark):
+    import random
+
+    r = random.Random(7)
+    vocabulary = "alpha beta gamma delta of the and Rome Oslo Paris 12 7 km 300 miles which is following answer red blue".split()
+    items = [(k, " ".join(r.choice(vocabulary) for _ in range(r.choice([3, 6, 14, 25, 40])))) for k in range(40)]
+    docs = []
+    for k in range(120):
+        words = [r.choice(vocabulary) for _ in range(r.randint(0, 30))]
+        own = r.choice(items)[1].split()
+        for _ in range(r.randint(0, 4)):
+            at = r.randrange(len(own))
+            own[at : at + r.randint(0, 1)] = r.choice([[], [r.choice(vocabulary)], [own[at], "extra"]])
+            own = own or ["x"]
+        a = r.randrange(len(own))
+        docs.append((k, " ".join([*words, *(own if k % 2 else own[a:]), *words[:5]])))
+    want = _all_pairs(docs, items)
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    for limit in (decontaminate.FILTER_BYTES, 0):
+        assert {(x.doc_id, x.item_id) for x in decontaminate.contaminated(spark, d, b, filter_bytes=limit).collect()} == want
+    assert 40 < len(want) < 4000
+
+
+def test_items_of_placeholders_and_short_ones(spark):
+    numbers = " ".join(map(str, range(0, 900, 3)))
+    items = [(1, numbers), (2, "Yes"), (3, "12 + 7 = ?"), (4, "12 km"), (5, "capital of France"), (6, "capital of France"), (7, None), (8, " ".join(["Rome", "Oslo"] * 10))]
+    cases = {
+        1: " ".join(map(str, range(2000))),
+        2: "so: " + numbers + " end",
+        3: "Yes, this is a clean document.",
+        4: "yes!",
+        5: "12 7",
+        6: "we went 12 km and 7 miles, 12 + 7 = 19",
+        7: "the capital of france is Paris",
+        8: "the capital of Spain",
+        9: "x " + " ".join(["Bern", "Prag"] * 10),
+        10: "12 7 12 7 12 7 " * 50,
+        11: "x y " + " ".join(["rome", "oslo"] * 8),
+    }
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    docs = spark.createDataFrame(list(cases.items()), "doc_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark, docs, bench).collect()} == {(2, 1), (4, 2), (5, 3), (7, 5), (11, 8)}
+    assert sorted((r.item_id, r.class_id) for r in decontaminate.item_classes(bench).collect()) == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 5), (7, 7), (8, 8)]
+
+
 def test_benchmark_passages(spark, small):
     docs, bench = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "benchmark"))
     items = [r.text for r in bench.collect()]

@@ -3,19 +3,27 @@
 Texts become sequences of template tokens: numbers, names (capitalised words inside a sentence) and units (after a
 number) become typed placeholders, other words stay, in lower case. Where a text has names, a second form keeps them
 as words, so that a copy in capitals, in lower case or with every word capitalised still meets its item. Windows of five template tokens are hash-joined
-between documents and benchmark items. Matched windows on one diagonal (the same shift between item and document)
+between documents and benchmark items. A window of placeholders alone says nothing, so it has the hash of its words as they are and counts
+only in verbatim runs; an item with under `DISTINCT` different words besides placeholders has such windows only, so it has to stand in a document word for word.
+
+Matched windows on one diagonal (the same shift between item and document)
 belong together, and so do diagonals within a few words of each other, as inserted or deleted words shift the rest. They
 count if they cover enough of the item's windows, or all but those one edited word breaks, and if the fillers of their
 slots are consistent: each filler of the item always has the same filler in the document, and the reverse. So a
 question asked again with other numbers or names is caught, and one that mixes them up is not. A run of 13 words
 with the item's own fillers counts whatever its share of the item.
+
+Not every window that an item shares with a document makes the two a pair, as stock phrases stand in many items and many documents.
+Of an item that may miss m windows, the m + 1 that the fewest items have are seeds (a document that covers enough has one of
+them), and so is the rarest window of each run of nine (a verbatim run of 13 words has one of them). Only pairs that share a seed
+are looked at window by window, and a window that is repeated in either is one row of that pair.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardcraft.llm.text import as_batch, only, slices, table, table_of, texts
@@ -24,6 +32,9 @@ from wardcraft.plans.shared import materialise
 WINDOW, COVERAGE = 5, 0.8
 #: Words between neighbouring diagonals that are taken together, and words of a verbatim run that counts by itself.
 NEAR, RUN = 5, 13
+#: An item with fewer different words than DISTINCT besides placeholders is taken word for word; one of under RUN words with fewer than EVIDENCE besides
+#: placeholders counts only where it is the whole document.
+DISTINCT, EVIDENCE = 4, 2
 #: Window hashes of a benchmark up to this many bytes are sent to all tasks, to send on only windows that will match.
 FILTER_BYTES = 64 << 20
 #: Words that are units when they follow a number. Fixed values.
@@ -35,6 +46,8 @@ _DIGIT = table_of("0123456789")
 _STOP = table_of(".!?\n:;")
 _P, _Q = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (1, 2, 3))
+#: What sets hashes of words as they are apart from those of template tokens.
+_LITERAL = np.uint64(0xA5A5A5A5A5A5A5A5)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -121,65 +134,155 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def _lists(values: np.ndarray, slot: np.ndarray, at: np.ndarray, size: int) -> pa.Array:
-    """For windows at `at`: word hashes of their slots, null where a word isn't one."""
-    index = (at[:, None] + np.arange(size)).ravel()
-    flat = pa.array(values[index].view(np.int64), mask=~slot[index])
-    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(index) + 1, size), pa.int32()), flat)
-
+def _hashes(token: np.ndarray, own: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, whether void) of the windows of a form: of template tokens, or of words as they are where a window has placeholders alone."""
+    h = window_hashes(token, size)
+    words = np.r_[0, np.cumsum(~slot)]
+    void = words[size:] == words[:-size]
+    at = np.flatnonzero(void)
+    if len(at):
+        h[at] = window_hashes(own[(at[:, None] + np.arange(size)).ravel()], size)[::size] ^ _LITERAL
+    return h, void
+
+
+def _grouped(hashes: np.ndarray, at: np.ndarray, own: np.ndarray, slot: np.ndarray, void: np.ndarray, size: int) -> list[tuple[int, list[int], list[list[int]]]]:
+    """(hash, places, fillers at each) of the windows at `at`, whose hashes are given: one entry for each hash. A void window has no fillers, as its words are in the hash."""
+    if not len(at):
+        return []
+    order = np.argsort(hashes, kind="stable")
+    hashes, at = hashes[order].view(np.int64).tolist(), at[order].tolist()
+    out: list[tuple[int, list[int], list[list[int]]]] = []
+    for h, place in zip(hashes, at, strict=True):
+        if not out or out[-1][0] != h:
+            out.append((h, [], []))
+        out[-1][1].append(place)
+        held = slot[place : place + size]
+        out[-1][2].append(own[place : place + size][held].view(np.int64).tolist() if held.any() and not void[place] else [])
+    return out
 
-def _windows(sizes, among):
-    """Rows of (key, text) -> a row per window: key, form, hash, place, slots. sizes: None: WINDOW words, or all where there are fewer.
 
-    Form 1 has names as words. Of an item it is whole; of a document it has only the windows that hold a name, as
-    the others are those of form 0.
+def _item(text: bytes):
+    """(form, size, words, windows that count, whether the whole document has to match, own, slots, hashes, void, words besides placeholders in each window) of each form of an item."""
+    token, own, slot, name = template(text)
+    size, n = min(WINDOW, len(token)), len(token)
+    if not n:
+        return
+    words = len(token) - int(slot.sum())
+    if len(np.unique(token[~slot])) < DISTINCT:
+        none = np.zeros(n, bool)
+        h = window_hashes(own, size) ^ _LITERAL
+        yield 2, size, n, len(h), words < EVIDENCE and n < RUN, own, none, h, np.zeros(len(h), bool), np.full(len(h), size)
+        return
+    for form, tokens, slots in _forms(token, own, slot, name):
+        h, void = _hashes(tokens, own, slots, size)
+        solid = np.r_[0, np.cumsum(~slots)]
+        if not void.all():
+            yield form, size, n, int((~void).sum()), False, own, slots, h, void, solid[size:] - solid[:-size]
+
+
+def _forms(token, own, slot, name):
+    """Form 1 has names as words."""
+    yield 0, token, slot
+    if name.any():
+        yield 1, np.where(name, own, token), slot & ~name
+
+
+def _items(batches):
+    """Rows of (key, text) -> a row for each item, form and window hash."""
+    only(None)
+    kinds = [*[pa.int64()] * 3, pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64())), pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
+    for batch in (part for whole in batches for part in slices(whole)):
+        for key, text in zip(batch.column("key").to_pylist(), texts(batch), strict=True):
+            for form, size, words, windows, whole, own, slots, h, void, solid in _item(text):
+                rows = _grouped(h, np.arange(len(h)), own, slots, void, size)
+                first = [r[1][0] for r in rows]
+                yield as_batch(list(_ITEM), kinds, [[key] * len(rows), [form] * len(rows), [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], void[first], [words] * len(rows), [windows] * len(rows), [whole] * len(rows), solid[first], [size] * len(rows)])
+
+
+_ITEM = ("item_id", "form", "hash", "places", "item_fill", "void", "words", "windows", "whole", "solid", "size")
+_ITEM_SCHEMA = "item_id long, form long, hash long, places array<long>, item_fill array<array<long>>, void boolean, words long, windows long, whole boolean, solid long, size long"
+
+
+def _documents(literal, among):
+    """Rows of (key, text) -> a row for each document and window hash that an item may have.
+
+    literal: sizes of windows that items need as they stand. Of form 1 only the windows that hold a name are new.
     """
 
-    def forms(token, own, slot, name):
-        yield 0, token, slot
-        if name.any():
-            yield 1, np.where(name, own, token), slot & ~name
-
     def run(batches):
         only(None)
+        kinds = [*[pa.int64()] * 2, pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64())), pa.int64()]
+
+        def known(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+            if among is None or not len(at):
+                return at
+            found = among.value
+            return at[found[np.minimum(np.searchsorted(found, h[at]), len(found) - 1)] == h[at]] if len(found) else at[:0]
+
         for batch in (part for whole in batches for part in slices(whole)):
             for key, text in zip(batch.column("key").to_pylist(), texts(batch), strict=True):
                 token, own, slot, name = template(text)
-                for form, tokens, slots in forms(token, own, slot, name):
-                    for size in sizes.value if sizes else [min(WINDOW, len(token))]:
-                        if not size or len(token) < size:
-                            continue
-                        h = window_hashes(tokens, size)
+                rows = []
+                if len(token) >= WINDOW:
+                    for form, tokens, slots in _forms(token, own, slot, name):
+                        h, void = _hashes(tokens, own, slots, WINDOW)
                         at = np.arange(len(h))
-                        if among is not None:
-                            known = among.value
-                            place = np.searchsorted(known, h)
-                            at = np.flatnonzero(known[np.minimum(place, len(known) - 1)] == h) if len(known) else at[:0]
-                        if sizes and form:
+                        if form:
                             names = np.r_[0, np.cumsum(name)]
-                            at = at[names[at + size] > names[at]]
-                        for k in range(0, len(at), 50_000):
-                            part = at[k : k + 50_000]
-                            n = len(part)
-                            yield as_batch(["key", "form", "hash", "place", "words", "slots"], [*[pa.int64()] * 5, pa.list_(pa.int64())], [[key] * n, [form] * n, _signed(h[part]), pa.array(part), [len(token)] * n, _lists(own, slots, part, size)])
+                            at = at[names[WINDOW:] > names[:-WINDOW]]
+                        at = known(h, at)
+                        rows += _grouped(h[at], at, own, slots, void, WINDOW)
+                for size in literal.value if len(token) else []:
+                    h = window_hashes(own, size) ^ _LITERAL
+                    at = known(h, np.arange(len(h)))
+                    none = np.zeros(len(own), bool)
+                    rows += _grouped(h[at], at, own, none, none, size)
+                rows = _merged(rows)
+                for k in range(0, len(rows), 50_000):
+                    part = rows[k : k + 50_000]
+                    yield as_batch(["doc_id", "hash", "at", "doc_fill", "doc_words"], kinds, [[key] * len(part), [r[0] for r in part], [r[1] for r in part], [r[2] for r in part], [len(token)] * len(part)])
 
     return run
 
 
-_SCHEMA = "key long, form long, hash long, place long, words long, slots array<long>"
+def _merged(rows: list[tuple[int, list[int], list[list[int]]]]) -> list[tuple[int, list[int], list[list[int]]]]:
+    """One entry for each hash: a void window is in the literal ones again, and a word may be a name elsewhere."""
+    out: dict[int, tuple] = {}
+    for h, places, fill in rows:
+        if h in out:
+            seen = set(out[h][1])
+            new = [k for k, x in enumerate(places) if x not in seen]
+            out[h] = (h, out[h][1] + [places[k] for k in new], out[h][2] + [fill[k] for k in new])
+        else:
+            out[h] = (h, places, fill)
+    return list(out.values())
+
+
+_DOC_SCHEMA = "doc_id long, hash long, at array<long>, doc_fill array<array<long>>, doc_words long"
+
+
+def least_covered(windows, coverage):
+    """The share of an item's windows that is enough: an edited word breaks WINDOW of them."""
+    return min(coverage, (windows - WINDOW) / windows) if windows >= 2 * WINDOW else coverage
 
 
 def _consistent(pairs: set) -> bool:
     return len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
 
 
-def covered(words: int, hits: list[tuple[int, int, list]], coverage: float) -> float:
-    """The share of an item's windows that a document holds, 0 if too few. hits: place in the document, in the item, fillers (item, document)."""
-    windows = max(words - WINDOW + 1, 1)
-    least = min(coverage, (windows - WINDOW) / windows) if windows >= 2 * WINDOW else coverage  # an edited word breaks WINDOW windows
+def covered(words: int, windows: int, hits: list[tuple[int, int, list, bool]], coverage: float) -> float:
+    """The share of an item's windows that a document holds, 0 if too few.
+
+    hits: place in the document, in the item, fillers (item, document), whether void. Void windows count in verbatim runs only.
+    """
+    least = least_covered(windows, coverage)
     by: dict[int, dict[int, set]] = {}
-    for at, place, fillers in hits:
-        by.setdefault(at - place, {})[place] = set(fillers)
+    exact: dict[int, list[int]] = {}
+    for at, place, fillers, void in hits:
+        if not void:
+            by.setdefault(at - place, {})[place] = set(fillers)
+        if all(x == y for x, y in fillers):
+            exact.setdefault(at - place, []).append(place)
     best, shifts = 0.0, sorted(by)
     cuts = [0, *[k for k in range(1, len(shifts)) if shifts[k] - shifts[k - 1] > NEAR], len(shifts)]
     for a, b in zip(cuts, cuts[1:], strict=False):
@@ -197,13 +300,13 @@ def covered(words: int, hits: list[tuple[int, int, list]], coverage: float) -> f
                     places, pairs, low, high = places | set(by[s]), pairs | own[s], min(low, s), max(high, s)
             if (found := len(places) / windows) >= least:
                 best = max(best, found)
-    for diagonal in by.values() if not best and words >= RUN else ():
+    for places_ in exact.values() if not best and words >= RUN else ():
         run, last = 0, None
-        for p in sorted(p for p, f in diagonal.items() if all(x == y for x, y in f)):
+        for p in sorted(set(places_)):
             run = run + 1 if last == p - 1 else 1
             last = p
             if run + WINDOW - 1 >= RUN:
-                best = max(best, run / windows)
+                best = max(best, min(1.0, run / windows))
     return best
 
 
@@ -211,37 +314,62 @@ def _judged(coverage: float):
     def run(batches):
         only(None)
         for batch in (part for whole in batches for part in slices(whole)):
-            doc, item, words, hits = (c.to_pylist() for c in batch.columns)
-            found = [covered(n, [(h["at"], h["place"], [(f["a"], f["b"]) for f in h["both"]]) for h in x], coverage) for n, x in zip(words, hits, strict=True)]
+            doc, item, words, windows, hits = (c.to_pylist() for c in batch.columns)
+            found = []
+            for w, n, x in zip(words, windows, hits, strict=True):
+                each = [(a, p, list(zip(f, d, strict=True)), h["void"]) for h in x for a, d in zip(h["at"], h["doc_fill"], strict=True) for p, f in zip(h["places"], h["item_fill"], strict=True)]
+                found.append(covered(w, n, each, coverage))
             good = [k for k, x in enumerate(found) if x]
             yield as_batch(["doc_id", "item_id", "coverage"], [pa.int64(), pa.int64(), pa.float64()], [[y[k] for k in good] for y in (doc, item, found)])
 
     return run
 
 
+def item_classes(benchmark: DataFrame) -> DataFrame:
+    """benchmark(item_id, text) -> item_id, class_id: items of equal text have the smallest id of them, which stands for all. A null text counts as empty; null ids are left out."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("item_id is not null")
+    least = items.groupBy("text").agg(F.min("item_id").alias("class_id"))
+    return items.join(least, "text").select("item_id", "class_id").distinct()
+
+
+def _seeds(made: DataFrame, coverage: float) -> DataFrame:
+    """(hash, item_id) of an item's windows of which any document that holds the item has one."""
+    rare = made.join(made.groupBy("hash").agg(F.count_distinct("item_id").alias("among")), "hash")
+    each = rare.select("item_id", "form", "hash", "void", "windows", "words", "among", F.explode("places").alias("place"), "solid")
+    by = F.struct("among", -F.col("solid"), "place", "hash")
+    of = Window.partitionBy("item_id", "form")
+    least = F.when(F.col("windows") >= 2 * WINDOW, F.least(F.lit(coverage), (F.col("windows") - WINDOW) / F.col("windows"))).otherwise(coverage)
+    may_miss = F.col("windows") - F.ceil(least * F.col("windows") - 1e-9)
+    first = each.where("not void").withColumn("k", F.row_number().over(of.orderBy("among", -F.col("solid"), "place"))).where(F.col("k") <= may_miss + 1).select("hash", "item_id")
+    runs = each.where(F.col("words") >= RUN).select("item_id", F.min(by).over(of.orderBy("place").rowsBetween(Window.currentRow, RUN - WINDOW)).alias("s"))
+    return first.union(runs.select("s.hash", "item_id")).distinct()
+
+
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """(doc_id, item_id, coverage) of documents that hold an item or a re-parameterised form of it.
 
     coverage: the share of the item's windows on the document's best consistent chain of diagonals; at least the one asked
-    for, unless only one edited word is in the way or RUN words in a row are there as they are. An item of fewer than five words is one window. Items and documents without words match nothing; null ids match
-    nothing, as they can't be named; items of equal words are compared once, and their smallest id stands for them. Repeated rows of a document
-    count once; other columns are ignored.
+    for, unless only one edited word is in the way or RUN words in a row are there as they are. An item of fewer than five words is one window.
+    Items with few words besides placeholders are taken word for word, and short ones with under EVIDENCE only as whole documents. Items and documents without words
+    match nothing; null ids match nothing, as they can't be named; items of equal text are compared once, and their smallest id stands for them
+    (`item_classes` has the others). Repeated rows of a document count once, and rows that share a doc_id count as one document; other columns are ignored.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     items = items.where("key is not null").groupBy("text").agg(F.min("key").alias("key"))
-    made = materialise(spark, items.select("key", "text").mapInArrow(_windows(None, None), _SCHEMA), "items")
-    sizes = [r.n for r in made.select(F.least("words", F.lit(WINDOW)).alias("n")).distinct().collect()]  # 1 to WINDOW
+    made = materialise(spark, items.select("key", "text").mapInArrow(_items, _ITEM_SCHEMA), "items")
+    literal = [r["size"] for r in made.where("form = 2").select("size").distinct().collect()]  # 1 to WINDOW
     hashes = made.select("hash").distinct()
     among = None
     if 8 * hashes.count() <= filter_bytes:
         known = np.sort(hashes.toPandas()["hash"].to_numpy(np.int64).view(np.uint64))
         among = spark.sparkContext.broadcast(known)
     rows = docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text")).where("key is not null")
-    found = rows.mapInArrow(_windows(spark.sparkContext.broadcast(sizes), among), _SCHEMA).select(F.col("key").alias("doc_id"), "hash", F.col("place").alias("at"), F.col("slots").alias("doc_slots"))
-    pairs = found.join(made.select(F.col("key").alias("item_id"), "form", "hash", "place", "words", F.col("slots").alias("item_slots")), "hash")
-    both = F.filter(F.zip_with("item_slots", "doc_slots", lambda a, b: F.when(a.isNotNull(), F.struct(a.alias("a"), b.alias("b")))), lambda x: x.isNotNull())
-    each = pairs.groupBy("doc_id", "item_id", "form").agg(F.first("words").alias("words"), F.collect_list(F.struct("at", "place", both.alias("both"))).alias("hits"))
-    good = each.select("doc_id", "item_id", "words", "hits").mapInArrow(_judged(coverage), "doc_id long, item_id long, coverage double")
+    found = rows.mapInArrow(_documents(spark.sparkContext.broadcast(literal), among), _DOC_SCHEMA)
+    found = materialise(spark, found, "windows")
+    pairs = found.select("doc_id", "hash").join(_seeds(made, coverage), "hash").select("doc_id", "item_id").distinct()
+    both = found.join(pairs, "doc_id").join(made, ["item_id", "hash"]).where("not whole or words = doc_words")
+    each = both.groupBy("doc_id", "item_id", "form").agg(F.first("words").alias("words"), F.first("windows").alias("windows"), F.collect_list(F.struct("at", "places", "doc_fill", "item_fill", "void")).alias("hits"))
+    good = each.select("doc_id", "item_id", "words", "windows", "hits").mapInArrow(_judged(coverage), "doc_id long, item_id long, coverage double")
     return good.groupBy("doc_id", "item_id").agg(F.max("coverage").alias("coverage"))
 
 
