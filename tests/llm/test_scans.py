@@ -29,7 +29,7 @@ def test_spans_map_to_characters():
         deep = B64(deep.encode())
     assert secrets.find_secrets(deep)[1]
     bomb = B64(gzip.compress(b"a" * 3_000_000))
-    assert secrets.find_secrets(bomb, 1_000_000) == ([], [])
+    assert secrets.find_secrets(bomb, 1_000_000) == secrets.find_secrets(bomb) == ([], [(0, 2, len(bomb))])
 
 
 def _base(x):
@@ -252,3 +252,31 @@ def test_wrapped_and_glued_base64(wrapped):
     base, every = secrets.find_secrets(f"x {wrapped} end")
     found = [s for s in every if s not in base and s[1] == 0]
     assert found and all(2 <= a < b <= 2 + len(wrapped) for a, _, b in found)
+
+
+def test_large_layers_are_read_in_blocks():
+    noise = "".join(chr(97 + k * k % 26) + " " for k in range(900_000))
+    for inner in (noise + RAW, RAW + noise, noise[:1_000_000] + B64(RAW.encode()) + noise):
+        for packed in (gzip.compress(inner.encode()), gzip.compress(zlib.compress(inner.encode())), zlib.compress(gzip.compress(b"x ") + gzip.compress(inner.encode()))):
+            text = "at " + B64(packed)
+            small, large = (secrets.find_secrets(text, n) for n in (600_000, 64 << 20))
+            assert small == large and (3, 0, len(text)) in small[1]
+
+
+def test_spans_of_odd_characters():
+    assert secrets.find_secrets("%EF%BF%BDtoken=abcdef1")[1] == [(9, 0, 22)]
+    assert secrets.find_secrets("%E2%82token=abcdef1")[1] == [(6, 0, 19)]
+    assert secrets.find_secrets("token\\u{3d}abcdef1\\ud83d\\ude00")[1] == [(0, 0, 18)]
+    assert secrets.find_secrets("token%252525253Dabcdef1")[1] == [(0, 0, 23)]
+    assert secrets.find_secrets("token&#38;#38;#61;abcdef1")[1] == [(0, 0, 25)]
+    assert secrets.find_secrets("token\\u005cu005cu003dabcdef1")[1] == [(0, 0, 28)]
+
+
+@pytest.mark.parametrize("text", ["%" + "25" * 500_000, "%25" * 330_000, "%41" * 330_000, "&" + "#38;" * 250_000, "\\" + "u005c" * 200_000, "eJw" * 100_000, "A" * 1_000_000, "x" * 1_000_000, "a1" * 500_000, "token=" * 150_000, "password " * 100_000])
+def test_long_texts_take_linear_time(text):
+    import time
+
+    began = time.time()
+    base, every = secrets.find_secrets(text)
+    assert set(base) <= set(every)
+    assert time.time() - began < 10
