@@ -79,6 +79,39 @@ def test_templates():
         licences.Automaton("a <<optional>> b")
 
 
+def _plain(template, holder="The Example Authors"):
+    """A text of a template: with its optional regions, a holder for words of any number, and the least other words."""
+    fill = {"scheme": "https", "what": "program", "version": "3", "verb": "disclaims", "years": "2020", "terms": "nc"}
+    text = re.sub(r"<<var (\w+)[^<>]*>>", lambda m: fill.get(m[1], holder), template)
+    return re.sub(r"<</?optional>>", " ", text)
+
+
+@pytest.mark.parametrize("label", sorted(licences.TEMPLATES))
+def test_full_texts_and_altered_ones(label):
+    template = licences.TEMPLATES[label]
+    labels = lambda x: {t[2] for t in licences.scan(x.encode())[2]}
+    whole = _plain(template)
+    assert label in labels(f"Before. {whole.title()} After.") and label in labels(_plain(template, "Ünlü GmbH, of 2 towns"))
+    assert label in labels(_plain(re.sub("<<optional>>(?:(?!<<optional>>).)*?<</optional>>", "", template)))
+    if len(template) > 200 and label != "apache-2.0" and not label.endswith("notice"):
+        words = whole.split()
+        for k in range(2, len(words), max(1, len(words) // 15)):
+            changed = [*words[:k], "never", *words[k:]]
+            if "Example" not in words[max(0, k - 3) : k + 3] and "Authors" not in words[max(0, k - 3) : k + 3]:
+                assert label not in labels(" ".join(changed)), k
+        assert label not in labels(" ".join(words[: len(words) * 2 // 3]))
+
+
+def test_long_holders_and_many_notices():
+    import time
+
+    labels = lambda x: [t[2] for t in licences.scan(x.encode())[2]]
+    assert labels("Copyright (c) 1994 The Regents of the University of California and all of the many contributors. All rights reserved. And on. All rights reserved.") == ["copyright"]
+    began = time.time()
+    assert labels("copyright 2020 x " * 20_000) == []
+    assert time.time() - began < 5
+
+
 BENCH = [(1, "Alice told Bob that 12 km are 7 miles, and Alice gave Bob 12 apples for 5 dollars yesterday evening."), (2, "two words"), (3, None), (4, ""), (1, BENCH1 := "the quick brown fox jumps over the lazy dog near the river bank today"), (None, "no id at all here in this item of words"), (7, BENCH1), (9, "¿Qué día es mañana, señor Ibáñez, según el calendario de Ávila y de Óscar?")]
 
 

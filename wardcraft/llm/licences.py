@@ -1,10 +1,10 @@
 """License scans by template markup.
 
 A template is license wording with marked regions: <<optional>> ... <</optional>> may be absent, and <<var NAME
-PATTERN MOST>> stands for 1 to MOST words that each match PATTERN in full. It is compiled to a token automaton:
+PATTERN MOST>> stands for 1 to MOST words (* for any number) that each match PATTERN in full. It is compiled to a token automaton:
 states, edges that read a word, and free edges. A text is accepted where the automaton reads words from one
-place on to its final state, so all mandatory wording has to be there exactly and in order. Automata start only where a
-template's first words stand.
+place on to its final state, so all mandatory wording has to be there exactly and in order: full texts run from the grant to
+the end of the disclaimer, and one with a changed condition isn't accepted. Automata start only where a template's first two words stand.
 """
 
 from __future__ import annotations
@@ -24,21 +24,35 @@ _WORD[128:] = True
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 #: Base phrases and their labels. Fixed values.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
+_BSD = "redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: <<optional>> 1 <</optional>> redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. <<optional>> 2 <</optional>> redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+_BSD_END = "this software is provided by <<var holder (?!as$).+ *>> 'as is' and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed. in no event shall <<var holder (?!be$).+ *>> be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage."
 #: Templates by label. The wording of well-known public license texts and notices.
 TEMPLATES = {
     "apache-2.0": "licensed under the apache license version 2 0 <<optional>> the license you may not use this file except in compliance with the license <</optional>>",
+    "apache-2.0-header": "licensed under the apache license, version 2.0 (the 'license'); you may not use this file except in compliance with the license. you may obtain a copy of the license at <<var scheme https? 1>> www.apache.org/licenses/license-2.0 unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an 'as is' basis, without warranties or conditions of any kind, either express or implied. see the license for the specific language governing permissions and limitations under the license.",
     "apache": "licensed under the apache license version <<var version [0-9]+ 3>>",
     "gpl-notice": "licensed under the gnu general public license <<optional>> as published by the free software foundation <</optional>> <<optional>> either <</optional>> version <<var version [0-9]+ 2>> <<optional>> or at your option any later version <</optional>>",
+    "gpl-header": "this <<var what program|library|software|file|package 1>> is free software you can redistribute it and/or modify it under the terms of the gnu <<optional>> lesser <</optional>> <<optional>> affero <</optional>> general public license as published by the free software foundation either version <<var version [0-9]+ 2>> of the license, or (at your option) any later version. this <<var what program|library|software|file|package 1>> is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose. see the gnu <<optional>> lesser <</optional>> <<optional>> affero <</optional>> general public license for more details.",
+    "mpl-2.0-header": "this source code form is subject to the terms of the mozilla public license, v. 2.0. if a copy of the mpl was not distributed with this file, you can obtain one at <<var scheme https? 1>> mozilla.org/mpl/2.0",
     "cc-notice": "licensed under <<optional>> a <</optional>> <<optional>> creative commons attribution <<optional>> license <</optional>> <</optional>> cc by <<var terms nc|nd|sa 2>> <<var version [0-9]+ 2>>",
     "cc-by-notice": "licensed under <<optional>> a <</optional>> <<optional>> creative commons attribution <<optional>> license <</optional>> <</optional>> cc by <<var version [0-9]+ 2>>",
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
+    "mit": "permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the 'software'), to deal in the software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the software, and to permit persons to whom the software is furnished to do so, subject to the following conditions: the above copyright notice and this permission notice <<optional>> (including the next paragraph) <</optional>> shall be included in all copies or substantial portions of the software. the software is provided 'as is', without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. in no event shall <<var holder (?!be$).+ *>> be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software.",
     "mit-notice": "under the mit license",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<optional>> 1 <</optional>> redistributions of source code must retain the above copyright notice",
-    "copyright": "copyright <<optional>> c <</optional>> <<var years [0-9]{4} 2>> <<var holder .+ 6>> all rights reserved",
+    "isc": "permission to use, copy, modify, and <<optional>> or <</optional>> distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. the software is provided 'as is' and <<var author (?!disclaims?$).+ *>> <<var verb disclaims? 1>> all warranties with regard to this software including all implied warranties of merchantability and fitness. in no event shall <<var author (?!be$).+ *>> be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software.",
+    "zlib": "this software is provided 'as-is', without any express or implied warranty. in no event will <<var authors (?!be$).+ *>> be held liable for any damages arising from the use of this software. permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: <<optional>> 1 <</optional>> the origin of this software must not be misrepresented; you must not claim that you wrote the original software. if you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. <<optional>> 2 <</optional>> altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. <<optional>> 3 <</optional>> this notice may not be removed or altered from any source distribution.",
+    "bsl-1.0": "permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the 'software') to use, reproduce, display, distribute, execute, and transmit the software, and to prepare derivative works of the software, and to permit third-parties to whom the software is furnished to do so, all subject to the following: the copyright notices in the software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the software, in whole or in part, and all derivative works of the software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. the software is provided 'as is', without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose, title and non-infringement. in no event shall <<var holder (?!be$).+ *>> be liable for any damages or other liability, whether in contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software.",
+    "unlicense": "this is free and unencumbered software released into the public domain. anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "bsd-2-clause": f"{_BSD} {_BSD_END}",
+    "bsd-3-clause": f"{_BSD} <<optional>> 3 <</optional>> neither the name of <<var holder (?!nor$).+ *>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_BSD_END}",
+    "copyright": "copyright <<optional>> c <</optional>> <<var years [0-9]{4} 2>> <<var holder (?!copyright$).+ *>> all rights reserved",
 }
 _MARK = re.compile(r"<<(/?)(\w+)([^<>]*)>>|([^\s<>]+)")
 
 
+#: A text without any of these has no template: each is the first or, where that is common, a later word of some. Held by a test.
+_MUST = (b"license", b"licensed", b"permission", b"redistribution", b"copyright", b"unencumbered")
+
+
 class Automaton:
     """States by number; 0 is the first. words: state -> (word -> state); tests: state -> [(pattern, state)]; free: state -> [state]."""
 
@@ -47,11 +61,14 @@ class Automaton:
         self.tests: list[list[tuple[re.Pattern, int]]] = [[]]
         self.free: list[list[int]] = [[]]
         at, open_ = 0, []
+        #: With a region of any number of words the shortest reading counts, else the longest.
+        self.shortest = False
         for close, kind, rest, word in _MARK.findall(template):
             if word:
-                to = self._state()
-                self.words[at][word.encode()] = to
-                at = to
+                for w in WORD.findall(word.encode()):
+                    to = self._state()
+                    self.words[at][w] = to
+                    at = to
             elif kind == "optional" and not close:
                 open_.append(at)
                 to = self._state()
@@ -65,7 +82,12 @@ class Automaton:
             elif kind == "var":
                 _, pattern, most = rest.rsplit(None, 2)[-3:] if len(rest.split()) > 2 else ("", *rest.split())
                 end, test = self._state(), re.compile(pattern.encode())
-                for _k in range(int(most)):
+                if most == "*":
+                    self.shortest, to = True, self._state()
+                    self.tests[at].append((test, to))
+                    self.tests[to].append((test, to))
+                    self.free[to].append(end)
+                for _k in range(int(most) if most != "*" else 0):
                     to = self._state()
                     self.tests[at].append((test, to))
                     self.free[to].append(end)
@@ -95,8 +117,19 @@ class Automaton:
                     work.append(to)
         return states
 
+    def openings(self) -> set[tuple[bytes, bytes | None]]:
+        """The first two words that a reading can have; None: not one certain word."""
+        out: set[tuple[bytes, bytes | None]] = set()
+        for s in self._closed({0}):
+            for first, to in self.words[s].items():
+                for t in self._closed({to}):
+                    out.update((first, second) for second in self.words[t])
+                    if self.tests[t] or t == self.final:
+                        out.add((first, None))
+        return out
+
     def match(self, words: list[bytes], at: int) -> int:
-        """One past the last word of the longest reading from `at`; `at` if there is none."""
+        """One past the last word of the reading from `at`; `at` if there is none."""
         states, end = self._closed({0}), at
         for k in range(at, len(words)):
             w, new = words[k], set()
@@ -109,24 +142,24 @@ class Automaton:
                 break
             if self.final in states:
                 end = k + 1
+                if self.shortest:
+                    break
         return end
 
 
 @cache
 def _compiled() -> tuple[dict[str, Automaton], re.Pattern, re.Pattern]:
     automata = {k: Automaton(v) for k, v in TEMPLATES.items()}
-    # a word before which no word byte stands; two words of the template so that common first words cost nothing
-    starts = {k: _opening(v) for k, v in TEMPLATES.items()}
-    anchor = re.compile(rb"(?<![a-z0-9\x80-\xff])(?:" + b"|".join(sorted({s for v in starts.values() for s in v})) + rb")(?![a-z0-9\x80-\xff])")
+    # two words with no word byte before or after, so that common first words cost nothing
+    by: dict[bytes, set[bytes | None]] = {}
+    for first, second in sorted(set().union(*[x.openings() for x in automata.values()]), key=str):
+        by.setdefault(first, set()).add(second)
+    pairs = [first if None in more else first + rb"[^a-z0-9\x80-\xff]+(?:" + b"|".join(sorted(more)) + b")" for first, more in by.items()]
+    anchor = re.compile(rb"(?<![a-z0-9\x80-\xff])(?=(?:" + b"|".join(pairs) + rb")(?![a-z0-9\x80-\xff]))")
     phrase = re.compile(b"|".join(rb"(?<![a-z0-9\x80-\xff])(" + rb"[^a-z0-9\x80-\xff]+".join(p.encode().split()) + rb")(?![a-z0-9\x80-\xff])" for p in PHRASES))
     return automata, anchor, phrase
 
 
-def _opening(template: str) -> set[bytes]:
-    """The words that a reading can start with."""
-    return set(Automaton(template).first)
-
-
 def scan(text: bytes) -> tuple[int, list[tuple[int, str]], list[tuple[int, int, str]]]:
     """(words, base places (first word, label), accepted templates (first word, one past the last, label)) of a text in UTF-8."""
     low = text.lower()  # A-Z only
@@ -139,10 +172,10 @@ def scan(text: bytes) -> tuple[int, list[tuple[int, str]], list[tuple[int, int,
     for m in phrase.finditer(low):
         number = np.cumsum(start) if number is None else number
         base.append((int(number[m.start()]) - 1, labels[m.lastindex - 1]))
+    words: list[bytes] = []
     if any(x in low for x in _MUST):
-        number = np.cumsum(start) if number is None else number
-        words: list[bytes] = []
         for m in anchor.finditer(low):
+            number = np.cumsum(start) if number is None else number
             words = words or WORD.findall(low)
             at = int(number[m.start()]) - 1
             for label, automaton in automata.items():
@@ -151,10 +184,6 @@ def scan(text: bytes) -> tuple[int, list[tuple[int, str]], list[tuple[int, int,
     return n, base, found
 
 
-#: Each template has one of these in its mandatory wording: a text without any is not tried. Checked by a test.
-_MUST = (b"license", b"licensed", b"permission", b"redistribution", b"copyright")
-
-
 def covered(n: int, base: list[tuple[int, str]], found: list[tuple[int, int, str]]) -> float:
     """The share of words that lie in a base place or an accepted template."""
     size = {v: len(k.split()) for k, v in PHRASES.items()}
