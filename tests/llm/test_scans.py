@@ -235,6 +235,19 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_warc(spark, warc.write_warc(spark, pages.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("places", [26, 7])
+def test_warc_roles_against_brute_force(spark, monkeypatch, places):
+    monkeypatch.setattr(warc, "PLACES", places)  # 7: many payloads share a mark with a repeated one
+    rows = [(k, "u", f"{'page' * 30} {k % 90 if k % 3 else 5000 + k}") for k in range(600)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3)
+    first = {}
+    for k, _, h in rows:
+        first.setdefault(h, k)
+    want = sorted((k, "response" if first[h] == k else "revisit", first[h] if first[h] != k else -1, hashlib.sha256(h.encode()).hexdigest(), len(h)) for k, _, h in rows)
+    got = warc.read_warc(spark, warc.write_warc(spark, pages), "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long").collect()
+    assert sorted((r.page_id, r.record_type, -1 if r.refers_to is None else r.refers_to, r.payload_digest, r.payload_bytes) for r in got) == want
+
+
 def test_unwanted_payloads_stay_packed(tmp_path):
     big = ("payload %d " * 20_000) % tuple(range(20_000))
     raw = b"".join(warc.member(warc.record("response", k, "http://x", big.encode(), "0" * 64, None, "1970-01-01T00:00:00Z")) for k in range(5))

@@ -16,8 +16,11 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition, IsNotNull
@@ -25,14 +28,14 @@ from pyspark.sql.types import StructType
 
 from wardcraft.llm.text import as_batch, table
 from wardcraft.plans.files import Window, files_in, writer
-from wardcraft.plans.shared import new_folder
+from wardcraft.plans.shared import materialise, new_folder, remove
 
 SCHEMA = "record_id string, record_type string, page_id long, url string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 #: Columns that are headers, and the header of each.
 HEADERS = {"record_id": "WARC-Record-ID", "record_type": "WARC-Type", "page_id": "X-Page-ID", "url": "WARC-Target-URI", "payload_digest": "WARC-Payload-Digest", "payload_bytes": "X-Payload-Length", "refers_to": "X-Refers-To-Page-ID"}
 LONGS = ("page_id", "payload_bytes", "refers_to")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-LEAST_SHARED, SPLIT, HEAD = 100, 8 << 20, 2048
+LEAST_SHARED, SPLIT, HEAD, PLACES = 100, 8 << 20, 2048, 26
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL namespace of RFC 4122
 
 
@@ -228,11 +231,32 @@ def read_warc(spark: SparkSession, path: str, columns: str = SCHEMA) -> DataFram
     return spark.read.format("warc").schema(columns).load(path)
 
 
-def _write(folder: str, date: str, level: int):
+def _marked(held: Broadcast, place: pa.Array) -> pa.Array:
+    """Which places have their bit set."""
+    k = place.to_numpy(zero_copy_only=False)
+    return pa.array(held.value[k >> 6] >> (k & 63).astype(np.uint64) & np.uint64(1) == 1)
+
+
+def _shared(held: Broadcast):
+    """Rows whose digest may be one of several records'."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(_marked(held, batch.column("place")))
+
+    return run
+
+
+def _write(folder: str, date: str, level: int, held: Broadcast | None = None):
+    """Rows -> archives. held: rows without a mark are written, as responses, and the others left for later."""
+
     def run(batches):
         path, out, at, n, cuts = f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.warc.gz", None, 0, 0, []
         for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in ("page_id", "url", "payload", "digest", "record_type", "refers_to")]
+            if held:
+                batch = batch.filter(pc.invert(_marked(held, batch.column("place"))))
+            cols = [batch.column(k).to_pylist() for k in ("page_id", "url", "payload", "digest")]
+            cols += [["response"] * batch.num_rows, [None] * batch.num_rows] if held else [batch.column(k).to_pylist() for k in ("record_type", "refers_to")]
             for page_id, url, payload, digest, kind, refers_to in zip(*cols, strict=True):
                 out = out or writer(path)
                 cuts.append(at)
@@ -248,21 +272,37 @@ def _write(folder: str, date: str, level: int):
     return run
 
 
+def _marks(spark: SparkSession, places: DataFrame) -> Broadcast:
+    """A table of 2 ** PLACES bits, with those of `places` set: 8 MB, whatever the number of rows."""
+    words = places.groupBy(F.expr("shiftright(place, 6)").alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place & 63 as int))")).alias("v")).toPandas()
+    bits = np.zeros(1 << PLACES - 6, np.uint64)
+    bits[words["k"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64).view(np.uint64)
+    return spark.sparkContext.broadcast(bits)
+
+
 def write_warc(spark: SparkSession, pages: DataFrame, folder: str | None = None, date: str = "1970-01-01T00:00:00Z", level: int = 6, least: int = LEAST_SHARED) -> str:
     """Write a record per row of pages(page_id, url, html) and return the folder of the finished archives.
 
     The payload is the html in UTF-8, empty where null. Of rows with equal payloads of `least` bytes or more, those
     with the smallest page_id are responses and the others revisits of it; rows without a page_id are revisits
     where another row has one, else responses. Repeated rows give repeated records. An archive of a task that was
-    run again is not listed in manifest.parquet; such files are removed before the folder is returned.
+    run again is not listed in manifest.parquet; such files are removed before the folder is returned. Only payloads that stand in
+    several rows are shuffled (and those that share one of the 2 ** PLACES marks with one).
     """
     folder = folder or new_folder(spark, "warc")
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     p = p.withColumn("digest", F.sha2("payload", 256))
+    place = F.pmod(F.xxhash64("digest"), F.lit(1 << PLACES)).alias("place")
     first = p.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("digest", "first")
+    first = materialise(spark, first, "repeated")
+    # payloads that stand alone are written where they are read; the others, and those that share a mark with them, meet by digest
+    held = _marks(spark, first.select(place))
+    p = p.select("page_id", "url", "payload", "digest", place)
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    rows = p.join(first, "digest", "left").select("page_id", "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
-    rows.mapInArrow(_write(folder, date, level), "path string, records long, bytes long").write.parquet(f"{folder}/manifest.parquet")
+    shared = p.mapInArrow(_shared(held), p.schema).join(first, "digest", "left").select("page_id", "url", "payload", "digest", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
+    listed = "path string, records long, bytes long"
+    p.mapInArrow(_write(folder, date, level, held), listed).union(shared.mapInArrow(_write(folder, date, level), listed)).write.parquet(f"{folder}/manifest.parquet")
+    remove(spark, first)
     good = {r.path for r in spark.read.parquet(f"{folder}/manifest.parquet").select("path").collect()}  # a row per file
     from wardcraft.plans.files import filesystem
 
