@@ -5,7 +5,7 @@ Two 64-bit fingerprints with at most 3 differing bits differ in at most 3 of the
 corpus; a posting here is four positional bytes at once. The 14 blocks of the Steiner system S(3, 4, 8) are the
 least family in which any 5 shared positions contain a whole block, so no pair that reaches the minimum is missed.
 Within a posting the shared positional bytes of each pair are tallied, pairs under 5 go, the others are verified by
-their differing bits. Postings above `most` members are dealt out again by the same scheme over the nibbles and
+their differing bits. Postings above `most` members are never dealt out by themselves but again by the same scheme over the nibbles and
 then the bit pairs that their block leaves free; after that a posting has at most 256 members. No pairs are
 written: a posting gives a forest of its links, which holds the same components.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from wardcraft.llm.text import as_batch, per_batch, table, texts, two
 from wardcraft.plans.components import connected_components
-from wardcraft.plans.shared import materialise, remove
+from wardcraft.plans.shared import materialise
 
 WORDS, SEED, BITS, MOST = 3, 42, 3, 2048
 #: S(3, 4, 8): fixed values.
@@ -98,57 +98,27 @@ def links_within(key: np.ndarray, fp: np.ndarray, bits: int = BITS) -> list[tupl
     return out
 
 
-_POSTED = "u long, v long, mask long"
+def _postings(bits: int):
+    """Sorted rows (mask, val, fp) -> links (u, v)."""
 
-
-def _postings(bits: int, most: int):
-    """Sorted rows (mask, val, fp) -> links (u, v, null), and the rows (fp, null, mask) of postings above `most`."""
-
-    def links(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        mask, val, fp = (np.concatenate([r[k] for r in rows]) for k in range(3))
+    def links(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        mask, val, fp = rows
         key = np.cumsum(np.r_[0, (mask[1:] != mask[:-1]) | (val[1:] != val[:-1])])
         if found := links_within(key, fp.view(np.uint64), bits):
             i, j = np.array(found).T
-            yield as_batch(["u", "v", "mask"], [pa.int64()] * 3, [pa.array(fp[i]), pa.array(fp[j]), pa.nulls(len(i), pa.int64())])
-
-    def over(part: np.ndarray) -> pa.RecordBatch:
-        return as_batch(["u", "v", "mask"], [pa.int64()] * 3, [pa.array(part[2]), pa.nulls(part.shape[1], pa.int64()), pa.array(part[0])])
+            yield as_batch(["u", "v"], [pa.int64()] * 2, [pa.array(fp[i]), pa.array(fp[j])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []  # the open posting; once above `most` its rows are passed on and not held
-        dealt = None  # key of the posting being passed on
+        held = np.zeros((3, 0), np.int64)  # the posting that may go on in the next batch
         for batch in batches:
-            rows = np.array([c.to_numpy(zero_copy_only=False) for c in batch.columns])
-            n = rows.shape[1]
-            if not n:
-                continue
-            if dealt is not None:
-                same = (rows[0] == dealt[0]) & (rows[1] == dealt[1])
-                k = n if same.all() else int(np.argmin(same))
-                if k:
-                    yield over(rows[:, :k])
-                rows = rows[:, k:]
-                if not rows.shape[1]:
-                    continue
-                dealt = None
-            rows = np.concatenate([*held, rows], axis=1) if held else rows
-            n = rows.shape[1]
-            first = np.flatnonzero(np.r_[True, (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])])
-            size = np.diff(np.r_[first, n])
-            big = size > most
-            for a, s in zip(first[big], size[big], strict=True):
-                yield over(rows[:, a : a + s])
-            held, last = [], first[-1]
-            if big[-1]:
-                dealt = (rows[0, last], rows[1, last])
-            else:
-                held = [rows[:, last:]]
-            done = ~np.repeat(big, size)
-            done[last:] = False
-            if done.any():
-                yield from links([rows[:, done]])
-        if held:
-            yield from links(held)
+            rows = np.concatenate([held, [c.to_numpy(zero_copy_only=False) for c in batch.columns]], axis=1)
+            if rows.shape[1]:
+                last = int(np.argmax((rows[0] == rows[0, -1]) & (rows[1] == rows[1, -1])))
+                held = rows[:, last:]
+                if last:
+                    yield from links(np.ascontiguousarray(rows[:, :last]))
+        if held.shape[1]:
+            yield from links(np.ascontiguousarray(held))
 
     return run
 
@@ -168,21 +138,20 @@ def similar_fingerprints(spark: SparkSession, fps: DataFrame, bits: int = BITS,
     if not 0 <= bits <= 3 or most < 256:
         raise ValueError("bits is 0 to 3, most is 256 or more")
     rows = fps.select(F.col("fp"), F.lit(0).cast("long").alias("mask"))
-    found, level = [], 0
+    found, level = None, 0
     while True:
         posted = rows.select(F.explode(_pick(F.col("mask"), level)).alias("mask"), "fp").select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("val"), "fp")
         posted = posted.distinct() if level else posted
-        out = posted.repartition("mask", "val").sortWithinPartitions("mask", "val").mapInArrow(_postings(bits, most), _POSTED)
-        table_ = materialise(spark, out, f"postings{level}")
-        found.append(table_.where("v is not null").select("u", "v"))
-        rows = table_.where("v is null").select(F.col("u").alias("fp"), "mask")
-        if rows.isEmpty():
-            break
+        # how large postings are is summed up before anything is dealt by them, so that no task gets a large one
+        large = materialise(spark, posted.groupBy("mask", "val").count().where(F.col("count") > most).select("mask", "val"), f"large{level}")
+        last = large.isEmpty()
+        small = posted if last else posted.join(large, ["mask", "val"], "left_anti")
+        links = materialise(spark, small.repartition("mask", "val").sortWithinPartitions("mask", "val").mapInArrow(_postings(bits), "u long, v long"), f"postings{level}")
+        found = links if found is None else found.union(links)
+        if last:
+            return found
+        rows = materialise(spark, posted.join(large, ["mask", "val"], "left_semi").select("fp", "mask"), f"dealt{level}")
         level += 1
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out
 
 
 def components(fps: DataFrame, distinct: DataFrame, roots: DataFrame) -> DataFrame:
