@@ -74,7 +74,7 @@ def test_extract_layers_and_sinks(spark, tmp_path):
     sinks.write_layer(a, str(tmp_path / "layers"), "addresses")
     sinks.write_layer(a, str(tmp_path / "layers"), "addresses")
     assert sinks.read_layer(spark, str(tmp_path / "layers"), "addresses").count() == 2
-    m = sinks.metadata(a, "X", "X, Y", "EPSG:3844", ["addresses"], {"type": "drive"}, "layers")
+    m = sinks.metadata(a, "X", "X, Y", 3844, ["addresses"], {"network_type": "drive", "simplify": True, "retain_all": False}, "layers")
     sinks.write_json(m, str(tmp_path / "m.json"))
     assert json.loads((tmp_path / "m.json").read_text())["bbox"] == m["bbox"]
     with pytest.raises(ValueError):

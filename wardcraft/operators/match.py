@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,24 +19,84 @@ def prepare_addresses(addresses: DataFrame) -> DataFrame:
     return out if "addr_housenumber_int" in out.columns else out.withColumn("addr_housenumber_int", housenumber_int(F.col("addr_housenumber")))
 
 
+#: Characters that make a name more than plain text and dots when it is read as a pattern.
+_SPECIAL = r"[\\^$|?*+()\[\]{}]"
+NAMES = 1000
+
+
+def _grams(name: str, size: int | str) -> str:
+    """The distinct runs of `size` characters of a name."""
+    return f"array_distinct(transform(sequence(1, length({name}) - {size} + 1), i -> substring({name}, i, {size})))"
+
+
+def _found_by_pattern(names: list[str]):
+    """Streets -> (rule_norm, street_norm) for names read as patterns; a name that isn't a pattern finds nothing."""
+
+    def run(batches):
+        patterns = []
+        for name in names:
+            try:
+                patterns.append((name, re.compile(name)))
+            except (re.error, OverflowError, RecursionError):
+                continue
+        for batch in batches:
+            streets = batch.column("street_norm").to_pylist()
+            for name, pattern in patterns:
+                hits = [x for x in streets if pattern.search(x)]
+                if hits:
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(hits), pa.string()), pa.array(hits, pa.string())], ["rule_norm", "street_norm"])
+
+    return run
+
+
 def street_links(norms: DataFrame, streets: DataFrame) -> DataFrame:
     """norms(rule_norm), streets(street_norm), both distinct -> (rule_norm, street_norm).
 
-    Equal names; for a rule name that equals none and isn't empty, the names in which it is found as a regular expression. Only distinct
-    names meet in the fallback, never addresses, and only those of rules that are left over.
+    Equal names; for a rule name that equals none and isn't empty, the names in which it is found as a regular expression. Plain
+    names (and those whose only sign is a dot) meet the streets that have their rarest run of up to three characters, so names never meet all
+    streets; the few names with other signs are tried on the streets in blocks of NAMES, and one that is no valid pattern finds
+    nothing and harms no other.
     """
     equal = norms.join(streets, norms.rule_norm == streets.street_norm).select("rule_norm", "street_norm")
     left = norms.where("rule_norm <> ''").join(streets, norms.rule_norm == streets.street_norm, "left_anti")
-    return equal.unionByName(left.join(streets, F.expr("street_norm rlike rule_norm")).select("rule_norm", "street_norm"))
-
-
-def match_rows(specs: DataFrame, addresses: DataFrame) -> DataFrame:
-    """Every (spec, address) that matches. specs: as of flat_specs; addresses: as of prepare_addresses."""
+    bare = F.expr("array_max(transform(split(rule_norm, '[.]'), x -> struct(length(x) as n, x as x)))")
+    plain = left.where(~F.col("rule_norm").rlike(_SPECIAL)).withColumn("part", bare).where("part.n > 0")
+    wanted = plain.select("rule_norm", F.explode(F.expr(_grams("part.x", "least(3, part.n)"))).alias("gram"))
+    held = streets.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).where("length(street_norm) >= n").select("street_norm", F.explode(F.expr(_grams("street_norm", "n"))).alias("gram"))
+    held = held.join(wanted.select("gram").distinct(), "gram", "left_semi")
+    common = held.groupBy("gram").count()
+    rarest = wanted.join(common, "gram", "left").groupBy("rule_norm").agg(F.min_by("gram", F.struct(F.coalesce("count", F.lit(0)).alias("count"), "gram")).alias("gram"))
+    found = rarest.join(held, "gram").where(F.when(F.col("rule_norm").contains("."), F.expr("street_norm rlike rule_norm")).otherwise(F.col("street_norm").contains(F.col("rule_norm"))))
+    out = equal.unionByName(found.select("rule_norm", "street_norm"))
+    odd = norms.where(F.col("rule_norm").rlike(_SPECIAL) | F.col("rule_norm").rlike(r"^[.]+\z"))
+    names = (r.rule_norm for r in odd.join(streets, odd.rule_norm == streets.street_norm, "left_anti").toLocalIterator())
+    while block := list(itertools.islice(names, NAMES)):
+        out = out.unionByName(streets.select("street_norm").mapInArrow(_found_by_pattern(block), "rule_norm string, street_norm string"))
+    return out
+
+
+_TEST = ("rule_norm", "kind", "parity", "ranges", "singles")
+
+
+def match_rows(specs: DataFrame, addresses: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Every (spec, address) that matches. specs: as of flat_specs; addresses: as of prepare_addresses.
+
+    keys: columns that both tables have and that have to be equal as well (a locality, so that the main streets of all towns don't meet).
+    What a spec asks for is tested once on each cover of a street, however many sections ask for it and however many addresses have it.
+    """
     wanted = specs.where("kind in ('integral', 'numbers') and street <> ''").withColumnRenamed("street_norm", "rule_norm").withColumnRenamed("row_id", "rule_no")
     links = street_links(wanted.select("rule_norm").distinct(), addresses.select("street_norm").distinct())
-    pairs = wanted.join(links, "rule_norm").join(addresses, "street_norm")
-    good = (F.col("kind") == "integral") | covers(F.col("cover"), F.col("parity"), F.col("ranges"), F.col("singles"))
-    return pairs.where(good)
+    asked, had = F.struct(*_TEST), F.struct(*keys, "street_norm", "cover")
+    tests = wanted.select(*keys, asked.alias("test")).distinct()
+    covers_ = addresses.select(*keys, "street_norm", "cover").distinct()
+    pairs = tests.withColumn("rule_norm", F.col("test.rule_norm")).join(links, "rule_norm").join(covers_, [*keys, "street_norm"])
+    good = (F.col("test.kind") == "integral") | covers(F.col("cover"), F.col("test.parity"), F.col("test.ranges"), F.col("test.singles"))
+    pairs = pairs.where(good).select(F.struct(*keys, "test").alias("asked"), had.alias("had"))
+    wanted = wanted.withColumn("asked", F.struct(*keys, asked.alias("test")))
+    addresses = addresses.withColumn("had", had)
+    out = wanted.join(pairs, wanted.asked.eqNullSafe(pairs.asked)).drop("asked")
+    out = out.join(addresses.drop(*keys), out.had.eqNullSafe(addresses.had))
+    return out.select(*[c for c in wanted.columns if c != "asked"], *[c for c in addresses.columns if c not in ("had", *keys)])
 
 
 def source_preference(c: Column) -> Column:
@@ -52,7 +116,12 @@ def dedupe_by_address(rows: DataFrame, keys: tuple[str, ...] = (), street: str =
     return best.select("r.*")
 
 
-def match_addresses(specs: DataFrame, addresses: DataFrame) -> DataFrame:
-    """The addresses of every section, one row per street and number in each."""
-    found = match_rows(specs, prepare_addresses(addresses)).select("judet", "sv", *addresses.columns, *[c for c in ("street_norm", "addr_housenumber_int") if c not in addresses.columns])
-    return dedupe_by_address(found, ("judet", "sv"))
+def match_addresses(specs: DataFrame, addresses: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The addresses of every section, one row per street and number in each.
+
+    Of addresses that no spec can tell apart (of one street, cover and number) only the preferred one meets the specs.
+    """
+    ready = prepare_addresses(addresses)
+    ready = dedupe_by_address(ready, (*keys, "cover"))
+    found = match_rows(specs, ready, keys).select("judet", "sv", *addresses.columns, *[c for c in ("street_norm", "addr_housenumber_int") if c not in addresses.columns])
+    return dedupe_by_address(found, ("judet", "sv", *[k for k in keys if k not in ("judet", "sv")]))

@@ -166,7 +166,9 @@ ORACLE_SQL = {
     "match_one": f"SELECT * FROM ({_ALL}) t WHERE judet = 'B' AND sv = 2",
     "dedupe_address": f"{ADDR},{COVER} SELECT street_norm, hn_int AS addr_housenumber_int, addr_id FROM (SELECT *, row_number() OVER (PARTITION BY street_norm, hn_int ORDER BY {_PREF}, addr_id NULLS LAST) AS r FROM hn) t WHERE r = 1",
     "dedupe_no_id": f"{ADDR},{COVER} SELECT street_norm, hn_int AS addr_housenumber_int, min(row_id) AS row_id FROM hn GROUP BY 1, 2",
-    "report_sorted": f"SELECT judet, sv, addr_street, addr_housenumber, addr_housenumber_int, addr_id FROM ({_ALL}) t ORDER BY judet, sv, addr_street NULLS LAST, addr_housenumber_int NULLS LAST, addr_id NULLS LAST LIMIT 40",
+    "report_sorted": f"""SELECT judet, sv, addr_street, addr_housenumber, addr_housenumber_int, addr_id,
+  row_number() OVER (PARTITION BY judet, sv ORDER BY addr_street NULLS LAST, addr_housenumber_int NULLS LAST, addr_id NULLS LAST) AS place,
+  row_number() OVER (PARTITION BY judet, sv ORDER BY addr_street NULLS LAST, addr_housenumber NULLS LAST, addr_id NULLS LAST) AS place_by_text FROM ({_ALL}) t""",
     "id_source": f"{with_views('v_edge_raw')} SELECT osmid, CASE WHEN etype IS NULL THEN CAST(osmid AS VARCHAR) ELSE etype || ':' || CAST(osmid AS VARCHAR) END AS id, CASE WHEN etype = 'node' THEN 'node' WHEN etype IN ('way', 'relation') THEN 'building' ELSE 'other' END AS source FROM v_edge_raw",
     "list_flatten": "SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, CASE WHEN n_regionkey <> 2 THEN string_agg(CAST(n_nationkey AS VARCHAR), ',' ORDER BY n_nationkey) END AS ids FROM nation GROUP BY n_regionkey",
     "length_fallback": f"{with_views('v_edge_raw')} SELECT osmid, TRY_CAST(length AS DOUBLE) AS own, CAST(-1 AS DOUBLE) AS computed FROM v_edge_raw",

@@ -191,14 +191,19 @@ def match_pairs(spark, sf):
     return found.select("judet", "sv", "rule_no", _long("spec_no"), "addr_id")
 
 
+def _matched(spark, sf, specs):
+    addresses = view(spark, sf, "v_addr").withColumn("addr_housenumber_int", housenumber_int(F.col("addr_housenumber")))
+    return match.match_addresses(specs, addresses).select("judet", "sv", "addr_id", "addr_street", "addr_housenumber", "addr_housenumber_int", "street_norm")
+
+
 @query
 def match_all(spark, sf):
-    return match.match_addresses(_specs(spark, sf), view(spark, sf, "v_addr").withColumn("addr_housenumber_int", housenumber_int(F.col("addr_housenumber")))).select("judet", "sv", "addr_id", "addr_street", "addr_housenumber", "addr_housenumber_int", "street_norm")
+    return _matched(spark, sf, _specs(spark, sf))
 
 
 @query
 def match_one(spark, sf):
-    return match_all(spark, sf).where("judet = 'B' and sv = 2")
+    return _matched(spark, sf, _specs(spark, sf).where("judet = 'B' and sv = 2"))
 
 
 @query
@@ -214,7 +219,7 @@ def dedupe_no_id(spark, sf):
 
 @query
 def report_sorted(spark, sf):
-    return sinks.report(match_all(spark, sf), 40).withColumn("place", F.monotonically_increasing_id()).drop("place")
+    return sinks.report(match_all(spark, sf)).withColumns({"place": _long("place"), "place_by_text": _long("place_by_text")})
 
 
 # layers ------------------------------------------------------------------------------------------
