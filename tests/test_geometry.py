@@ -20,6 +20,10 @@ def _points(spark, *points):
     return spark.createDataFrame([(k, 0, 0, float(x), float(y)) for k, (x, y) in enumerate(points)], "pt_id bigint, key bigint, line_id bigint, x double, y double")
 
 
+def _ring(spark, *points):
+    return spark.createDataFrame([(*map(float, p), *map(float, q)) for p, q in zip(points, [*points[1:], points[0]], strict=True)], "x0 double, y0 double, x1 double, y1 double")
+
+
 def test_linear_reference(spark):
     line = _line(spark, (0, 0), (10, 0), (10, 10))
     got = {r.pt_id: r.m for r in spatial.measures(_points(spark, (4, 3), (12, 5), (-5, 0)), line).collect()}
@@ -61,6 +65,103 @@ def test_cell_areas_against_jts(spark):
     assert cells.parts(spark, rest).select("part").distinct().count() == j.parts(a.difference(b)).__len__() == 2
 
 
+def _wkt(points):
+    return "POLYGON ((" + ", ".join(f"{x} {y}" for x, y in [*points, points[0]]) + "))"
+
+
+def test_polygons_against_jts(spark):
+    r = __import__("random").Random(9)
+    j = Jts(spark)
+    shapes = {}
+    for k in range(40):
+        cx, cy, n = r.uniform(0, 120), r.uniform(0, 80), r.randint(3, 8)
+        shapes[k] = [(cx + r.uniform(2, 12) * math.cos(2 * math.pi * i / n), cy + r.uniform(2, 12) * math.sin(2 * math.pi * i / n)) for i in range(n)]
+    edges = spark.createDataFrame([(k, *p, *q) for k, s in shapes.items() for p, q in zip(s, [*s[1:], s[0]], strict=True)], "bld_id bigint, x0 double, y0 double, x1 double, y1 double")
+    houses = spatial.polygons_of(edges)
+    g = {k: j.wkt(_wkt(s)) for k, s in shapes.items()}
+    points = [(r.uniform(0, 120), r.uniform(0, 80)) for _ in range(30)]
+    for row in spatial.nearest(_points(spark, *points), houses, 25.0).collect():
+        d = min((x.distance(j.wkt(f"POINT ({row.x} {row.y})")), k) for k, x in g.items())
+        assert (row.bld_id is None and d[0] > 25) or (row.bld_id == d[1] and row.d == pytest.approx(d[0], abs=1e-9))
+    line = [(0, 10), (60, 50), (110, 20)]
+    got = {x.bld_id for x in spatial.meeting(houses, _line(spark, *line), 6.0).collect()}
+    l = j.wkt("LINESTRING (" + ", ".join(f"{x} {y}" for x, y in line) + ")")  # noqa: E741
+    assert got == {k for k, x in g.items() if x.distance(l) <= 6.0}
+    got = {x.bld_id for x in spatial.grown(houses, houses.where("bld_id in (1, 2)"), 9.0).collect()}
+    assert got == {k for k, x in g.items() if min(x.distance(g[1]), x.distance(g[2])) <= 9.0}
+    for k in (3, 4):
+        own = edges.where(F.col("bld_id") == k).withColumn("key", F.lit(0)).select("key", "bld_id", "x0", "y0", "x1", "y1")
+        for radius in (0.0, 7.0):
+            want = j.buffer(g[k], radius)
+            assert abs(cells.area(cells.buffer_rings(own, radius, 0.5, "key"), 0.5).first().area - want.getArea()) <= want.getLength() * 0.5
+
+
+def test_stretches_against_jts(spark):
+    j = Jts(spark)
+    line, points = [(0, 0), (100, 0), (100, 80), (20, 90)], [(10, 12), (30, -14), (95, 10), (60, 97)]
+    wkt = j.wkt("LINESTRING (" + ", ".join(f"{x} {y}" for x, y in line) + ")")
+    area = j.union([j.wkt(f"POINT ({x} {y})").buffer(15.0, 400) for x, y in points])
+    want = sorted(p.getLength() for p in j.parts(wkt.intersection(area)))
+    segments = _line(spark, *line)
+    parts = spatial.near_points(_points(spark, *points), segments, 15.0)
+    got = sorted(x.b - x.a for x in parts.collect())
+    merged = [w for w in want if w > 1e-6]
+    assert sum(got) == pytest.approx(sum(merged), rel=1e-3)
+    cut = spatial.cut(segments, parts.orderBy(F.desc(F.expr("b - a"))).limit(1))
+    assert cut.agg(F.sum(F.expr("sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))"))).first()[0] == pytest.approx(got[-1])
+
+
+def _cells(df):
+    return {(r.key, i, r.cj) for r in df.collect() for i in range(r.a, r.b + 1)}
+
+
+def test_runs_against_plain_sets(spark):
+    r = __import__("random").Random(1)
+    points = [(r.uniform(0, 60), r.uniform(0, 40)) for _ in range(6)] + [(30.0, 20.0), (2.5, 2.5)]
+    c, radius = 2.5, 12.5
+    disc = cells.buffer_points(_points(spark, *points), radius, c, "key")
+    centre = lambda i, k: ((i + 0.5) * c, (k + 0.5) * c)
+    every = [(i, k) for i in range(-20, 60) for k in range(-20, 60)]
+    want = {(0, i, k) for i, k in every if any((centre(i, k)[0] - x) ** 2 + (centre(i, k)[1] - y) ** 2 <= radius * radius for x, y in points)}
+    assert _cells(disc) == want
+    line = _line(spark, (0, 0), (30, 20), (30, 20), (60, 20), (60, 45)).withColumn("key", F.lit(0))
+    tube = cells.buffer_segments(line, 5.0, c, "key")
+
+    def away(px, py, a, b):
+        q = (b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2
+        t = 0 if not q else max(0, min(1, ((px - a[0]) * (b[0] - a[0]) + (py - a[1]) * (b[1] - a[1])) / q))
+        return math.hypot(px - a[0] - t * (b[0] - a[0]), py - a[1] - t * (b[1] - a[1]))
+
+    corners = [(0, 0), (30, 20), (30, 20), (60, 20), (60, 45)]
+    near = {(0, i, k) for i, k in every if any(away(*centre(i, k), p, q) <= 5.0 for p, q in zip(corners, corners[1:], strict=False))}
+    assert _cells(tube) == near
+    box = cells.buffer_boxes(spark.createDataFrame([(0, 3.0, 4.0, 20.0, 9.0)], "key bigint, x0 double, y0 double, x1 double, y1 double"), 6.0, c, "key")
+    boxed = {(0, i, k) for i, k in every if math.hypot(max(3 - centre(i, k)[0], 0, centre(i, k)[0] - 20), max(4 - centre(i, k)[1], 0, centre(i, k)[1] - 9)) <= 6.0}
+    assert _cells(box) == boxed
+    assert _cells(cells.union(tube, disc)) == near | want and _cells(cells.intersect(tube, disc, "key")) == near & want and _cells(cells.difference(tube, disc)) == near - want
+    assert _cells(cells.intersect(tube, disc.drop("key"))) == near & want
+    left = near - want
+    found = cells.parts(spark, cells.difference(tube, disc)).collect()
+    groups: dict[int, set] = {}
+    for x in found:
+        groups.setdefault(x.part, set()).update((0, i, x.cj) for i in range(x.a, x.b + 1))
+    seen: set = set()
+    plain = []
+    for start in sorted(left):
+        if start not in seen:
+            todo, own = [start], {start}
+            while todo:
+                k, i, y = todo.pop()
+                for n in ((k, i + 1, y), (k, i - 1, y), (k, i, y + 1), (k, i, y - 1)):
+                    if n in left and n not in own:
+                        own.add(n)
+                        todo.append(n)
+            seen |= own
+            plain.append(own)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, plain)) and len(plain) > 1
+    assert _cells(cells.largest_part(spark, cells.difference(tube, disc))) == max(plain, key=len)
+
+
 def test_side_split_is_one_ring(spark):
     j = Jts(spark)
     sides = j.sides(j.wkt("LINESTRING (0 0, 300 0)"), 180.0, 15.0)
@@ -70,7 +171,7 @@ def test_side_split_is_one_ring(spark):
 
 def test_polygons_run_on_toy_data(spark):
     points = _points(spark, (0, 20), (60, 25), (150, -20), (300, 22))
-    line, bound = _line(spark, (-50, 0), (350, 0)), spark.createDataFrame([(-500.0, -500.0, 900.0, 500.0)], "x0 double, y0 double, x1 double, y1 double")
+    line, bound = _line(spark, (-50, 0), (350, 0)), _ring(spark, (-500, -500), (900, -500), (900, 500), (-500, 500))
     boxes = spark.createDataFrame([(1, 0.0, 24.0, 20.0, 34.0), (2, 55.0, 25.0, 70.0, 40.0), (3, 140.0, -40.0, 160.0, -25.0), (4, 500.0, 400.0, 510.0, 410.0)], BOX)
     v3 = polygons.seeds_and_strip(spark, points, boxes, line, bound)
     v1 = polygons.corridor_side(spark, points, boxes, line, bound)

@@ -57,6 +57,41 @@ def crosses_ray(px: str, py: str, x0: str, y0: str, x1: str, y1: str) -> str:
     return f"((({y0} > {py}) <> ({y1} > {py})) AND {px} < ({x1} - {x0}) * ({py} - {y0}) / ({y1} - {y0}) + {x0})"
 
 
+def segments_meet(a: tuple[str, ...], b: tuple[str, ...]) -> str:
+    """Whether two segments cross each other: the ends of each lie on different sides of the other. Mere touching is left to the distances of the ends."""
+    side = lambda s, x, y: f"(({s[2]} - {s[0]}) * ({y} - {s[1]}) - ({s[3]} - {s[1]}) * ({x} - {s[0]}))"
+    split = lambda s, t: f"{side(s, t[0], t[1])} * {side(s, t[2], t[3])} < 0"
+    return f"({split(a, b)} AND {split(b, a)})"
+
+
+def point_segment_squared(px: str, py: str, x0: str, y0: str, x1: str, y1: str) -> str:
+    """The square of the distance of a point and a segment, in few operations: from an end, or by the cross product."""
+    dx, dy, ex, ey = f"({x1} - {x0})", f"({y1} - {y0})", f"({px} - {x0})", f"({py} - {y0})"
+    dot, q = f"({ex} * {dx} + {ey} * {dy})", f"({dx} * {dx} + {dy} * {dy})"
+    end, cross = f"(({px} - {x1}) * ({px} - {x1}) + ({py} - {y1}) * ({py} - {y1}))", f"({ex} * {dy} - {ey} * {dx})"
+    return f"(CASE WHEN {dot} <= 0 THEN {ex} * {ex} + {ey} * {ey} WHEN {dot} >= {q} THEN {end} ELSE {cross} * {cross} / {q} END)"
+
+
+def segment_segment(a: tuple[str, ...], b: tuple[str, ...]) -> str:
+    """Distance of two segments: 0 if they cross, else from an end of one to the other."""
+    ends = [point_segment_squared(a[k], a[k + 1], *b) for k in (0, 2)] + [point_segment_squared(b[k], b[k + 1], *a) for k in (0, 2)]
+    return f"(CASE WHEN {segments_meet(a, b)} THEN 0e0 ELSE sqrt(least({', '.join(ends)})) END)"
+
+
+def _edge(name: str) -> tuple[str, ...]:
+    return tuple(f"{name}.{c}" for c in ("x0", "y0", "x1", "y1"))
+
+
+def inside(px: str, py: str, edges: str, e: str = "e") -> str:
+    """Whether a point lies in a polygon, given as an array of the edges of all its rings. For Spark."""
+    return f"(size(filter({edges}, {e} -> {crosses_ray(px, py, *_edge(e))})) % 2 = 1)"
+
+
+def point_polygon(px: str, py: str, edges: str) -> str:
+    """Distance of a point and a filled polygon. For Spark."""
+    return f"(CASE WHEN {inside(px, py, edges)} THEN 0e0 ELSE sqrt(array_min(transform({edges}, e -> {point_segment_squared(px, py, *_edge('e'))}))) END)"
+
+
 #: Radius of the sphere of EPSG:3857. Fixed value.
 RADIUS = 6378137.0
 

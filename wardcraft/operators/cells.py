@@ -1,69 +1,150 @@
-"""Shapes as sets of grid cells: (key, ci, cj). A cell is in a shape if its centre is. Areas are right to about perimeter times cell size."""
+"""Shapes as sets of grid cells, in runs: (key, cj, a, b) are the cells a to b of row cj. A cell is in a shape if its centre is.
+
+Areas are right to about perimeter times cell size. A run takes one row whatever its length, so a shape has as many rows as its outline has
+cells, not as its area has. A buffer's part in a row is one run, whose ends come from the shape's own equation.
+Set operations sweep over the ends of all runs of a row.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardcraft.functions.geometry import point_box, point_segment
-from wardcraft.operators.spatial import cells_of_box
 from wardcraft.plans.components import connected_components
+from wardcraft.plans.shared import materialise
+
+
+def _held(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once: a generator stands between them and what is made of them, so that the optimizer doesn't write them out at every use."""
+    return df.withColumn("_s", F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()])))).select(*df.columns, "_s.*")
 
-_CENTRE = ("((ci + 0.5e0) * {c})", "((cj + 0.5e0) * {c})")
 
+def _rows(df: DataFrame, c: float, low: str, high: str, pad: float) -> DataFrame:
+    """A row for each grid row cj that [low - pad, high + pad] touches, with the y of its centres."""
+    span = f"sequence(cast(floor(({low} - {pad}) / {c}) as bigint), cast(floor(({high} + {pad}) / {c}) as bigint))"
+    return _held(df.withColumn("cj", F.explode(F.expr(span))), _y=F.expr(f"(cj + 0.5e0) * {c}"))
 
-def _centre(c: float) -> tuple[str, str]:
-    return tuple(x.format(c=c) for x in _CENTRE)
+
+def _run(rows: DataFrame, c: float, low: Column, high: Column, inside: str, keys: tuple[str, ...]) -> DataFrame:
+    """Rows -> runs of the cells whose centres lie in [low, high]. inside: the exact test of a centre at x `{x}`, which moves an end by one where rounding misplaced it."""
+    at = lambda end: inside.format(x=f"(({end} + 0.5e0) * {c})")
+    ends = _held(rows, _a=F.ceil(low / c - 0.5).cast("long"), _b=F.floor(high / c - 0.5).cast("long")).where("_a is not null and _b is not null")
+    ends = _held(ends, **{"a": F.expr(f"case when {at('(_a - 1)')} then _a - 1 when {at('_a')} then _a else _a + 1 end"), "b": F.expr(f"case when {at('(_b + 1)')} then _b + 1 when {at('_b')} then _b else _b - 1 end")})
+    return merged(ends.where("a <= b").select(*keys, "cj", "a", "b"), *keys)
 
 
 def buffer_points(points: DataFrame, radius: float, c: float, *keys: str) -> DataFrame:
     """Cells within the radius of any point."""
-    x, y = _centre(c)
-    near = cells_of_box(points, c, radius, "x", "y", "x", "y").where(f"({x} - x) * ({x} - x) + ({y} - y) * ({y} - y) <= {radius * radius}")
-    return near.select(*keys, "ci", "cj").distinct()
+    half = F.sqrt(F.greatest(F.lit(0.0), F.expr(f"{radius * radius} - (_y - y) * (_y - y)")))
+    rows = _rows(points.select(*keys, "x", "y").distinct(), c, "y", "y", radius)
+    return _run(rows, c, F.col("x") - half, F.col("x") + half, f"(({{x}} - x) * ({{x}} - x) + (_y - y) * (_y - y) <= {radius * radius})", keys)
 
 
 def buffer_segments(segments: DataFrame, radius: float, c: float, *keys: str) -> DataFrame:
-    """Cells within the radius of any segment."""
-    s = segments.withColumns({"lx": F.least("x0", "x1"), "ly": F.least("y0", "y1"), "hx": F.greatest("x0", "x1"), "hy": F.greatest("y0", "y1")})
-    near = cells_of_box(s, c, radius, "lx", "ly", "hx", "hy").where(F.expr(f"{point_segment(*_centre(c), 'x0', 'y0', 'x1', 'y1')} <= {radius}"))
-    return near.select(*keys, "ci", "cj").distinct()
+    """Cells within the radius of any segment: of two discs and the rectangle between them."""
+    s = segments.select(*keys, "x0", "y0", "x1", "y1").distinct()
+    rows = _rows(s, c, "least(y0, y1)", "greatest(y0, y1)", radius)
+    length = "sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))"
+    rows = _held(rows, **{"_nx": F.expr(f"case when {length} = 0 then 0e0 else {radius} * (y0 - y1) / {length} end"), "_ny": F.expr(f"case when {length} = 0 then 0e0 else {radius} * (x1 - x0) / {length} end")})
+    corners = [(f"(x{k} {sign} _nx)", f"(y{k} {sign} _ny)") for k, sign in ((0, "+"), (1, "+"), (1, "-"), (0, "-"))]
+    lows, highs = [], []
+    for k in (0, 1):
+        half = F.expr(f"case when abs(_y - y{k}) <= {radius} then sqrt({radius * radius} - (_y - y{k}) * (_y - y{k})) end")
+        lows.append(F.col(f"x{k}") - half)
+        highs.append(F.col(f"x{k}") + half)
+    for (ax, ay), (bx, by) in zip(corners, [*corners[1:], corners[0]], strict=True):
+        cut = F.expr(f"case when {ay} <> {by} and _y between least({ay}, {by}) and greatest({ay}, {by}) then {ax} + (_y - {ay}) / ({by} - {ay}) * ({bx} - {ax}) end")
+        lows.append(cut)
+        highs.append(cut)
+    return _run(rows, c, F.least(*lows), F.greatest(*highs), f"({point_segment('{x}', '_y', 'x0', 'y0', 'x1', 'y1')} <= {radius})", keys)
 
 
 def buffer_boxes(boxes: DataFrame, radius: float, c: float, *keys: str) -> DataFrame:
     """Cells within the radius of any box; radius 0: of the boxes themselves."""
-    near = cells_of_box(boxes, c, radius).where(F.expr(f"{point_box(*_centre(c), 'x0', 'y0', 'x1', 'y1')} <= {radius}"))
-    return near.select(*keys, "ci", "cj").distinct()
+    rows = _rows(boxes.select(*keys, "x0", "y0", "x1", "y1").distinct(), c, "y0", "y1", radius)
+    half = F.expr(f"sqrt({radius * radius} - greatest(y0 - _y, 0e0, _y - y1) * greatest(y0 - _y, 0e0, _y - y1))")
+    half = F.when(F.expr(f"greatest(y0 - _y, 0e0, _y - y1) <= {radius}"), half)
+    return _run(rows, c, F.col("x0") - half, F.col("x1") + half, f"({point_box('{x}', '_y', 'x0', 'y0', 'x1', 'y1')} <= {radius})", keys)
+
+
+def fill_rings(edges: DataFrame, c: float, *keys: str) -> DataFrame:
+    """Cells in polygons: edges(keys, x0, y0, x1, y1) of all rings, holes as well; a cell is in if its ray to the left crosses an odd number."""
+    rows = _rows(edges, c, "least(y0, y1)", "greatest(y0, y1)", 0.0).where("(y0 > _y) <> (y1 > _y)")
+    at = _held(rows, _x=F.expr("x0 + (_y - y0) * (x1 - x0) / (y1 - y0)"))
+    of = Window.partitionBy(*keys, "cj").orderBy("_x")  # a polygon's edges that cross one grid row
+    pairs = at.withColumns({"_k": F.row_number().over(of), "_end": F.lead("_x").over(of)}).where("_k % 2 = 1")
+    runs = pairs.select(*keys, "cj", F.expr(f"cast(ceil(_x / {c} - 0.5) as bigint)").alias("a"), F.expr(f"cast(ceil(_end / {c} - 0.5) as bigint) - 1").alias("b")).where("a <= b")
+    return merged(runs, *keys)
+
+
+def buffer_rings(edges: DataFrame, radius: float, c: float, *keys: str) -> DataFrame:
+    """Cells within the radius of any polygon; edges: keys, id of the polygon, then x0, y0, x1, y1 of the edges of all its rings."""
+    ids = edges.columns[:-4]
+    filled = fill_rings(edges, c, *ids).select(*keys, "cj", "a", "b")
+    return merged(filled.union(buffer_segments(edges, radius, c, *keys)) if radius > 0 else filled, *keys)
+
 
+def _swept(runs: DataFrame, keys: tuple[str, ...], keep: str) -> DataFrame:
+    """runs(keys, cj, a, b, m, n), m and n 1 for the sets that a run is of -> disjoint runs where the condition on the numbers m and n of open runs holds.
 
-def union(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.unionByName(b).distinct()
+    Each row of a key is swept by itself, over as many ends as its runs have.
+    """
+    ends = runs.select(*keys, "cj", F.explode(F.expr("array(struct(a as at, m as m, n as n), struct(b + 1 as at, -m as m, -n as n))")).alias("e")).select(*keys, "cj", "e.*")
+    ends = ends.groupBy(*keys, "cj", "at").agg(F.sum("m").alias("m"), F.sum("n").alias("n"))
+    of = Window.partitionBy(*keys, "cj").orderBy("at")
+    upto = of.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    open_ = ends.withColumns({"m": F.sum("m").over(upto), "n": F.sum("n").over(upto)}).withColumn("in", F.expr(keep))
+    turns = open_.withColumn("was", F.lag("in", 1, False).over(of)).where("in <> was")
+    return turns.withColumn("next", F.lead("at").over(of)).where("in").select(*keys, "cj", F.col("at").alias("a"), (F.col("next") - 1).alias("b"))
+
+
+def merged(runs: DataFrame, *keys: str) -> DataFrame:
+    """Disjoint runs of the same cells, as long as can be."""
+    return _swept(runs.selectExpr(*keys, "cj", "a", "b", "1 as m", "0 as n"), keys, "m > 0")
+
+
+def _both(a: DataFrame, b: DataFrame, keys: tuple[str, ...], keep: str) -> DataFrame:
+    return _swept(a.selectExpr(*keys, "cj", "a", "b", "1 as m", "0 as n").union(b.selectExpr(*keys, "cj", "a", "b", "0 as m", "1 as n")), keys, keep)
+
+
+def union(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
+    return _both(a, b, keys or ("key",), "m > 0 or n > 0")
 
 
 def intersect(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
-    return a.join(b.select(*keys, "ci", "cj"), [*keys, "ci", "cj"], "left_semi")
+    """Cells of both; without keys, b is one shape for all keys of a."""
+    if keys:
+        return _both(a, b, keys, "m > 0 and n > 0")
+    left, right = a, b.select("cj", F.col("a").alias("_a"), F.col("b").alias("_b"))
+    return left.join(right, "cj").where("a <= _b and _a <= b").select(*a.columns[:-2], F.greatest("a", "_a").alias("a"), F.least("b", "_b").alias("b"))
 
 
 def difference(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
-    return a.join(b.select(*keys, "ci", "cj"), [*keys, "ci", "cj"], "left_anti")
+    return _both(a, b, keys or ("key",), "m > 0 and n <= 0")
+
+
+def touching(a: DataFrame, b: DataFrame, keys: tuple[str, ...], on: tuple[str, ...] = ()) -> DataFrame:
+    """The distinct `keys` of pairs of runs, of a and of b, that have a cell in common; `on` has to be equal as well."""
+    right = b.withColumnsRenamed({"a": "_a", "b": "_b"})
+    return a.join(right, [*on, "cj"]).where("a <= _b and _a <= b").select(*keys).distinct()
 
 
 def area(cells: DataFrame, c: float, *keys: str) -> DataFrame:
-    return cells.groupBy(*keys).agg((F.count(F.lit(1)) * c * c).alias("area"))
+    return cells.groupBy(*keys).agg((F.sum(F.expr("b - a + 1")) * c * c).alias("area"))
 
 
 def parts(spark: SparkSession, cells: DataFrame) -> DataFrame:
-    """cells(key, ci, cj), key a whole number under 2**14 -> with part: cells of one key that touch by a side have the same; it is the part's smallest cell number."""
-    number = "(key * 1125899906842624 + (ci + 16777216) * 33554432 + (cj + 16777216))"
-    n = cells.withColumn("n", F.expr(number))
-    steps = n.select(F.col("n").alias("u"), F.explode(F.array(F.expr("n + 1"), F.expr("n + 33554432"))).alias("v"))
-    edges = steps.join(n.select(F.col("n").alias("v")), "v", "left_semi").select("u", "v")
+    """cells(key, cj, a, b), key a whole number under 2**14, runs disjoint -> with part: runs of one key that touch by a side have the same; it is the number of the part's smallest cell."""
+    n = cells.withColumn("n", F.expr("key * 1125899906842624 + (a + 16777216) * 33554432 + (cj + 16777216)"))
+    over = n.select("key", (F.col("cj") - 1).alias("cj"), F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("n").alias("v"))
+    edges = n.join(over, ["key", "cj"]).where("a <= _b and _a <= b").select(F.col("n").alias("u"), "v")
     roots = connected_components(spark, edges.repartitionByRange("u"))  # neighbours share a task, whose forest takes in most of them
-    return n.join(roots, n.n == roots.node, "left").select("key", "ci", "cj", F.coalesce("root", "n").alias("part"))
+    return n.join(roots, n.n == roots.node, "left").select("key", "cj", "a", "b", F.coalesce("root", "n").alias("part"))
 
 
 def largest_part(spark: SparkSession, cells: DataFrame) -> DataFrame:
     """The cells of each key's largest part, the one of the smallest cell on a tie."""
-    found = parts(spark, cells)
-    best = found.groupBy("key", "part").count().groupBy("key").agg(F.max_by("part", F.struct("count", -F.col("part"))).alias("part"))
+    found = materialise(spark, parts(spark, cells), "parts")
+    best = found.groupBy("key", "part").agg(F.sum(F.expr("b - a + 1")).alias("n")).groupBy("key").agg(F.max_by("part", F.struct("n", -F.col("part"))).alias("part"))
     return found.join(best, ["key", "part"], "left_semi").drop("part")

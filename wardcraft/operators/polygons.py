@@ -1,4 +1,7 @@
-"""Coverage shapes of sections as cell sets, after the two published recipes. All lengths are parameters in units of the working system."""
+"""Coverage shapes of sections as cell sets, after the two published recipes. All lengths are parameters in units of the working system.
+
+Buildings are boxes, or polygons where the table has edges (spatial.polygons_of); the boundary is a table of edges of all its rings.
+"""
 
 from __future__ import annotations
 
@@ -6,57 +9,82 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardcraft.operators import cells, spatial
+from wardcraft.plans.shared import materialise
+
+#: What describes a shape of the first recipe by seeds, beside its section and street. Fixed values.
+METHOD = "seed_buildings_plus_strip"
+
+
+def _edges(boxes: DataFrame, *keys: str) -> DataFrame:
+    """keys, bld_id and the edges of the shapes."""
+    box = "array(struct(x0 as x0, y0 as y0, x1 as x1, y0 as y1), struct(x1 as x0, y0 as y0, x1 as x1, y1 as y1), struct(x1 as x0, y1 as y0, x0 as x1, y1 as y1), struct(x0 as x0, y1 as y0, x0 as x1, y0 as y1))"
+    return boxes.select(*keys, "bld_id", F.explode("edges" if "edges" in boxes.columns else F.expr(box)).alias("e")).select(*keys, "bld_id", "e.x0", "e.y0", "e.x1", "e.y1")
+
+
+def _buffer(boxes: DataFrame, radius: float, c: float, *keys: str) -> DataFrame:
+    """Cells within the radius of the shapes."""
+    if "edges" not in boxes.columns:
+        return cells.buffer_boxes(boxes, radius, c, *keys)
+    return cells.buffer_rings(_edges(boxes, *[k for k in keys if k != "bld_id"]), radius, c, *keys)
 
 
 def _sampled_segments(samples: DataFrame) -> DataFrame:
     return spatial.segments_of(samples.select("line_id", F.col("i").alias("seq"), "x", "y"))
 
 
+def seed_layers(points: DataFrame, boxes: DataFrame, segments: DataFrame, local: float = 500.0, pad: float = 10.0, frontage: float = 35.0, max_seed: float = 350.0, n: int = 300) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(street, corridor, chosen): the sampled street along each section's points, the shapes in its corridor, and for each point its seed
+    (bld_id, d) or the reason why it has none. The points with a reason are the layer of failed points, the others that of seeds."""
+    of_line = points.select("line_id", "key").distinct()
+    close = segments.join(points.select("line_id", F.col("x"), F.col("y")).distinct(), "line_id").where(F.expr(f"{spatial.point_segment('x', 'y', 'x0', 'y0', 'x1', 'y1')} <= {local}"))
+    kept = segments.join(close.select("line_id", "seg_no").distinct(), ["line_id", "seg_no"], "left_semi")
+    street = _sampled_segments(spatial.samples(spatial.measures(points, kept), kept, n, pad)).join(of_line, "line_id")
+    street = materialise(points.sparkSession, street, "street")
+    corridor = materialise(points.sparkSession, spatial.meeting(boxes, street, frontage), "corridor")
+    return street, corridor, spatial.seeds(points, boxes, corridor, max_seed)
+
+
 def seeds_and_strip(spark: SparkSession, points: DataFrame, boxes: DataFrame, segments: DataFrame, boundary: DataFrame, c: float = 5.0, local: float = 500.0, pad: float = 10.0, frontage: float = 35.0, max_seed: float = 350.0, grow: float = 18.0, divider: float = 22.0, neighbourhood: float = 350.0, fill: float = 14.0, strip: float = 25.0, clamp: float = 140.0, n: int = 300) -> DataFrame:
-    """points(pt_id, key, line_id, x, y): seeds by nearest building, grown along the street, with a strip; -> cells (key, ci, cj).
+    """points(pt_id, key, line_id, x, y): seeds by nearest building, grown along the street, with a strip; -> cells (key, cj, a, b).
 
     key is the section and has one line. The neighbourhood less the divider is taken whole, as it is one region
-    unless points are far apart; of several regions the one nearest to the seeds' centre is taken. boundary: boxes.
+    unless points are far apart; of several regions the one nearest to the seeds' common centroid is taken.
     """
-    of_line = points.select("line_id", "key").distinct()
-    close = segments.join(points.select("line_id", F.col("x"), F.col("y")), "line_id").where(F.expr(f"{spatial.point_segment('x', 'y', 'x0', 'y0', 'x1', 'y1')} <= {local}"))
-    kept = segments.join(close.select("line_id", "seg_no").distinct(), ["line_id", "seg_no"], "left_semi")
-    street = _sampled_segments(spatial.samples(spatial.measures(points, kept), kept, n, pad)).join(of_line, "line_id")
-    corridor = spatial.meeting(boxes, street, frontage)
-    chosen = spatial.seeds(points, boxes, corridor, max_seed).where("reason is null")
-    seed = chosen.join(points.select("pt_id", "key"), "pt_id").join(boxes, "bld_id").select("key", "bld_id", "x0", "y0", "x1", "y1").distinct()
-    wide = seed.withColumnsRenamed({"x0": "sx0", "y0": "sy0", "x1": "sx1", "y1": "sy1", "bld_id": "seed_id"})
-    grown = spatial.cells_of_box(corridor, 50.0).join(spatial.cells_of_box(wide, 50.0, grow, "sx0", "sy0", "sx1", "sy1"), ["ci", "cj"])
-    grown = grown.where(F.expr(f"{spatial.box_box(('sx0', 'sy0', 'sx1', 'sy1'), spatial.BOX)} <= {grow}")).select("key", "bld_id", *spatial.BOX).distinct()
+    street, corridor, chosen = seed_layers(points, boxes, segments, local, pad, frontage, max_seed, n)
+    seed = chosen.where("reason is null").join(points.select("pt_id", "key"), "pt_id").select("key", "bld_id").distinct().join(boxes, "bld_id")
+    seed = materialise(spark, seed, "seed")
+    grown = materialise(spark, spatial.close_pairs(corridor, seed, grow, "key"), "grown")
     side = cells.difference(cells.buffer_points(points, neighbourhood, c, "key"), cells.buffer_segments(street, divider, c, "key"), "key")
-    regions = cells.parts(spark, side)
-    centre = seed.groupBy("key").agg(F.avg(F.expr("(x0 + x1) / 2")).alias("sx"), F.avg(F.expr("(y0 + y1) / 2")).alias("sy"))
-    gap = F.expr(f"((ci + 0.5e0) * {c} - sx) * ((ci + 0.5e0) * {c} - sx) + ((cj + 0.5e0) * {c} - sy) * ((cj + 0.5e0) * {c} - sy)")
+    regions = materialise(spark, cells.parts(spark, materialise(spark, side, "side")), "regions")
+    measured = spatial.ring_measures(_edges(seed, "key").withColumn("poly_id", F.struct("key", "bld_id"))).select("poly_id.key", "area", "cx", "cy")
+    centre = measured.groupBy("key").agg(F.expr("sum(area * cx) / sum(area)").alias("sx"), F.expr("sum(area * cy) / sum(area)").alias("sy"))
+    near = f"greatest((a + 0.5e0) * {c} - sx, 0e0, sx - (b + 0.5e0) * {c})"
+    gap = F.expr(f"{near} * {near} + ((cj + 0.5e0) * {c} - sy) * ((cj + 0.5e0) * {c} - sy)")
     best = regions.join(centre, "key").groupBy("key", "part").agg(F.min(gap).alias("d")).groupBy("key").agg(F.min_by("part", F.struct("d", "part")).alias("part"))
-    side = regions.join(best, ["key", "part"], "left_semi").drop("part")
-    touching = cells.buffer_boxes(grown, 0.0, c, "key", "bld_id").join(side, ["key", "ci", "cj"], "left_semi").select("key", "bld_id").distinct()
-    houses = cells.buffer_boxes(grown.join(touching, ["key", "bld_id"], "left_semi"), fill, c, "key")
+    side = materialise(spark, regions.join(best, ["key", "part"], "left_semi").drop("part"), "side")
+    touching = cells.touching(_buffer(grown, 0.0, c, "key", "bld_id"), side, ("key", "bld_id"), ("key",))
+    houses = _buffer(grown.join(touching, ["key", "bld_id"], "left_semi"), fill, c, "key")
     band = cells.intersect(cells.buffer_segments(street, strip, c, "key"), side, "key")
-    shape = cells.intersect(cells.union(houses, band), cells.buffer_points(points, clamp, c, "key"), "key")
-    return cells.largest_part(spark, cells.intersect(shape, cells.buffer_boxes(boundary, 0.0, c)))
+    shape = cells.intersect(cells.union(houses, band, "key"), cells.buffer_points(points, clamp, c, "key"), "key")
+    shape = materialise(spark, cells.merged(cells.intersect(shape, cells.fill_rings(boundary, c)), "key"), "shape")
+    return cells.largest_part(spark, shape)
 
 
 def corridor_side(spark: SparkSession, points: DataFrame, boxes: DataFrame, segments: DataFrame, boundary: DataFrame, c: float = 5.0, near: float = 250.0, outer: float = 180.0, inner: float = 15.0, least_length: float = 20.0) -> DataFrame:
-    """points(pt_id, key, line_id, x, y): buildings that meet the street's band on the side with most points; -> cells (key, ci, cj)."""
+    """points(pt_id, key, line_id, x, y): buildings that meet the street's band on the side with most points; -> cells (key, cj, a, b).
+
+    Of the line only the longest stretch within `near` of the points is taken, or the whole line where that is shorter than `least_length`.
+    """
     of_line = points.select("line_id", "key").distinct()
-    close = segments.join(points.select("line_id", "x", "y"), "line_id").where(F.expr(f"{spatial.point_segment('x', 'y', 'x0', 'y0', 'x1', 'y1')} <= {near}"))
-    kept = segments.join(close.select("line_id", "seg_no").distinct(), ["line_id", "seg_no"], "left_semi")
-    length = kept.groupBy("line_id").agg(F.sum(F.expr("sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))")).alias("len"))
-    long = length.where(F.col("len") >= least_length).select("line_id")
-    street = kept.join(long, "line_id", "left_semi").unionByName(segments.join(long, "line_id", "left_anti")).join(of_line, "line_id")
+    longest = spatial.near_points(points, segments, near).groupBy("line_id").agg(F.max_by(F.struct("a", "b"), F.struct(F.expr("b - a"), -F.col("a"))).alias("s")).select("line_id", "s.*").where(F.expr(f"b - a >= {least_length}"))
+    street = spatial.cut(segments, longest).unionByName(segments.join(longest, "line_id", "left_anti").select("line_id", "seg_no", "x0", "y0", "x1", "y1", "m0")).join(of_line, "line_id")
     band = cells.difference(cells.buffer_segments(street, outer, c, "key"), cells.buffer_segments(street, inner, c, "key"), "key")
-    regions = cells.parts(spark, band)
-    at = points.select("key", F.expr(f"cast(floor(x / {c}) as bigint)").alias("ci"), F.expr(f"cast(floor(y / {c}) as bigint)").alias("cj"))
-    counted = regions.join(at, ["key", "ci", "cj"]).groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    regions = materialise(spark, cells.parts(spark, materialise(spark, band, "band")), "regions")
+    at = points.selectExpr("pt_id", "key", f"cast(floor(x / {c}) as bigint) as ci", f"cast(floor(y / {c}) as bigint) as cj")
+    counted = regions.join(at, ["key", "cj"]).where("ci between a and b").groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
     held = regions.select("key", "part").distinct().join(counted, ["key", "part"], "left").fillna(0, "n")
     side = held.groupBy("key").agg(F.max_by("part", F.struct("n", -F.col("part"))).alias("part"))
-    side = regions.join(side, ["key", "part"], "left_semi").drop("part")
-    found = cells.buffer_boxes(boxes, 0.0, c, "bld_id").join(side, ["ci", "cj"]).select("key", "bld_id").distinct()
-    houses = cells.buffer_boxes(found.join(boxes, "bld_id"), 0.0, c, "key")
-    return cells.intersect(houses, cells.buffer_boxes(boundary, 0.0, c))
-
+    side = materialise(spark, regions.join(side, ["key", "part"], "left_semi").drop("part"), "side")
+    found = cells.touching(_buffer(boxes, 0.0, c, "bld_id"), side, ("key", "bld_id"))
+    houses = _buffer(found.join(boxes, "bld_id"), 0.0, c, "key")
+    return cells.merged(cells.intersect(houses, cells.fill_rings(boundary, c)), "key")

@@ -1,17 +1,19 @@
 """Spatial operators. Pairs come together by equality of a grid cell, a line or a group, never by comparing all with all.
 
-Tables: points(pt_id, x, y), boxes(bld_id, x0, y0, x1, y1), segments(line_id, seg_no, x0, y0, x1, y1, m0).
+Tables: points(pt_id, x, y), boxes(bld_id, x0, y0, x1, y1), segments(line_id, seg_no, x0, y0, x1, y1, m0). Boxes that have a
+column edges (see `polygons_of`) are the bounds of polygons: then the bounds bring pairs together, and all distances are those of the polygons.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from wardcraft.functions.geometry import box_box, crosses_ray, param, point_box, point_segment, segment_box
+from wardcraft.functions.geometry import box_box, crosses_ray, inside, param, point_box, point_polygon, point_segment, segment_box, segment_segment
+from wardcraft.plans.shared import materialise
 
 POINT, BOX, SEGMENT = ("x", "y"), ("x0", "y0", "x1", "y1"), ("x0", "y0", "x1", "y1")
+_EDGE = ("e.x0", "e.y0", "e.x1", "e.y1")
 
 
 def segments_of(vertices: DataFrame) -> DataFrame:
@@ -34,6 +36,18 @@ def _cell(df: DataFrame, size: float) -> DataFrame:
     return df.withColumn("ci", F.expr(f"cast(floor(x / {size}) as bigint)")).withColumn("cj", F.expr(f"cast(floor(y / {size}) as bigint)"))
 
 
+def polygons_of(edges: DataFrame) -> DataFrame:
+    """edges(bld_id, x0, y0, x1, y1) of all rings -> boxes with edges, an array. A building has few edges; for large outlines there is `points_in_polygons`."""
+    x, y = (F.min(F.least(f"{c}0", f"{c}1")) for c in "xy")
+    x1, y1 = (F.max(F.greatest(f"{c}0", f"{c}1")) for c in "xy")
+    return edges.groupBy("bld_id").agg(x.alias("x0"), y.alias("y0"), x1.alias("x1"), y1.alias("y1"), F.array_sort(F.collect_list(F.struct(*SEGMENT))).alias("edges"))
+
+
+def _shape(boxes: DataFrame) -> list[str]:
+    """The columns of a box, or of a polygon."""
+    return [*BOX, *(["edges"] if "edges" in boxes.columns else [])]
+
+
 def within_radius(points: DataFrame, boxes: DataFrame, radius: float) -> DataFrame:
     """pt_id, x, y, bld_id, d, hit: boxes whose bounds meet the square of the radius round a point; hit: the box is truly within it.
 
@@ -41,13 +55,36 @@ def within_radius(points: DataFrame, boxes: DataFrame, radius: float) -> DataFra
     """
     near = _cell(points, radius).join(cells_of_box(boxes, radius, radius), ["ci", "cj"])
     square = f"x0 <= x + {radius} AND x1 >= x - {radius} AND y0 <= y + {radius} AND y1 >= y - {radius}"
-    return near.where(square).withColumn("d", F.expr(point_box(*POINT, *BOX))).withColumn("hit", F.col("d") <= radius)
+    d = point_polygon(*POINT, "edges") if "edges" in boxes.columns else point_box(*POINT, *BOX)
+    return near.where(square).withColumn("d", F.expr(d)).withColumn("hit", F.col("d") <= radius)
 
 
 def nearest(points: DataFrame, boxes: DataFrame, radius: float) -> DataFrame:
-    """pt_id, x, y, n_square, bld_id, d: the nearest box within the radius (the smallest id on a tie), null where there is none."""
-    found = within_radius(points, boxes, radius).groupBy("pt_id").agg(F.count(F.lit(1)).alias("n_square"), F.min(F.when(F.col("hit"), F.struct("d", "bld_id"))).alias("best"))
-    return points.join(found, "pt_id", "left").select("pt_id", "x", "y", F.coalesce("n_square", F.lit(0)).cast("long").alias("n_square"), F.col("best.bld_id").alias("bld_id"), F.col("best.d").alias("d"))
+    """pt_id, x, y, n_square, bld_id, d: the nearest box within the radius (the smallest id on a tie), null where there is none.
+
+    A polygon reaches every side of its bounds, so it is no farther than their farthest corner: only polygons whose bounds are nearer than
+    the least of these are measured.
+    """
+    found = within_radius(points, boxes.drop("edges"), radius)
+    far = F.expr("sqrt(pow(greatest(abs(x - x0), abs(x - x1)), 2) + pow(greatest(abs(y - y0), abs(y - y1)), 2))")
+    best = F.min(F.when(F.col("hit"), F.struct("d", "bld_id"))).alias("best")
+    each = found.groupBy("pt_id").agg(F.count(F.lit(1)).alias("n_square"), *([F.min(far).alias("far")] if "edges" in boxes.columns else [best]))
+    if "edges" in boxes.columns:
+        near = within_radius(points.join(each.select("pt_id", "far"), "pt_id"), boxes.drop("edges"), radius).where("hit and d <= far").select("pt_id", "x", "y", "bld_id")
+        exact = near.join(boxes.select("bld_id", "edges"), "bld_id").select("pt_id", "bld_id", F.expr(point_polygon(*POINT, "edges")).alias("d")).where(F.col("d") <= radius)
+        each = each.join(exact.groupBy("pt_id").agg(F.min(F.struct("d", "bld_id")).alias("best")), "pt_id", "left")
+    return points.join(each, "pt_id", "left").select("pt_id", "x", "y", F.coalesce("n_square", F.lit(0)).cast("long").alias("n_square"), F.col("best.bld_id").alias("bld_id"), F.col("best.d").alias("d"))
+
+
+def nearest_by_steps(spark: SparkSession, points: DataFrame, boxes: DataFrame, radius: float, steps: tuple[float, ...] = (1 / 32, 1 / 8, 1.0)) -> DataFrame:
+    """As nearest, but each point looks in a small circle first and only those without a hit in the next one; n_square is that of the last circle."""
+    left, out = points, None
+    for k in steps:
+        found = materialise(spark, nearest(left, boxes, radius * k), "nearest")
+        done = found if k == steps[-1] else found.where("bld_id is not null")
+        out = done if out is None else out.union(done)
+        left = points.join(found.where("bld_id is null").select("pt_id"), "pt_id", "left_semi")
+    return out
 
 
 def meeting(boxes: DataFrame, segments: DataFrame, radius: float, size: float = 50.0) -> DataFrame:
@@ -56,24 +93,60 @@ def meeting(boxes: DataFrame, segments: DataFrame, radius: float, size: float =
     s = segments.select(F.col("x0").alias("sx0"), F.col("y0").alias("sy0"), F.col("x1").alias("sx1"), F.col("y1").alias("sy1"))
     s = s.withColumn("lx", low("sx0", "sx1")).withColumn("ly", low("sy0", "sy1")).withColumn("hx", F.greatest("sx0", "sx1")).withColumn("hy", F.greatest("sy0", "sy1"))
     s = cells_of_box(s, size, radius, "lx", "ly", "hx", "hy")
-    pairs = cells_of_box(boxes, size).join(s, ["ci", "cj"]).where(F.expr(f"{segment_box(('sx0', 'sy0', 'sx1', 'sy1'), BOX)} <= {radius}"))
+    own = ("sx0", "sy0", "sx1", "sy1")
+    once = f"ci = greatest(floor(x0 / {size}), floor((lx - {radius}) / {size})) and cj = greatest(floor(y0 / {size}), floor((ly - {radius}) / {size}))"
+    pairs = cells_of_box(boxes, size).join(s, ["ci", "cj"]).where(once).where(F.expr(f"{segment_box(own, BOX)} <= {radius}"))
+    if "edges" in boxes.columns:
+        pairs = pairs.withColumn("held", F.expr(inside("sx0", "sy0", "edges"))).withColumn("e", F.explode("edges")).where(F.expr(f"held or {segment_segment(own, _EDGE)} <= {radius}"))
     return boxes.join(pairs.select("bld_id").distinct(), "bld_id", "left_semi")
 
 
 def seeds(points: DataFrame, boxes: DataFrame, corridor: DataFrame, radius: float) -> DataFrame:
     """pt_id, bld_id, d, reason: the nearest box of each point if it lies in the corridor (boxes by bld_id), else why not."""
-    best = nearest(points, boxes, radius).join(corridor.select("bld_id", F.lit(True).alias("inside")), "bld_id", "left")
+    best = nearest_by_steps(points.sparkSession, points, boxes, radius).join(corridor.select("bld_id", F.lit(True).alias("inside")), "bld_id", "left")
     away = F.concat(F.lit("nearest_not_in_corridor (d="), F.format_string("%.1f", F.col("d")), F.lit("m)"))
     reason = F.when(F.col("n_square") == 0, "no_hits_in_bbox").when(F.col("bld_id").isNull(), "no_building_within_max_seed_dist").when(F.col("inside").isNull(), away)
     return best.select("pt_id", "bld_id", "d", reason.alias("reason"))
 
 
+def close_pairs(candidates: DataFrame, seed_boxes: DataFrame, radius: float, *keys: str, size: float = 50.0) -> DataFrame:
+    """Candidates with the distinct keys of the seed boxes within the radius of them."""
+    s = seed_boxes.select(*keys, *[F.col(c).alias(f"s{c}") for c in _shape(seed_boxes)])
+    s = cells_of_box(s.dropDuplicates([*keys, *[f"s{c}" for c in BOX]]) if "edges" not in seed_boxes.columns else s, size, radius, "sx0", "sy0", "sx1", "sy1")
+    pairs = cells_of_box(candidates, size).join(s, ["ci", "cj"]).where(F.expr(f"{box_box(('sx0', 'sy0', 'sx1', 'sy1'), BOX)} <= {radius}"))
+    once = f"ci = greatest(floor(x0 / {size}), floor((sx0 - {radius}) / {size})) and cj = greatest(floor(y0 / {size}), floor((sy0 - {radius}) / {size}))"
+    pairs = pairs.where(once)  # the first cell that both touch
+    if "edges" in candidates.columns:
+        held = f"{inside('edges[0].x0', 'edges[0].y0', 'sedges')} or {inside('sedges[0].x0', 'sedges[0].y0', 'edges')}"
+        pairs = pairs.withColumn("held", F.expr(held)).withColumn("e", F.explode("edges")).withColumn("f", F.explode("sedges"))
+        pairs = pairs.where(F.expr(f"held or {segment_segment(('f.x0', 'f.y0', 'f.x1', 'f.y1'), _EDGE)} <= {radius}"))
+    return candidates.join(pairs.select(*keys, "bld_id").distinct(), "bld_id", "inner" if keys else "left_semi")
+
+
 def grown(candidates: DataFrame, seed_boxes: DataFrame, radius: float, size: float = 50.0) -> DataFrame:
     """Candidates within the radius of any seed box; each once."""
-    s = seed_boxes.select(F.col("x0").alias("sx0"), F.col("y0").alias("sy0"), F.col("x1").alias("sx1"), F.col("y1").alias("sy1")).distinct()
-    s = cells_of_box(s, size, radius, "sx0", "sy0", "sx1", "sy1")
-    pairs = cells_of_box(candidates, size).join(s, ["ci", "cj"]).where(F.expr(f"{box_box(('sx0', 'sy0', 'sx1', 'sy1'), BOX)} <= {radius}"))
-    return candidates.join(pairs.select("bld_id").distinct(), "bld_id", "left_semi")
+    return close_pairs(candidates, seed_boxes, radius, size=size)
+
+
+def near_points(points: DataFrame, segments: DataFrame, radius: float) -> DataFrame:
+    """points(line_id, x, y) -> parts (line_id, a, b): the stretches of each line, from measure a to b, within the radius of any of its points."""
+    dx, dy, ex, ey = "(x1 - x0)", "(y1 - y0)", "(x0 - x)", "(y0 - y)"
+    pairs = segments.join(points.select("line_id", "x", "y").distinct(), "line_id")
+    pairs = pairs.selectExpr("line_id", "m0", f"{dx} * {dx} + {dy} * {dy} as q", f"{dx} * {ex} + {dy} * {ey} as p", f"{ex} * {ex} + {ey} * {ey} - {radius * radius} as r").where("q > 0 and p * p >= q * r")
+    ends = F.expr("struct(sqrt(q) as len, (-p - sqrt(p * p - q * r)) / q as s, (-p + sqrt(p * p - q * r)) / q as t)")
+    cut = pairs.select("line_id", "m0", F.explode(F.array(ends)).alias("e")).select("line_id", "m0", "e.*").where("s <= 1 and t >= 0")  # a generator, so that they are computed once
+    cut = cut.selectExpr("line_id", "m0 + len * greatest(0e0, s) as a", "m0 + len * least(1e0, t) as b").distinct()
+    before = Window.partitionBy("line_id").orderBy("a", "b")
+    cut = cut.withColumn("far", F.max("b").over(before.rowsBetween(Window.unboundedPreceding, -1))).withColumn("part", F.sum(F.expr("case when far is null or a > far + 1e-9 then 1 else 0 end")).over(before))
+    return cut.groupBy("line_id", "part").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("part")
+
+
+def cut(segments: DataFrame, parts: DataFrame) -> DataFrame:
+    """segments between the measures a and b of their line's part; m0 stays that of the whole line."""
+    length = "sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))"
+    s = segments.withColumn("len", F.expr(length)).join(parts, "line_id").where("m0 < b and m0 + len > a")
+    at = lambda c, m: f"case when {m} <= m0 then {c}0 when {m} >= m0 + len then {c}1 else {c}0 + ({c}1 - {c}0) * ({m} - m0) / len end"
+    return s.selectExpr("line_id", "seg_no", f"{at('x', 'a')} as x0", f"{at('y', 'a')} as y0", f"{at('x', 'b')} as x1", f"{at('y', 'b')} as y1", "greatest(m0, a) as m0")
 
 
 def measures(points: DataFrame, segments: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardcraft.functions.geometry import box_box, crosses_ray, param, point_box, point_segment, segment_box, to_3857
+from wardcraft.functions.geometry import box_box, crosses_ray, param, point_box, point_segment, point_segment_squared, segment_box, segment_segment, to_3857
 from wardcraft.functions.rules import RANGE, SINGLE
 from wardcraft.functions.text import ACCENTED, PLAIN
 from wardcraft.plans.queries import CELL, CORRIDOR, DISC, GROW, RADIUS
@@ -191,6 +191,24 @@ SELECT line_id, i, round(m, 4) AS m, round(x0 + least(1, (m - m0) / len) * (x1 -
     "knn_seed": f"{with_views('v_pt', 'v_bld')},{_near(RADIUS)} SELECT pt_id, coalesce(n_square, 0) AS n_square, bld_id, round(d, 4) AS d FROM v_pt LEFT JOIN nsq USING (pt_id) LEFT JOIN best USING (pt_id)",
     "knn_reject_reason": f"{SEED} SELECT p.pt_id, CASE WHEN n_square IS NULL THEN 'no_hits_in_bbox' WHEN best.bld_id IS NULL THEN 'no_building_within_max_seed_dist' WHEN best.bld_id NOT IN (SELECT bld_id FROM corr) THEN 'nearest_not_in_corridor' ELSE 'seed' END AS reason FROM v_pt p LEFT JOIN nsq USING (pt_id) LEFT JOIN best USING (pt_id)",
     "grow_semijoin": f"{SEED}, seeds AS (SELECT DISTINCT b.* FROM v_bld b JOIN best USING (bld_id) JOIN corr USING (bld_id)) SELECT DISTINCT c.bld_id FROM corr c, seeds s WHERE {box_box(_S, ('c.x0', 'c.y0', 'c.x1', 'c.y1'))} <= {GROW}",
+    "knn_polygon": f"""{with_views('v_pt', 'v_bld', 'v_bedge')}, sq AS (SELECT p.pt_id, p.x, p.y, b.bld_id FROM v_pt p JOIN v_bld b ON b.x0 <= p.x + {RADIUS} AND b.x1 >= p.x - {RADIUS} AND b.y0 <= p.y + {RADIUS} AND b.y1 >= p.y - {RADIUS}),
+far AS (SELECT p.pt_id, bld_id, CASE WHEN sum(CASE WHEN {crosses_ray(*_P, *_S)} THEN 1 ELSE 0 END) % 2 = 1 THEN 0e0 ELSE sqrt(min({point_segment_squared(*_P, *_S)})) END AS d FROM sq p JOIN v_bedge s USING (bld_id) GROUP BY 1, 2),
+best AS (SELECT pt_id, bld_id, d FROM (SELECT *, row_number() OVER (PARTITION BY pt_id ORDER BY d, bld_id) AS r FROM far WHERE d <= {RADIUS}) t WHERE r = 1), nsq AS (SELECT pt_id, count(*) AS n_square FROM sq GROUP BY 1)
+SELECT pt_id, coalesce(n_square, 0) AS n_square, bld_id, round(d, 4) AS d FROM v_pt LEFT JOIN nsq USING (pt_id) LEFT JOIN best USING (pt_id)""",
+    "corridor_polygon": f"""{with_views('v_vert', 'v_bedge')},{SEG} SELECT bld_id FROM (SELECT b.bld_id, s.line_id, s.seg_no, sum(CASE WHEN {crosses_ray('s.x0', 's.y0', *_B)} THEN 1 ELSE 0 END) % 2 AS held, min({segment_segment(_S, _B)}) AS d FROM v_bedge b, seg s GROUP BY 1, 2, 3) t GROUP BY 1 HAVING min(CASE WHEN held = 1 THEN 0 ELSE d END) <= {CORRIDOR}""",
+    "grow_polygon": f"""{with_views('v_bedge')}, w AS (SELECT *, min(x0) OVER o AS lx, min(y0) OVER o AS ly, max(x0) OVER o AS hx, max(y0) OVER o AS hy, row_number() OVER (PARTITION BY bld_id ORDER BY x0, y0, x1, y1) AS e FROM v_bedge WINDOW o AS (PARTITION BY bld_id)),
+near AS (SELECT c.bld_id, s.bld_id AS seed, min({segment_segment(_S, ('c.x0', 'c.y0', 'c.x1', 'c.y1'))}) AS d FROM w c JOIN w s ON s.bld_id % 97 = 0 AND c.lx <= s.hx + {GROW} AND c.hx >= s.lx - {GROW} AND c.ly <= s.hy + {GROW} AND c.hy >= s.ly - {GROW} GROUP BY 1, 2),
+held AS (SELECT c.bld_id FROM w c JOIN w s ON s.bld_id % 97 = 0 AND s.e = 1 AND s.x0 BETWEEN c.lx AND c.hx AND s.y0 BETWEEN c.ly AND c.hy WHERE {crosses_ray('s.x0', 's.y0', 'c.x0', 'c.y0', 'c.x1', 'c.y1')} GROUP BY c.bld_id, s.bld_id HAVING count(*) % 2 = 1
+  UNION ALL SELECT s.bld_id FROM w s JOIN w c ON c.bld_id % 97 = 0 AND s.e = 1 AND s.x0 BETWEEN c.lx AND c.hx AND s.y0 BETWEEN c.ly AND c.hy WHERE {crosses_ray('s.x0', 's.y0', 'c.x0', 'c.y0', 'c.x1', 'c.y1')} GROUP BY c.bld_id, s.bld_id HAVING count(*) % 2 = 1)
+SELECT bld_id FROM near WHERE d <= {GROW} UNION SELECT bld_id FROM held""",
+    "near_parts": f"""{with_views('v_pt', 'v_vert')},{SEG},
+pq AS (SELECT s.line_id, s.m0, s.len, (s.x1 - s.x0) * (s.x0 - p.x) + (s.y1 - s.y0) * (s.y0 - p.y) AS p, (s.x0 - p.x) * (s.x0 - p.x) + (s.y0 - p.y) * (s.y0 - p.y) - 900e0 AS r FROM seg s JOIN v_pt p ON s.line_id = p.line_id WHERE p.pt_id % 10 = 7 AND p.pt_id < 100),
+iv AS (SELECT line_id, m0 + greatest(0, (-p - sqrt(p * p - len * len * r)) / len) AS a, m0 + least(len, (-p + sqrt(p * p - len * len * r)) / len) AS b FROM pq WHERE len > 0 AND p * p >= len * len * r AND -p - sqrt(p * p - len * len * r) <= len * len AND -p + sqrt(p * p - len * len * r) >= 0),
+st AS (SELECT DISTINCT i.line_id, i.a FROM iv i WHERE NOT EXISTS (SELECT 1 FROM iv j WHERE j.line_id = i.line_id AND j.a < i.a AND j.b >= i.a - 1e-9)),
+pa AS (SELECT line_id, a, lead(a) OVER (PARTITION BY line_id ORDER BY a) AS nxt FROM st)
+SELECT pa.line_id, round(pa.a, 4) AS a, round(max(i.b), 4) AS b FROM pa JOIN iv i ON i.line_id = pa.line_id AND i.a >= pa.a AND (nxt IS NULL OR i.a < nxt) GROUP BY pa.line_id, pa.a""",
+    "cell_polygon": f"""{with_views('v_edge')}, g AS (SELECT poly_id, ci, cj FROM (SELECT poly_id, min(x0) AS x0, max(x0) AS x1, min(y0) AS y0, max(y0) AS y1 FROM v_edge GROUP BY 1) b, range(250) i(ci), range(100) j(cj) WHERE {_CX} BETWEEN x0 AND x1 AND {_CY} BETWEEN y0 AND y1)
+SELECT poly_id, CAST(count(*) * {CELL} * {CELL} AS DOUBLE) AS area FROM (SELECT g.poly_id, ci, cj FROM g JOIN v_edge e USING (poly_id) WHERE {crosses_ray(_CX, _CY, 'e.x0', 'e.y0', 'e.x1', 'e.y1')} GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1) t GROUP BY 1""",
     "cell_union": f"{CELLS} " + _AREA % "SELECT * FROM discs UNION SELECT * FROM tube",
     "cell_intersect": f"{CELLS} " + _AREA % "SELECT * FROM discs INTERSECT SELECT * FROM tube",
     "cell_difference": f"{CELLS} " + _AREA % "SELECT * FROM tube EXCEPT SELECT * FROM discs",

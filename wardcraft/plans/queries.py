@@ -377,14 +377,47 @@ def cell_largest_part(spark, sf):
 
 
 def _boundary(spark):
-    return spark.createDataFrame([(0.0, 0.0, 950.0, 390.0)], "x0 double, y0 double, x1 double, y1 double")
+    corners = [(0.0, 0.0), (950.0, 0.0), (900.0, 390.0), (0.0, 390.0)]
+    return spark.createDataFrame([(*p, *q) for p, q in zip(corners, [*corners[1:], corners[0]], strict=True)], "x0 double, y0 double, x1 double, y1 double")
+
+
+def _houses(spark, sf):
+    return spatial.polygons_of(view(spark, sf, "v_bedge"))
+
+
+@query
+def knn_polygon(spark, sf):
+    return _rounded(spatial.nearest(view(spark, sf, "v_pt"), _houses(spark, sf), RADIUS).select("pt_id", "n_square", "bld_id", "d"), "d")
+
+
+@query
+def corridor_polygon(spark, sf):
+    return spatial.meeting(_houses(spark, sf), _segments(spark, sf), CORRIDOR).select("bld_id")
+
+
+@query
+def grow_polygon(spark, sf):
+    houses = _houses(spark, sf)
+    return spatial.grown(houses, houses.where("bld_id % 97 = 0"), GROW).select("bld_id")
+
+
+@query
+def near_parts(spark, sf):
+    """Stretches of the lines within 30 of the points whose id ends in 7."""
+    parts = spatial.near_points(view(spark, sf, "v_pt").where("pt_id % 10 = 7 and pt_id < 100"), _segments(spark, sf), 30.0)
+    return _rounded(parts, "a", "b")
+
+
+@query
+def cell_polygon(spark, sf):
+    return cells.area(cells.fill_rings(view(spark, sf, "v_edge"), CELL, "poly_id"), CELL, "poly_id")
 
 
 @query
 def polygon_v1_cells(spark, sf):
-    return cells.area(polygons.corridor_side(spark, view(spark, sf, "v_sv"), view(spark, sf, "v_bld"), _segments(spark, sf), _boundary(spark), c=10.0), 10.0, "key")
+    return cells.area(polygons.corridor_side(spark, view(spark, sf, "v_pt"), _houses(spark, sf), _segments(spark, sf), _boundary(spark)), CELL, "key")
 
 
 @query
 def polygon_v3_cells(spark, sf):
-    return cells.area(polygons.seeds_and_strip(spark, view(spark, sf, "v_sv"), view(spark, sf, "v_bld"), _segments(spark, sf), _boundary(spark), c=10.0), 10.0, "key")
+    return cells.area(polygons.seeds_and_strip(spark, view(spark, sf, "v_pt"), _houses(spark, sf), _segments(spark, sf), _boundary(spark)), CELL, "key")

@@ -40,6 +40,12 @@ FROM supplier""",
 SELECT CAST(p_partkey AS BIGINT) AS bld_id, CAST((p_partkey * 7907) % 980 AS DOUBLE) AS x0, CAST((p_partkey * 6101) % 380 AS DOUBLE) AS y0,
   CAST((p_partkey * 7907) % 980 + 4 + p_partkey % 13 AS DOUBLE) AS x1, CAST((p_partkey * 6101) % 380 + 4 + p_partkey % 9 AS DOUBLE) AS y1
 FROM part""",
+    "v_bedge": """
+SELECT bld_id, CASE e WHEN 0 THEN x0 WHEN 1 THEN x1 - 2 WHEN 2 THEN x1 ELSE x0 + 1 END AS x0, CASE e WHEN 0 THEN y0 + 1 WHEN 1 THEN y0 WHEN 2 THEN y1 - 2 ELSE y1 END AS y0,
+  CASE e WHEN 0 THEN x1 - 2 WHEN 1 THEN x1 WHEN 2 THEN x0 + 1 ELSE x0 END AS x1, CASE e WHEN 0 THEN y0 WHEN 1 THEN y1 - 2 WHEN 2 THEN y1 ELSE y0 + 1 END AS y1
+FROM (SELECT CAST(p_partkey AS BIGINT) AS bld_id, CAST((p_partkey * 7907) % 980 AS DOUBLE) AS x0, CAST((p_partkey * 6101) % 380 AS DOUBLE) AS y0,
+    CAST((p_partkey * 7907) % 980 + 4 + p_partkey % 13 AS DOUBLE) AS x1, CAST((p_partkey * 6101) % 380 + 4 + p_partkey % 9 AS DOUBLE) AS y1 FROM part) b
+  CROSS JOIN (SELECT 0 AS e UNION ALL SELECT 1 AS e UNION ALL SELECT 2 AS e UNION ALL SELECT 3 AS e) m""",
     "v_vert": """
 SELECT CAST(n_regionkey AS BIGINT) AS line_id, CAST(n_nationkey AS BIGINT) AS seq, CAST(n_nationkey * 40 AS DOUBLE) AS x, CAST(40 + (n_nationkey * 53) % 320 AS DOUBLE) AS y
 FROM nation""",
