@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -13,6 +14,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: Folders that this process has made in the shared folder and not yet removed.
+made: list[str] = []
 _shipped: set[str] = set()
 
 
@@ -37,13 +40,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder name in the shared folder that nothing else uses. In local mode it goes when the process ends."""
+    """A folder name in the shared folder that nothing else uses. It goes when this process ends, unless it was removed before."""
+    if not made:
+        conf, path = spark.sparkContext._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+        atexit.register(_remove_made, conf, path)
     folder = f"{shared_dir(spark)}/wardcraft/{name}-{uuid.uuid4().hex}"
-    if _in_one_process(spark) and (folder.startswith("/") or folder.startswith("file:")):
-        atexit.register(shutil.rmtree, "/" + folder.removeprefix("file:").lstrip("/"), ignore_errors=True)
+    made.append(folder)
     return folder
 
 
+def _remove_made(conf, path) -> None:
+    with contextlib.suppress(Exception):  # the JVM may have gone before
+        for folder in made:
+            where = path(folder)
+            where.getFileSystem(conf).delete(where, True)
+    made.clear()
+
+
 def ship_code(spark: SparkSession) -> None:
     """Give the executors this package, for clusters on which it isn't installed. Once per application."""
     app = spark.sparkContext.applicationId
@@ -72,5 +85,7 @@ def remove(spark: SparkSession, *tables: DataFrame | str) -> None:
     """Delete folders, or the tables that materialise returned, once nothing will read them again."""
     for table in tables:
         folder = table if isinstance(table, str) else table._wardcraft_folder
+        if folder in made:
+            made.remove(folder)
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
