@@ -143,8 +143,9 @@ def similar_fingerprints(spark: SparkSession, fps: DataFrame, bits: int = BITS,
         posted = rows.select(F.explode(_pick(F.col("mask"), level)).alias("mask"), "fp").select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("val"), "fp")
         posted = posted.distinct() if level else posted
         # how large postings are is summed up before anything is dealt by them, so that no task gets a large one
-        large = materialise(spark, posted.groupBy("mask", "val").count().where(F.col("count") > most).select("mask", "val"), f"large{level}")
+        large = posted.groupBy("mask", "val").count().where(F.col("count") > most).select("mask", "val")
         last = large.isEmpty()
+        large = large if last else materialise(spark, large, f"large{level}")
         small = posted if last else posted.join(large, ["mask", "val"], "left_anti")
         links = materialise(spark, small.repartition("mask", "val").sortWithinPartitions("mask", "val").mapInArrow(_postings(bits), "u long, v long"), f"postings{level}")
         found = links if found is None else found.union(links)
