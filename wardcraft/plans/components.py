@@ -45,7 +45,7 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """
     edges = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
     now = materialise(spark, edges.mapInArrow(_forest, _SCHEMA), "components")
-    mark = None
+    mark, files = None, None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
@@ -53,10 +53,11 @@ def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         lower = large.where("v < u")
         least = lower.groupBy("u").agg(F.min("v").alias("m"))
         small = lower.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        after = materialise(spark, small.where("u <> v").distinct(), "components")
+        small = small.where("u <> v").distinct()
+        after = materialise(spark, small.coalesce(files) if files else small, "components")  # few rows go into few files
         row = after.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         remove(spark, now)
         now = after
         if mark == (row.n, row.x) or not row.n:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        mark = (row.n, row.x)
+        mark, files = (row.n, row.x), 1 + row.n // 100_000
