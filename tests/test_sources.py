@@ -54,6 +54,20 @@ def test_gpkg(spark, tmp_path):
         assert wkb.load(wkb.dump(kind, c))[:2] == (kind, c)
 
 
+def _path(*points):
+    return [{"lat": float(y), "lon": float(x)} for x, y in points]
+
+
+def test_street_lookup_and_numbers(spark):
+    streets = spark.createDataFrame([("Bd. Ion (X)",), ("Str. Ion Mic",), (None,)], "name string")
+    assert assets.street_named(streets, "bd. ION").count() == 1 and assets.street_named(streets, "Ion").count() == 2
+    with pytest.raises(ValueError, match="Bd. Ion"):
+        assets.street_named(streets, "Ana")
+    rows = spark.createDataFrame([(f"k{k:04d}",) for k in range(500)], "a string").repartition(7)
+    assert [(r.a, r.n) for r in assets.with_surrogate_id(rows, "n", "a").orderBy("n").collect()] == [(f"k{k:04d}", k) for k in range(500)]
+    assert assets.with_surrogate_id(rows.limit(0), "n", "a").count() == 0
+
+
 def test_extract_layers_and_sinks(spark, tmp_path):
     ring = [{"lat": 0.0, "lon": 0.0}, {"lat": 0.0, "lon": 2.0}, {"lat": 2.0, "lon": 2.0}, {"lat": 0.0, "lon": 0.0}]
     elements = [
@@ -61,19 +75,22 @@ def test_extract_layers_and_sinks(spark, tmp_path):
         {"type": "way", "id": 2, "nodes": [1, 3, 4, 1], "geometry": ring, "tags": {"building": "yes", "addr:housenumber": "7"}},
         {"type": "way", "id": 5, "nodes": [1, 3, 4], "geometry": ring[:3], "tags": {"highway": "primary", "name": "S"}},
         {"type": "node", "id": 9, "lat": 1.0, "lon": 1.0, "tags": None},
+        {"type": "relation", "id": 6, "members": [{"type": "way", "ref": 1, "role": "outer", "geometry": _path((0, 0), (9, 0), (9, 9))}, {"type": "way", "ref": 2, "role": "outer", "geometry": _path((0, 0), (0, 9), (9, 9))}, {"type": "way", "ref": 3, "role": "inner", "geometry": _path((2, 2), (7, 2), (7, 7), (2, 7), (2, 2))}], "tags": {"building": "yes", "addr:housenumber": "9"}},
     ]
     (tmp_path / "e.json").write_text("\n".join(map(json.dumps, elements)))
     e = osm.read_elements(spark, str(tmp_path / "e.json"))
     a = assets.addresses_layer(osm.tagged_features(e, "addr:housenumber"))
-    assert {(r.addr_id, r.addr_housenumber_int, r.source) for r in a.collect()} == {("node:1", 12, "node"), ("way:2", 7, "building")}
+    assert {(r.addr_id, r.addr_housenumber_int, r.source) for r in a.collect()} == {("node:1", 12, "node"), ("way:2", 7, "building"), ("relation:6", 9, "building")}
+    inner = {r.addr_id: (r.x, r.y) for r in a.collect()}
+    assert inner["relation:6"][1] == 4.5 and (0 < inner["relation:6"][0] < 2 or 7 < inner["relation:6"][0] < 9) and 0 < inner["way:2"][1] < inner["way:2"][0] < 2
     edges = osm.street_edges(e)
-    assert [(r.u, r.v, r.osmid, r.length_m) for r in assets.streets_layer(edges).orderBy("u").collect()] == [(1, 3, "5", 2.0), (3, 4, "5", 2.0)]
+    assert [(r.u, r.v, r.osmid, r.length_m) for r in assets.streets_layer(edges).orderBy("u").collect()] == [(1, 3, "5", pytest.approx(222_390.2, abs=1)), (3, 4, "5", pytest.approx(222_390.2, abs=1))]
     assert {(r.osmid, r.street_count) for r in assets.nodes_layer(osm.street_nodes(edges)).collect()} == {(1, 1), (3, 2), (4, 1)}
-    b = assets.buildings_layer(osm.tagged_features(e, "building").withColumn("wkb", F.lit(b"")))
-    assert [(r.osm_id, r.addr_housenumber) for r in b.collect()] == [("way:2", "7")]
+    b = assets.buildings_layer(osm.tagged_features(e, "building"))
+    assert sorted((r.osm_id, r.addr_housenumber, wkb.load(bytes(r.wkb))[0]) for r in b.collect()) == [("relation:6", "9", "MultiPolygon"), ("way:2", "7", "Polygon")]
     sinks.write_layer(a, str(tmp_path / "layers"), "addresses")
     sinks.write_layer(a, str(tmp_path / "layers"), "addresses")
-    assert sinks.read_layer(spark, str(tmp_path / "layers"), "addresses").count() == 2
+    assert sinks.read_layer(spark, str(tmp_path / "layers"), "addresses").count() == 3
     m = sinks.metadata(a, "X", "X, Y", 3844, ["addresses"], {"network_type": "drive", "simplify": True, "retain_all": False}, "layers")
     sinks.write_json(m, str(tmp_path / "m.json"))
     assert json.loads((tmp_path / "m.json").read_text())["bbox"] == m["bbox"]

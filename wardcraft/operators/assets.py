@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardcraft.functions.numbers import housenumber_int
+from wardcraft.functions.text import normalize_street
+from wardcraft.plans.shared import materialise
 
 
 def with_missing(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -26,6 +28,7 @@ def first_available(df: DataFrame, names: tuple[str, ...]) -> str:
     raise ValueError(f"none of {names} in {df.columns}")
 
 
+#: Fixed values, as the next.
 STREET_NAMES = ("name", "addr_street", "street", "str_name", "road_name")
 
 
@@ -38,6 +41,32 @@ def source_class(kind: Column) -> Column:
     return F.when(kind == "node", "node").when(kind.isin("way", "relation"), "building").otherwise("other")
 
 
+def with_surrogate_id(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """Numbered from 0 in this order, which should be unique, without bringing all rows into one task: row counts of sorted ranges are added up."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_k", F.monotonically_increasing_id() % (1 << 33))
+    ranged = materialise(df.sparkSession, ranged, "numbered")
+    counts = {r["_p"]: r["count"] for r in ranged.groupBy("_p").count().collect()}  # a row per task
+    at, before = 0, []
+    for p in sorted(counts):
+        before += [F.lit(p), F.lit(at).cast("long")]
+        at += counts[p]
+    start = F.element_at(F.create_map(*before), F.col("_p")) if before else F.lit(0).cast("long")
+    return ranged.withColumn(name, start + F.col("_k")).drop("_p", "_k")
+
+
+def street_named(streets: DataFrame, name: str, norm=normalize_street) -> DataFrame:
+    """Streets whose normalised name equals the wanted one, else those that have it in them; ValueError with up to 20 names if there is none."""
+    column = first_available(streets, STREET_NAMES)
+    named = streets.withColumn("street_norm", norm(F.col(column)))
+    wanted = norm(F.lit(name))
+    for test in (F.col("street_norm") == wanted, F.col("street_norm").contains(wanted)):
+        found = named.where(test)
+        if not found.isEmpty():
+            return found
+    sample = [r[0] for r in streets.select(column).where(F.col(column).isNotNull()).limit(20).collect()]
+    raise ValueError(f"no street {name!r}; some names: {sample}")
+
+
 def flatten_list(c: Column) -> Column:
     """Comma-joined; null stays null."""
     return F.when(c.isNotNull(), F.concat_ws(",", F.transform(c, lambda x: x.cast("string"))))
@@ -54,6 +83,7 @@ def pick_boundary_layer(layers: DataFrame) -> DataFrame:
     return polygons.agg(F.min_by("name", F.struct((~F.lower("name").contains("boundary")).cast("int"), "ord")).alias("name"))
 
 
+#: Layers by which the reference system is picked. Fixed values.
 CRS_ORDER = ("main_streets", "streets", "main_roads", "roads")
 
 
@@ -77,7 +107,10 @@ def addresses_layer(features: DataFrame) -> DataFrame:
 
 
 def streets_layer(edges: DataFrame) -> DataFrame:
-    """edges(u, v, key, osmid array, tags ..., length?) -> u, v, key, osmid, name, highway, oneway, length_m and the geometry columns."""
+    """edges(u, v, key, osmid array, tags ..., length in metres?) -> u, v, key, osmid, name, highway, oneway, length_m and the geometry columns.
+
+    Without a length it is that of the coordinates, which then have to be in a metric system.
+    """
     e = with_missing(edges, {"name": "string", "highway": "string", "oneway": "string", "x0": "double", "y0": "double", "x1": "double", "y1": "double"})
     computed = F.expr("sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))")
     osmid = flatten_list(F.col("osmid")) if dict(e.dtypes)["osmid"].startswith("array") else F.col("osmid").cast("string")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ELEMENT = "type string, id bigint, lat double, lon double, nodes array<bigint>, geometry array<struct<lat:double,lon:double>>, tags map<string,string>"
+from wardcraft.sources import wkb
+
+#: Mean radius of the earth in metres. Fixed value.
+MEAN_RADIUS = 6371009.0
+ELEMENT = "type string, id bigint, lat double, lon double, nodes array<bigint>, geometry array<struct<lat:double,lon:double>>, members array<struct<type:string,ref:bigint,role:string,geometry:array<struct<lat:double,lon:double>>>>, tags map<string,string>"
 
 
 def read_elements(spark: SparkSession, path: str) -> DataFrame:
@@ -13,23 +18,88 @@ def read_elements(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ELEMENT).json(path)
 
 
+def stitched(ways: list[list[tuple[float, float]]]) -> list[list[tuple[float, float]]]:
+    """Closed rings from ways that meet end to end; what doesn't close is left out."""
+    rings, left = [], [list(w) for w in ways if len(w) > 1]
+    while left:
+        ring = left.pop()
+        while ring[0] != ring[-1]:
+            k = next((k for k, w in enumerate(left) if ring[-1] in (w[0], w[-1])), None)
+            if k is None:
+                break
+            w = left.pop(k)
+            ring += (w if w[0] == ring[-1] else w[::-1])[1:]
+        if ring[0] == ring[-1] and len(ring) > 3:
+            rings.append(ring)
+    return rings
+
+
+def _crossings(rings: list[list[tuple[float, float]]], y: float) -> list[float]:
+    return sorted(x0 + (y - y0) * (x1 - x0) / (y1 - y0) for r in rings for (x0, y0), (x1, y1) in zip(r, r[1:], strict=False) if (y0 > y) != (y1 > y))
+
+
+def inner_point(rings: list[list[tuple[float, float]]]) -> tuple[float, float]:
+    """A point inside: the middle of the widest stretch at half height."""
+    ys = [y for r in rings for _, y in r]
+    y = (min(ys) + max(ys)) / 2
+    xs = _crossings(rings, y)
+    if len(xs) < 2:
+        return rings[0][0]
+    a, b = max(zip(xs[::2], xs[1::2], strict=False), key=lambda p: p[1] - p[0])
+    return (a + b) / 2, y
+
+
+def _shape(kind: str, lat: float, lon: float, geometry, members):
+    """(geometry type, place, WKB) of an element; a relation is a multipolygon of its stitched ways, holes by the ring that holds them."""
+    path = lambda g: [(p["lon"], p["lat"]) for p in g or [] if p]
+    if kind == "node":
+        return "Point", (lon, lat), wkb.dump("Point", (lon, lat))
+    if kind == "way":
+        ring = path(geometry)
+        if len(ring) > 3 and ring[0] == ring[-1]:
+            return "Polygon", inner_point([ring]), wkb.dump("Polygon", [ring])
+        return "LineString", ring[len(ring) // 2] if ring else (None, None), wkb.dump("LineString", ring) if ring else None
+    outer = stitched([path(m["geometry"]) for m in members or [] if m["role"] != "inner"])
+    if not outer:
+        return "GeometryCollection", (None, None), None
+    parts = [[r] for r in outer]
+    for hole in stitched([path(m["geometry"]) for m in members if m["role"] == "inner"]):
+        x, y = inner_point([hole])
+        home = next((p for p in parts if sum(c > x for c in _crossings(p[:1], y)) % 2), parts[0])
+        home.append(hole)
+    return "MultiPolygon", inner_point([r for p in parts for r in p]), wkb.dump("MultiPolygon", parts)
+
+
+_FEATURE = "etype string, osmid bigint, geom_type string, x double, y double, tags map<string,string>, wkb binary"
+
+
+def _features(batches):
+    for batch in batches:
+        rows = batch.to_pylist()
+        shapes = [_shape(r["type"], r["lat"], r["lon"], r["geometry"], r["members"]) for r in rows]
+        cols = [batch.column("type"), batch.column("id"), pa.array([s[0] for s in shapes], pa.string()), *[pa.array([s[1][k] for s in shapes], pa.float64()) for k in (0, 1)], batch.column("tags"), pa.array([s[2] for s in shapes], pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, ["etype", "osmid", "geom_type", "x", "y", "tags", "wkb"])
+
+
 def tagged_features(elements: DataFrame, tag: str) -> DataFrame:
-    """etype, osmid, geom_type, x, y, ring, tags of elements with the tag; ways that close are polygons and get their ring's middle as place."""
-    rows = elements.where(F.col("tags").getItem(tag).isNotNull())
-    size = F.size("geometry")
-    closed = (size > 3) & (F.element_at("geometry", 1) == F.element_at("geometry", -1))
-    mean = lambda k: F.aggregate("geometry", F.lit(0.0), lambda a, g: a + g[k]) / size
-    kind = F.when(F.col("type") == "node", "Point").when(closed, "Polygon").otherwise("LineString")
-    place = lambda own, k: F.when(F.col("type") == "node", F.col(own)).otherwise(mean(k))
-    return rows.select(F.col("type").alias("etype"), F.col("id").alias("osmid"), kind.alias("geom_type"), place("lon", "lon").alias("x"), place("lat", "lat").alias("y"), F.transform("geometry", lambda g: F.struct(g["lon"].alias("x"), g["lat"].alias("y"))).alias("ring"), "tags")
+    """etype, osmid, geom_type, x, y, tags, wkb of elements with the tag: nodes are points, closed ways polygons, relations multipolygons; x, y is a point inside."""
+    rows = elements.where(F.col("tags").getItem(tag).isNotNull()).select("type", "id", "lat", "lon", "geometry", "members", "tags")
+    return rows.mapInArrow(_features, _FEATURE)
+
+
+def great_circle(lon0, lat0, lon1, lat1):
+    """Metres between two places in degrees, on the sphere of the mean radius."""
+    a, b = F.radians(lat0), F.radians(lat1)
+    h = F.pow(F.sin((b - a) / 2), 2) + F.cos(a) * F.cos(b) * F.pow(F.sin(F.radians(lon1 - lon0) / 2), 2)
+    return 2 * MEAN_RADIUS * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
 
 
 def street_edges(elements: DataFrame) -> DataFrame:
-    """u, v, key, osmid, name, highway, oneway, x0, y0, x1, y1: an edge per pair of neighbouring nodes of a way tagged highway."""
+    """u, v, key, osmid, name, highway, oneway, x0, y0, x1, y1, length in metres: an edge per pair of neighbouring nodes of a way tagged highway."""
     ways = elements.where((F.col("type") == "way") & F.col("tags").getItem("highway").isNotNull())
     pairs = ways.select("id", "tags", F.posexplode(F.expr("transform(sequence(1, size(nodes) - 1), i -> struct(nodes[i - 1] as u, nodes[i] as v, geometry[i - 1] as a, geometry[i] as b))")).alias("key", "e")).where("e.u is not null")
     tag = lambda k: F.col("tags").getItem(k).alias(k)
-    return pairs.select("e.u", "e.v", F.lit(0).alias("key"), F.array("id").alias("osmid"), tag("name"), tag("highway"), tag("oneway"), F.col("e.a.lon").alias("x0"), F.col("e.a.lat").alias("y0"), F.col("e.b.lon").alias("x1"), F.col("e.b.lat").alias("y1"))
+    return pairs.select("e.u", "e.v", F.lit(0).alias("key"), F.array("id").alias("osmid"), tag("name"), tag("highway"), tag("oneway"), F.col("e.a.lon").alias("x0"), F.col("e.a.lat").alias("y0"), F.col("e.b.lon").alias("x1"), F.col("e.b.lat").alias("y1"), great_circle(F.col("e.a.lon"), F.col("e.a.lat"), F.col("e.b.lon"), F.col("e.b.lat")).alias("length"))
 
 
 def street_nodes(edges: DataFrame) -> DataFrame:
