@@ -326,3 +326,24 @@ def test_long_texts_take_linear_time(text):
     base, every = secrets.find_secrets(text)
     assert set(base) <= set(every)
     assert time.time() - began < 10
+
+
+def test_digest_columns_of_scans(spark, small, docs):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    got = secrets.op5_secrets(spark, small).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        base, every = _base(texts[r.doc_id]), secrets.find_secrets(texts[r.doc_id])[1]
+        line = lambda x: ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in x)
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == n for _, k, _ in base) for n in range(3)]
+        assert r.base_sha256 == hashlib.sha256(line(base).encode()).hexdigest() and r.spans == line(every)
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    for r in licences.op6_licences(spark, small).collect():
+        w = word.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in texts[r.doc_id]))
+        places = [(k, label) for p, label in licences.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+        own = {x[2] for x in licences.scan(texts[r.doc_id].encode())[2]}
+        at = [k for k, _ in places]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(places), min(at, default=None), max(at, default=None))
+        assert r.base_labels == ",".join(sorted({x for _, x in places})) and r.labels == ",".join(sorted({x for _, x in places} | own)) and 0 <= r.score <= 1
+    for found in (secrets.scan_documents(docs), licences.scan_documents(docs)):
+        assert sorted(str(r.doc_id) for r in found.collect()) == sorted(str(r.doc_id) for r in docs.collect())

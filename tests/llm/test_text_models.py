@@ -188,6 +188,37 @@ def test_quality_accuracy_and_odd_rows(spark, docs, empty, small):
     assert {r.predicted for r in quality.classify(spark, docs, labels.limit(0)).collect()} == {1}
 
 
+def test_fit_against_plain_moments(spark, small):
+    """statistics and fit against plain sums over the labelled rows."""
+    import zlib
+
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    marks = {r.doc_id: r.quality for r in labels.collect()}
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    used = [(marks[i], quality.statistics(t.encode())) for i, t in rows if i in marks and zlib.crc32(str(i).encode()) % 4 != 2]
+    moments = {}
+    for k in (0, 1):
+        x = np.array([[1.0, *s] for y, s in used if y == k])
+        moments[k] = sum(np.outer(v, v) for v in x)
+    want = quality.Discriminant(moments).score(np.array([quality.statistics(t.encode()) for _, t in rows]))
+    got = {r.doc_id: r for r in quality.classify(spark, docs, labels).collect()}
+    assert [got[i].score for i, _ in rows] == pytest.approx(want.tolist(), abs=1e-9)
+    assert all(got[i].predicted == int(s >= 0.7) and got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2) for (i, _), s in zip(rows, want, strict=True))
+
+
+def test_statistics_against_plain_counts():
+    for text in ("", "A b!\n\nc c c | - 12 é", "x" * 50):
+        raw, words = text.encode(), text.split()
+        got = dict(zip(quality.NAMES, quality.statistics(raw), strict=True))
+        logit = lambda p: math.log((p + 0.01) / (1.01 - p))
+        n, k = len(raw), max(1, len(words))
+        assert got["log_bytes"] == pytest.approx(math.log(1 + n)) and got["log_words"] == pytest.approx(math.log(1 + len(words))) and got["word_length"] == pytest.approx(math.log(1 + n / k))
+        assert got["upper"] == pytest.approx(logit(sum(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for c in text) / max(1, n))) and got["high"] == pytest.approx(logit(sum(b > 127 for b in raw) / max(1, n)))
+        assert got["top_word"] == pytest.approx(math.sqrt(max((words.count(w) for w in words), default=0) / k)) and got["bare"] == pytest.approx(math.sqrt(sum(w in "|-" for w in words) / k))
+        lines = [x for x in text.split("\n") if x.strip()]
+        assert got["line_copies"] == pytest.approx(math.sqrt(1 - len(set(lines)) / max(1, len(lines))))
+
+
 def test_discriminant_is_a_density_ratio():
     r = np.random.default_rng(3)
     rows = {k: r.normal(size=(400, len(quality.NAMES))) * (1 + k) + k for k in (0, 1)}
