@@ -61,6 +61,16 @@ def test_ties_against_all_paths(x):
         assert {i for _, i in got} <= {i for _, i in every} and len({i for _, i in got}) == len(got)
 
 
+@pytest.mark.parametrize("x", ["▁the", "a", "日x", "▁▁▁ab", "▁onthe,the.", "x" * 9, "日" * 6 + "x" * 5, "\U0001f600"])
+def test_held_entries_have_the_best_and_the_gap(x):
+    v = lattice.pieces(MODEL)
+    every = sorted((s for s, _ in _paths(v, x)), reverse=True)
+    found = nbest._entry(v)(x)
+    score, gap = nbest.ENTRY.unpack_from(found)
+    assert score == pytest.approx(every[0]) and gap == (pytest.approx(every[0] - every[1], abs=1e-9) if len(every) > 1 else math.inf)
+    assert (every[0], tuple(np.frombuffer(found[16:], np.uint32).tolist())) in [(pytest.approx(s), i) for s, i in _paths(v, x)]
+
+
 @pytest.mark.parametrize("x", ["x", "=", "-", "xy", "日"])
 def test_long_runs_stay_small(x):
     import time

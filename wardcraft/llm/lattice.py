@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
@@ -48,6 +49,12 @@ class Pieces:
         #: Every beginning of a piece, with the piece's id or -1 if it is only a beginning.
         self.trie = {p[:k]: -1 for p in self.ids for k in range(1, len(p) + 1)} | self.ids
         self.longest = max(map(len, self.ids), default=1)
+        #: The same as nodes by character: (piece or -1, its cost, the nodes after it).
+        self.nodes: dict = {}
+        at: dict = {"": self.nodes}
+        for p in sorted(self.trie):
+            piece = self.trie[p]
+            at[p[:-1]][p[-1]] = (piece, -self.scores[piece] if piece >= 0 else 0.0, at.setdefault(p, {}))
         #: Neighbouring characters within pieces. Between any others each path has a boundary.
         self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self._flat = np.frombuffer(b"".join(self.text), np.uint8)
@@ -72,8 +79,8 @@ class Pieces:
     def split(self, segment: str) -> list[str]:
         """The segment cut wherever every path has a boundary."""
         pairs, out, at = self.pairs, [], 0
-        for k in range(1, len(segment)):
-            if segment[k - 1 : k + 1] not in pairs:
+        for k, (a, b) in enumerate(pairwise(segment), 1):
+            if a + b not in pairs:
                 out.append(segment[at:k])
                 at = k
         out.append(segment[at:])
