@@ -12,6 +12,7 @@ import re
 from functools import cache
 from itertools import pairwise
 
+import ahocorasick
 import numpy as np
 import public_tokenizers
 import sentencepiece
@@ -49,12 +50,13 @@ class Pieces:
         #: Every beginning of a piece, with the piece's id or -1 if it is only a beginning.
         self.trie = {p[:k]: -1 for p in self.ids for k in range(1, len(p) + 1)} | self.ids
         self.longest = max(map(len, self.ids), default=1)
-        #: The same as nodes by character: (piece or -1, its cost, the nodes after it).
-        self.nodes: dict = {}
-        at: dict = {"": self.nodes}
-        for p in sorted(self.trie):
-            piece = self.trie[p]
-            at[p[:-1]][p[-1]] = (piece, -self.scores[piece] if piece >= 0 else 0.0, at.setdefault(p, {}))
+        #: Finds all pieces in a text, with (length, id, cost) of each. A node's characters are searched in the order of their addition, so the frequent pieces go first.
+        self.finder = ahocorasick.Automaton()
+        for p, i in sorted(self.ids.items(), key=lambda x: -self.scores[x[1]]):
+            self.finder.add_word(p, (len(p), i, -self.scores[i]))
+        if self.ids:
+            self.finder.make_automaton()
+        self.single = frozenset(p for p in self.ids if len(p) == 1)
         #: Neighbouring characters within pieces. Between any others each path has a boundary.
         self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self._flat = np.frombuffer(b"".join(self.text), np.uint8)
