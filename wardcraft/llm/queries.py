@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wardcraft.llm import decontaminate, exact, langid, licences, nbest, quality, secrets, simhash, token_files, warc
+from wardcraft.llm import audit, decontaminate, exact, langid, licences, nbest, quality, secrets, simhash, token_files, warc
 
 QUERIES = {
     "op1_tokens": token_files.op1_tokens,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_exact": exact.op8_exact,
     "op9_sentencepiece": nbest.op9_sentencepiece,
     "op10_langid": langid.op10_langid,
+    "op13_audit": audit.op13_audit,
 }
-ORACLE_SQL = {"op2_warc": warc.OP2_SQL, "op8_exact": exact.OP8_SQL}
+ORACLE_SQL = {"op2_warc": warc.OP2_SQL, "op8_exact": exact.OP8_SQL, "op13_audit": audit.OP13_SQL}
