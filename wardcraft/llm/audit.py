@@ -22,6 +22,8 @@ from wardcraft.llm.text import as_batch, only, slices, table
 from wardcraft.llm.warc import PLACES, _marks
 from wardcraft.plans.shared import materialise
 
+#: Up to so many ends of tasks, of about 50 bytes, are sent to all tasks.
+MOST_ENDS = 1 << 20
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -79,8 +81,9 @@ def with_repeats(spark: SparkSession, rows: DataFrame, bit: int) -> DataFrame:
     """
     ranged = rows.repartitionByRange("fp", "doc_id").sortWithinPartitions("fp", "text", "doc_id")
     swept = materialise(spark, ranged.mapInArrow(_repeats, "kind int, fp long, doc_id long, part string, mask int, first long, sha binary"), "swept")
-    # a row per task, and for each other text that shares its last fingerprint
     ends = swept.where("kind = 1").groupBy("fp", "sha").agg(F.min("first").alias("before"))
+    # a row per task and each other text that shares its last fingerprint; rows of one text needn't meet in one task for so few
+    ends = F.broadcast(ends) if ends.count() <= MOST_ENDS else ends
     least = F.least("first", "before")  # ignores nulls
     failed = F.coalesce(F.col("doc_id") > least, F.lit(False))
     out = swept.where("kind = 0").join(ends, ["fp", "sha"], "left")
