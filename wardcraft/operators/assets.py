@@ -77,10 +77,23 @@ def length_column(df: DataFrame, computed: Column) -> Column:
     return F.col("length").try_cast("double") if "length" in df.columns else computed
 
 
+#: Geometry types of polygon layers. Fixed values.
+POLYGONS = ("Polygon", "MultiPolygon")
+
+
 def pick_boundary_layer(layers: DataFrame) -> DataFrame:
-    """layers(ord, name, geom_type): the first polygon layer with boundary in its name, else the first polygon layer."""
-    polygons = layers.where(F.lower("geom_type").contains("polygon"))
-    return polygons.agg(F.min_by("name", F.struct((~F.lower("name").contains("boundary")).cast("int"), "ord")).alias("name"))
+    """layers(ord, name, geom_type): the first polygon layer with boundary in its name, else the first polygon layer; the query fails with a message if there is none."""
+    polygons = layers.where(F.col("geom_type").isin(*POLYGONS))
+    found = polygons.agg(F.min_by("name", F.struct((~F.lower("name").contains("boundary")).cast("int"), "ord")).alias("name"))
+    return found.select(F.coalesce("name", F.raise_error(F.lit("no polygon layer")).cast("string")).alias("name"))
+
+
+def boundary_layer_name(layers: DataFrame) -> str:
+    """The name that pick_boundary_layer finds; ValueError if there is no polygon layer."""
+    row = layers.where(F.col("geom_type").isin(*POLYGONS)).agg(F.min_by("name", F.struct((~F.lower("name").contains("boundary")).cast("int"), "ord")).alias("name")).first()
+    if row.name is None:
+        raise ValueError("no polygon layer")
+    return row.name
 
 
 #: Layers by which the reference system is picked. Fixed values.

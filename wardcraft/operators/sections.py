@@ -8,6 +8,7 @@ from pyspark.sql import Window
 
 from wardcraft.functions.rules import parse_rule_cell
 from wardcraft.functions.text import normalize_street, safe_int, safe_str, to_number, ustrip
+from wardcraft.operators.fill import filled
 
 #: Columns of the official sheet and their names here. Fixed values.
 COLUMNS = {"JUDET": "judet", "UAT": "uat", "Nr SV": "nr_sv", "Sediu SV": "sediu_sv", "Adresa SV": "adresa_sv", "Adresa SV descriptivă": "adresa_sv_descriptiva", "Localitate componentă/ Sat aparținător": "localitate_sat", "Cod Arteră": "cod_artera", "Arteră": "artera", "Număr imobil / Alfabetic": "numar_imobil"}
@@ -24,12 +25,11 @@ def normalise_header(sheet: DataFrame) -> DataFrame:
 def segment_blocks(rows: DataFrame) -> DataFrame:
     """rows(row_id, judet, nr_sv, ...) -> with judet trimmed, sv filled down in each county, explicit.
 
-    The fill runs in a window per county, which is the sheet's own order of meaning: a block ends where its county's next number stands. A number
-    that isn't whole ends the block before it, and its own rows have no section.
+    The fill is a scan over sorted ranges (`fill.filled`), so a county may hold any part of the sheet. A number that isn't whole ends the block
+    before it, and its own rows have no section.
     """
-    down = Window.partitionBy("judet").orderBy("row_id").rowsBetween(Window.unboundedPreceding, 0)
-    number = to_number(F.col("nr_sv"))
-    out = rows.withColumn("judet", ustrip(F.col("judet"))).withColumn("_n", number).withColumn("_f", F.last("_n", ignorenulls=True).over(down))
+    out = rows.withColumn("judet", ustrip(F.col("judet"))).withColumn("_n", to_number(F.col("nr_sv")))
+    out = filled(out, "judet", "row_id", "_n", "_f")
     whole = F.when(F.col("_f") == F.floor("_f"), F.col("_f").cast("bigint"))
     return out.withColumn("sv", whole).withColumn("explicit", F.col("_n").eqNullSafe(F.col("_f"))).drop("_n", "_f")
 

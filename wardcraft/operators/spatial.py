@@ -26,14 +26,50 @@ def segments_of(vertices: DataFrame) -> DataFrame:
     return ends.select("line_id", (F.row_number().over(w) - 1).alias("seg_no"), "x0", "y0", "x1", "y1", before.alias("m0"))
 
 
-def cells_of_box(df: DataFrame, size: float, pad: float = 0.0, x0: str = "x0", y0: str = "y0", x1: str = "x1", y1: str = "y1") -> DataFrame:
-    """A row for each grid cell (ci, cj) that the box, grown by pad, touches."""
-    span = lambda a, b: f"sequence(cast(floor(({a} - {pad}) / {size}) as bigint), cast(floor(({b} + {pad}) / {size}) as bigint))"
+#: Sizes of shapes count as this much at least.
+TINY = 2.0**-20
+
+
+def level(extent: str) -> str:
+    """The power of two that is the extent or the next above it: cells of that size, of which a shape of the extent touches two a side at most."""
+    return f"cast(ceil(log2(greatest({extent}, {TINY}))) as int)"
+
+
+def _own(df: DataFrame, box: tuple[str, ...], pad: float) -> DataFrame:
+    x0, y0, x1, y1 = box
+    return df.withColumn("own", F.expr(level(f"greatest({x1} - {x0}, {y1} - {y0}) + {2 * pad}")))
+
+
+def _levels(*tables: DataFrame) -> list[int]:
+    """The levels that shapes have: a row per power of two, so few."""
+    return sorted({r.own for t in tables for r in t.select("own").distinct().collect() if r.own is not None})
+
+
+def _cells(df: DataFrame, box: tuple[str, ...], pad: float) -> DataFrame:
+    """A row for each cell (ci, cj) of size 2 ** lv that the box, grown by pad, touches."""
+    x0, y0, x1, y1 = box
+    span = lambda a, b: f"sequence(cast(floor(({a} - {pad}) / pow(2e0, lv)) as bigint), cast(floor(({b} + {pad}) / pow(2e0, lv)) as bigint))"
     return df.withColumn("ci", F.explode(F.expr(span(x0, x1)))).withColumn("cj", F.explode(F.expr(span(y0, y1))))
 
 
-def _cell(df: DataFrame, size: float) -> DataFrame:
-    return df.withColumn("ci", F.expr(f"cast(floor(x / {size}) as bigint)")).withColumn("cj", F.expr(f"cast(floor(y / {size}) as bigint)"))
+def _upwards(df: DataFrame, levels: list[int], own: str = "own") -> DataFrame:
+    """Each row at its own level and all coarser ones."""
+    return df.withColumn("lv", F.explode(F.filter(F.array(*[F.lit(x) for x in levels]).cast("array<int>"), lambda x: x >= F.col(own))))
+
+
+def box_pairs(a: DataFrame, a_box: tuple[str, ...], b: DataFrame, b_box: tuple[str, ...], pad: float, *on: str) -> DataFrame:
+    """Rows of a and b, columns apart but for `on`, which has to be equal, whose boxes are within pad of each other on both axes; each pair once.
+
+    Shapes stand in cells as large as themselves, and a pair meets at the level of the larger one, so rows don't grow with the ratio of a
+    shape and a radius. Cells are met by sorting: what was made of cells is never sent to all tasks.
+    """
+    left, right = _own(a, a_box, 0.0), _own(b, b_box, pad)
+    levels = _levels(left, right)
+    left, right = _cells(_upwards(left, levels), a_box, 0.0), _cells(_upwards(right, levels).withColumnRenamed("own", "own_b"), b_box, pad)
+    first = lambda p, q, c: f"{c} = greatest(floor({p} / pow(2e0, lv)), floor(({q} - {pad}) / pow(2e0, lv)))"
+    once = f"lv = greatest(own, own_b) and {first(a_box[0], b_box[0], 'ci')} and {first(a_box[1], b_box[1], 'cj')}"
+    near = " and ".join(f"{a_box[k]} <= {b_box[k + 2]} + {pad} and {a_box[k + 2]} >= {b_box[k]} - {pad}" for k in (0, 1))
+    return left.hint("merge").join(right, [*on, "lv", "ci", "cj"]).where(once).where(near).drop("lv", "ci", "cj", "own", "own_b")
 
 
 def polygons_of(edges: DataFrame) -> DataFrame:
@@ -51,9 +87,13 @@ def _shape(boxes: DataFrame) -> list[str]:
 def within_radius(points: DataFrame, boxes: DataFrame, radius: float) -> DataFrame:
     """pt_id, x, y, bld_id, d, hit: boxes whose bounds meet the square of the radius round a point; hit: the box is truly within it.
 
-    A point has one cell and a box all cells within the radius, so each pair meets once.
+    A box stands in the up to four cells as large as its grown self, a point in one cell of every size that boxes have, so each pair meets once.
     """
-    near = _cell(points, radius).join(cells_of_box(boxes, radius, radius), ["ci", "cj"])
+    placed = _own(boxes, BOX, radius)
+    levels = _levels(placed)
+    at = points.withColumn("lv", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>")))
+    at = at.withColumns({"ci": F.expr("cast(floor(x / pow(2e0, lv)) as bigint)"), "cj": F.expr("cast(floor(y / pow(2e0, lv)) as bigint)")})
+    near = at.hint("merge").join(_cells(placed.withColumnRenamed("own", "lv"), BOX, radius), ["lv", "ci", "cj"]).drop("lv")
     square = f"x0 <= x + {radius} AND x1 >= x - {radius} AND y0 <= y + {radius} AND y1 >= y - {radius}"
     d = point_polygon(*POINT, "edges") if "edges" in boxes.columns else point_box(*POINT, *BOX)
     return near.where(square).withColumn("d", F.expr(d)).withColumn("hit", F.col("d") <= radius)
@@ -87,15 +127,12 @@ def nearest_by_steps(spark: SparkSession, points: DataFrame, boxes: DataFrame, r
     return out
 
 
-def meeting(boxes: DataFrame, segments: DataFrame, radius: float, size: float = 50.0) -> DataFrame:
+def meeting(boxes: DataFrame, segments: DataFrame, radius: float) -> DataFrame:
     """Boxes within the radius of any of the segments (a corridor); each once."""
-    low = lambda a, b: F.least(a, b)
     s = segments.select(F.col("x0").alias("sx0"), F.col("y0").alias("sy0"), F.col("x1").alias("sx1"), F.col("y1").alias("sy1"))
-    s = s.withColumn("lx", low("sx0", "sx1")).withColumn("ly", low("sy0", "sy1")).withColumn("hx", F.greatest("sx0", "sx1")).withColumn("hy", F.greatest("sy0", "sy1"))
-    s = cells_of_box(s, size, radius, "lx", "ly", "hx", "hy")
+    s = s.select("*", F.least("sx0", "sx1").alias("lx"), F.least("sy0", "sy1").alias("ly"), F.greatest("sx0", "sx1").alias("hx"), F.greatest("sy0", "sy1").alias("hy"))
     own = ("sx0", "sy0", "sx1", "sy1")
-    once = f"ci = greatest(floor(x0 / {size}), floor((lx - {radius}) / {size})) and cj = greatest(floor(y0 / {size}), floor((ly - {radius}) / {size}))"
-    pairs = cells_of_box(boxes, size).join(s, ["ci", "cj"]).where(once).where(F.expr(f"{segment_box(own, BOX)} <= {radius}"))
+    pairs = box_pairs(boxes, BOX, s, ("lx", "ly", "hx", "hy"), radius).where(F.expr(f"{segment_box(own, BOX)} <= {radius}"))
     if "edges" in boxes.columns:
         pairs = pairs.withColumn("held", F.expr(inside("sx0", "sy0", "edges"))).withColumn("e", F.explode("edges")).where(F.expr(f"held or {segment_segment(own, _EDGE)} <= {radius}"))
     return boxes.join(pairs.select("bld_id").distinct(), "bld_id", "left_semi")
@@ -109,13 +146,11 @@ def seeds(points: DataFrame, boxes: DataFrame, corridor: DataFrame, radius: floa
     return best.select("pt_id", "bld_id", "d", reason.alias("reason"))
 
 
-def close_pairs(candidates: DataFrame, seed_boxes: DataFrame, radius: float, *keys: str, size: float = 50.0) -> DataFrame:
+def close_pairs(candidates: DataFrame, seed_boxes: DataFrame, radius: float, *keys: str) -> DataFrame:
     """Candidates with the distinct keys of the seed boxes within the radius of them."""
     s = seed_boxes.select(*keys, *[F.col(c).alias(f"s{c}") for c in _shape(seed_boxes)])
-    s = cells_of_box(s.dropDuplicates([*keys, *[f"s{c}" for c in BOX]]) if "edges" not in seed_boxes.columns else s, size, radius, "sx0", "sy0", "sx1", "sy1")
-    pairs = cells_of_box(candidates, size).join(s, ["ci", "cj"]).where(F.expr(f"{box_box(('sx0', 'sy0', 'sx1', 'sy1'), BOX)} <= {radius}"))
-    once = f"ci = greatest(floor(x0 / {size}), floor((sx0 - {radius}) / {size})) and cj = greatest(floor(y0 / {size}), floor((sy0 - {radius}) / {size}))"
-    pairs = pairs.where(once)  # the first cell that both touch
+    s = s.dropDuplicates([*keys, *[f"s{c}" for c in BOX]]) if "edges" not in seed_boxes.columns else s
+    pairs = box_pairs(candidates, BOX, s, ("sx0", "sy0", "sx1", "sy1"), radius).where(F.expr(f"{box_box(('sx0', 'sy0', 'sx1', 'sy1'), BOX)} <= {radius}"))
     if "edges" in candidates.columns:
         held = f"{inside('edges[0].x0', 'edges[0].y0', 'sedges')} or {inside('sedges[0].x0', 'sedges[0].y0', 'edges')}"
         pairs = pairs.withColumn("held", F.expr(held)).withColumn("e", F.explode("edges")).withColumn("f", F.explode("sedges"))
@@ -123,9 +158,9 @@ def close_pairs(candidates: DataFrame, seed_boxes: DataFrame, radius: float, *ke
     return candidates.join(pairs.select(*keys, "bld_id").distinct(), "bld_id", "inner" if keys else "left_semi")
 
 
-def grown(candidates: DataFrame, seed_boxes: DataFrame, radius: float, size: float = 50.0) -> DataFrame:
+def grown(candidates: DataFrame, seed_boxes: DataFrame, radius: float) -> DataFrame:
     """Candidates within the radius of any seed box; each once."""
-    return close_pairs(candidates, seed_boxes, radius, size=size)
+    return close_pairs(candidates, seed_boxes, radius)
 
 
 def near_points(points: DataFrame, segments: DataFrame, radius: float) -> DataFrame:

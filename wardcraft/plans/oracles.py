@@ -213,3 +213,36 @@ SELECT poly_id, CAST(count(*) * {CELL} * {CELL} AS DOUBLE) AS area FROM (SELECT
     "cell_intersect": f"{CELLS} " + _AREA % "SELECT * FROM discs INTERSECT SELECT * FROM tube",
     "cell_difference": f"{CELLS} " + _AREA % "SELECT * FROM tube EXCEPT SELECT * FROM discs",
 }
+
+# outlines, overlay and graphs --------------------------------------------------------------------
+
+
+def _measured(size: float) -> str:
+    """From s(key, ci, cj), the cells of shapes: area, corners, length of the outline, and parts less holes by Euler's formula."""
+    return f"""
+pairs AS (SELECT s.key, count(r.key) AS across, count(t.key) AS up, count(CASE WHEN r.key IS NOT NULL AND t.key IS NOT NULL AND q.key IS NOT NULL THEN 1 END) AS blocks, count(*) AS n
+  FROM s LEFT JOIN s r ON r.key = s.key AND r.ci = s.ci + 1 AND r.cj = s.cj LEFT JOIN s t ON t.key = s.key AND t.ci = s.ci AND t.cj = s.cj + 1 LEFT JOIN s q ON q.key = s.key AND q.ci = s.ci + 1 AND q.cj = s.cj + 1 GROUP BY 1),
+spots AS (SELECT key, ci, cj, count(*) AS k, sum(d) AS d FROM (SELECT key, ci, cj, 0 AS d FROM s UNION ALL SELECT key, ci + 1, cj + 1, 0 FROM s UNION ALL SELECT key, ci + 1, cj, 1 FROM s UNION ALL SELECT key, ci, cj + 1, 1 FROM s) t GROUP BY 1, 2, 3),
+turns AS (SELECT key, sum(CASE WHEN k IN (1, 3) THEN 1 WHEN k = 2 AND d <> 1 THEN 2 ELSE 0 END) AS corners FROM spots GROUP BY 1)
+SELECT key, round(CAST(n * {size * size} AS DOUBLE), 3) AS area, CAST(corners AS BIGINT) AS corners, CAST(n - across - up + blocks AS BIGINT) AS euler, round(CAST((4 * n - 2 * across - 2 * up) * {size} AS DOUBLE), 3) AS perimeter FROM pairs JOIN turns USING (key)"""
+
+
+_ROAD = SEG.replace("v_vert", "v_road")
+_BOTH_WAYS = """
+dir AS (SELECT osmid, pos, u, v, oneway, length, false AS reversed FROM v_piece WHERE oneway IS DISTINCT FROM '-1' UNION ALL SELECT osmid, pos, v, u, oneway, length, true FROM v_piece WHERE oneway IS NULL OR oneway NOT IN ('yes'))"""
+ORACLE_SQL |= {
+    "cell_rings": f"""{with_views('v_road', 'v_pt')},{_ROAD},
+tube AS (SELECT DISTINCT line_id AS key, ci, cj FROM {_grid('seg', '*', CORRIDOR, 'least(x0, x1)', 'least(y0, y1)', 'greatest(x0, x1)', 'greatest(y0, y1)')} WHERE {point_segment(_CX, _CY, 'x0', 'y0', 'x1', 'y1')} <= {CORRIDOR}),
+discs AS (SELECT DISTINCT pt_id % 40 AS key, ci, cj FROM {_grid('v_pt', '*', DISC, 'x', 'y', 'x', 'y')} WHERE ({_CX} - x) * ({_CX} - x) + ({_CY} - y) * ({_CY} - y) <= {DISC * DISC}),
+s AS (SELECT * FROM tube EXCEPT SELECT * FROM discs),{_measured(CELL)}""",
+    "dissolve_boxes": f"""{with_views('v_bld')}, s AS (SELECT DISTINCT key, ci, cj FROM (SELECT key, ci, unnest(range(CAST(y0 AS BIGINT), CAST(y1 AS BIGINT))) AS cj FROM (SELECT bld_id % 16 AS key, y0, y1, unnest(range(CAST(x0 AS BIGINT), CAST(x1 AS BIGINT))) AS ci FROM v_bld) a) b),{_measured(1.0)}""",
+    "repair_bowties": "SELECT CAST(p_partkey AS BIGINT) AS key, round((4 + p_partkey % 13) * (6 + p_partkey % 3) * (6 + p_partkey % 3) / 20e0, 3) AS area, CAST(3 AS BIGINT) AS corners, CAST(1 AS BIGINT) AS euler FROM part",
+    "street_directed": f"{with_views('v_piece')},{_BOTH_WAYS} SELECT u, v, row_number() OVER (PARTITION BY u, v ORDER BY osmid, pos, reversed) - 1 AS key, osmid, reversed FROM dir",
+    "street_simplified": f"""{with_views('v_piece').replace('WITH', 'WITH RECURSIVE', 1)},{_BOTH_WAYS},
+e AS (SELECT *, row_number() OVER () AS id FROM dir),
+nb AS (SELECT node, other, sum(o) AS o, sum(i) AS i FROM (SELECT u AS node, v AS other, 1 AS o, 0 AS i FROM e UNION ALL SELECT v, u, 0, 1 FROM e) t GROUP BY 1, 2),
+pass AS (SELECT node FROM nb GROUP BY 1 HAVING count(*) = 2 AND max(greatest(o, i)) = 1 AND sum(o) = sum(i) AND NOT bool_or(other = node)),
+walk AS (SELECT id AS of, u AS first, u, v, length, [osmid] AS ways, 1 AS n FROM e WHERE u NOT IN (SELECT node FROM pass)
+  UNION ALL SELECT w.of, w.first, e.u, e.v, w.length + e.length, list_append(w.ways, e.osmid), w.n + 1 FROM walk w JOIN e ON e.u = w.v AND e.v <> w.u WHERE w.v IN (SELECT node FROM pass))
+SELECT first AS u, v, CAST(n AS BIGINT) AS n_pieces, length, array_to_string(list_sort(list_distinct(ways)), ',') AS osmid FROM walk WHERE v NOT IN (SELECT node FROM pass)""",
+}

@@ -11,7 +11,7 @@ from wardcraft.functions import text
 from wardcraft.functions.geometry import to_3857
 from wardcraft.functions.numbers import covers, housenumber_cover, housenumber_int
 from wardcraft.functions.rules import rule_parts, rule_ranges, rule_singles
-from wardcraft.operators import assets, cells, match, polygons, sections, spatial
+from wardcraft.operators import assets, cells, graph, match, overlay, polygons, sections, spatial
 from wardcraft.plans.views import view
 from wardcraft.sources import sinks
 
@@ -421,3 +421,53 @@ def polygon_v1_cells(spark, sf):
 @query
 def polygon_v3_cells(spark, sf):
     return cells.area(polygons.seeds_and_strip(spark, view(spark, sf, "v_pt"), _houses(spark, sf), _segments(spark, sf), _boundary(spark)), CELL, "key")
+
+
+# outlines, overlay and graphs --------------------------------------------------------------------
+
+
+def _ring_counts(vertices):
+    """Per key: area, corners, length of the outline; and euler, shells less holes, where a hole that touches its shell at a corner isn't one."""
+    edges = overlay.ring_edges(vertices)
+    length = edges.groupBy("key").agg(F.round(F.sum(F.expr("sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))")), 3).alias("perimeter"))
+    rings = vertices.groupBy("key", "ring").agg(F.first("area2").alias("a"), F.count_if("turns").alias("n"))
+    counts = rings.groupBy("key").agg(F.round(F.sum("a") / 2, 3).alias("area"), F.sum("n").alias("corners"), F.sum(F.when(F.col("a") > 0, 1).otherwise(-1)).alias("s"))
+    touching = vertices.join(overlay.homes(vertices, edges), "ring").groupBy("key", "shell", "x", "y").agg((F.count(F.lit(1)) - 1).alias("t")).groupBy("key").agg(F.sum("t").alias("t"))
+    return counts.join(touching, "key").join(length, "key").select("key", "area", "corners", (F.col("s") + F.col("t")).alias("euler"), "perimeter")
+
+
+@query
+def cell_rings(spark, sf):
+    """Outlines of the bands of all roads, less the discs round every point: per road, what its rings measure."""
+    roads = spatial.segments_of(view(spark, sf, "v_road")).withColumnRenamed("line_id", "key")
+    discs = cells.buffer_points(view(spark, sf, "v_pt").select((F.col("pt_id") % 40).alias("key"), "x", "y"), DISC, CELL, "key")
+    return _ring_counts(overlay.cell_rings(spark, cells.difference(cells.buffer_segments(roads, CORRIDOR, CELL, "key"), discs, "key"), CELL))
+
+
+def _box_edges(boxes, *keys):
+    return polygons._edges(boxes, *keys).withColumnRenamed("bld_id", "ring")
+
+
+@query
+def dissolve_boxes(spark, sf):
+    """Buildings of 16 sections as one shape each."""
+    edges = _box_edges(view(spark, sf, "v_bld").withColumn("key", F.col("bld_id") % 16), "key")
+    return _ring_counts(overlay.dissolved(spark, overlay.oriented(edges)))
+
+
+@query
+def repair_bowties(spark, sf):
+    """Rings that cross themselves, put right one by one: what lies on the inner side of their highest corner stays."""
+    edges = view(spark, sf, "v_bow").withColumn("key", F.col("ring"))
+    return _ring_counts(overlay.dissolved(spark, overlay.oriented(edges), snap=1e-9)).select("key", "area", "corners", "euler")
+
+
+@query
+def street_directed(spark, sf):
+    return graph.directed(view(spark, sf, "v_piece")).select("u", "v", _long("key"), "osmid", "reversed")
+
+
+@query
+def street_simplified(spark, sf):
+    found = graph.simplified(spark, graph.directed(view(spark, sf, "v_piece")))
+    return found.select("u", "v", "n_pieces", "length", assets.flatten_list(F.array_sort("osmid")).alias("osmid"))

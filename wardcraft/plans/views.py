@@ -62,6 +62,23 @@ FROM orders""",
 SELECT CAST(n_nationkey AS BIGINT) AS ord, CASE n_nationkey WHEN 3 THEN 'Streets' WHEN 7 THEN 'streets' WHEN 9 THEN 'roads' WHEN 12 THEN 'City_Boundary' WHEN 15 THEN 'boundary_old' WHEN 18 THEN 'main_roads' ELSE lower(n_name) END AS name,
   CASE n_nationkey % 3 WHEN 0 THEN 'MultiPolygon' WHEN 1 THEN 'LineString' ELSE 'Point' END AS geom_type, CASE WHEN n_nationkey IN (7, 12) THEN NULL ELSE 'EPSG:' || CAST(3800 + n_nationkey AS STRING) END AS crs
 FROM nation""",
+    "v_road": """
+SELECT CAST(floor(c_custkey / 40) AS BIGINT) AS line_id, CAST(c_custkey % 40 AS BIGINT) AS seq,
+  CAST((floor(c_custkey / 40) * 137) % 900 + (c_custkey % 40) * 3 AS DOUBLE) AS x, CAST((floor(c_custkey / 40) * 61) % 360 + (c_custkey * 7) % 23 AS DOUBLE) AS y
+FROM customer""",
+    "v_bow": """
+SELECT k AS ring, CASE e WHEN 0 THEN x WHEN 1 THEN x + w WHEN 2 THEN x + w ELSE x END AS x0, CASE e WHEN 0 THEN y WHEN 1 THEN y + 10 - h WHEN 2 THEN y ELSE y + h END AS y0,
+  CASE e WHEN 0 THEN x + w WHEN 1 THEN x + w WHEN 2 THEN x ELSE x END AS x1, CASE e WHEN 0 THEN y + 10 - h WHEN 1 THEN y WHEN 2 THEN y + h ELSE y END AS y1
+FROM (SELECT CAST(p_partkey AS BIGINT) AS k, CAST((p_partkey * 7907) % 980 AS DOUBLE) AS x, CAST((p_partkey * 6101) % 380 AS DOUBLE) AS y, CAST(4 + p_partkey % 13 AS DOUBLE) AS w, CAST(6 + p_partkey % 3 AS DOUBLE) AS h FROM part) p
+  CROSS JOIN (SELECT 0 AS e UNION ALL SELECT 1 AS e UNION ALL SELECT 2 AS e UNION ALL SELECT 3 AS e) m""",
+    "v_piece": """
+SELECT CAST(floor(o_orderkey / 3) AS BIGINT) AS osmid, CAST(o_orderkey % 3 AS INT) AS pos, CAST(o_orderkey AS BIGINT) AS u, CAST(o_orderkey + 1 AS BIGINT) AS v,
+  CASE floor(o_orderkey / 36) % 4 WHEN 0 THEN 'yes' WHEN 1 THEN '-1' WHEN 2 THEN 'no' ELSE NULL END AS oneway, CAST(1 + o_orderkey % 90 AS DOUBLE) AS length
+FROM orders WHERE o_orderkey % 97 <> 0
+UNION ALL SELECT CAST(1000000000 + o_orderkey AS BIGINT) AS osmid, 0 AS pos, CAST(o_orderkey AS BIGINT) AS u, CAST(o_orderkey + 97 AS BIGINT) AS v, CASE WHEN o_orderkey % 2 = 0 THEN 'yes' ELSE NULL END AS oneway, CAST(200 + o_orderkey % 7 AS DOUBLE) AS length
+FROM orders WHERE o_orderkey % 29 = 3
+UNION ALL SELECT CAST(2000000000 + o_orderkey AS BIGINT) AS osmid, 0 AS pos, CAST(o_orderkey AS BIGINT) AS u, CAST(o_orderkey + 1 AS BIGINT) AS v, NULL AS oneway, 77e0 AS length
+FROM orders WHERE o_orderkey % 113 = 5""",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 
