@@ -12,7 +12,7 @@ SPEC = "judet string, sv bigint, row_id bigint, spec_no int, street string, stre
 def test_links_against_plain_patterns(spark):
     r = random.Random(3)
     streets = sorted({"".join(r.choice("ab. cd(") for _ in range(r.randint(0, 9))) for _ in range(300)} | {"str. mihai", "strada mihai", "x"})
-    names = sorted({"".join(r.choice("ab. c") for _ in range(r.randint(0, 4))) for _ in range(80)} | {"mihai", "str. mihai", "a(", "[", "a|b", "^str", ".", "..", "(a)+", "x{", "*", "\\", "mihai$", "a)", "\U0001f600"})
+    names = sorted({"".join(r.choice("ab. c") for _ in range(r.randint(0, 4))) for _ in range(80)} | {"mihai", "str. mihai", "a(", "[", "a|b", "^str", ".", "..", "(a)+", "x{", "*", "\\", "mihai$", "a)", "\U0001f600", "(?i)AB", "a+b", "[ab]c", "b?", "(ab|cd)", ".*", "[^a]", "(a{2})", "\\d", "x*a", "(?=b)b", "[a-d]d"})
     got = {(x.rule_norm, x.street_norm) for x in match.street_links(spark.createDataFrame([(n,) for n in names], "rule_norm string"), spark.createDataFrame([(s,) for s in streets], "street_norm string")).collect()}
     want = set()
     for n in names:

@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wardcraft.functions.geometry import point_box, point_segment
+from wardcraft.functions.geometry import point_box
 from wardcraft.plans.components import connected_components
 from wardcraft.plans.shared import materialise
 
 
-def _held(df: DataFrame, **columns: Column) -> DataFrame:
+def held(df: DataFrame, **columns: Column) -> DataFrame:
     """df with columns that are computed once: a generator stands between them and what is made of them, so that the optimizer doesn't write them out at every use."""
     return df.withColumn("_s", F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()])))).select(*df.columns, "_s.*")
 
@@ -23,15 +23,16 @@ def _held(df: DataFrame, **columns: Column) -> DataFrame:
 def _rows(df: DataFrame, c: float, low: str, high: str, pad: float) -> DataFrame:
     """A row for each grid row cj that [low - pad, high + pad] touches, with the y of its centres."""
     span = f"sequence(cast(floor(({low} - {pad}) / {c}) as bigint), cast(floor(({high} + {pad}) / {c}) as bigint))"
-    return _held(df.withColumn("cj", F.explode(F.expr(span))), _y=F.expr(f"(cj + 0.5e0) * {c}"))
+    return held(df.withColumn("cj", F.explode(F.expr(span))), _y=F.expr(f"(cj + 0.5e0) * {c}"))
 
 
-def _run(rows: DataFrame, c: float, low: Column, high: Column, inside: str, keys: tuple[str, ...]) -> DataFrame:
+def _run(rows: DataFrame, c: float, low: Column, high: Column, inside: str, keys: tuple[str, ...], merge: bool = True) -> DataFrame:
     """Rows -> runs of the cells whose centres lie in [low, high]. inside: the exact test of a centre at x `{x}`, which moves an end by one where rounding misplaced it."""
     at = lambda end: inside.format(x=f"(({end} + 0.5e0) * {c})")
-    ends = _held(rows, _a=F.ceil(low / c - 0.5).cast("long"), _b=F.floor(high / c - 0.5).cast("long")).where("_a is not null and _b is not null")
-    ends = _held(ends, **{"a": F.expr(f"case when {at('(_a - 1)')} then _a - 1 when {at('_a')} then _a else _a + 1 end"), "b": F.expr(f"case when {at('(_b + 1)')} then _b + 1 when {at('_b')} then _b else _b - 1 end")})
-    return merged(ends.where("a <= b").select(*keys, "cj", "a", "b"), *keys)
+    ends = held(rows, _a=F.ceil(low / c - 0.5).cast("long"), _b=F.floor(high / c - 0.5).cast("long")).where("_a is not null and _b is not null")
+    ends = held(ends, **{"a": F.expr(f"case when {at('(_a - 1)')} then _a - 1 when {at('_a')} then _a else _a + 1 end"), "b": F.expr(f"case when {at('(_b + 1)')} then _b + 1 when {at('_b')} then _b else _b - 1 end")})
+    runs = ends.where("a <= b").select(*keys, "cj", "a", "b")
+    return merged(runs, *keys) if merge else runs
 
 
 def buffer_points(points: DataFrame, radius: float, c: float, *keys: str) -> DataFrame:
@@ -41,12 +42,12 @@ def buffer_points(points: DataFrame, radius: float, c: float, *keys: str) -> Dat
     return _run(rows, c, F.col("x") - half, F.col("x") + half, f"(({{x}} - x) * ({{x}} - x) + (_y - y) * (_y - y) <= {radius * radius})", keys)
 
 
-def buffer_segments(segments: DataFrame, radius: float, c: float, *keys: str) -> DataFrame:
-    """Cells within the radius of any segment: of two discs and the rectangle between them."""
+def buffer_segments(segments: DataFrame, radius: float, c: float, *keys: str, merge: bool = True) -> DataFrame:
+    """Cells within the radius of any segment: of two discs and the rectangle between them. merge: runs become disjoint and as long as can be."""
     s = segments.select(*keys, "x0", "y0", "x1", "y1").distinct()
+    s = held(s, _dx=F.expr("x1 - x0"), _dy=F.expr("y1 - y0"), _q=F.expr("(x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)"))
+    s = held(s, _nx=F.expr(f"case when _q = 0 then 0e0 else -{radius} * _dy / sqrt(_q) end"), _ny=F.expr(f"case when _q = 0 then 0e0 else {radius} * _dx / sqrt(_q) end"))
     rows = _rows(s, c, "least(y0, y1)", "greatest(y0, y1)", radius)
-    length = "sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))"
-    rows = _held(rows, **{"_nx": F.expr(f"case when {length} = 0 then 0e0 else {radius} * (y0 - y1) / {length} end"), "_ny": F.expr(f"case when {length} = 0 then 0e0 else {radius} * (x1 - x0) / {length} end")})
     corners = [(f"(x{k} {sign} _nx)", f"(y{k} {sign} _ny)") for k, sign in ((0, "+"), (1, "+"), (1, "-"), (0, "-"))]
     lows, highs = [], []
     for k in (0, 1):
@@ -57,7 +58,11 @@ def buffer_segments(segments: DataFrame, radius: float, c: float, *keys: str) ->
         cut = F.expr(f"case when {ay} <> {by} and _y between least({ay}, {by}) and greatest({ay}, {by}) then {ax} + (_y - {ay}) / ({by} - {ay}) * ({bx} - {ax}) end")
         lows.append(cut)
         highs.append(cut)
-    return _run(rows, c, F.least(*lows), F.greatest(*highs), f"({point_segment('{x}', '_y', 'x0', 'y0', 'x1', 'y1')} <= {radius})", keys)
+    ends = "((({x}) - x0) * (({x}) - x0) + (_y - y0) * (_y - y0))", "((({x}) - x1) * (({x}) - x1) + (_y - y1) * (_y - y1))"
+    along, across = "((({x}) - x0) * _dx + (_y - y0) * _dy)", "((({x}) - x0) * _dy - (_y - y0) * _dx)"
+    square = radius * radius
+    near = f"(case when {along} <= 0 then {ends[0]} <= {square} when {along} >= _q then {ends[1]} <= {square} else {across} * {across} <= {square} * _q end)"
+    return _run(rows, c, F.least(*lows), F.greatest(*highs), near, keys, merge)
 
 
 def buffer_boxes(boxes: DataFrame, radius: float, c: float, *keys: str) -> DataFrame:
@@ -68,21 +73,21 @@ def buffer_boxes(boxes: DataFrame, radius: float, c: float, *keys: str) -> DataF
     return _run(rows, c, F.col("x0") - half, F.col("x1") + half, f"({point_box('{x}', '_y', 'x0', 'y0', 'x1', 'y1')} <= {radius})", keys)
 
 
-def fill_rings(edges: DataFrame, c: float, *keys: str) -> DataFrame:
+def fill_rings(edges: DataFrame, c: float, *keys: str, merge: bool = True) -> DataFrame:
     """Cells in polygons: edges(keys, x0, y0, x1, y1) of all rings, holes as well; a cell is in if its ray to the left crosses an odd number."""
     rows = _rows(edges, c, "least(y0, y1)", "greatest(y0, y1)", 0.0).where("(y0 > _y) <> (y1 > _y)")
-    at = _held(rows, _x=F.expr("x0 + (_y - y0) * (x1 - x0) / (y1 - y0)"))
+    at = held(rows, _x=F.expr("x0 + (_y - y0) * (x1 - x0) / (y1 - y0)"))
     of = Window.partitionBy(*keys, "cj").orderBy("_x")  # a polygon's edges that cross one grid row
     pairs = at.withColumns({"_k": F.row_number().over(of), "_end": F.lead("_x").over(of)}).where("_k % 2 = 1")
     runs = pairs.select(*keys, "cj", F.expr(f"cast(ceil(_x / {c} - 0.5) as bigint)").alias("a"), F.expr(f"cast(ceil(_end / {c} - 0.5) as bigint) - 1").alias("b")).where("a <= b")
-    return merged(runs, *keys)
+    return merged(runs, *keys) if merge else runs
 
 
 def buffer_rings(edges: DataFrame, radius: float, c: float, *keys: str) -> DataFrame:
     """Cells within the radius of any polygon; edges: keys, id of the polygon, then x0, y0, x1, y1 of the edges of all its rings."""
     ids = edges.columns[:-4]
-    filled = fill_rings(edges, c, *ids).select(*keys, "cj", "a", "b")
-    return merged(filled.union(buffer_segments(edges, radius, c, *keys)) if radius > 0 else filled, *keys)
+    filled = fill_rings(edges, c, *ids, merge=False).select(*keys, "cj", "a", "b")
+    return merged(filled.union(buffer_segments(edges, radius, c, *keys, merge=False)) if radius > 0 else filled, *keys)
 
 
 def _swept(runs: DataFrame, keys: tuple[str, ...], keep: str) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import itertools
 import re
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardcraft.functions.numbers import covers, housenumber_cover, housenumber_int
+from wardcraft.functions.patterns import needed
 from wardcraft.functions.text import normalize_street
 
 
@@ -21,7 +22,8 @@ def prepare_addresses(addresses: DataFrame) -> DataFrame:
 
 #: Characters that make a name more than plain text and dots when it is read as a pattern.
 _SPECIAL = r"[\\^$|?*+()\[\]{}]"
-NAMES = 1000
+#: Patterns that need no certain character are tried on the streets in so many shares.
+SHARES = 64
 
 
 def _grams(name: str, size: int | str) -> str:
@@ -29,50 +31,46 @@ def _grams(name: str, size: int | str) -> str:
     return f"array_distinct(transform(sequence(1, length({name}) - {size} + 1), i -> substring({name}, i, {size})))"
 
 
-def _found_by_pattern(names: list[str]):
-    """Streets -> (rule_norm, street_norm) for names read as patterns; a name that isn't a pattern finds nothing."""
+def _needs(batches):
+    """Names read as patterns -> (rule_norm, gram), a row for each of the runs of which a street must have one; none for what is no pattern."""
+    for batch in batches:
+        rows = [(x, g) for x in batch.column("rule_norm").to_pylist() for g in sorted(needed(x) or ())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], ["rule_norm", "gram"])
 
-    def run(batches):
-        patterns = []
-        for name in names:
-            try:
-                patterns.append((name, re.compile(name)))
-            except (re.error, OverflowError, RecursionError):
-                continue
-        for batch in batches:
-            streets = batch.column("street_norm").to_pylist()
-            for name, pattern in patterns:
-                hits = [x for x in streets if pattern.search(x)]
-                if hits:
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(hits), pa.string()), pa.array(hits, pa.string())], ["rule_norm", "street_norm"])
 
-    return run
+def _searched(batches):
+    """Pairs (rule_norm, street_norm) where the name, as a pattern, is found in the street."""
+    compiled = lru_cache(10_000)(re.compile)
+    for batch in batches:
+        names, streets = (batch.column(c).to_pylist() for c in ("rule_norm", "street_norm"))
+        yield batch.filter(pa.array([compiled(n).search(x) is not None for n, x in zip(names, streets, strict=True)], pa.bool_()))
 
 
 def street_links(norms: DataFrame, streets: DataFrame) -> DataFrame:
     """norms(rule_norm), streets(street_norm), both distinct -> (rule_norm, street_norm).
 
     Equal names; for a rule name that equals none and isn't empty, the names in which it is found as a regular expression. Plain
-    names (and those whose only sign is a dot) meet the streets that have their rarest run of up to three characters, so names never meet all
-    streets; the few names with other signs are tried on the streets in blocks of NAMES, and one that is no valid pattern finds
-    nothing and harms no other.
+    names (and those whose only sign is a dot) meet the streets that have their rarest run of up to three characters. Names that are real
+    patterns meet the streets that have one of the runs which the pattern needs (`needed`); only one that needs none, and so
+    is found nearly everywhere, is tried on all streets, in shares. One that is no valid pattern finds nothing.
     """
     equal = norms.join(streets, norms.rule_norm == streets.street_norm).select("rule_norm", "street_norm")
     left = norms.where("rule_norm <> ''").join(streets, norms.rule_norm == streets.street_norm, "left_anti")
     bare = F.expr("array_max(transform(split(rule_norm, '[.]'), x -> struct(length(x) as n, x as x)))")
     plain = left.where(~F.col("rule_norm").rlike(_SPECIAL)).withColumn("part", bare).where("part.n > 0")
     wanted = plain.select("rule_norm", F.explode(F.expr(_grams("part.x", "least(3, part.n)"))).alias("gram"))
+    odd = norms.where(F.col("rule_norm").rlike(_SPECIAL) | F.col("rule_norm").rlike(r"^[.]+\z"))
+    odd = odd.join(streets, odd.rule_norm == streets.street_norm, "left_anti").select("rule_norm").mapInArrow(_needs, "rule_norm string, gram string")
     held = streets.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).where("length(street_norm) >= n").select("street_norm", F.explode(F.expr(_grams("street_norm", "n"))).alias("gram"))
-    held = held.join(wanted.select("gram").distinct(), "gram", "left_semi")
+    held = held.join(wanted.select("gram").union(odd.select("gram")).distinct(), "gram", "left_semi")
     common = held.groupBy("gram").count()
     rarest = wanted.join(common, "gram", "left").groupBy("rule_norm").agg(F.min_by("gram", F.struct(F.coalesce("count", F.lit(0)).alias("count"), "gram")).alias("gram"))
     found = rarest.join(held, "gram").where(F.when(F.col("rule_norm").contains("."), F.expr("street_norm rlike rule_norm")).otherwise(F.col("street_norm").contains(F.col("rule_norm"))))
-    out = equal.unionByName(found.select("rule_norm", "street_norm"))
-    odd = norms.where(F.col("rule_norm").rlike(_SPECIAL) | F.col("rule_norm").rlike(r"^[.]+\z"))
-    names = (r.rule_norm for r in odd.join(streets, odd.rule_norm == streets.street_norm, "left_anti").toLocalIterator())
-    while block := list(itertools.islice(names, NAMES)):
-        out = out.unionByName(streets.select("street_norm").mapInArrow(_found_by_pattern(block), "rule_norm string, street_norm string"))
-    return out
+    some = odd.where("gram <> ''").join(held, "gram").select("rule_norm", "street_norm").distinct()
+    shares = odd.where("gram = ''").select("rule_norm", F.explode(F.expr(f"sequence(0, {SHARES - 1})")).alias("share"))
+    every = shares.join(streets.withColumn("share", F.expr(f"cast(pmod(xxhash64(street_norm), {SHARES}) as int)")), "share").select("rule_norm", "street_norm")
+    searched = some.unionByName(every).mapInArrow(_searched, "rule_norm string, street_norm string")
+    return equal.unionByName(found.select("rule_norm", "street_norm")).unionByName(searched)
 
 
 _TEST = ("rule_norm", "kind", "parity", "ranges", "singles")

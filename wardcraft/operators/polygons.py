@@ -5,13 +5,16 @@ Buildings are boxes, or polygons where the table has edges (spatial.polygons_of)
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardcraft.operators import cells, spatial
+from wardcraft.operators import cells, overlay, spatial
 from wardcraft.plans.shared import materialise
+from wardcraft.sources import wkb
 
-#: What describes a shape of the first recipe by seeds, beside its section and street. Fixed values.
+#: What describes a shape by seeds, beside its section and street. Fixed value.
 METHOD = "seed_buildings_plus_strip"
 
 
@@ -34,16 +37,88 @@ def _sampled_segments(samples: DataFrame) -> DataFrame:
 
 def seed_layers(points: DataFrame, boxes: DataFrame, segments: DataFrame, local: float = 500.0, pad: float = 10.0, frontage: float = 35.0, max_seed: float = 350.0, n: int = 300) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(street, corridor, chosen): the sampled street along each section's points, the shapes in its corridor, and for each point its seed
-    (bld_id, d) or the reason why it has none. The points with a reason are the layer of failed points, the others that of seeds."""
+    (bld_id, d) or the reason why it has none (`debug_layers`). ValueError if no section has a street near its points, or none has a building by its street."""
     of_line = points.select("line_id", "key").distinct()
-    close = segments.join(points.select("line_id", F.col("x"), F.col("y")).distinct(), "line_id").where(F.expr(f"{spatial.point_segment('x', 'y', 'x0', 'y0', 'x1', 'y1')} <= {local}"))
-    kept = segments.join(close.select("line_id", "seg_no").distinct(), ["line_id", "seg_no"], "left_semi")
+    kept = spatial.close_segments(points, segments, local)
     street = _sampled_segments(spatial.samples(spatial.measures(points, kept), kept, n, pad)).join(of_line, "line_id")
     street = materialise(points.sparkSession, street, "street")
+    if street.isEmpty():
+        raise ValueError(f"no part of a street within {local} of its points")
     corridor = materialise(points.sparkSession, spatial.meeting(boxes, street, frontage), "corridor")
+    if corridor.isEmpty():
+        raise ValueError(f"no building within {frontage} of a street")
     return street, corridor, spatial.seeds(points, boxes, corridor, max_seed)
 
 
+def debug_layers(points: DataFrame, chosen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(seeds, failed): pt_id, best_d, x, y of the points that have a seed; pt_id, reason, x, y of those that don't."""
+    at = chosen.join(points.select("pt_id", "x", "y"), "pt_id")
+    return at.where("reason is null").select("pt_id", F.col("d").alias("best_d"), "x", "y"), at.where("reason is not null").select("pt_id", "reason", "x", "y")
+
+
+def layer(spark: SparkSession, shape: DataFrame, c: float, named: DataFrame, method: str | None = None, **lengths: float) -> DataFrame:
+    """Cells (key, cj, a, b) of sections and named(key, street) -> sv, street, [method, the lengths by name], wkb: a multipolygon each.
+
+    lengths of a shape by seeds are frontage_dist, max_seed_dist, grow_m, fill_m and strip_depth.
+    """
+    found = overlay.shapes(overlay.cell_rings(spark, shape, c)).join(named, "key")
+    more = [F.lit(method).alias("method")] if method else []
+    return found.select(F.col("key").alias("sv"), "street", *more, *[F.lit(v).alias(k) for k, v in lengths.items()], "wkb")
+
+
+_EDGE_ROWS = "key long, ring long, hole boolean, x0 double, y0 double, x1 double, y1 double"
+
+
+def _edges_of_wkb(batches):
+    for batch in batches:
+        for key, raw in zip(batch.column("key").to_pylist(), batch.column("wkb"), strict=True):
+            if not raw.is_valid:
+                continue
+            kind, parts, _ = wkb.load(raw.as_py())
+            parts = {"Polygon": [parts], "MultiPolygon": parts}.get(kind, [])
+            ring = -1
+            for part in parts:
+                for k, points in enumerate(part):
+                    ring += 1
+                    xy = np.array(points)[:, :2]
+                    n = len(xy) - 1
+                    yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array([ring] * n, pa.int64()), pa.array([k > 0] * n), *[pa.array(np.ascontiguousarray(c)) for c in (xy[:-1, 0], xy[:-1, 1], xy[1:, 0], xy[1:, 1])]], [f.split()[0] for f in _EDGE_ROWS.split(", ")])
+
+
+def edges_of(shapes: DataFrame) -> DataFrame:
+    """shapes(key, wkb) -> key, ring, hole, x0, y0, x1, y1: the edges of polygons and multipolygons; others have none."""
+    return shapes.select(F.col("key").cast("long").alias("key"), "wkb").mapInArrow(_edges_of_wkb, _EDGE_ROWS)
+
+
+def dissolve(spark: SparkSession, shapes: DataFrame, snap: float = 1e-6) -> DataFrame:
+    """shapes(key, id, wkb) -> vertices of the rings of each key's polygons as one shape, repaired as well (see overlay.dissolved)."""
+    numbered = shapes.select("key", "wkb", F.xxhash64("key", "id").alias("of"))
+    edges = edges_of(numbered.select(F.col("of").alias("key"), "wkb")).withColumn("of", F.col("key")).drop("key").join(numbered.select("of", "key").distinct(), "of")
+    edges = edges.select("key", F.struct("of", "ring").alias("ring"), "hole", "x0", "y0", "x1", "y1")
+    return overlay.dissolved(spark, overlay.oriented(edges, F.col("hole")), snap)
+
+
+def boundary(spark: SparkSession, shapes: DataFrame, name: str, source: str = "extract", snap: float = 1e-6) -> tuple[DataFrame, DataFrame]:
+    """shapes(id, wkb) -> (layer, edges): one row of name, source, wkb with all polygons as one, and its edges (x0, y0, x1, y1) for clipping."""
+    vertices = dissolve(spark, shapes.select(F.lit(0).cast("long").alias("key"), "id", "wkb"), snap)
+    vertices = materialise(spark, vertices, "boundary")
+    found = overlay.shapes(vertices).select(F.lit(name).alias("name"), F.lit(source).alias("source"), "wkb")
+    return found, overlay.ring_edges(vertices).select("x0", "y0", "x1", "y1")
+
+
+def buildings_within(shapes: DataFrame, outline: DataFrame, transform=None) -> DataFrame:
+    """shapes(bld_id, wkb) of buildings and the outline's edges -> polygons (as of spatial.polygons_of) of those that have a place in the outline.
+
+    transform: Columns x, y -> Columns of the working system, in which the outline and the result are.
+    """
+    edges = edges_of(shapes.select(F.col("bld_id").alias("key"), "wkb")).withColumnRenamed("key", "bld_id")
+    if transform:
+        (x0, y0), (x1, y1) = (transform(F.col(f"x{k}"), F.col(f"y{k}")) for k in (0, 1))
+        edges = edges.select("bld_id", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+    met = spatial.meeting_polygons(edges.select(F.col("bld_id").alias("id"), F.lit(True).alias("area"), "x0", "y0", "x1", "y1"), outline.select(F.lit(0).cast("long").alias("poly_id"), "x0", "y0", "x1", "y1"))
+    return spatial.polygons_of(edges.join(met.select(F.col("id").alias("bld_id")), "bld_id", "left_semi"))
+
+
 def seeds_and_strip(spark: SparkSession, points: DataFrame, boxes: DataFrame, segments: DataFrame, boundary: DataFrame, c: float = 5.0, local: float = 500.0, pad: float = 10.0, frontage: float = 35.0, max_seed: float = 350.0, grow: float = 18.0, divider: float = 22.0, neighbourhood: float = 350.0, fill: float = 14.0, strip: float = 25.0, clamp: float = 140.0, n: int = 300) -> DataFrame:
     """points(pt_id, key, line_id, x, y): seeds by nearest building, grown along the street, with a strip; -> cells (key, cj, a, b).
 

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wardcraft.functions.geometry import box_box, crosses_ray, inside, param, point_box, point_polygon, point_segment, segment_box, segment_segment
+from wardcraft.functions.geometry import box_box, crosses_ray, inside, param, point_box, point_polygon, point_segment, segment_segment
+from wardcraft.operators.cells import held
 from wardcraft.plans.shared import materialise
 
 POINT, BOX, SEGMENT = ("x", "y"), ("x0", "y0", "x1", "y1"), ("x0", "y0", "x1", "y1")
@@ -40,9 +41,9 @@ def _own(df: DataFrame, box: tuple[str, ...], pad: float) -> DataFrame:
     return df.withColumn("own", F.expr(level(f"greatest({x1} - {x0}, {y1} - {y0}) + {2 * pad}")))
 
 
-def _levels(*tables: DataFrame) -> list[int]:
+def _levels(table: DataFrame) -> list[int]:
     """The levels that shapes have: a row per power of two, so few."""
-    return sorted({r.own for t in tables for r in t.select("own").distinct().collect() if r.own is not None})
+    return sorted(r.own for r in table.select("own").distinct().collect() if r.own is not None)
 
 
 def _cells(df: DataFrame, box: tuple[str, ...], pad: float) -> DataFrame:
@@ -52,9 +53,10 @@ def _cells(df: DataFrame, box: tuple[str, ...], pad: float) -> DataFrame:
     return df.withColumn("ci", F.explode(F.expr(span(x0, x1)))).withColumn("cj", F.explode(F.expr(span(y0, y1))))
 
 
-def _upwards(df: DataFrame, levels: list[int], own: str = "own") -> DataFrame:
-    """Each row at its own level and all coarser ones."""
-    return df.withColumn("lv", F.explode(F.filter(F.array(*[F.lit(x) for x in levels]).cast("array<int>"), lambda x: x >= F.col(own))))
+def _upwards(df: DataFrame, others: list[int]) -> DataFrame:
+    """Each row at its own level, and at the coarser ones that the other table has."""
+    coarser = F.filter(F.array(*[F.lit(x) for x in others]).cast("array<int>"), lambda x: x > F.col("own"))
+    return df.withColumn("lv", F.explode(F.concat(F.array("own"), coarser)))
 
 
 def box_pairs(a: DataFrame, a_box: tuple[str, ...], b: DataFrame, b_box: tuple[str, ...], pad: float, *on: str) -> DataFrame:
@@ -64,8 +66,8 @@ def box_pairs(a: DataFrame, a_box: tuple[str, ...], b: DataFrame, b_box: tuple[s
     shape and a radius. Cells are met by sorting: what was made of cells is never sent to all tasks.
     """
     left, right = _own(a, a_box, 0.0), _own(b, b_box, pad)
-    levels = _levels(left, right)
-    left, right = _cells(_upwards(left, levels), a_box, 0.0), _cells(_upwards(right, levels).withColumnRenamed("own", "own_b"), b_box, pad)
+    levels, others = _levels(left), _levels(right)
+    left, right = _cells(_upwards(left, others), a_box, 0.0), _cells(_upwards(right, levels).withColumnRenamed("own", "own_b"), b_box, pad)
     first = lambda p, q, c: f"{c} = greatest(floor({p} / pow(2e0, lv)), floor(({q} - {pad}) / pow(2e0, lv)))"
     once = f"lv = greatest(own, own_b) and {first(a_box[0], b_box[0], 'ci')} and {first(a_box[1], b_box[1], 'cj')}"
     near = " and ".join(f"{a_box[k]} <= {b_box[k + 2]} + {pad} and {a_box[k + 2]} >= {b_box[k]} - {pad}" for k in (0, 1))
@@ -127,15 +129,40 @@ def nearest_by_steps(spark: SparkSession, points: DataFrame, boxes: DataFrame, r
     return out
 
 
+def _segment_box(pairs: DataFrame, s: tuple[str, ...], b: tuple[str, ...]) -> DataFrame:
+    """pairs with d, the distance of a segment and a filled box, and far, the greatest distance of a place of the box; in steps, so that expressions stay small."""
+    (x0, y0, x1, y1), (a0, b0, a1, b1) = s, b
+    pairs = held(pairs, _dx=F.expr(f"{x1} - {x0}"), _dy=F.expr(f"{y1} - {y0}"))
+    pairs = held(pairs, _q=F.expr("_dx * _dx + _dy * _dy"))
+    t = {k: F.expr(f"case when _q = 0 then 0e0 else greatest(0e0, least(1e0, (({p} - {x0}) * _dx + ({q} - {y0}) * _dy) / _q)) end") for k, (p, q) in enumerate((p, q) for p in (a0, a1) for q in (b0, b1))}
+    pairs = held(pairs, **{f"_t{k}": v for k, v in t.items()})
+    ends = [(p, q) for p in (a0, a1) for q in (b0, b1)]
+    pairs = held(pairs, **{f"_c{k}": F.expr(f"pow({p} - ({x0} + _t{k} * _dx), 2) + pow({q} - ({y0} + _t{k} * _dy), 2)") for k, (p, q) in enumerate(ends)})
+    side = lambda o, d, p, q: (f"case when {d} = 0 then 0e0 else least(({p} - {o}) / {d}, ({q} - {o}) / {d}) end", f"case when {d} = 0 then 1e0 else greatest(({p} - {o}) / {d}, ({q} - {o}) / {d}) end")
+    (lx, hx), (ly, hy) = side(x0, "_dx", a0, a1), side(y0, "_dy", b0, b1)
+    flat = f"(_dx <> 0 or {x0} between {a0} and {a1}) and (_dy <> 0 or {y0} between {b0} and {b1})"
+    pairs = held(pairs, _in=F.expr(f"{flat} and greatest(0e0, {lx}, {ly}) <= least(1e0, {hx}, {hy})"), _e0=F.expr(point_box(x0, y0, *b)), _e1=F.expr(point_box(x1, y1, *b)))
+    pairs = pairs.withColumn("d", F.expr("case when _in then 0e0 else least(sqrt(least(_c0, _c1, _c2, _c3)), _e0, _e1) end")).withColumn("far", F.expr("sqrt(greatest(_c0, _c1, _c2, _c3))"))
+    return pairs.select(*[c for c in pairs.columns if not c.startswith("_")])
+
+
 def meeting(boxes: DataFrame, segments: DataFrame, radius: float) -> DataFrame:
-    """Boxes within the radius of any of the segments (a corridor); each once."""
-    s = segments.select(F.col("x0").alias("sx0"), F.col("y0").alias("sy0"), F.col("x1").alias("sx1"), F.col("y1").alias("sy1"))
+    """Boxes within the radius of any of the segments (a corridor); each once.
+
+    A polygon whose bounds lie within the radius of one segment (no place of a box is farther than its corners) isn't measured itself.
+    """
+    s = segments.select(F.col("x0").alias("sx0"), F.col("y0").alias("sy0"), F.col("x1").alias("sx1"), F.col("y1").alias("sy1")).distinct()
     s = s.select("*", F.least("sx0", "sx1").alias("lx"), F.least("sy0", "sy1").alias("ly"), F.greatest("sx0", "sx1").alias("hx"), F.greatest("sy0", "sy1").alias("hy"))
     own = ("sx0", "sy0", "sx1", "sy1")
-    pairs = box_pairs(boxes, BOX, s, ("lx", "ly", "hx", "hy"), radius).where(F.expr(f"{segment_box(own, BOX)} <= {radius}"))
-    if "edges" in boxes.columns:
-        pairs = pairs.withColumn("held", F.expr(inside("sx0", "sy0", "edges"))).withColumn("e", F.explode("edges")).where(F.expr(f"held or {segment_segment(own, _EDGE)} <= {radius}"))
-    return boxes.join(pairs.select("bld_id").distinct(), "bld_id", "left_semi")
+    near = lambda b: _segment_box(box_pairs(b.select("bld_id", *BOX), BOX, s, ("lx", "ly", "hx", "hy"), radius), own, BOX)
+    found = near(boxes).groupBy("bld_id").agg(F.min("d").alias("d"), F.min("far").alias("far")).where(F.col("d") <= radius)
+    if "edges" not in boxes.columns:
+        return boxes.join(found.select("bld_id"), "bld_id", "left_semi")
+    found = materialise(boxes.sparkSession, found.select("bld_id", (F.col("far") <= radius).alias("sure")), "near")
+    open_ = boxes.join(found.where("not sure").select("bld_id"), "bld_id", "left_semi")
+    rest = near(open_).where(F.col("d") <= radius).select("bld_id", *own).join(boxes.select("bld_id", "edges"), "bld_id")
+    rest = rest.withColumn("held", F.expr(inside("sx0", "sy0", "edges"))).withColumn("e", F.explode("edges")).where(F.expr(f"held or {segment_segment(own, _EDGE)} <= {radius}"))
+    return boxes.join(found.where("sure").select("bld_id").union(rest.select("bld_id")).distinct(), "bld_id", "left_semi")
 
 
 def seeds(points: DataFrame, boxes: DataFrame, corridor: DataFrame, radius: float) -> DataFrame:
@@ -147,15 +174,25 @@ def seeds(points: DataFrame, boxes: DataFrame, corridor: DataFrame, radius: floa
 
 
 def close_pairs(candidates: DataFrame, seed_boxes: DataFrame, radius: float, *keys: str) -> DataFrame:
-    """Candidates with the distinct keys of the seed boxes within the radius of them."""
+    """Candidates with the distinct keys of the seed boxes within the radius of them.
+
+    Polygons of which two corners are within the radius aren't measured any more, nor is a candidate again for a key that it has.
+    """
     s = seed_boxes.select(*keys, *[F.col(c).alias(f"s{c}") for c in _shape(seed_boxes)])
     s = s.dropDuplicates([*keys, *[f"s{c}" for c in BOX]]) if "edges" not in seed_boxes.columns else s
-    pairs = box_pairs(candidates, BOX, s, ("sx0", "sy0", "sx1", "sy1"), radius).where(F.expr(f"{box_box(('sx0', 'sy0', 'sx1', 'sy1'), BOX)} <= {radius}"))
+    shape = ["bld_id", *_shape(candidates)]
+    pairs = box_pairs(candidates.select(shape), BOX, s, ("sx0", "sy0", "sx1", "sy1"), radius).where(F.expr(f"{box_box(('sx0', 'sy0', 'sx1', 'sy1'), BOX)} <= {radius}"))
+    found = pairs.select(*keys, "bld_id")
     if "edges" in candidates.columns:
+        corner = f"exists(edges, e -> exists(sedges, f -> (e.x0 - f.x0) * (e.x0 - f.x0) + (e.y0 - f.y0) * (e.y0 - f.y0) <= {radius * radius}))"
+        pairs = materialise(candidates.sparkSession, pairs.select(*keys, "bld_id", F.expr(corner).alias("sure"), F.when(~F.expr(corner), F.struct("edges", "sedges")).alias("p")), "near")
+        sure = pairs.where("sure").select(*keys, "bld_id").distinct()
+        rest = pairs.where("not sure").join(sure, [*keys, "bld_id"], "left_anti").select(*keys, "bld_id", "p.*")
         held = f"{inside('edges[0].x0', 'edges[0].y0', 'sedges')} or {inside('sedges[0].x0', 'sedges[0].y0', 'edges')}"
-        pairs = pairs.withColumn("held", F.expr(held)).withColumn("e", F.explode("edges")).withColumn("f", F.explode("sedges"))
-        pairs = pairs.where(F.expr(f"held or {segment_segment(('f.x0', 'f.y0', 'f.x1', 'f.y1'), _EDGE)} <= {radius}"))
-    return candidates.join(pairs.select(*keys, "bld_id").distinct(), "bld_id", "inner" if keys else "left_semi")
+        rest = rest.withColumn("held", F.expr(held)).withColumn("e", F.explode("edges")).withColumn("f", F.explode("sedges"))
+        rest = rest.where(F.expr(f"held or {segment_segment(('f.x0', 'f.y0', 'f.x1', 'f.y1'), _EDGE)} <= {radius}"))
+        found = sure.union(rest.select(*keys, "bld_id"))
+    return candidates.join(found.distinct(), "bld_id", "inner" if keys else "left_semi")
 
 
 def grown(candidates: DataFrame, seed_boxes: DataFrame, radius: float) -> DataFrame:
@@ -163,10 +200,27 @@ def grown(candidates: DataFrame, seed_boxes: DataFrame, radius: float) -> DataFr
     return close_pairs(candidates, seed_boxes, radius)
 
 
+def _bounded(segments: DataFrame) -> DataFrame:
+    low, high = (lambda c: F.least(f"{c}0", f"{c}1")), (lambda c: F.greatest(f"{c}0", f"{c}1"))
+    return segments.select("*", low("x").alias("lx"), low("y").alias("ly"), high("x").alias("hx"), high("y").alias("hy"))
+
+
+def _beside(points: DataFrame, segments: DataFrame, radius: float) -> DataFrame:
+    """Each segment with the points of its line that lie within the radius of its bounds."""
+    p = points.select("line_id", "x", "y", F.col("x").alias("x_"), F.col("y").alias("y_")).distinct()
+    return box_pairs(_bounded(segments), ("lx", "ly", "hx", "hy"), p, ("x", "y", "x_", "y_"), radius, "line_id").drop("lx", "ly", "hx", "hy", "x_", "y_")
+
+
+def close_segments(points: DataFrame, segments: DataFrame, radius: float) -> DataFrame:
+    """The segments within the radius of any point of their line."""
+    close = _beside(points, segments, radius).where(F.expr(f"{point_segment(*POINT, *SEGMENT)} <= {radius}"))
+    return segments.join(close.select("line_id", "seg_no").distinct(), ["line_id", "seg_no"], "left_semi")
+
+
 def near_points(points: DataFrame, segments: DataFrame, radius: float) -> DataFrame:
     """points(line_id, x, y) -> parts (line_id, a, b): the stretches of each line, from measure a to b, within the radius of any of its points."""
     dx, dy, ex, ey = "(x1 - x0)", "(y1 - y0)", "(x0 - x)", "(y0 - y)"
-    pairs = segments.join(points.select("line_id", "x", "y").distinct(), "line_id")
+    pairs = _beside(points, segments, radius)
     pairs = pairs.selectExpr("line_id", "m0", f"{dx} * {dx} + {dy} * {dy} as q", f"{dx} * {ex} + {dy} * {ey} as p", f"{ex} * {ex} + {ey} * {ey} - {radius * radius} as r").where("q > 0 and p * p >= q * r")
     ends = F.expr("struct(sqrt(q) as len, (-p - sqrt(p * p - q * r)) / q as s, (-p + sqrt(p * p - q * r)) / q as t)")
     cut = pairs.select("line_id", "m0", F.explode(F.array(ends)).alias("e")).select("line_id", "m0", "e.*").where("s <= 1 and t >= 0")  # a generator, so that they are computed once
@@ -185,10 +239,21 @@ def cut(segments: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def measures(points: DataFrame, segments: DataFrame) -> DataFrame:
-    """points with line_id -> pt_id, line_id, d, m: distance from the line, and where along it the nearest place is (the first segment on a tie)."""
+    """points with line_id -> pt_id, line_id, d, m: distance from the line, and where along it the nearest place is (the first segment on a tie).
+
+    Of a line of n segments the start of about each square root of n-th bounds the distance; only segments whose bounds are as near are measured, so
+    a point never meets all of a long line.
+    """
+    step = segments.groupBy("line_id").agg(F.ceil(F.sqrt(F.count(F.lit(1)))).alias("step"))
+    marks = segments.join(step, "line_id").where("seg_no % step = 0").select("line_id", F.col("x0").alias("mx"), F.col("y0").alias("my"))
+    places = points.select("line_id", "x", "y").distinct()
+    far = places.join(marks, "line_id").groupBy("line_id", "x", "y").agg(F.min(F.expr("(x - mx) * (x - mx) + (y - my) * (y - my)")).alias("q"))
+    far = far.select("line_id", "x", "y", F.expr("sqrt(q) * (1 + 1e-9) + 1e-9").alias("r")).selectExpr("line_id", "x", "y", "x - r as px0", "y - r as py0", "x + r as px1", "y + r as py1")
+    near = box_pairs(_bounded(segments), ("lx", "ly", "hx", "hy"), far, ("px0", "py0", "px1", "py1"), 0.0, "line_id")
     t = param(*POINT, *SEGMENT)
-    pairs = points.join(segments, "line_id").select("pt_id", "line_id", "seg_no", F.expr(point_segment(*POINT, *SEGMENT)).alias("d"), F.expr(f"m0 + {t} * sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))").alias("m"))
-    return pairs.groupBy("pt_id", "line_id").agg(F.min(F.struct("d", "seg_no", "m")).alias("r")).select("pt_id", "line_id", "r.d", "r.m")
+    found = near.select("line_id", "x", "y", "seg_no", F.expr(point_segment(*POINT, *SEGMENT)).alias("d"), F.expr(f"m0 + {t} * sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))").alias("m"))
+    best = found.groupBy("line_id", "x", "y").agg(F.min(F.struct("d", "seg_no", "m")).alias("r"))
+    return points.join(best, ["line_id", "x", "y"]).select("pt_id", "line_id", "r.d", "r.m")
 
 
 def samples(measured: DataFrame, segments: DataFrame, n: int = 300, pad: float = 10.0) -> DataFrame:
@@ -210,6 +275,19 @@ def points_in_polygons(points: DataFrame, edges: DataFrame, size: float = 100.0)
     return pairs.groupBy("poly_id", "pt_id").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").select("poly_id", "pt_id")
 
 
+def meeting_polygons(shapes: DataFrame, edges: DataFrame, size: float = 100.0) -> DataFrame:
+    """shapes(id, area, x0, y0, x1, y1), the edges of lines, points (both ends the same) and, where `area`, rings; edges(poly_id, x0, y0, x1, y1) ->
+    the distinct poly_id, id of shapes and polygons that have a place in common: an edge crosses or touches one of the polygon's, or an end lies inside, or the polygon lies in the shape."""
+    s = _bounded(shapes.select(F.col("id"), *[F.col(c).alias(f"s{c}") for c in SEGMENT]).select("*", *[F.col(f"s{c}").alias(c) for c in SEGMENT])).drop(*SEGMENT)
+    e = _bounded(edges).withColumnsRenamed({"lx": "qx0", "ly": "qy0", "hx": "qx1", "hy": "qy1"})
+    crossed = box_pairs(s, ("lx", "ly", "hx", "hy"), e, ("qx0", "qy0", "qx1", "qy1"), 0.0).where(F.expr(f"{segment_segment(('sx0', 'sy0', 'sx1', 'sy1'), SEGMENT)} = 0"))
+    first = shapes.groupBy("id").agg(F.min(F.struct("x0", "y0")).alias("p")).select(F.col("id").alias("pt_id"), F.col("p.x0").alias("x"), F.col("p.y0").alias("y"))
+    within = points_in_polygons(first, edges, size).select("poly_id", F.col("pt_id").alias("id"))
+    corner = edges.groupBy("poly_id").agg(F.min(F.struct("x0", "y0")).alias("p")).select(F.col("poly_id").alias("pt_id"), F.col("p.x0").alias("x"), F.col("p.y0").alias("y"))
+    around = points_in_polygons(corner, shapes.where("area").select(F.col("id").alias("poly_id"), *SEGMENT), size).select(F.col("pt_id").alias("poly_id"), F.col("poly_id").alias("id"))
+    return crossed.select("poly_id", "id").union(within).union(around).distinct()
+
+
 def bounds(points: DataFrame, *keys: str) -> DataFrame:
     return points.groupBy(*keys).agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
 

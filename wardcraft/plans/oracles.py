@@ -202,7 +202,7 @@ held AS (SELECT c.bld_id FROM w c JOIN w s ON s.bld_id % 97 = 0 AND s.e = 1 AND
   UNION ALL SELECT s.bld_id FROM w s JOIN w c ON c.bld_id % 97 = 0 AND s.e = 1 AND s.x0 BETWEEN c.lx AND c.hx AND s.y0 BETWEEN c.ly AND c.hy WHERE {crosses_ray('s.x0', 's.y0', 'c.x0', 'c.y0', 'c.x1', 'c.y1')} GROUP BY c.bld_id, s.bld_id HAVING count(*) % 2 = 1)
 SELECT bld_id FROM near WHERE d <= {GROW} UNION SELECT bld_id FROM held""",
     "near_parts": f"""{with_views('v_pt', 'v_vert')},{SEG},
-pq AS (SELECT s.line_id, s.m0, s.len, (s.x1 - s.x0) * (s.x0 - p.x) + (s.y1 - s.y0) * (s.y0 - p.y) AS p, (s.x0 - p.x) * (s.x0 - p.x) + (s.y0 - p.y) * (s.y0 - p.y) - 900e0 AS r FROM seg s JOIN v_pt p ON s.line_id = p.line_id WHERE p.pt_id % 10 = 7 AND p.pt_id < 100),
+pq AS (SELECT s.line_id, s.m0, s.len, (s.x1 - s.x0) * (s.x0 - p.x) + (s.y1 - s.y0) * (s.y0 - p.y) AS p, (s.x0 - p.x) * (s.x0 - p.x) + (s.y0 - p.y) * (s.y0 - p.y) - 2.25e0 AS r FROM seg s JOIN v_pt p ON s.line_id = p.line_id),
 iv AS (SELECT line_id, m0 + greatest(0, (-p - sqrt(p * p - len * len * r)) / len) AS a, m0 + least(len, (-p + sqrt(p * p - len * len * r)) / len) AS b FROM pq WHERE len > 0 AND p * p >= len * len * r AND -p - sqrt(p * p - len * len * r) <= len * len AND -p + sqrt(p * p - len * len * r) >= 0),
 st AS (SELECT DISTINCT i.line_id, i.a FROM iv i WHERE NOT EXISTS (SELECT 1 FROM iv j WHERE j.line_id = i.line_id AND j.a < i.a AND j.b >= i.a - 1e-9)),
 pa AS (SELECT line_id, a, lead(a) OVER (PARTITION BY line_id ORDER BY a) AS nxt FROM st)
@@ -228,6 +228,19 @@ SELECT key, round(CAST(n * {size * size} AS DOUBLE), 3) AS area, CAST(corners AS
 
 
 _ROAD = SEG.replace("v_vert", "v_road")
+
+
+def _in_polygons(shapes: str, area: bool) -> str:
+    """Pairs of a polygon and a shape of which edges meet, or of which one holds an end of the other."""
+    inside = lambda px, py, e: f"sum(CASE WHEN {crosses_ray(px, py, *(f'{e}.{c}' for c in ('x0', 'y0', 'x1', 'y1')))} THEN 1 ELSE 0 END) % 2 = 1"
+    around = f" UNION SELECT poly_id, id FROM corner c, shapes s GROUP BY poly_id, id HAVING {inside('min(c.p.x0)', 'min(c.p.y0)', 's')}" if area else ""
+    around = around.replace("min(c.p.x0)", "c.p.x0").replace("min(c.p.y0)", "c.p.y0")
+    return f"""{shapes},
+first AS (SELECT id, min(struct_pack(x0 := x0, y0 := y0)) AS p FROM shapes GROUP BY id), corner AS (SELECT poly_id, min(struct_pack(x0 := x0, y0 := y0)) AS p FROM v_edge GROUP BY poly_id)
+SELECT poly_id, id FROM shapes s, v_edge e WHERE {segment_segment(_S, ('e.x0', 'e.y0', 'e.x1', 'e.y1'))} = 0
+UNION SELECT poly_id, id FROM first f, v_edge e GROUP BY poly_id, id HAVING {inside('f.p.x0', 'f.p.y0', 'e')}{around}"""
+
+
 _BOTH_WAYS = """
 dir AS (SELECT osmid, pos, u, v, oneway, length, false AS reversed FROM v_piece WHERE oneway IS DISTINCT FROM '-1' UNION ALL SELECT osmid, pos, v, u, oneway, length, true FROM v_piece WHERE oneway IS NULL OR oneway NOT IN ('yes'))"""
 ORACLE_SQL |= {
@@ -245,4 +258,7 @@ pass AS (SELECT node FROM nb GROUP BY 1 HAVING count(*) = 2 AND max(greatest(o,
 walk AS (SELECT id AS of, u AS first, u, v, length, [osmid] AS ways, 1 AS n FROM e WHERE u NOT IN (SELECT node FROM pass)
   UNION ALL SELECT w.of, w.first, e.u, e.v, w.length + e.length, list_append(w.ways, e.osmid), w.n + 1 FROM walk w JOIN e ON e.u = w.v AND e.v <> w.u WHERE w.v IN (SELECT node FROM pass))
 SELECT first AS u, v, CAST(n AS BIGINT) AS n_pieces, length, array_to_string(list_sort(list_distinct(ways)), ',') AS osmid FROM walk WHERE v NOT IN (SELECT node FROM pass)""",
+    "long_line_measure": f"{with_views('v_pt', 'v_long')},{SEG.replace('v_vert', 'v_long')},{MEASURES} SELECT pt_id, line_id, round(d, 4) AS d, round(m, 4) AS m FROM meas",
+    "lines_in_polygons": _in_polygons(f"{with_views('v_road', 'v_edge')},{_ROAD}, shapes AS (SELECT line_id AS id, x0, y0, x1, y1 FROM seg)", False),
+    "houses_in_polygons": _in_polygons(f"{with_views('v_bedge', 'v_edge')}, shapes AS (SELECT bld_id AS id, x0, y0, x1, y1 FROM v_bedge)", True),
 }

@@ -403,9 +403,8 @@ def grow_polygon(spark, sf):
 
 @query
 def near_parts(spark, sf):
-    """Stretches of the lines within 30 of the points whose id ends in 7."""
-    parts = spatial.near_points(view(spark, sf, "v_pt").where("pt_id % 10 = 7 and pt_id < 100"), _segments(spark, sf), 30.0)
-    return _rounded(parts, "a", "b")
+    """Stretches of the lines within 1.5 of any of their points."""
+    return _rounded(spatial.near_points(view(spark, sf, "v_pt"), _segments(spark, sf), 1.5), "a", "b")
 
 
 @query
@@ -471,3 +470,24 @@ def street_directed(spark, sf):
 def street_simplified(spark, sf):
     found = graph.simplified(spark, graph.directed(view(spark, sf, "v_piece")))
     return found.select("u", "v", "n_pieces", "length", assets.flatten_list(F.array_sort("osmid")).alias("osmid"))
+
+
+@query
+def long_line_measure(spark, sf):
+    """Places along five lines that grow with the table."""
+    lines = spatial.segments_of(view(spark, sf, "v_long"))
+    return _rounded(spatial.measures(view(spark, sf, "v_pt"), lines), "d", "m")
+
+
+@query
+def lines_in_polygons(spark, sf):
+    """Which roads have a place in which polygons."""
+    roads = spatial.segments_of(view(spark, sf, "v_road")).select(F.col("line_id").alias("id"), F.lit(False).alias("area"), "x0", "y0", "x1", "y1")
+    return spatial.meeting_polygons(roads, view(spark, sf, "v_edge"))
+
+
+@query
+def houses_in_polygons(spark, sf):
+    """Which buildings have a place in which polygons."""
+    houses = view(spark, sf, "v_bedge").select(F.col("bld_id").alias("id"), F.lit(True).alias("area"), "x0", "y0", "x1", "y1")
+    return spatial.meeting_polygons(houses, view(spark, sf, "v_edge"))

@@ -65,6 +65,10 @@ FROM nation""",
     "v_road": """
 SELECT CAST(floor(c_custkey / 40) AS BIGINT) AS line_id, CAST(c_custkey % 40 AS BIGINT) AS seq,
   CAST((floor(c_custkey / 40) * 137) % 900 + (c_custkey % 40) * 3 AS DOUBLE) AS x, CAST((floor(c_custkey / 40) * 61) % 360 + (c_custkey * 7) % 23 AS DOUBLE) AS y
+FROM customer""",
+    "v_long": """
+SELECT CAST(c_custkey % 5 AS BIGINT) AS line_id, CAST(floor(c_custkey / 5) AS BIGINT) AS seq,
+  CAST(floor(c_custkey / 5) * 0.5e0 AS DOUBLE) AS x, CAST((c_custkey % 5) * 80 + (floor(c_custkey / 5) * 37) % 50 AS DOUBLE) AS y
 FROM customer""",
     "v_bow": """
 SELECT k AS ring, CASE e WHEN 0 THEN x WHEN 1 THEN x + w WHEN 2 THEN x + w ELSE x END AS x0, CASE e WHEN 0 THEN y WHEN 1 THEN y + 10 - h WHEN 2 THEN y ELSE y + h END AS y0,
