@@ -43,7 +43,7 @@ def is_geographic(srid: int) -> bool:
 
 
 def to_3844(lon: Column, lat: Column) -> tuple[Column, Column]:
-    """Oblique stereographic of degrees on the system's own ellipsoid (no datum shift): EPSG method 9809."""
+    """Oblique stereographic of degrees on the system's own ellipsoid and datum: EPSG method 9809."""
     s = F.sin(F.radians(lat))
     w = _C * F.pow((1 + s) / (1 - s) * F.pow((1 - _E * s) / (1 + _E * s), F.lit(_E)), F.lit(_N))
     chi = F.asin((w - 1) / (w + 1))
@@ -79,8 +79,46 @@ def mercator_inverse(x: Column, y: Column) -> tuple[Column, Column]:
     return F.degrees(x / RADIUS), F.degrees(2 * F.atan(F.exp(y / RADIUS)) - math.pi / 2)
 
 
+#: Ellipsoid of 4326 and the seven parameters from the datum of 3844 to it, position-vector form: metres, arc seconds, parts per million. Fixed values of the public registry.
+WGS84, SHIFT = (6378137.0, 298.257223563), (2.329, -147.042, -92.08, 0.309, -0.325, -0.497, 5.69)
+
+_T, _ROT, _K = SHIFT[:3], [math.radians(s / 3600) for s in SHIFT[3:6]], 1 + SHIFT[6] * 1e-6
+_M = [[_K, -_K * _ROT[2], _K * _ROT[1]], [_K * _ROT[2], _K, -_K * _ROT[0]], [-_K * _ROT[1], _K * _ROT[0], _K]]
+
+
+def _inverse(m: list[list[float]]) -> list[list[float]]:
+    """Of a matrix of three rows, by its cofactors."""
+    c = lambda i, j: m[(i + 1) % 3][(j + 1) % 3] * m[(i + 2) % 3][(j + 2) % 3] - m[(i + 1) % 3][(j + 2) % 3] * m[(i + 2) % 3][(j + 1) % 3]
+    d = sum(m[0][j] * c(0, j) for j in range(3))
+    return [[c(j, i) / d for j in range(3)] for i in range(3)]
+
+
+def geocentric(lon: Column, lat: Column, a: float, f_inv: float) -> tuple[Column, Column, Column]:
+    """X, Y, Z of degrees on the ellipsoid itself."""
+    e2 = 2 / f_inv - 1 / f_inv**2
+    s, c = F.sin(F.radians(lat)), F.cos(F.radians(lat))
+    n = a / F.sqrt(1 - e2 * s * s)
+    return n * c * F.cos(F.radians(lon)), n * c * F.sin(F.radians(lon)), n * (1 - e2) * s
+
+
+def geodetic(x: Column, y: Column, z: Column, a: float, f_inv: float) -> tuple[Column, Column]:
+    """Degrees of X, Y, Z near the ellipsoid, by one step of Bowring's."""
+    e2 = 2 / f_inv - 1 / f_inv**2
+    b = a * (1 - 1 / f_inv)
+    p = F.sqrt(x * x + y * y)
+    t = F.atan2(z * a, p * b)
+    return F.degrees(F.atan2(y, x)), F.degrees(F.atan2(z + e2 / (1 - e2) * b * F.pow(F.sin(t), 3), p - e2 * a * F.pow(F.cos(t), 3)))
+
+
+def shifted(x: Column, y: Column, z: Column, back: bool = False) -> tuple[Column, ...]:
+    """X, Y, Z of the datum of 3844 in that of 4326, or back."""
+    xyz = [c - t for c, t in zip((x, y, z), _T, strict=True)] if back else (x, y, z)
+    turned = [sum(m * c for m, c in zip(row, xyz, strict=True)) for row in (_inverse(_M) if back else _M)]
+    return tuple(turned) if back else tuple(c + t for c, t in zip(turned, _T, strict=True))
+
+
 def transform(x: Column, y: Column, src: int, dst: int) -> tuple[Column, Column]:
-    """Coordinates of one system in another, through degrees."""
+    """Coordinates of one system in another, through degrees; without the shift between the datums of 4326 and 3844, which `assets.reprojected` makes."""
     is_geographic(src), is_geographic(dst)
     if src == dst:
         return x, y

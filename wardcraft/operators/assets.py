@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardcraft.functions import crs
 from wardcraft.functions.numbers import housenumber_int
 from wardcraft.functions.text import normalize_street
+from wardcraft.operators.cells import held
 from wardcraft.plans.shared import materialise
 
 
@@ -20,6 +22,31 @@ def rename_colons(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed({c: c.replace(":", "_") for c in df.columns if ":" in c})
 
 
+def _replaced(df: DataFrame, names: tuple[str, ...], made: tuple[Column, ...]) -> DataFrame:
+    """df with columns in place of those of the same names, computed once."""
+    out = held(df, **{f"_new_{n}": m for n, m in zip(names, made, strict=True)})
+    return out.drop(*names).withColumnsRenamed({f"_new_{n}": n for n in names}).select(*df.columns, *[n for n in names if n not in df.columns])
+
+
+def reprojected(df: DataFrame, src: int, dst: int, x: str = "x", y: str = "y") -> DataFrame:
+    """df with the coordinates of one system in another, in the same columns; in steps, as one expression would grow with each of them."""
+    crs.is_geographic(src), crs.is_geographic(dst)
+    if src == dst:
+        return df
+    columns, c, xyz = df.columns, F.col, ("_x", "_y", "_z")
+    if src != 4326:
+        df = _replaced(df, (x, y), crs.mercator_inverse(c(x), c(y)) if src == 3857 else crs.from_3844(c(x), c(y)))
+    if 3844 in (src, dst):
+        own = (crs.A, crs.F_INV)
+        before, after = (own, crs.WGS84) if src == 3844 else (crs.WGS84, own)
+        df = _replaced(df, xyz, crs.geocentric(c(x), c(y), *before))
+        df = _replaced(df, xyz, crs.shifted(*map(c, xyz), back=dst == 3844))
+        df = _replaced(df, (x, y), crs.geodetic(*map(c, xyz), *after)).drop(*xyz)
+    if dst != 4326:
+        df = _replaced(df, (x, y), crs.mercator(c(x), c(y)) if dst == 3857 else crs.to_3844(c(x), c(y)))
+    return df.select(columns)
+
+
 def first_available(df: DataFrame, names: tuple[str, ...]) -> str:
     """The first of the names that is a column; ValueError if none is."""
     for name in names:

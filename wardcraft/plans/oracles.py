@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+
+from wardcraft.functions.crs import A, F_INV, FALSE, K0, LAT0, LON0, SHIFT, WGS84
 from wardcraft.functions.geometry import box_box, crosses_ray, param, point_box, point_segment, point_segment_squared, segment_box, segment_segment, to_3857
 from wardcraft.functions.rules import RANGE, SINGLE
 from wardcraft.functions.text import ACCENTED, PLAIN
@@ -241,6 +244,28 @@ SELECT poly_id, id FROM shapes s, v_edge e WHERE {segment_segment(_S, ('e.x0', '
 UNION SELECT poly_id, id FROM first f, v_edge e GROUP BY poly_id, id HAVING {inside('f.p.x0', 'f.p.y0', 'e')}{around}"""
 
 
+def _stereo70(places: str) -> str:
+    """From p0(pt_id, lo, la), radians of 4326: the seven parameters undone, latitude by four rounds of the classic iteration, then the oblique stereographic by conformal latitudes."""
+    k, (rx, ry, rz) = 1 + SHIFT[6] / 1e6, (np.radians(s / 3600) for s in SHIFT[3:6])
+    m = np.linalg.inv(k * np.array([[1, -rz, ry], [rz, 1, -rx], [-ry, rx, 1]]))
+    (a1, f1), (a2, f2) = WGS84, (A, F_INV)
+    e1, e2 = 2 / f1 - 1 / f1**2, 2 / f2 - 1 / f2**2
+    row = lambda r: " + ".join(f"({float(v)!r}) * ({c} - ({t}))" for v, c, t in zip(r, "gx gy gz".split(), SHIFT[:3], strict=True)).replace("'", "")
+    turn = lambda la: f"atan2(qz + {e2!r} * {a2!r} / sqrt(1 - {e2!r} * pow(sin({la}), 2)) * sin({la}), qp)"
+    return f"""{places},
+p1 AS (SELECT pt_id, n * cos(la) * cos(lo) AS gx, n * cos(la) * sin(lo) AS gy, n * (1 - {e1!r}) * sin(la) AS gz FROM (SELECT *, {a1!r} / sqrt(1 - {e1!r} * pow(sin(la), 2)) AS n FROM p0) t),
+p2 AS (SELECT pt_id, {row(m[0])} AS qx, {row(m[1])} AS qy, {row(m[2])} AS qz FROM p1),
+p3 AS (SELECT *, atan2(qy, qx) AS lo, sqrt(qx * qx + qy * qy) AS qp FROM p2), p4 AS (SELECT *, atan2(qz, qp * (1 - {e2!r})) AS l0 FROM p3),
+p5 AS (SELECT *, {turn('l0')} AS l1 FROM p4), p6 AS (SELECT *, {turn('l1')} AS l2 FROM p5), p7 AS (SELECT *, {turn('l2')} AS l3 FROM p6), p8 AS (SELECT *, {turn('l3')} AS la FROM p7),
+c0 AS (SELECT sqrt({e2!r}) AS e, radians({LAT0!r}) AS la0, radians({LON0!r}) AS lo0),
+c1 AS (SELECT *, {a2!r} * (1 - e * e) / pow(1 - e * e * pow(sin(la0), 2), 1.5) AS rho, {a2!r} / sqrt(1 - e * e * pow(sin(la0), 2)) AS nu, sqrt(1 + e * e * pow(cos(la0), 4) / (1 - e * e)) AS n FROM c0),
+c2 AS (SELECT *, sqrt(rho * nu) AS r, pow((1 + sin(la0)) / (1 - sin(la0)) * pow((1 - e * sin(la0)) / (1 + e * sin(la0)), e), n) AS w1 FROM c1),
+c3 AS (SELECT *, (n + sin(la0)) * (1 - (w1 - 1) / (w1 + 1)) / ((n - sin(la0)) * (1 + (w1 - 1) / (w1 + 1))) AS c FROM c2), c4 AS (SELECT *, asin((c * w1 - 1) / (c * w1 + 1)) AS x0 FROM c3),
+p9 AS (SELECT pt_id, r, x0, n * (lo - lo0) AS dl, c * pow((1 + sin(la)) / (1 - sin(la)) * pow((1 - e * sin(la)) / (1 + e * sin(la)), e), n) AS w FROM p8, c4),
+p10 AS (SELECT *, asin((w - 1) / (w + 1)) AS xi FROM p9), p11 AS (SELECT *, 1 + sin(xi) * sin(x0) + cos(xi) * cos(x0) * cos(dl) AS b FROM p10)
+SELECT pt_id, round({FALSE!r} + 2 * r * {K0!r} * cos(xi) * sin(dl) / b, 2) AS sx, round({FALSE!r} + 2 * r * {K0!r} * (sin(xi) * cos(x0) - cos(xi) * sin(x0) * cos(dl)) / b, 2) AS sy FROM p11"""
+
+
 _BOTH_WAYS = """
 dir AS (SELECT osmid, pos, u, v, oneway, length, false AS reversed FROM v_piece WHERE oneway IS DISTINCT FROM '-1' UNION ALL SELECT osmid, pos, v, u, oneway, length, true FROM v_piece WHERE oneway IS NULL OR oneway NOT IN ('yes'))"""
 ORACLE_SQL |= {
@@ -261,4 +286,5 @@ SELECT first AS u, v, CAST(n AS BIGINT) AS n_pieces, length, array_to_string(lis
     "long_line_measure": f"{with_views('v_pt', 'v_long')},{SEG.replace('v_vert', 'v_long')},{MEASURES} SELECT pt_id, line_id, round(d, 4) AS d, round(m, 4) AS m FROM meas",
     "lines_in_polygons": _in_polygons(f"{with_views('v_road', 'v_edge')},{_ROAD}, shapes AS (SELECT line_id AS id, x0, y0, x1, y1 FROM seg)", False),
     "houses_in_polygons": _in_polygons(f"{with_views('v_bedge', 'v_edge')}, shapes AS (SELECT bld_id AS id, x0, y0, x1, y1 FROM v_bedge)", True),
+    "stereo70": _stereo70(f"{with_views('v_pt')}, p0 AS (SELECT pt_id, radians(x / 150e0 + 21) AS lo, radians(y / 150e0 + 44) AS la FROM v_pt)"),
 }

@@ -282,6 +282,13 @@ def mercator(spark, sf):
     return view(spark, sf, "v_pt").select("pt_id", F.round(F.expr(x), 3).alias("mx"), F.round(F.expr(y), 3).alias("my"))
 
 
+@query
+def stereo70(spark, sf):
+    """Degrees of 4326 in 3844, datum shift included, to the centimetre."""
+    places = view(spark, sf, "v_pt").select("pt_id", F.expr("x / 150e0 + 21").alias("x"), F.expr("y / 150e0 + 44").alias("y"))
+    return assets.reprojected(places, 4326, 3844).select("pt_id", F.round("x", 2).alias("sx"), F.round("y", 2).alias("sy"))
+
+
 def _segments(spark, sf):
     return spatial.segments_of(view(spark, sf, "v_vert"))
 
