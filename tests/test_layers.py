@@ -60,7 +60,7 @@ def test_shape_layers(spark, small):
     assert not areas
     by_seeds = polygons.layer(spark, shape, 5.0, named, polygons.METHOD, frontage_dist=35.0, max_seed_dist=350.0, grow_m=18.0, fill_m=14.0, strip_depth=25.0)
     assert by_seeds.columns == ["sv", "street", "method", "frontage_dist", "max_seed_dist", "grow_m", "fill_m", "strip_depth", "wkb"]
-    _, _, chosen = polygons.seed_layers(points, houses, lines)
+    _, _, chosen = polygons.seed_layers(points, houses, lines, n=40)
     seeds, failed = polygons.debug_layers(points, chosen)
     assert seeds.columns == ["pt_id", "best_d", "x", "y"] and failed.columns == ["pt_id", "reason", "x", "y"]
     assert seeds.count() + failed.count() == points.count()
@@ -82,7 +82,7 @@ def test_boundary_pick_has_exact_types(spark):
 
 
 def test_datum_shift(spark):
-    """Against the same transformation by plain arithmetic, there and back within a millimetre; 100 to 250 m from the result without it."""
+    """Against the same transformation by plain arithmetic, there and back within a few millimetres, as heights are left out; 100 to 250 m from the result without it."""
     places = [(26.1025, 44.4268), (25.0, 46.0), (21.2, 45.75), (28.6, 44.17), (23.6, 46.77)]
     df = spark.createDataFrame([(k, *p) for k, p in enumerate(places)], "k int, x double, y double")
     there = assets.reprojected(df, 4326, 3844)
@@ -92,7 +92,7 @@ def test_datum_shift(spark):
     x, y = crs.transform(F.col("x"), F.col("y"), 4326, 3844)
     plain = {r.k: (r.x, r.y) for r in df.select("k", x.alias("x"), y.alias("y")).collect()}
     for r in there.collect():
-        assert back[r.k] == pytest.approx(places[r.k], abs=1e-8) and web[r.k] == pytest.approx((r.x, r.y), abs=1e-5)
+        assert back[r.k] == pytest.approx(places[r.k], abs=5e-8) and web[r.k] == pytest.approx((r.x, r.y), abs=1e-5)
         assert 100 < math.dist((r.x, r.y), plain[r.k]) < 250
     x, y = crs.from_3844(F.col("x"), F.col("y"))
     for r in there.select("k", x.alias("x"), y.alias("y")).collect():  # degrees of the other datum, shifted by hand
@@ -108,4 +108,4 @@ def test_datum_shift(spark):
         lat = math.atan2(q[2], flat)
         for _ in range(20):
             lat = math.atan2(q[2] + e2 * a / math.sqrt(1 - e2 * math.sin(lat) ** 2) * math.sin(lat), flat)
-        assert (math.degrees(math.atan2(q[1], q[0])), math.degrees(lat)) == pytest.approx(places[r.k], abs=1e-8)
+        assert (math.degrees(math.atan2(q[1], q[0])), math.degrees(lat)) == pytest.approx(places[r.k], abs=5e-8)
