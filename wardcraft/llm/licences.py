@@ -4,7 +4,8 @@ A template is license wording with marked regions: <<optional>> ... <</optional>
 PATTERN MOST>> stands for 1 to MOST words (* for any number) that each match PATTERN in full. It is compiled to a token automaton:
 states, edges that read a word, and free edges. A text is accepted where the automaton reads words from one
 place on to its final state, so all mandatory wording has to be there exactly and in order: full texts run from the grant to
-the end of the disclaimer, and one with a changed condition isn't accepted. Automata start only where a template's first two words stand.
+the end of the disclaimer, and one with a changed condition isn't accepted. Automata start only where a template's first two words stand, and
+each passes over a text once, whatever number of openings it has. A copyright line's holder has up to 40 words.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ TEMPLATES = {
     "unlicense": "this is free and unencumbered software released into the public domain. anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "bsd-2-clause": f"{_BSD} {_BSD_END}",
     "bsd-3-clause": f"{_BSD} <<optional>> 3 <</optional>> neither the name of <<var holder (?!nor$).+ *>> nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. {_BSD_END}",
-    "copyright": "copyright <<optional>> c <</optional>> <<var years [0-9]{4} 2>> <<var holder (?!copyright$).+ *>> all rights reserved",
+    "copyright": "copyright <<optional>> c <</optional>> <<var years [0-9]{4} 2>> <<var holder (?!copyright$).+ 40>> all rights reserved",
 }
 _MARK = re.compile(r"<<(/?)(\w+)([^<>]*)>>|([^\s<>]+)")
 
@@ -53,6 +54,9 @@ _MARK = re.compile(r"<<(/?)(\w+)([^<>]*)>>|([^\s<>]+)")
 _MUST = (b"license", b"licensed", b"permission", b"redistribution", b"copyright", b"unencumbered")
 
 
+LONG = 9
+
+
 class Automaton:
     """States by number; 0 is the first. words: state -> (word -> state); tests: state -> [(pattern, state)]; free: state -> [state]."""
 
@@ -61,7 +65,7 @@ class Automaton:
         self.tests: list[list[tuple[re.Pattern, int]]] = [[]]
         self.free: list[list[int]] = [[]]
         at, open_ = 0, []
-        #: With a region of any number of words the shortest reading counts, else the longest.
+        #: With a region of any number of words, or of more than LONG, the shortest reading counts, else the longest.
         self.shortest = False
         for close, kind, rest, word in _MARK.findall(template):
             if word:
@@ -82,8 +86,9 @@ class Automaton:
             elif kind == "var":
                 _, pattern, most = rest.rsplit(None, 2)[-3:] if len(rest.split()) > 2 else ("", *rest.split())
                 end, test = self._state(), re.compile(pattern.encode())
+                self.shortest |= most == "*" or int(most) > LONG
                 if most == "*":
-                    self.shortest, to = True, self._state()
+                    to = self._state()
                     self.tests[at].append((test, to))
                     self.tests[to].append((test, to))
                     self.free[to].append(end)
@@ -98,6 +103,7 @@ class Automaton:
         if open_:
             raise ValueError("an optional region is not closed")
         self.final = at
+        self.begin = self._closed({0})
         self.first = frozenset().union(*[self.words[s].keys() for s in self._closed({0})])
         if any(self.tests[s] for s in self._closed({0})) or not self.first:
             raise ValueError("a template starts with a word")
@@ -128,23 +134,44 @@ class Automaton:
                         out.add((first, None))
         return out
 
-    def match(self, words: list[bytes], at: int) -> int:
-        """One past the last word of the reading from `at`; `at` if there is none."""
-        states, end = self._closed({0}), at
-        for k in range(at, len(words)):
-            w, new = words[k], set()
-            for s in states:
-                if w in self.words[s]:
-                    new.add(self.words[s][w])
-                new.update(to for test, to in self.tests[s] if test.fullmatch(w))
-            states = self._closed(new)
-            if not states:
+    def matches(self, words: list[bytes], starts: list[int]) -> list[tuple[int, int]]:
+        """(start, one past the last word) of the readings that begin at the places `starts`, in order, in one pass over the words.
+
+        Of readings that stand in one state only the earliest is followed, as all go on alike: what is accepted for any of them is accepted for it.
+        """
+        out: dict[int, int] = {}
+        states: dict[int, int] = {}  # with the start of the reading
+        k = i = 0
+        while states or i < len(starts):
+            k = k if states else starts[i]
+            if k >= len(words):
                 break
-            if self.final in states:
-                end = k + 1
+            w, new = words[k], {}
+            now = list(states.items())
+            if i < len(starts) and starts[i] == k:
+                now += [(s, k) for s in self.begin]
+                i += 1
+            for s, start in now:
+                for to in [self.words[s][w]] if w in self.words[s] else []:
+                    new[to] = min(new.get(to, start), start)
+                for test, to in self.tests[s]:
+                    if start < new.get(to, len(words)) and test.fullmatch(w):
+                        new[to] = start
+            work = list(new)
+            while work:
+                s = work.pop()
+                for to in self.free[s]:
+                    if new[s] < new.get(to, len(words)):
+                        new[to] = new[s]
+                        work.append(to)
+            if self.final in new:
+                start = new[self.final]
+                out[start] = k + 1
                 if self.shortest:
-                    break
-        return end
+                    new = {s: x for s, x in new.items() if x != start}
+            states = new
+            k += 1
+        return sorted(out.items())
 
 
 @cache
@@ -174,13 +201,13 @@ def scan(text: bytes) -> tuple[int, list[tuple[int, str]], list[tuple[int, int,
         base.append((int(number[m.start()]) - 1, labels[m.lastindex - 1]))
     words: list[bytes] = []
     if any(x in low for x in _MUST):
-        for m in anchor.finditer(low):
+        spots = [m.start() for m in anchor.finditer(low)]
+        if spots:
             number = np.cumsum(start) if number is None else number
-            words = words or WORD.findall(low)
-            at = int(number[m.start()]) - 1
-            for label, automaton in automata.items():
-                if words[at] in automaton.first and (end := automaton.match(words, at)) > at:
-                    found.append((at, end, label))
+            words, places = WORD.findall(low), [int(k) - 1 for k in number[spots]]
+        for label, automaton in automata.items() if spots else ():
+            found += [(a, b, label) for a, b in automaton.matches(words, [at for at in places if words[at] in automaton.first])]
+        found.sort()
     return n, base, found
 
 
