@@ -9,7 +9,9 @@ of the original text.
 
 What inflates beyond `block_bytes` is never held whole: it is read as a stream, in blocks that overlap by `OVERLAP` bytes, each a layer
 of its own. All of an inflated layer stands for its whole stretch, so a secret that lies in a block gives the span that it would give
-in the whole; only a single one longer than the overlap can be missed. Layers come one at a time, depth first.
+in the whole. A block waits for the end of an encoded stretch, up to `RUN` times its size; a longer stretch that crosses its end is cut, and
+what is encoded there can be missed, as can a single secret longer than the overlap. Of data that are cut off, what can be inflated is
+read. Layers come one at a time, depth first.
 
 Escapes of escapes (%2541, \\u005cu0041, &#38;#65;) are undone in one step, however deep, as their layers differ in nothing else.
 """
@@ -31,7 +33,8 @@ from pyspark.sql import functions as F
 
 from wardcraft.llm.text import as_batch, per_batch, table, texts
 
-BLOCK_BYTES, OVERLAP, STEP = 4 << 20, 256 << 10, 1 << 18
+BLOCK_BYTES, OVERLAP, STEP, RUN = 4 << 20, 256 << 10, 1 << 18, 2
+_ENCODED = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=%\r\n"
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -124,7 +127,7 @@ def _inflate(raw: bytes, most: int) -> bytes | None:
         if not d.eof:
             if d.unconsumed_tail or len(part) >= left:
                 raise _Large
-            return b"".join(out) if out else None
+            return b"".join([*out, part]) if out or part else None  # it was cut off: what there is
         out.append(part)
         left -= len(part)
         raw = d.unused_data
@@ -172,15 +175,18 @@ def _streamed(raw: bytes, size: int) -> Iterator[bytes]:
         if not _packed(head):
             break
         chunks = _inflating(chunks)
-    held = bytearray()
-    fresh = False
+    held, fresh, most = bytearray(), False, size
     for c in chunks:
         held += c
         fresh = True
-        while len(held) >= size:
-            yield bytes(held[:size])
-            del held[: max(1, size - OVERLAP)]
-            fresh = len(held) > OVERLAP
+        while len(held) >= most:
+            goes_on = len(held) - len(held.rstrip(_ENCODED))
+            if goes_on > OVERLAP and len(held) < RUN * size:
+                most = min(RUN * size, len(held) + STEP)  # the block waits for the end of an encoded stretch
+                break
+            yield bytes(held)
+            del held[: max(1, len(held) - OVERLAP)]
+            most, fresh = size, len(held) > OVERLAP
     if fresh and held:
         yield bytes(held)
 
