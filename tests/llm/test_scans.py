@@ -1,7 +1,9 @@
 import base64
 import gzip
 import hashlib
+import random
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -86,6 +88,35 @@ def _plain(template, holder="The Example Authors"):
     return re.sub(r"<</?optional>>", " ", text)
 
 
+def test_one_pass_finds_what_each_start_finds():
+    r = random.Random(11)
+    automata = {k: licences.Automaton(v) for k, v in licences.TEMPLATES.items()}
+    readings = [licences.WORD.findall(re.sub("<<[^>]*>>", " 2020 ", t).lower().encode()) for t in licences.TEMPLATES.values()]
+    for _ in range(60):
+        words = []
+        for _ in range(r.randint(1, 6)):
+            x = r.choice(readings)
+            a = r.choice((0, 0, r.randrange(len(x))))
+            words += x[a : r.choice((len(x), a + r.randint(1, 30)))] + [r.choice([b"copyright", b"all", b"2020", b"as", b"is", b"x"])] * r.randint(0, 3)
+        for a in automata.values():
+            starts = [k for k, w in enumerate(words) if w in a.first]
+            alone = {k: m[0][1] for k in starts if (m := a.matches(words, [k]))}
+            got = dict(a.matches(words, starts))
+            assert bool(got) == bool(alone)
+            assert all(alone[k] <= e for k, e in got.items()) and set(got.values()) <= set(alone.values())
+
+
+def test_openings_without_end_take_linear_time():
+    began = time.time()
+    for opening in (b"this software is provided 'as-is', without any express ", b"copyright 2020 a b ", b"permission is hereby granted, free of charge, ", b"redistribution and use in source and binary forms, "):
+        licences.scan(opening * (1_000_000 // len(opening)))
+    assert time.time() - began < 30
+    story = b"Copyright 2020 we tell a story here. " + b"once more " * 8000 + b"All rights reserved."
+    n, base, found = licences.scan(story)
+    assert not found and licences.covered(n, base, found) < 0.01
+    assert [x[2] for x in licences.scan(b"Copyright (c) 1994 The Regents of the University of California and contributors. All rights reserved.")[2]] == ["copyright"]
+
+
 @pytest.mark.parametrize("label", sorted(licences.TEMPLATES))
 def test_full_texts_and_altered_ones(label):
     template = licences.TEMPLATES[label]
@@ -347,3 +378,25 @@ def test_digest_columns_of_scans(spark, small, docs):
         assert r.base_labels == ",".join(sorted({x for _, x in places})) and r.labels == ",".join(sorted({x for _, x in places} | own)) and 0 <= r.score <= 1
     for found in (secrets.scan_documents(docs), licences.scan_documents(docs)):
         assert sorted(str(r.doc_id) for r in found.collect()) == sorted(str(r.doc_id) for r in docs.collect())
+
+
+@pytest.mark.parametrize("before", [0, 300_000, 2_600_000, 3_200_000, 4_100_000])
+def test_stretches_that_cross_a_block(before):
+    """A body of about 1.5 MB in an inflated layer above 4 MB, wherever it stands; data that are cut off."""
+    r = random.Random(before)
+    body = B64(gzip.compress((r.randbytes(500_000).hex()[:1_000_000] + "\n" + RAW + "\n" + r.randbytes(50_000).hex()).encode(), 1))
+    layer = ("word " * (before // 5 + 1) + body + " end" + " more" * (3_000_000 // 5)).encode()
+    text = "x " + B64(gzip.compress(layer, 1)) + " y"
+    base, every = secrets.find_secrets(text)
+    assert (2, 0, len(text) - 2) in {(a, k, b) for a, k, b in every}
+    half = gzip.compress((RAW + " ").encode() + r.randbytes(4000))
+    cut = B64(half[: len(half) // 2])
+    assert any(k == 0 for _, k, _ in secrets.find_secrets(f"x {cut}")[1])
+
+
+def test_a_text_that_repeats_itself_costs_little(spark):
+    item, long = "one two three four " * 50, "one two three four " * 6000
+    docs = spark.createDataFrame([(1, long), (2, "five six seven eight nine ten " * 3)], "doc_id long, text string")
+    began = time.time()
+    found = decontaminate.contaminated(spark, docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.coverage) for r in found] == [(1, 7, 1.0)] and time.time() - began < 40

@@ -21,6 +21,9 @@ are looked at window by window, and a window that is repeated in either is one r
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -270,6 +273,39 @@ def _consistent(pairs: set) -> bool:
     return len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
 
 
+def _outwards(chain: list[int], seed: int, by: dict) -> Iterator[int]:
+    """The shifts of a chain by their distance from the seed, those of more windows first, as far as they are asked for."""
+    right = bisect_left(chain, seed)
+    left = right - 1
+    while left >= 0 or right < len(chain):
+        a = seed - chain[left] if left >= 0 else None
+        b = chain[right] - seed if right < len(chain) else None
+        if b is None or a is not None and (a < b or a == b and len(by[chain[left]]) >= len(by[chain[right]])):
+            yield chain[left]
+            left -= 1
+        else:
+            yield chain[right]
+            right += 1
+
+
+def held_whole(windows: int, hits: list[dict]) -> bool:
+    """Whether one diagonal has all of an item's windows, with consistent slots. Only the fullest diagonals are looked at, so that texts that repeat themselves cost little."""
+    solid = [h for h in hits if not h["void"]]
+    if sum(len(h["places"]) for h in solid) < windows:
+        return False
+    shifts, counts = np.unique(np.concatenate([np.subtract.outer(np.array(h["at"], np.int64), np.array(h["places"], np.int64)).ravel() for h in solid]), return_counts=True)
+    for shift in shifts[counts == windows][:16].tolist():
+        pairs: set = set()
+        for h in solid:
+            at = {a: k for k, a in enumerate(h["at"])}
+            for p, fill in zip(h["places"], h["item_fill"], strict=True):
+                if (k := at.get(p + shift)) is not None:
+                    pairs.update(zip(fill, h["doc_fill"][k], strict=True))
+        if _consistent(pairs):
+            return True
+    return False
+
+
 def covered(words: int, windows: int, hits: list[tuple[int, int, list, bool]], coverage: float) -> float:
     """The share of an item's windows that a document holds, 0 if too few.
 
@@ -290,12 +326,16 @@ def covered(words: int, windows: int, hits: list[tuple[int, int, list, bool]], c
         if len(set().union(*(by[s] for s in chain))) / windows < max(least, best):
             continue
         own = {s: set().union(*by[s].values()) for s in chain}
-        for seed in chain:
+        for seed in sorted(chain, key=lambda s: (-len(by[s]), s)):
+            if best >= 1:
+                break
             if not _consistent(own[seed]):
                 continue
             low = high = seed
             places, pairs = set(by[seed]), own[seed]
-            for s in sorted(chain, key=lambda s: (abs(s - seed), -len(by[s]))):  # noqa: B023
+            for s in _outwards(chain, seed, by):
+                if len(places) == windows:
+                    break
                 if low - NEAR <= s <= high + NEAR and _consistent(pairs | own[s]):
                     places, pairs, low, high = places | set(by[s]), pairs | own[s], min(low, s), max(high, s)
             if (found := len(places) / windows) >= least:
@@ -317,6 +357,9 @@ def _judged(coverage: float):
             doc, item, words, windows, hits = (c.to_pylist() for c in batch.columns)
             found = []
             for w, n, x in zip(words, windows, hits, strict=True):
+                if held_whole(n, x):
+                    found.append(1.0)
+                    continue
                 each = [(a, p, list(zip(f, d, strict=True)), h["void"]) for h in x for a, d in zip(h["at"], h["doc_fill"], strict=True) for p, f in zip(h["places"], h["item_fill"], strict=True)]
                 found.append(covered(w, n, each, coverage))
             good = [k for k, x in enumerate(found) if x]
