@@ -282,3 +282,22 @@ def test_token_files(spark, docs, corpus, empty):
         assert (r.start, r.n_tokens) == (at, len(r.ids))
         at += r.n_tokens
     assert token_files.read_tokens(spark, token_files.write_tokens(spark, empty)).count() == 0
+
+
+def test_op1_digests_are_those_of_whole_texts(spark, small):
+    """Every column of the query against the tokenizers library on each whole text."""
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from wardcraft.llm.queries import QUERIES
+
+    whole = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    rows = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect())
+    want, start = [], 0
+    for doc_id, text in rows:
+        ids = [*whole.encode(text, add_special_tokens=False).ids, 2]
+        want.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    assert sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in QUERIES["op1_tokens"](spark, small).collect()) == want

@@ -220,12 +220,16 @@ def encode_documents(docs: DataFrame, n: int = NBEST, model: str | None = None)
 
 
 def encode(docs: DataFrame, n: int = NBEST, model: str | None = None) -> DataFrame:
-    """documents -> doc_id, segmentations array of (score, ids, text decoded from them): the n best, in full."""
+    """documents -> doc_id, segmentations array of (score, ids, text decoded from them): the n best, in full.
+
+    One row per row. A null or empty text has one segmentation without pieces, of score 0; ties go by search order, which depends on the text
+    alone; a text of any length is taken whole; repeated rows are repeated; a null doc_id is kept; other columns are ignored.
+    """
     model = model or default_model()
 
     def run(batches):
         kind = pa.list_(pa.struct([("score", pa.float64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())]))
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 100)):
             rows = [[{"score": s, "ids": ids, "decoded": pieces(model).decode(ids)} for s, ids in encode_nbest(x.decode(), n, model)] for x in texts(batch)]
             yield as_batch(["doc_id", "segmentations"], [pa.int64(), kind], [batch.column("doc_id"), rows])
 
