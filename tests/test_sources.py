@@ -61,6 +61,9 @@ def _path(*points):
 def test_street_lookup_and_numbers(spark):
     streets = spark.createDataFrame([("Bd. Ion (X)",), ("Str. Ion Mic",), (None,)], "name string")
     assert assets.street_named(streets, "bd. ION").count() == 1 and assets.street_named(streets, "Ion").count() == 2
+    assert assets.street_named(streets, "i.n m").count() == 1 and assets.street_named(streets, "^str|^bd").count() == 2
+    with pytest.raises(ValueError):
+        assets.street_named(streets, "ion [")
     with pytest.raises(ValueError, match="Bd. Ion"):
         assets.street_named(streets, "Ana")
     rows = spark.createDataFrame([(f"k{k:04d}",) for k in range(500)], "a string").repartition(7)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardcraft.functions import crs
 from wardcraft.functions.numbers import housenumber_int
+from wardcraft.functions.patterns import needed
 from wardcraft.functions.text import normalize_street
 from wardcraft.operators.cells import held
 from wardcraft.plans.shared import materialise
@@ -82,11 +83,13 @@ def with_surrogate_id(df: DataFrame, name: str, *order: str) -> DataFrame:
 
 
 def street_named(streets: DataFrame, name: str, norm=normalize_street) -> DataFrame:
-    """Streets whose normalised name equals the wanted one, else those that have it in them; ValueError with up to 20 names if there is none."""
+    """Streets whose normalised name equals the wanted one, else those in which it is found as a pattern (as plain text, if it is none); ValueError with up to 20 names if there is none."""
     column = first_available(streets, STREET_NAMES)
     named = streets.withColumn("street_norm", norm(F.col(column)))
     wanted = norm(F.lit(name))
-    for test in (F.col("street_norm") == wanted, F.col("street_norm").contains(wanted)):
+    pattern = streets.sparkSession.range(1).select(wanted).first()[0]
+    within = F.col("street_norm").contains(wanted) if needed(pattern) is None else F.col("street_norm").rlike(pattern)
+    for test in (F.col("street_norm") == wanted, within):
         found = named.where(test)
         if not found.isEmpty():
             return found

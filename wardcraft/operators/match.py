@@ -79,7 +79,7 @@ _TEST = ("rule_norm", "kind", "parity", "ranges", "singles")
 def match_rows(specs: DataFrame, addresses: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Every (spec, address) that matches. specs: as of flat_specs; addresses: as of prepare_addresses.
 
-    keys: columns that both tables have and that have to be equal as well (a locality, so that the main streets of all towns don't meet).
+    keys: columns that both tables have and that have to be equal as well (a locality, so that the main streets of all towns don't meet); a null there meets nothing.
     What a spec asks for is tested once on each cover of a street, however many sections ask for it and however many addresses have it.
     """
     wanted = specs.where("kind in ('integral', 'numbers') and street <> ''").withColumnRenamed("street_norm", "rule_norm").withColumnRenamed("row_id", "rule_no")

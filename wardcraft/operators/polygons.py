@@ -137,8 +137,9 @@ def seeds_and_strip(spark: SparkSession, points: DataFrame, boxes: DataFrame, se
     gap = F.expr(f"{near} * {near} + ((cj + 0.5e0) * {c} - sy) * ((cj + 0.5e0) * {c} - sy)")
     best = regions.join(centre, "key").groupBy("key", "part").agg(F.min(gap).alias("d")).groupBy("key").agg(F.min_by("part", F.struct("d", "part")).alias("part"))
     side = materialise(spark, regions.join(best, ["key", "part"], "left_semi").drop("part"), "side")
-    touching = cells.touching(_buffer(grown, 0.0, c, "key", "bld_id"), side, ("key", "bld_id"), ("key",))
-    houses = _buffer(grown.join(touching, ["key", "bld_id"], "left_semi"), fill, c, "key")
+    one = grown.drop("key").dropDuplicates(["bld_id"])  # a shape's cells are the same for all sections
+    touching = cells.touching(_buffer(one, 0.0, c, "bld_id").join(grown.select("key", "bld_id"), "bld_id"), side, ("key", "bld_id"), ("key",))
+    houses = cells.merged(_buffer(one, fill, c, "bld_id").join(touching, "bld_id").select("key", "cj", "a", "b"), "key")
     band = cells.intersect(cells.buffer_segments(street, strip, c, "key"), side, "key")
     shape = cells.intersect(cells.union(houses, band, "key"), cells.buffer_points(points, clamp, c, "key"), "key")
     shape = materialise(spark, cells.merged(cells.intersect(shape, cells.fill_rings(boundary, c)), "key"), "shape")
@@ -160,6 +161,7 @@ def corridor_side(spark: SparkSession, points: DataFrame, boxes: DataFrame, segm
     held = regions.select("key", "part").distinct().join(counted, ["key", "part"], "left").fillna(0, "n")
     side = held.groupBy("key").agg(F.max_by("part", F.struct("n", -F.col("part"))).alias("part"))
     side = materialise(spark, regions.join(side, ["key", "part"], "left_semi").drop("part"), "side")
-    found = cells.touching(_buffer(boxes, 0.0, c, "bld_id"), side, ("key", "bld_id"))
-    houses = _buffer(found.join(boxes, "bld_id"), 0.0, c, "key")
+    held = materialise(spark, _buffer(boxes, 0.0, c, "bld_id"), "houses")
+    found = cells.touching(held, side, ("key", "bld_id"))
+    houses = cells.merged(held.join(found, "bld_id").select("key", "cj", "a", "b"), "key")
     return cells.merged(cells.intersect(houses, cells.fill_rings(boundary, c)), "key")

@@ -142,6 +142,15 @@ _hn_test = lambda p, r, s: _covered(p, _list(a for a, _ in r), _list(b for _, b
 
 ADDR, RSV = with_views("v_addr"), with_views("v_rsv")
 
+_JSON = f"""{RSV},{SPECS},
+sp AS (SELECT judet, sv, row_id, list(struct_pack(kind := kind, parity := parity, ranges := CASE WHEN starts IS NOT NULL THEN list_transform(generate_series(1, len(starts)), lambda i: struct_pack("start" := starts[i], "end" := ends[i])) END, singles := singles, raw := CASE WHEN kind <> 'integral' THEN p END) ORDER BY spec_no) AS specs
+  FROM specs JOIN onep USING (judet, sv, row_id, spec_no) GROUP BY 1, 2, 3),
+ru AS (SELECT judet, sv, list(struct_pack(cod_artera := cod_artera, street := street, raw := raw, specs := coalesce(specs, [])) ORDER BY row_id) AS rules FROM rr LEFT JOIN sp USING (judet, sv, row_id) WHERE NOT is_note GROUP BY 1, 2),
+nt AS (SELECT judet, sv, list(struct_pack(street := street, raw := raw) ORDER BY row_id) AS notes FROM rr WHERE is_note GROUP BY 1, 2),
+hd AS (SELECT *, row_number() OVER (PARTITION BY judet, sv ORDER BY explicit DESC, row_id) AS r FROM blocks WHERE sv IS NOT NULL)
+SELECT judet, sv, CAST(to_json(struct_pack(judet := judet, sv := sv, uat := nullif(trim(uat), ''), polling_place := struct_pack(sediu_sv := nullif(trim(sediu_sv), ''), adresa_sv := nullif(trim(adresa_sv), ''), adresa_sv_descriptiva := nullif(trim(adresa_sv_descriptiva), ''), localitate_sat := nullif(trim(localitate_sat), '')),
+  rules := coalesce(rules, []), notes := notes, source := struct_pack(xlsx_path := CAST(NULL AS VARCHAR), sheet_name := '0'))) AS VARCHAR) AS json FROM hd LEFT JOIN ru USING (judet, sv) LEFT JOIN nt USING (judet, sv) WHERE r = 1"""
+
 ORACLE_SQL = {
     "normalize_street": f"{ADDR} SELECT row_id, {_norm('addr_street')} AS norm FROM v_addr",
     "normalize_text": f"SELECT doc_id, md5({_norm('text')}) AS norm_md5 FROM documents",
@@ -287,4 +296,10 @@ SELECT first AS u, v, CAST(n AS BIGINT) AS n_pieces, length, array_to_string(lis
     "lines_in_polygons": _in_polygons(f"{with_views('v_road', 'v_edge')},{_ROAD}, shapes AS (SELECT line_id AS id, x0, y0, x1, y1 FROM seg)", False),
     "houses_in_polygons": _in_polygons(f"{with_views('v_bedge', 'v_edge')}, shapes AS (SELECT bld_id AS id, x0, y0, x1, y1 FROM v_bedge)", True),
     "stereo70": _stereo70(f"{with_views('v_pt')}, p0 AS (SELECT pt_id, radians(x / 150e0 + 21) AS lo, radians(y / 150e0 + 44) AS la FROM v_pt)"),
+    "cell_largest_part": f"""{CELLS.replace('WITH', 'WITH RECURSIVE', 1)}, s AS (SELECT * FROM tube EXCEPT SELECT * FROM discs), steps AS (SELECT unnest([1, -1, 0, 0]) AS di, unnest([0, 0, 1, -1]) AS dj),
+beside AS (SELECT a.key, a.ci, a.cj, b.ci AS ni, b.cj AS nj FROM (SELECT key, ci, cj, ci + di AS xi, cj + dj AS xj FROM s, steps) a JOIN s b ON b.key = a.key AND b.ci = a.xi AND b.cj = a.xj),
+reach AS (SELECT key, ci, cj, ci AS ri, cj AS rj FROM s UNION SELECT b.key, b.ni, b.nj, ri, rj FROM reach r JOIN beside b ON b.key = r.key AND b.ci = r.ci AND b.cj = r.cj),
+part AS (SELECT key, ci, cj, min(struct_pack(i := ri, j := rj)) AS p FROM reach GROUP BY 1, 2, 3)
+SELECT key, CAST(max(n) * {CELL * CELL} AS DOUBLE) AS area FROM (SELECT key, p, count(*) AS n FROM part GROUP BY 1, 2) t GROUP BY key""",
+    "sections_json": _JSON,
 }

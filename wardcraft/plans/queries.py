@@ -12,6 +12,7 @@ from wardcraft.functions.geometry import to_3857
 from wardcraft.functions.numbers import covers, housenumber_cover, housenumber_int
 from wardcraft.functions.rules import rule_parts, rule_ranges, rule_singles
 from wardcraft.operators import assets, cells, graph, match, overlay, polygons, sections, spatial
+from wardcraft.plans.shared import materialise
 from wardcraft.plans.views import view
 from wardcraft.sources import sinks
 
@@ -328,7 +329,7 @@ def interpolate_samples(spark, sf):
 
 
 def _corridor(spark, sf):
-    return spatial.meeting(view(spark, sf, "v_bld"), _segments(spark, sf), CORRIDOR)
+    return materialise(spark, spatial.meeting(view(spark, sf, "v_bld"), _segments(spark, sf), CORRIDOR), "corridor")
 
 
 @query
