@@ -4,11 +4,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from wardcraft.operators import cells, graph, overlay, polygons, spatial
+from wardcraft.operators import assets, cells, graph, overlay, spatial
 from wardcraft.operators.fill import filled
 from wardcraft.operators.jts import Jts
 from wardcraft.plans.lists import ranked, traced
-from wardcraft.sources import osm
+from wardcraft.sources import osm, wkb
 
 
 def _edges(spark, rings, key=lambda k: k, role=None):
@@ -130,6 +130,22 @@ def test_streets(spark):
     assert {(r.u, r.v) for r in graph.truncated(d, inside).collect()} == {(3, 4), (4, 5)}
 
 
+def test_street_layers(spark):
+    """From pieces to the layers of streets and nodes: the largest component, chains as lines, streets counted at their ends."""
+    at = {k: (float(k), float(k * k % 7)) for k in range(20)}
+    pieces = [(1, 0, 0, 1, None), (1, 1, 1, 2, None), (2, 0, 2, 3, "yes"), (3, 0, 2, 4, None), (4, 0, 4, 5, None), (5, 0, 5, 2, None), (9, 0, 10, 11, None)]
+    df = spark.createDataFrame([(*p, 1.0, *at[p[2]], *at[p[3]], None if p[0] == 3 else f"n{p[0]}") for p in pieces], PIECE).withColumn("roundabout", F.lit(False))
+    edges = graph.street_graph(spark, df).cache()
+    streets = {(r.u, r.v): r for r in assets.streets_layer(edges).collect()}
+    assert set(streets) == {(0, 2), (2, 0), (2, 3), (2, 2)}
+    assert (streets[0, 2].osmid, streets[0, 2].name, streets[0, 2].length_m, wkb.load(bytes(streets[0, 2].wkb))[:2]) == ("1", "n1", 2.0, ("LineString", [at[0], at[1], at[2]]))
+    assert streets[2, 2].osmid in ("3,4,5", "5,4,3") and streets[2, 2].length_m == 3.0 and len({(r.u, r.v, r.key) for r in edges.collect()}) == edges.count() == 5
+    nodes = {r.osmid: (r.x, r.y, r.street_count) for r in assets.nodes_layer(graph.graph_nodes(edges)).collect()}
+    assert nodes == {0: (*at[0], 1), 2: (*at[2], 4), 3: (*at[3], 1)}
+    whole = graph.street_graph(spark, df, simplify=False, retain_all=True)
+    assert whole.count() == 13 and {r.osmid: r.street_count for r in graph.graph_nodes(whole).collect()}[2] == 4
+
+
 @pytest.mark.parametrize("partitions", [1, 4])
 def test_fill_over_ranges(spark, partitions):
     r = random.Random(8)

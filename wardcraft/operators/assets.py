@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from wardcraft.functions.patterns import needed
 from wardcraft.functions.text import normalize_street
 from wardcraft.operators.cells import held
 from wardcraft.plans.shared import materialise
+from wardcraft.sources import wkb
 
 
 def with_missing(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -149,15 +151,25 @@ def addresses_layer(features: DataFrame) -> DataFrame:
     return rows.select(feature_id(F.col("etype"), F.col("osmid")).alias("addr_id"), F.col("tags").getItem("addr:street").alias("addr_street"), number.alias("addr_housenumber"), housenumber_int(number).alias("addr_housenumber_int"), source_class(F.col("etype")).alias("source"), "x", "y")
 
 
+def _lines(batches):
+    for batch in batches:
+        found = [wkb.dump("LineString", [(p["x"], p["y"]) for p in x]) if x else None for x in batch.column("path").to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.drop_columns(["path"]).columns, pa.array(found, pa.binary())], [*batch.drop_columns(["path"]).schema.names, "wkb"])
+
+
 def streets_layer(edges: DataFrame) -> DataFrame:
-    """edges(u, v, key, osmid array, tags ..., length in metres?) -> u, v, key, osmid, name, highway, oneway, length_m and the geometry columns.
+    """edges(u, v, key, osmid array, tags ..., length in metres?) -> u, v, key, osmid, name, highway, oneway, length_m and the geometry: x0, y0, x1, y1, or of contracted edges wkb.
 
-    Without a length it is that of the coordinates, which then have to be in a metric system.
+    Lists are joined by commas. Without a length it is that of the coordinates, which then have to be in a metric system.
     """
     e = with_missing(edges, {"name": "string", "highway": "string", "oneway": "string", "x0": "double", "y0": "double", "x1": "double", "y1": "double"})
     computed = F.expr("sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))")
-    osmid = flatten_list(F.col("osmid")) if dict(e.dtypes)["osmid"].startswith("array") else F.col("osmid").cast("string")
-    return e.select("u", "v", "key", osmid.alias("osmid"), "name", "highway", "oneway", length_column(e, computed).alias("length_m"), "x0", "y0", "x1", "y1")
+    flat = lambda c: (F.nullif(flatten_list(F.col(c)), F.lit("")) if dict(e.dtypes)[c].startswith("array") else F.col(c).cast("string")).alias(c)
+    columns = ["u", "v", "key", flat("osmid"), flat("name"), flat("highway"), flat("oneway"), length_column(e, computed).alias("length_m")]
+    if "path" not in e.columns:
+        return e.select(*columns, "x0", "y0", "x1", "y1")
+    kinds = "u long, v long, key int, osmid string, name string, highway string, oneway string, length_m double, wkb binary"
+    return e.select(*columns, "path").mapInArrow(_lines, kinds)
 
 
 def nodes_layer(nodes: DataFrame) -> DataFrame:

@@ -87,3 +87,22 @@ def simplified(spark: SparkSession, edges: DataFrame) -> DataFrame:
     points = [F.concat(F.array(F.struct(F.col("f.x0").alias("x"), F.col("f.y0").alias("y"))), F.transform("_path", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))).alias("path")] if path else []
     out = out.select(F.col("f.u").alias("u"), "v", "of", "n_pieces", "length", *[different(c) for c in kept], *points)
     return out.withColumn("key", F.row_number().over(Window.partitionBy("u", "v").orderBy("of")) - 1).drop("of")
+
+
+def street_graph(spark: SparkSession, pieces: DataFrame, simplify: bool = True, retain_all: bool = False, inside: DataFrame | None = None) -> DataFrame:
+    """pieces with roundabout, lengths and places -> the edges of the street graph: directed, cut to what has an end in `inside`(osmid), its largest component, contracted."""
+    edges = directed(pieces, F.col("roundabout"))
+    edges = edges if inside is None else truncated(edges, inside)
+    edges = edges if retain_all else largest_component(spark, edges)
+    return simplified(spark, edges) if simplify else edges
+
+
+def graph_nodes(edges: DataFrame) -> DataFrame:
+    """Edges of street_graph -> osmid, x, y, street_count: the ends of edges and how many streets meet there, both ways of one counted once, a loop twice."""
+    path = "path" in edges.columns
+    at = [F.element_at("path", 1) if path else F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")), F.element_at("path", -1) if path else F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"))]
+    street = F.struct(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), (F.array_sort("osmid") if path else F.col("osmid")).alias("osmid"), F.round("length", 3).alias("length"))
+    flat = edges.select(street.alias("street"), "u", "v", at[0].alias("p"), at[1].alias("q"))
+    ends = flat.select("street", F.explode(F.expr("array(struct(u as osmid, p as p, 0 as end), struct(v as osmid, q as p, 1 as end))")).alias("n"))
+    of = ends.select("n.osmid", "n.p", "street", F.when(F.col("street.a") == F.col("street.b"), F.col("n.end")).alias("end"))
+    return of.groupBy("osmid").agg(F.min("p").alias("p"), F.count_distinct(F.struct("street", "end")).cast("int").alias("street_count")).select("osmid", "p.x", "p.y", "street_count")
