@@ -275,6 +275,81 @@ p10 AS (SELECT *, asin((w - 1) / (w + 1)) AS xi FROM p9), p11 AS (SELECT *, 1 +
 SELECT pt_id, round({FALSE!r} + 2 * r * {K0!r} * cos(xi) * sin(dl) / b, 2) AS sx, round({FALSE!r} + 2 * r * {K0!r} * (sin(xi) * cos(x0) - cos(xi) * sin(x0) * cos(dl)) / b, 2) AS sy FROM p11"""
 
 
+def _v1(c: float, near: float, outer: float, inner: float, least: float) -> str:
+    """The first recipe cell by cell: streets cut to their longest stretch near points, bands, parts by reaching from row to row, houses on the side with most points."""
+    x, y = f"((ci + 0.5e0) * {c})", f"((cj + 0.5e0) * {c})"
+    cut = lambda p, m: f"CASE WHEN {m} <= m0 THEN {p}0 WHEN {m} >= m0 + len THEN {p}1 ELSE {p}0 + ({p}1 - {p}0) * ({m} - m0) / len END"
+    span = lambda lo, hi, pad: f"unnest(range(CAST(floor(({lo} - {pad}) / {c}) AS BIGINT), CAST(floor(({hi} + {pad}) / {c}) AS BIGINT) + 1))"
+    return f"""{with_views('v_pt', 'v_vert', 'v_bedge').replace('WITH', 'WITH RECURSIVE', 1)},{SEG},
+pq AS (SELECT s.line_id, s.m0, s.len, (s.x1 - s.x0) * (s.x0 - p.x) + (s.y1 - s.y0) * (s.y0 - p.y) AS p, (s.x0 - p.x) * (s.x0 - p.x) + (s.y0 - p.y) * (s.y0 - p.y) - {near * near} AS r FROM seg s JOIN v_pt p ON s.line_id = p.line_id),
+iv AS (SELECT DISTINCT line_id, m0 + greatest(0, (-p - sqrt(p * p - len * len * r)) / len) AS a, m0 + least(len, (-p + sqrt(p * p - len * len * r)) / len) AS b FROM pq WHERE len > 0 AND p * p >= len * len * r AND -p - sqrt(p * p - len * len * r) <= len * len AND -p + sqrt(p * p - len * len * r) >= 0),
+far AS (SELECT *, max(b) OVER (PARTITION BY line_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS upto FROM iv),
+grp AS (SELECT *, sum(CASE WHEN upto IS NULL OR a > upto + 1e-9 THEN 1 ELSE 0 END) OVER (PARTITION BY line_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS part FROM far),
+longest AS (SELECT line_id, a, b FROM (SELECT line_id, min(a) AS a, max(b) AS b, row_number() OVER (PARTITION BY line_id ORDER BY max(b) - min(a) DESC, min(a)) AS r FROM grp GROUP BY line_id, part) t WHERE r = 1 AND b - a >= {least}),
+street AS (SELECT line_id AS key, {cut('x', 'a')} AS x0, {cut('y', 'a')} AS y0, {cut('x', 'b')} AS x1, {cut('y', 'b')} AS y1 FROM seg JOIN longest USING (line_id) WHERE m0 < b AND m0 + len > a
+  UNION ALL SELECT line_id, x0, y0, x1, y1 FROM seg WHERE line_id NOT IN (SELECT line_id FROM longest)),
+wide AS (SELECT key, ci, cj, min(d) AS d FROM (SELECT key, ci, cj, {point_segment(x, y, 'x0', 'y0', 'x1', 'y1')} AS d FROM (SELECT *, {span('least(y0, y1)', 'greatest(y0, y1)', outer)} AS cj FROM (SELECT *, {span('least(x0, x1)', 'greatest(x0, x1)', outer)} AS ci FROM street) a) b) t GROUP BY 1, 2, 3),
+band AS (SELECT key, ci, cj, ci - row_number() OVER (PARTITION BY key, cj ORDER BY ci) AS g FROM wide WHERE d <= {outer} AND d > {inner}),
+runs AS (SELECT key, cj, min(ci) AS a, max(ci) AS b FROM band GROUP BY key, cj, g),
+beside AS (SELECT r.key, r.cj, r.a, s.cj AS tj, s.a AS ta FROM runs r JOIN runs s ON s.key = r.key AND s.cj IN (r.cj - 1, r.cj + 1) AND s.a <= r.b AND r.a <= s.b),
+reach AS (SELECT key, cj, a, a AS ra, cj AS rj FROM runs UNION SELECT b.key, b.tj, b.ta, ra, rj FROM reach r JOIN beside b ON b.key = r.key AND b.cj = r.cj AND b.a = r.a),
+part AS (SELECT key, cj, a, min(struct_pack(a := ra, j := rj)) AS p FROM reach GROUP BY 1, 2, 3),
+held AS (SELECT r.key, q.p, count(v.pt_id) AS n FROM runs r JOIN part q USING (key, cj, a) LEFT JOIN v_pt v ON v.key = r.key AND floor(v.y / {c}) = r.cj AND floor(v.x / {c}) BETWEEN r.a AND r.b GROUP BY 1, 2),
+side AS (SELECT r.* FROM runs r JOIN part q USING (key, cj, a) JOIN (SELECT key, p FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY n DESC, p) AS r FROM held) t WHERE r = 1) h ON h.key = r.key AND h.p = q.p),
+spots AS (SELECT bld_id, ci, {span('y0', 'y1', 0)} AS cj FROM (SELECT bld_id, y0, y1, {span('x0', 'x1', 0)} AS ci FROM (SELECT bld_id, min(least(x0, x1)) AS x0, min(least(y0, y1)) AS y0, max(greatest(x0, x1)) AS x1, max(greatest(y0, y1)) AS y1 FROM v_bedge GROUP BY 1) a) b),
+filled AS (SELECT bld_id, ci, cj FROM spots JOIN v_bedge e USING (bld_id) WHERE {crosses_ray(x, y, 'e.x0', 'e.y0', 'e.x1', 'e.y1')} GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1),
+found AS (SELECT DISTINCT s.key, f.bld_id FROM filled f JOIN side s ON s.cj = f.cj AND f.ci BETWEEN s.a AND s.b),
+edge AS (SELECT * FROM (VALUES (0e0, 0e0, 950e0, 0e0), (950e0, 0e0, 900e0, 390e0), (900e0, 390e0, 0e0, 390e0), (0e0, 390e0, 0e0, 0e0)) t(x0, y0, x1, y1)),
+houses AS (SELECT DISTINCT key, ci, cj FROM found JOIN filled USING (bld_id))
+SELECT key, CAST(count(*) * {c * c} AS DOUBLE) AS area FROM (SELECT key, ci, cj FROM houses, edge e WHERE {crosses_ray(x, y, 'e.x0', 'e.y0', 'e.x1', 'e.y1')} GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1) t GROUP BY key"""
+
+
+def _v3(c: float, local: float = 500.0, pad: float = 10.0, frontage: float = 35.0, most: float = 350.0, grow: float = 18.0, divider: float = 22.0, around: float = 350.0, fill: float = 14.0, strip: float = 25.0, clamp: float = 140.0, n: int = 300) -> str:
+    """The second recipe cell by cell: sampled streets, corridor, nearest houses, growth, the region by the seeds' centroid, houses and strip, the largest part."""
+    x, y = f"((ci + 0.5e0) * {c})", f"((cj + 0.5e0) * {c})"
+    span = lambda lo, hi, pad: f"unnest(range(CAST(floor(({lo} - {pad}) / {c}) AS BIGINT), CAST(floor(({hi} + {pad}) / {c}) AS BIGINT) + 1))"
+    _e, _f = (tuple(f"{t}.{k}" for k in ("x0", "y0", "x1", "y1")) for t in "ef")
+    cells = lambda source, r: f"(SELECT *, {span('ly', 'hy', r)} AS cj FROM (SELECT *, {span('lx', 'hx', r)} AS ci FROM {source}) a) b"
+    islands = lambda name, source: f"""
+{name}_r AS (SELECT key, cj, min(ci) AS a, max(ci) AS b FROM (SELECT key, ci, cj, ci - row_number() OVER (PARTITION BY key, cj ORDER BY ci) AS g FROM {source}) t GROUP BY key, cj, g),
+{name}_n AS (SELECT r.key, r.cj, r.a, s.cj AS tj, s.a AS ta FROM {name}_r r JOIN {name}_r s ON s.key = r.key AND s.cj IN (r.cj - 1, r.cj + 1) AND s.a <= r.b AND r.a <= s.b),
+{name}_x AS (SELECT key, cj, a, a AS ra, cj AS rj FROM {name}_r UNION SELECT b.key, b.tj, b.ta, ra, rj FROM {name}_x r JOIN {name}_n b ON b.key = r.key AND b.cj = r.cj AND b.a = r.a),
+{name} AS (SELECT r.key, r.cj, r.a, r.b, q.p FROM {name}_r r JOIN (SELECT key, cj, a, min(struct_pack(a := ra, j := rj)) AS p FROM {name}_x GROUP BY 1, 2, 3) q USING (key, cj, a))"""
+    return f"""{with_views('v_pt', 'v_vert', 'v_bedge').replace('WITH', 'WITH RECURSIVE', 1)},{SEG},
+kept AS (SELECT * FROM seg WHERE (line_id, seg_no) IN (SELECT (s.line_id, s.seg_no) FROM seg s JOIN v_pt p ON s.line_id = p.line_id WHERE {point_segment(*_P, *_S)} <= {local})),
+meas0 AS (SELECT p.pt_id, p.line_id, s.seg_no, {point_segment(*_P, *_S)} AS d, s.m0 + {param(*_P, *_S)} * s.len AS m FROM v_pt p JOIN kept s ON p.line_id = s.line_id),
+meas AS (SELECT line_id, m FROM (SELECT *, row_number() OVER (PARTITION BY pt_id, line_id ORDER BY d, seg_no) AS r FROM meas0) t WHERE r = 1),
+ends AS (SELECT line_id, greatest(0, min(m) - {pad}) AS a, least((SELECT max(m0 + len) FROM kept s WHERE s.line_id = meas.line_id), max(m) + {pad}) AS b FROM meas GROUP BY line_id),
+spot AS (SELECT line_id, i, a + (b - a) * i / {n - 1} AS m FROM ends, range({n}) r(i)),
+hit AS (SELECT spot.*, s.x0, s.y0, s.x1, s.y1, s.m0, s.len, row_number() OVER (PARTITION BY spot.line_id, i ORDER BY s.seg_no DESC) AS r FROM spot JOIN kept s ON spot.line_id = s.line_id AND spot.m >= s.m0),
+samp AS (SELECT line_id AS key, i, x0 + least(1, (m - m0) / len) * (x1 - x0) AS x, y0 + least(1, (m - m0) / len) * (y1 - y0) AS y FROM hit WHERE r = 1),
+street AS (SELECT *, least(x0, x1) AS lx, least(y0, y1) AS ly, greatest(x0, x1) AS hx, greatest(y0, y1) AS hy FROM (SELECT key, x AS x0, y AS y0, lead(x) OVER w AS x1, lead(y) OVER w AS y1 FROM samp WINDOW w AS (PARTITION BY key ORDER BY i)) t WHERE x1 IS NOT NULL),
+house AS (SELECT *, min(least(x0, x1)) OVER w AS lx, min(least(y0, y1)) OVER w AS ly, max(greatest(x0, x1)) OVER w AS hx, max(greatest(y0, y1)) OVER w AS hy, row_number() OVER (PARTITION BY bld_id ORDER BY x0, y0, x1, y1) AS e FROM v_bedge WINDOW w AS (PARTITION BY bld_id)),
+corr AS (SELECT DISTINCT bld_id FROM (SELECT b.bld_id, min({segment_segment(_S, ('b.x0', 'b.y0', 'b.x1', 'b.y1'))}) AS d, sum(CASE WHEN {crosses_ray('s.x0', 's.y0', 'b.x0', 'b.y0', 'b.x1', 'b.y1')} THEN 1 ELSE 0 END) % 2 AS held
+  FROM house b JOIN street s ON b.lx <= s.hx + {frontage} AND b.hx >= s.lx - {frontage} AND b.ly <= s.hy + {frontage} AND b.hy >= s.ly - {frontage} GROUP BY b.bld_id, s.key, s.x0, s.y0, s.x1, s.y1) t WHERE d <= {frontage} OR held = 1),
+dist AS (SELECT p.pt_id, p.key, s.bld_id, CASE WHEN sum(CASE WHEN {crosses_ray(*_P, *_S)} THEN 1 ELSE 0 END) % 2 = 1 THEN 0e0 ELSE sqrt(min({point_segment_squared(*_P, *_S)})) END AS d FROM v_pt p JOIN house s ON s.lx <= p.x + {most} AND s.hx >= p.x - {most} AND s.ly <= p.y + {most} AND s.hy >= p.y - {most} GROUP BY 1, 2, 3),
+seed AS (SELECT DISTINCT key, bld_id FROM (SELECT *, row_number() OVER (PARTITION BY pt_id ORDER BY d, bld_id) AS r FROM dist WHERE d <= {most}) t WHERE r = 1 AND bld_id IN (SELECT bld_id FROM corr)),
+grown AS (SELECT DISTINCT key, bld_id FROM (SELECT q.key, e.bld_id, f.bld_id AS s, min({segment_segment(_e, _f)}) AS d FROM house e JOIN house f ON e.lx <= f.hx + {grow} AND e.hx >= f.lx - {grow} AND e.ly <= f.hy + {grow} AND e.hy >= f.ly - {grow} JOIN seed q ON q.bld_id = f.bld_id WHERE e.bld_id IN (SELECT bld_id FROM corr) GROUP BY 1, 2, 3
+  UNION ALL SELECT q.key, e.bld_id, f.bld_id, 0e0 FROM house e JOIN house f ON f.e = 1 AND f.x0 BETWEEN e.lx AND e.hx AND f.y0 BETWEEN e.ly AND e.hy JOIN seed q ON q.bld_id = f.bld_id WHERE e.bld_id IN (SELECT bld_id FROM corr) AND {crosses_ray('f.x0', 'f.y0', *_e)} GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1
+  UNION ALL SELECT q.key, e.bld_id, f.bld_id, 0e0 FROM house e JOIN house f ON e.e = 1 AND e.x0 BETWEEN f.lx AND f.hx AND e.y0 BETWEEN f.ly AND f.hy JOIN seed q ON q.bld_id = f.bld_id WHERE e.bld_id IN (SELECT bld_id FROM corr) AND {crosses_ray('e.x0', 'e.y0', *_f)} GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1) t WHERE d <= {grow}),
+pts AS (SELECT key, x, y, x AS lx, x AS hx, y AS ly, y AS hy FROM v_pt),
+near AS (SELECT DISTINCT key, ci, cj FROM {cells('street', divider)} WHERE {point_segment(x, y, 'x0', 'y0', 'x1', 'y1')} <= {divider}),
+round_ AS (SELECT key, ci, cj FROM (SELECT DISTINCT key, ci, cj FROM {cells('pts', around)} WHERE ({x} - x) * ({x} - x) + ({y} - y) * ({y} - y) <= {around * around}) t EXCEPT SELECT key, ci, cj FROM near),{islands('region', 'round_')},
+ring AS (SELECT key, abs(a) AS area, sx / (6 * a) AS cx, sy / (6 * a) AS cy FROM (SELECT key, bld_id, sum((x0 * y1 - x1 * y0) / 2) AS a, sum((x0 + x1) * (x0 * y1 - x1 * y0)) AS sx, sum((y0 + y1) * (x0 * y1 - x1 * y0)) AS sy FROM seed JOIN house USING (bld_id) GROUP BY 1, 2) t),
+centre AS (SELECT key, sum(area * cx) / sum(area) AS sx, sum(area * cy) / sum(area) AS sy FROM ring GROUP BY 1),
+gap AS (SELECT key, p, min(pow(greatest((a + 0.5e0) * {c} - sx, 0e0, sx - (b + 0.5e0) * {c}), 2) + pow((cj + 0.5e0) * {c} - sy, 2)) AS d FROM region JOIN centre USING (key) GROUP BY 1, 2),
+side AS (SELECT r.key, r.cj, r.a, r.b FROM region r JOIN (SELECT key, p FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY d, p) AS r FROM gap) t WHERE r = 1) g ON g.key = r.key AND g.p = r.p),
+body AS (SELECT bld_id, min(lx) AS lx, min(ly) AS ly, max(hx) AS hx, max(hy) AS hy FROM house GROUP BY 1),
+filled AS (SELECT t.bld_id, ci, cj, count(CASE WHEN {crosses_ray(x, y, *_e)} THEN 1 END) % 2 = 1 AS own, min({point_segment(x, y, *_e)}) AS d FROM (SELECT * FROM {cells('body', fill)}) t JOIN house e ON e.bld_id = t.bld_id GROUP BY 1, 2, 3),
+met AS (SELECT DISTINCT g.key, g.bld_id FROM grown g JOIN filled f ON f.bld_id = g.bld_id AND f.own JOIN side s ON s.key = g.key AND s.cj = f.cj AND f.ci BETWEEN s.a AND s.b),
+band AS (SELECT DISTINCT t.key, t.ci, t.cj FROM (SELECT * FROM {cells('street', strip)}) t JOIN side s ON s.key = t.key AND s.cj = t.cj AND t.ci BETWEEN s.a AND s.b WHERE {point_segment(x.replace('ci', 't.ci'), y.replace('cj', 't.cj'), 'x0', 'y0', 'x1', 'y1')} <= {strip}),
+clamp AS (SELECT DISTINCT key, ci, cj FROM {cells('pts', clamp)} WHERE ({x} - x) * ({x} - x) + ({y} - y) * ({y} - y) <= {clamp * clamp}),
+edge AS (SELECT * FROM (VALUES (0e0, 0e0, 950e0, 0e0), (950e0, 0e0, 900e0, 390e0), (900e0, 390e0, 0e0, 390e0), (0e0, 390e0, 0e0, 0e0)) t(x0, y0, x1, y1)),
+both_ AS (SELECT DISTINCT key, ci, cj FROM (SELECT key, ci, cj FROM met JOIN filled USING (bld_id) WHERE own OR d <= {fill} UNION ALL SELECT * FROM band) t),
+shape AS (SELECT key, ci, cj FROM both_ JOIN clamp USING (key, ci, cj), edge e WHERE {crosses_ray(x, y, *_e)} GROUP BY 1, 2, 3 HAVING count(*) % 2 = 1),{islands('part', 'shape')}
+SELECT key, CAST(max(n) * {c * c} AS DOUBLE) AS area FROM (SELECT key, p, sum(b - a + 1) AS n FROM part GROUP BY 1, 2) t GROUP BY key"""
+
+
 _BOTH_WAYS = """
 dir AS (SELECT osmid, pos, u, v, oneway, length, false AS reversed FROM v_piece WHERE oneway IS DISTINCT FROM '-1' UNION ALL SELECT osmid, pos, v, u, oneway, length, true FROM v_piece WHERE oneway IS NULL OR oneway NOT IN ('yes'))"""
 ORACLE_SQL |= {
@@ -302,4 +377,6 @@ reach AS (SELECT key, ci, cj, ci AS ri, cj AS rj FROM s UNION SELECT b.key, b.ni
 part AS (SELECT key, ci, cj, min(struct_pack(i := ri, j := rj)) AS p FROM reach GROUP BY 1, 2, 3)
 SELECT key, CAST(max(n) * {CELL * CELL} AS DOUBLE) AS area FROM (SELECT key, p, count(*) AS n FROM part GROUP BY 1, 2) t GROUP BY key""",
     "sections_json": _JSON,
+    "polygon_v1_cells": _v1(5.0, 250.0, 180.0, 15.0, 20.0),
+    "polygon_v3_cells": _v3(5.0),
 }
