@@ -51,7 +51,9 @@ def test_stages_keep_columns_and_take_odd_rows(spark, small, docs, empty):
 def test_queries_run(spark, small):
     from wardcraft.llm.queries import QUERIES
 
-    n = spark.read.parquet(f"{small}/documents.parquet").count()
+    table = lambda name: spark.read.parquet(f"{small}/{name}.parquet")
+    n = table("documents").count()
+    others = {"op2_warc": table("pages").count(), "op11_lattice": table("embeddings").count(), "op12_repair": table("conversations").select("conv_id").distinct().count(), "op13_audit": 600 * table("documents").select("source").distinct().count()}
     for name, query in QUERIES.items():
         rows = query(spark, small).count()
-        assert rows == (spark.read.parquet(f"{small}/pages.parquet").count() if name == "op2_warc" else n), name
+        assert rows == others.get(name, n), name
