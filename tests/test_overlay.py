@@ -203,3 +203,17 @@ def test_inner_points_lie_inside(spark):
     ways = [[circle[k], circle[(k + 1) % 2000]][:: r.choice((1, -1))] for k in range(2000)]
     r.shuffle(ways)
     assert [len(x) for x in osm.stitched([*ways, [(5000, 1), (5001, 1)]])] == [2001]
+
+
+def test_stacked_boxes_take_few_lines(spark):
+    """Boxes on each other: their lines along an axis are disjoint, and the running sums over tiles find what rays find."""
+    r = random.Random(9)
+    rings = [[(x, y), (x + 6, y), (x + 6, y + 4), (x, y + 4)] for x, y in ((r.randrange(12), r.randrange(8)) for _ in range(80))]
+    rings += [[(r.randrange(30), r.randrange(30)) for _ in range(5)] for _ in range(12)]
+    edges = overlay.oriented(_edges(spark, rings, key=lambda k: 0)).selectExpr("key", "x0 * 100 as px", "y0 * 100 as py", "x1 * 100 as qx", "y1 * 100 as qy", "cast(w as long) as n")
+    summed = overlay._summed(edges.select(*overlay._up("key")))
+    flat = sorted((x.ay, x.ax, x.bx) for x in summed.where("ay = by").collect())
+    assert all(p[0] < q[0] or p[2] <= q[1] for p, q in itertools.pairwise(flat))
+    lines = overlay.materialise(spark, overlay.noded(spark, summed).groupBy("key", "ax", "ay", "bx", "by").agg(F.sum("n").alias("n")).where("n <> 0"), "lines")
+    rays, tiles = (sorted(map(tuple, t.select("ax", "ay", "bx", "by", "n", "d").collect())) for t in (overlay._right(lines), overlay._right_by_tiles(spark, lines)))
+    assert rays == tiles and len(rays) > 200

@@ -8,12 +8,13 @@ where they meet, on a grid of `snap`; what has the shape on one side only is its
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wardcraft.operators.spatial import box_pairs
+from wardcraft.operators.spatial import _levels, _upwards, box_pairs, level
 from wardcraft.plans.lists import traced
 from wardcraft.plans.shared import materialise
 from wardcraft.sources import wkb
@@ -36,47 +37,142 @@ def _bounded(edges: DataFrame) -> DataFrame:
 def oriented(edges: DataFrame, hole: Column | None = None) -> DataFrame:
     """edges(key, ring, x0, y0, x1, y1) of closed rings, walked either way -> with w: 1, or -1 for a hole, for rings that turn left at their highest place, else the opposite."""
     top, low = (lambda p: F.struct(f"y{p}", f"x{p}")), (lambda p, q: F.struct(F.col(f"x{p}").alias("x"), F.col(f"y{p}").alias("y")))
-    real = edges.where("x0 <> x1 or y0 <> y1")
+    real = edges.where("x0 <> x1 or y0 <> y1").repartition("key", "ring")  # once, for the tips and for the join
     tip = real.groupBy("key", "ring").agg(F.max(top(1)).alias("t"), F.max_by(low(0, 1), top(1)).alias("p"), F.max_by(low(1, 0), top(0)).alias("n"), F.sum(F.expr("x0 * y1 - x1 * y0")).alias("a"))
     turn = F.expr("(t.x1 - p.x) * (n.y - t.y1) - (t.y1 - p.y) * (n.x - t.x1)")
     tip = tip.select("key", "ring", F.when(F.when(turn == 0, F.col("a")).otherwise(turn) < 0, -1).otherwise(1).alias("w"))
-    out = real.join(tip, ["key", "ring"])
+    out = real.join(tip.hint("merge"), ["key", "ring"])
     return out if hole is None else out.withColumn("w", F.when(hole, -F.col("w")).otherwise(F.col("w")))
 
 
-def _crossings(edges: DataFrame) -> DataFrame:
-    """edges(eid, key, x0, ...) on the grid -> (eid, x, y): where another edge of the key crosses or touches one, ends as well."""
-    e = _bounded(edges.select("eid", "key", *ENDS))
-    f = e.select("key", *[F.col(c).alias(f"{c}_") for c in e.columns if c != "key"])
-    pairs = box_pairs(e, _BOX, f, tuple(f"{c}_" for c in _BOX), 0.0, "key").where("eid < eid_")
-    rx, ry, sx, sy, qx, qy = "(x1 - x0)", "(y1 - y0)", "(x1_ - x0_)", "(y1_ - y0_)", "(x0_ - x0)", "(y0_ - y0)"
-    d = f"({rx} * {sy} - {ry} * {sx})"
-    on = f"case when {d} = 0 then null else ({qx} * {sy} - {qy} * {sx}) / {d} end as t, case when {d} = 0 then null else ({qx} * {ry} - {qy} * {rx}) / {d} end as u, {qx} * {ry} - {qy} * {rx} as off"
-    pairs = pairs.select("*", F.explode(F.array(F.expr("struct(" + on + ")"))).alias("m")).select("*", "m.*")
-    crossed = pairs.where("t between 0 and 1 and u between 0 and 1").select(F.array("eid", "eid_").alias("ids"), F.rint(F.expr(f"x0 + t * {rx}")).alias("x"), F.rint(F.expr(f"y0 + t * {ry}")).alias("y"))
-    along = pairs.where("t is null and off = 0").select(_rows("eid x y", "eid, x0_, y0_", "eid, x1_, y1_", "eid_, x0, y0", "eid_, x1, y1").alias("p")).select("p.*")
-    return crossed.select(F.explode("ids").alias("eid"), "x", "y").unionByName(along).distinct()
+#: Keys of up to so many edges are met whole; the edges of others meet in cells.
+FEW = 24
+_LINE = ("ax", "ay", "bx", "by")
+
 
+def _up(*columns: str) -> list[Column]:
+    """Ends p and q and a number n -> ax, ay, bx, by, n of the line from its lower end to its upper one (the left one to the right one)."""
+    up = F.expr("qy > py or (qy = py and qx > px)")
+    ends = [F.when(up, F.col(f"{p}{c}")).otherwise(F.col(f"{q}{c}")).alias(f"{name}{c}") for name, p, q in (("a", "p", "q"), ("b", "q", "p")) for c in "xy"]
+    return [*[F.col(c) for c in columns], *ends, F.when(up, F.col("n")).otherwise(-F.col("n")).alias("n")]
 
-def noded(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """edges(key, ring, x0, y0, x1, y1, w) with whole coordinates -> the same edges in parts that meet at ends only.
 
-    Where a part was moved to the grid it may cross another one, so this goes on until nothing is split.
+def _summed(lines: DataFrame) -> DataFrame:
+    """lines(key, ax, ay, bx, by, n) -> the same, with those along an axis summed up over every stretch, and other equal ones; what adds to 0 goes.
+
+    A key's lines along an axis then are disjoint, however many shapes lie on each other.
     """
-    now = edges
+    straight = lines.where("ax = bx or ay = by").select("key", F.expr("ay = by").alias("flat"), F.expr("case when ay = by then ay else ax end").alias("c"), "n", F.expr("case when ay = by then ax else ay end").alias("u"), F.expr("case when ay = by then bx else by end").alias("v"))
+    ends = straight.groupBy("key", "flat", "c", "u", "v").agg(F.sum("n").alias("n")).where("n <> 0")
+    ends = ends.select("key", "flat", "c", _rows("at n", "u, n", "v, -n").alias("e")).select("key", "flat", "c", "e.*").groupBy("key", "flat", "c", "at").agg(F.sum("n").alias("n")).where("n <> 0")
+    of = Window.partitionBy("key", "flat", "c").orderBy("at")  # the places on one line along an axis
+    runs = ends.select("key", "flat", "c", "at", F.lead("at").over(of).alias("to"), F.sum("n").over(of).alias("n")).where("n <> 0")
+    runs = runs.select("key", *[F.expr(f"case when flat then {p} else {q} end").alias(c) for c, p, q in (("ax", "at", "c"), ("ay", "c", "at"), ("bx", "to", "c"), ("by", "c", "to"))], "n")
+    rest = lines.where("ax <> bx and ay <> by").groupBy("key", *_LINE).agg(F.sum("n").alias("n")).where("n <> 0")
+    return runs.select("key", *_LINE, "n").unionByName(rest.select("key", *_LINE, "n"))
+
+
+def _pairs(lines: DataFrame, few: bool, first: bool) -> DataFrame:
+    """lines(eid, key, ax, ..., moved) -> pairs, columns of the second with _, of lines of a key whose boxes meet, one of which has moved; each pair once. few: a key's lines meet whole."""
+    named = lambda df: df.select("key", *[F.col(c).alias(f"{c}_") for c in ("eid", *_LINE, "n", "moved")])
+    boxed = "least(ax, bx) <= greatest(ax_, bx_) and least(ax_, bx_) <= greatest(ax, bx) and ay <= by_ and ay_ <= by"
+    once = "eid <> eid_ and (moved or moved_) and (eid < eid_ or not moved_)" if not first else "eid < eid_"
+    if few:
+        return lines.join(named(lines).hint("merge"), "key").where(f"eid = eid_ or (eid < eid_ and (moved or moved_) and {boxed})")
+    low, high = (("least(ax, bx)", "greatest(ax, bx)"), ("ay", "by"))
+    placed = lines.withColumn("own", F.expr(level("greatest(abs(bx - ax), by - ay)")))
+    span = lambda c: f"sequence(cast(floor({c[0]} / pow(2e0, lv)) as bigint), cast(floor({c[1]} / pow(2e0, lv)) as bigint))"
+    at = _upwards(placed, _levels(placed)).withColumn("ci", F.explode(F.expr(span(low)))).withColumn("cj", F.explode(F.expr(span(high))))
+    cell = ["key", "lv", "ci", "cj"]
+    left = at if first else at.where("moved")
+    right = at.select(*cell, *[F.col(c).alias(f"{c}_") for c in ("eid", *_LINE, "n", "moved", "own")])
+    corner = "ci = floor(greatest(least(ax, bx), least(ax_, bx_)) / pow(2e0, lv)) and cj = floor(greatest(ay, ay_) / pow(2e0, lv))"
+    return left.join(right.hint("merge"), cell).where(f"{once} and lv = greatest(own, own_) and {corner} and {boxed}").drop("lv", "ci", "cj", "own", "own_")
+
+
+def _split(lines: DataFrame, few: bool, first: bool) -> DataFrame:
+    """lines(eid, key, ax, ay, bx, by, n, moved) -> their parts between the places where others of the key cross or touch them; moved: an end was moved to the grid, off its line."""
+    rx, ry, sx, sy, qx, qy = "(bx - ax)", "(by - ay)", "(bx_ - ax_)", "(by_ - ay_)", "(ax_ - ax)", "(ay_ - ay)"
+    d = f"({rx} * {sy} - {ry} * {sx})"
+    on = f"struct(case when {d} = 0 then null else ({qx} * {sy} - {qy} * {sx}) / {d} end as t, case when {d} = 0 then null else ({qx} * {ry} - {qy} * {rx}) / {d} end as u, {qx} * {ry} - {qy} * {rx} as off)"
+    pairs = _pairs(lines, few, first)
+    pairs = pairs.select("*", F.explode(F.array(F.expr(on))).alias("m")).select("*", "m.*").drop("m")
+    pairs = pairs.where(("eid = eid_ or " if few else "") + "(t between 0 and 1 and u between 0 and 1) or (t is null and off = 0)")
+    pairs = pairs.select("*", F.explode(F.array(F.expr(f"struct(rint(ax + t * {rx}) as x, rint(ay + t * {ry}) as y)"))).alias("p"))
+    one, other = (f"eid{k} as eid, " + ", ".join(f"{c}{k} as {c}" for c in _LINE) + f", n{k} as n" for k in ("", "_"))
+    item = lambda e, x, y: f"struct({e}, {x} as x, {y} as y)"
+    none = item(one, "cast(null as double)", "cast(null as double)")
+    found = f"case when eid = eid_ then array({none}) when t is null then array({item(one, 'ax_', 'ay_')}, {item(one, 'bx_', 'by_')}, {item(other, 'ax', 'ay')}, {item(other, 'bx', 'by')}) else array({item(one, 'p.x', 'p.y')}, {item(other, 'p.x', 'p.y')}) end"
+    places = pairs.select("key", F.explode(F.expr(found)).alias("e")).select("key", "e.*")
+    places = places.where("x is null or ((x <> ax or y <> ay) and (x <> bx or y <> by) and x between least(ax, bx) and greatest(ax, bx) and y between ay and by)")
+    if not few:
+        places = places.unionByName(lines.select("key", "eid", *_LINE, "n", F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y")))
+    place = F.struct(F.expr("abs(x - ax) + abs(y - ay)").alias("t"), "x", "y")
+    cut = places.groupBy("key", "eid", *_LINE, "n").agg(F.array_sort(F.collect_set(F.when(F.col("x").isNotNull(), place))).alias("at"))
+    ends = F.expr("concat(array(struct(0e0 as t, ax as x, ay as y)), at, array(struct(0e0 as t, bx as x, by as y)))")
+    parts = cut.withColumn("at", F.explode(F.array(ends))).select("*", F.explode(F.expr("transform(sequence(1, size(at) - 1), k -> struct(at[k - 1] as p, at[k] as q))")).alias("s"))
+    off = lambda p: f"({rx} * (s.{p}.y - ay) - {ry} * (s.{p}.x - ax) <> 0)"
+    parts = parts.select("key", "n", F.expr(f"{off('p')} or {off('q')}").alias("moved"), *[F.col(f"s.{p}.{c}").alias(f"{p}{c}") for p in "pq" for c in "xy"])
+    return parts.select(*_up("key", "moved"))
+
+
+def noded(spark: SparkSession, lines: DataFrame, few: bool = False) -> DataFrame:
+    """lines(key, ax, ay, bx, by, n) with whole coordinates -> parts of them that meet at ends only.
+
+    Where a part was moved to the grid it may cross another one, so this goes on until none is moved. few: no key has many lines.
+    """
+    now, first = lines.withColumn("moved", F.lit(True)), True
     while True:
-        now = materialise(spark, now.select(F.monotonically_increasing_id().alias("eid"), "key", "ring", *ENDS, "w"), "edges")
-        points = _crossings(now).join(now, "eid")
-        inner = "(x <> x0 or y <> y0) and (x <> x1 or y <> y1) and x between least(x0, x1) and greatest(x0, x1) and y between least(y0, y1) and greatest(y0, y1)"
-        points = materialise(spark, points.where(inner).select("eid", "x", "y"), "splits")
-        if points.isEmpty():
-            return now.drop("eid")
-        cut = now.join(points.select("eid").distinct(), "eid", "left_semi")
-        ends = cut.select("eid", F.col("x0").alias("x"), F.col("y0").alias("y")).union(cut.select("eid", F.col("x1").alias("x"), F.col("y1").alias("y")))
-        at = points.union(ends).distinct().join(cut, "eid").withColumn("t", F.expr("abs(x - x0) + abs(y - y0)"))
-        of = Window.partitionBy("eid").orderBy("t")  # the places on one edge
-        parts = at.select("key", "ring", "w", F.col("x").alias("x0"), F.col("y").alias("y0"), F.lead("x").over(of).alias("x1"), F.lead("y").over(of).alias("y1")).where("x1 is not null")
-        now = now.join(points.select("eid").distinct(), "eid", "left_anti").select("key", "ring", *ENDS, "w").unionByName(parts.select("key", "ring", *ENDS, "w"))
+        now = materialise(spark, now.select(F.monotonically_increasing_id().alias("eid"), "key", *_LINE, "n", "moved"), "lines")
+        if not first and now.where("moved").isEmpty():
+            return now.drop("eid", "moved")
+        now, first = _split(now, few, first), False
+
+
+def _right(lines: DataFrame) -> DataFrame:
+    """noded lines(key, ax, ay, bx, by, n), each once, of keys with few -> with d, the winding number at the right of each: rays to the east, or to the south from flat ones."""
+    other = lines.select("key", *[F.col(c).alias(f"{c}_") for c in (*_LINE, "n")])
+    east = "ay <> by and (ay_ <= (ay + by) / 2) <> (by_ <= (ay + by) / 2) and (ax + bx) / 2 < ax_ + ((ay + by) / 2 - ay_) * (bx_ - ax_) / (by_ - ay_)"
+    south = "ay = by and (ax_ <= (ax + bx) / 2) <> (bx_ <= (ax + bx) / 2) and ay > ay_ + ((ax + bx) / 2 - ax_) * (by_ - ay_) / (bx_ - ax_)"
+    own = "(ax = ax_ and ay = ay_ and bx = bx_ and by = by_)"
+    way = f"case when {own} then 0 when {east} then n_ when {south} then case when bx_ > ax_ then n_ else -n_ end else 0 end"
+    return lines.join(other.hint("merge"), "key").groupBy("key", *_LINE, "n").agg(F.sum(F.expr(way)).alias("d"))
+
+
+#: Where tiles begin: no end or middle of a line on the grid lies on a tile's side, and no line goes through a corner.
+_AT = (0.3183098861837907, 0.2718281828459045)
+
+
+def _right_by_tiles(spark: SparkSession, lines: DataFrame) -> DataFrame:
+    """As _right, for keys of any number of lines.
+
+    The winding number at a tile's lower left corner is a running sum over the tiles to the west of what crosses their lower sides; from
+    there a path goes up the tile's side and then to the east, and meets lines of this tile only.
+    """
+    size = lines.agg(F.expr("sqrt(avg(pow(greatest(abs(bx - ax), by - ay), 2)))").alias("q"), F.expr("max(greatest(abs(bx - ax), by - ay))").alias("m")).first()
+    if size.m is None:
+        return lines.withColumn("d", F.lit(0).cast("long"))
+    t, (ox, oy) = float(max(1, round(2 * size.q), round(size.m / 64))), _AT
+    tile = lambda c, o: f"cast(floor(({c} - {o}) / {t}) as bigint)"
+    spanned = lambda p, q, o: F.explode(F.expr(f"sequence({tile(p, o)}, {tile(q, o)})"))
+    rows = lines.withColumn("ti", spanned("least(ax, bx)", "greatest(ax, bx)", ox)).withColumn("tj", spanned("ay", "by", oy))
+    left = lambda x, y, k="": f"(bx{k} - ax{k}) * ({y} - ay{k}) - (by{k} - ay{k}) * ({x} - ax{k})"
+    x, x1, y = f"(ti * {t} + {ox})", f"((ti + 1) * {t} + {ox})", f"(tj * {t} + {oy})"
+    low = f"case when ay < {y} and {y} < by and {left(x, y)} > 0 and {left(x1, y)} <= 0 then n else 0 end"
+    corners = rows.groupBy("key", "ti", "tj").agg(F.sum(F.expr(low)).alias("low"))
+    west = Window.partitionBy("key", "tj").orderBy("ti").rowsBetween(Window.unboundedPreceding, -1)  # the tiles of one row
+    corners = corners.select("key", "ti", "tj", (-F.coalesce(F.sum("low").over(west), F.lit(0))).alias("at"))
+    middle = lines.withColumn("ti", F.expr(tile("(ax + bx) / 2", ox))).withColumn("tj", F.expr(tile("(ay + by) / 2", oy)))
+    other = rows.select("key", "ti", "tj", *[F.col(c).alias(f"{c}_") for c in (*_LINE, "n")])
+    px, py = "((ax + bx) / 2)", "((ay + by) / 2)"
+    o, turn = left(x, y, "_"), left(x, py, "_")
+    # up the side: lines over its corner and under the turn, where a flat one at the turn's height lies under the path, but not under one that runs beneath a flat line
+    up = f"case when least(ax_, bx_) < {x} and {x} < greatest(ax_, bx_) and (bx_ > ax_ and {o} <= 0 and ({turn} > 0 or ({turn} = 0 and ay <> by))) then n_ when least(ax_, bx_) < {x} and {x} < greatest(ax_, bx_) and bx_ < ax_ and {o} > 0 and {turn} < 0 then -n_ else 0 end"
+    crossed = f"case when ay = by then (ay_ < {py}) <> (by_ < {py}) else (ay_ <= {py}) <> (by_ <= {py}) end"
+    own = "(ax = ax_ and ay = ay_ and bx = bx_ and by = by_)"
+    east = f"case when {own} and ay <> by then n_ when {crossed} and {turn} > 0 and ax_ + ({py} - ay_) * (bx_ - ax_) / (by_ - ay_) < {px} then n_ else 0 end"
+    met = middle.join(other.hint("merge"), ["key", "ti", "tj"]).groupBy("key", "ti", "tj", *_LINE, "n").agg(F.sum(F.expr(f"{up} - {east}")).alias("way"))
+    return met.join(corners.hint("merge"), ["key", "ti", "tj"]).select("key", *_LINE, "n", F.expr("at + way").alias("d"))
 
 
 def _turned(edges: DataFrame) -> DataFrame:
@@ -95,7 +191,7 @@ def windings(points: DataFrame, edges: DataFrame) -> DataFrame:
     at = box_pairs(boxes, _BOX, points.select("*", F.col("x").alias("x_"), F.col("y").alias("y_")), ("x", "y", "x_", "y_"), 0.0, "key")
     row = "cast(floor(({} - case when mode = 0 then ly else lx end) * m / greatest(case when mode = 0 then hy - ly else hx - lx end, 1e0)) as bigint)"
     at = at.select("*", F.expr("case when mode = 0 then y else x end").alias("u"), F.expr("case when mode = 0 then x else -y end").alias("v")).withColumn("row", F.expr(row.format("u"))).select("q", "key", "ring", "mode", "u", "v", "row", *(["ax", "ay", "bx", "by"] if own else []))
-    rows = _turned(edges.join(boxes, ["key", "ring"])).where("u0 <> u1")
+    rows = _turned(edges.join(boxes.hint("merge"), ["key", "ring"])).where("u0 <> u1")
     rows = rows.withColumn("row", F.explode(F.expr(f"sequence({row.format('least(u0, u1)')}, {row.format('greatest(u0, u1)')})")))
     met = at.hint("merge").join(rows.select("key", "ring", "mode", "row", "w", *ENDS, "u0", "v0", "u1", "v1"), ["key", "ring", "mode", "row"])
     met = met.where("(u0 <= u) <> (u1 <= u) and v < v0 + (u - u0) * (v1 - v0) / (u1 - u0)")
@@ -106,17 +202,19 @@ def windings(points: DataFrame, edges: DataFrame) -> DataFrame:
 
 def boundary(spark: SparkSession, edges: DataFrame, snap: float = 1e-6) -> DataFrame:
     """edges(key, ring, x0, y0, x1, y1, w) -> key, x0, y0, x1, y1: the outlines of the keys' shapes, the shape at the left; whole grid coordinates."""
-    on_grid = edges.select("key", "ring", *[F.rint(F.col(c) / snap).alias(c) for c in ENDS], "w").where("x0 <> x1 or y0 <> y1")
-    parts = noded(spark, on_grid)
-    up = F.expr("y1 > y0 or (y1 = y0 and x1 > x0)")
-    a, b = F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"))
-    lines = parts.select("key", F.when(up, a).otherwise(b).alias("a"), F.when(up, b).otherwise(a).alias("b"), F.when(up, F.col("w")).otherwise(-F.col("w")).alias("n"))
-    lines = lines.groupBy("key", "a", "b").agg(F.sum("n").alias("n")).where("n <> 0")
-    lines = materialise(spark, lines.select(F.monotonically_increasing_id().alias("q"), "key", F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"), "n"), "lines")
-    middle = lines.select("q", "key", F.expr("case when ay = by then 1 else 0 end").alias("mode"), F.expr("(ax + bx) / 2").alias("x"), F.expr("(ay + by) / 2").alias("y"), "ax", "ay", "bx", "by")
-    right = windings(middle, parts).groupBy("q").agg(F.sum("n").alias("d"))
-    sides = lines.join(right, "q", "left").withColumn("d", F.coalesce("d", F.lit(0)))
-    kept = sides.where("(d > 0) <> (d + n > 0)")
+    on_grid = edges.select("key", *[F.rint(F.col(c) / snap).alias(p) for c, p in zip(ENDS, ("px", "py", "qx", "qy"), strict=True)], F.col("w").cast("long").alias("n")).where("px <> qx or py <> qy")
+    lines = materialise(spark, on_grid.select(*_up("key")), "edges")
+    many = lines.groupBy("key").agg(F.count(F.lit(1)).alias("k"))
+    many = materialise(spark, many.select("key", (F.col("k") > FEW).alias("many")), "keys")
+    kinds = {r.many for r in many.groupBy("many").count().collect()}  # two rows
+    of = lambda kind: lines if len(kinds) == 1 else lines.join(many.where(F.col("many") == kind), "key", "left_semi")
+    summed = lambda df: df.groupBy("key", *_LINE).agg(F.sum("n").alias("n")).where("n <> 0")
+    sides = []
+    if False in kinds or not kinds:
+        sides.append(_right(summed(noded(spark, of(False), True).repartition("key"))))
+    if True in kinds:
+        sides.append(_right_by_tiles(spark, materialise(spark, summed(noded(spark, _summed(of(True)))), "lines")))
+    kept = reduce(DataFrame.unionByName, sides).where("(d > 0) <> (d + n > 0)")
     turned = lambda p, q: F.expr(f"case when d + n > 0 then {p} else {q} end")
     return kept.select("key", turned("ax", "bx").alias("x0"), turned("ay", "by").alias("y0"), turned("bx", "ax").alias("x1"), turned("by", "ay").alias("y1"))
 
@@ -124,7 +222,7 @@ def boundary(spark: SparkSession, edges: DataFrame, snap: float = 1e-6) -> DataF
 def _followers(edges: DataFrame, first: bool, *on: str) -> DataFrame:
     """edges(id, key, x0, ..., on) -> id, next, turns: of the edges that start where one ends, the first one clockwise from the way back, or the last; turns: it isn't straight on."""
     after = edges.select("key", *on, F.col("id").alias("next"), F.col("x0").alias("x1"), F.col("y0").alias("y1"), F.expr("x1 - x0").alias("fx"), F.expr("y1 - y0").alias("fy"))
-    pairs = edges.select("id", "key", *on, "x1", "y1", F.expr("x0 - x1").alias("bx"), F.expr("y0 - y1").alias("by")).join(after, ["key", *on, "x1", "y1"])
+    pairs = edges.select("id", "key", *on, "x1", "y1", F.expr("x0 - x1").alias("bx"), F.expr("y0 - y1").alias("by")).join(after.hint("merge"), ["key", *on, "x1", "y1"])
     cross, dot = "(bx * fy - by * fx)", "(bx * fx + by * fy)"
     clockwise = F.expr(f"case when {cross} < 0 then -atan2({cross}, {dot}) when {cross} > 0 then 2 * pi() - atan2({cross}, {dot}) when {dot} < 0 then pi() else 2 * pi() end")
     pick = F.min_by if first else F.max_by
@@ -140,8 +238,8 @@ def rings(spark: SparkSession, outline: DataFrame, snap: float = 1.0) -> DataFra
     edges = outline.repartitionByRange("key", "y0", "x0").select(F.monotonically_increasing_id().alias("id"), "key", *ENDS)
     edges = materialise(spark, edges, "outline")
     links = materialise(spark, _followers(edges, True), "links")
-    found = traced(spark, links)
-    passed = edges.join(found.select("id", "ring"), "id")
+    placed = lambda: materialise(spark, edges.join(traced(spark, links).hint("merge"), "id"), "passed")
+    passed = placed()
     twice = passed.groupBy("key", "ring", "x0", "y0").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     twice = materialise(spark, twice.select("key", "ring", F.col("x0").alias("px"), F.col("y0").alias("py")), "twice")
     if not twice.isEmpty():
@@ -151,21 +249,21 @@ def rings(spark: SparkSession, outline: DataFrame, snap: float = 1.0) -> DataFra
         again = _followers(near, False, "ring").join(passed.join(t, at("x1", "y1"), "left_semi").select("id"), "id", "left_semi")
         again = materialise(spark, again, "again")
         links = materialise(spark, links.join(again.select("id"), "id", "left_anti").unionByName(again), "links")
-        found = traced(spark, links)
+        passed = placed()
     turns = links.select(F.col("next").alias("id"), "turns")
-    placed = edges.join(found, "id").join(turns, "id").withColumn("a", F.expr("x0 * y1 - x1 * y0"))
-    placed = materialise(spark, placed, "rings")
+    placed = passed.join(turns.hint("merge"), "id").select("key", "ring", "seq", "x0", "y0", "turns", F.expr("x0 * y1 - x1 * y0").alias("a")).repartition("ring")
     area = placed.groupBy("ring").agg((F.sum("a") * snap * snap).alias("area2"))
-    return placed.join(area, "ring").select("key", "ring", "seq", (F.col("x0") * snap).alias("x"), (F.col("y0") * snap).alias("y"), "turns", "area2")
+    placed = placed.join(area.hint("merge"), "ring").select("key", "ring", "seq", (F.col("x0") * snap).alias("x"), (F.col("y0") * snap).alias("y"), "turns", "area2")
+    return materialise(spark, placed, "rings")
 
 
 def homes(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """vertices of rings and edges(key, ring, x0, y0, x1, y1) of the same -> ring, shell: a shell is its own, a hole belongs to the smallest shell round it."""
     shells = vertices.where("area2 > 0").groupBy("ring").agg(F.first("area2").alias("area2"))
-    of = edges.join(shells.select("ring"), "ring", "left_semi").withColumn("w", F.lit(1))
-    holes = edges.join(shells.select("ring"), "ring", "left_anti").groupBy("ring").agg(F.min(F.struct("key", *ENDS)).alias("e"))
+    of = edges.join(shells.select("ring").hint("merge"), "ring", "left_semi").withColumn("w", F.lit(1))
+    holes = edges.join(shells.select("ring").hint("merge"), "ring", "left_anti").groupBy("ring").agg(F.min(F.struct("key", *ENDS)).alias("e"))
     middle = holes.select(F.col("ring").alias("q"), "e.key", F.expr("case when e.y0 = e.y1 then 1 else 0 end").alias("mode"), F.expr("(e.x0 + e.x1) / 2").alias("x"), F.expr("(e.y0 + e.y1) / 2").alias("y"))
-    inside = windings(middle, of).where("n <> 0").join(shells, "ring")
+    inside = windings(middle, of).where("n <> 0").join(shells.hint("merge"), "ring")
     return shells.select("ring", F.col("ring").alias("shell")).union(inside.groupBy(F.col("q").alias("ring")).agg(F.min_by("ring", "area2").alias("shell")))
 
 
@@ -198,8 +296,8 @@ def ring_edges(vertices: DataFrame) -> DataFrame:
     """vertices(key, ring, seq, x, y) of rings whose seq has no gaps -> key, ring, x0, y0, x1, y1."""
     size = vertices.groupBy("ring").agg(F.count(F.lit(1)).alias("n"))
     after = vertices.select("ring", F.col("seq").alias("_s"), F.col("x").alias("x1"), F.col("y").alias("y1"))
-    at = vertices.join(size, "ring").select("key", "ring", F.col("x").alias("x0"), F.col("y").alias("y0"), F.expr("(seq + 1) % n").alias("_s"))
-    return at.join(after, ["ring", "_s"]).select("key", "ring", *ENDS)
+    at = vertices.join(size.hint("merge"), "ring").select("key", "ring", F.col("x").alias("x0"), F.col("y").alias("y0"), F.expr("(seq + 1) % n").alias("_s"))
+    return at.join(after.hint("merge"), ["ring", "_s"]).select("key", "ring", *ENDS)
 
 
 def shapes(vertices: DataFrame) -> DataFrame:

@@ -439,8 +439,8 @@ def _ring_counts(vertices):
     length = edges.groupBy("key").agg(F.round(F.sum(F.expr("sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))")), 3).alias("perimeter"))
     rings = vertices.groupBy("key", "ring").agg(F.first("area2").alias("a"), F.count_if("turns").alias("n"))
     counts = rings.groupBy("key").agg(F.round(F.sum("a") / 2, 3).alias("area"), F.sum("n").alias("corners"), F.sum(F.when(F.col("a") > 0, 1).otherwise(-1)).alias("s"))
-    touching = vertices.join(overlay.homes(vertices, edges), "ring").groupBy("key", "shell", "x", "y").agg((F.count(F.lit(1)) - 1).alias("t")).groupBy("key").agg(F.sum("t").alias("t"))
-    return counts.join(touching, "key").join(length, "key").select("key", "area", "corners", (F.col("s") + F.col("t")).alias("euler"), "perimeter")
+    touching = vertices.join(overlay.homes(vertices, edges).hint("merge"), "ring").groupBy("key", "shell", "x", "y").agg((F.count(F.lit(1)) - 1).alias("t")).groupBy("key").agg(F.sum("t").alias("t"))
+    return counts.join(touching.hint("merge"), "key").join(length.hint("merge"), "key").select("key", "area", "corners", (F.col("s") + F.col("t")).alias("euler"), "perimeter")
 
 
 @query
