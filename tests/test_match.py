@@ -52,3 +52,14 @@ def test_rows_against_a_plain_join(spark, keys):
     same = match.dedupe_by_address(plain.drop("town") if not keys else plain, ("judet", "sv", *keys))
     pick = lambda df: sorted(str((x.sv, x.street_norm, x.addr_housenumber_int, x.addr_id)) for x in df.collect())
     assert pick(best) == pick(same)
+
+
+def test_a_few_names_dont_stand_for_all_rows(spark, small):
+    """Small tables as well: neither the specs nor the addresses are sent to the tasks of the other."""
+    from wardcraft.plans.queries import _specs
+    from wardcraft.plans.views import view
+
+    specs = _specs(spark, small)
+    found = match.match_rows(specs, match.prepare_addresses(view(spark, small, "v_addr")))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from wardcraft.functions.numbers import covers, housenumber_cover, housenumber_int
 from wardcraft.functions.patterns import needed
 from wardcraft.functions.text import normalize_street
+from wardcraft.plans.shared import materialise
 
 
 def prepare_addresses(addresses: DataFrame) -> DataFrame:
@@ -81,20 +82,27 @@ def match_rows(specs: DataFrame, addresses: DataFrame, keys: tuple[str, ...] = (
 
     keys: columns that both tables have and that have to be equal as well (a locality, so that the main streets of all towns don't meet); a null there meets nothing.
     What a spec asks for is tested once on each cover of a street, however many sections ask for it and however many addresses have it.
+    Both tables are written once, and meet by sorting: a few names can stand for all rows, so that neither is sent to the tasks of the other.
     """
+    spark = specs.sparkSession
+    addresses = materialise(spark, addresses, "addresses")
     wanted = specs.where("kind in ('integral', 'numbers') and street <> ''").withColumnRenamed("street_norm", "rule_norm").withColumnRenamed("row_id", "rule_no")
+    wanted = materialise(spark, wanted, "wanted")
     links = street_links(wanted.select("rule_norm").distinct(), addresses.select("street_norm").distinct())
     asked, had = F.struct(*_TEST), F.struct(*keys, "street_norm", "cover")
     tests = wanted.select(*keys, asked.alias("test")).distinct()
     covers_ = addresses.select(*keys, "street_norm", "cover").distinct()
-    pairs = tests.withColumn("rule_norm", F.col("test.rule_norm")).join(links, "rule_norm").join(covers_, [*keys, "street_norm"])
+    few = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))  # a count, as names and covers are few rows for the tests that are to be made
+    pairs = tests.withColumn("rule_norm", F.col("test.rule_norm")).join(links, "rule_norm").repartition(few).join(covers_, [*keys, "street_norm"])
     good = (F.col("test.kind") == "integral") | covers(F.col("cover"), F.col("test.parity"), F.col("test.ranges"), F.col("test.singles"))
     pairs = pairs.where(good).select(F.struct(*keys, "test").alias("asked"), had.alias("had"))
-    wanted = wanted.withColumn("asked", F.struct(*keys, asked.alias("test")))
-    addresses = addresses.withColumn("had", had)
-    out = wanted.join(pairs, wanted.asked.eqNullSafe(pairs.asked)).drop("asked")
-    out = out.join(addresses.drop(*keys), out.had.eqNullSafe(addresses.had))
-    return out.select(*[c for c in wanted.columns if c != "asked"], *[c for c in addresses.columns if c not in ("had", *keys)])
+    # hashes go before the structs, so that these are compared where the hashes are equal only
+    pairs = materialise(spark, pairs.withColumns({"_a": F.xxhash64("asked"), "_h": F.xxhash64("had")}), "tested")
+    addresses_ = addresses.withColumn("had_", had).withColumn("_h_", F.xxhash64("had_")).drop(*keys)
+    wanted_ = wanted.withColumn("asked_", F.struct(*keys, asked.alias("test"))).withColumn("_a_", F.xxhash64("asked_"))
+    out = pairs.join(addresses_.hint("merge"), (F.col("_h") == F.col("_h_")) & F.col("had").eqNullSafe(F.col("had_"))).drop("had", "had_", "_h", "_h_")
+    out = wanted_.hint("merge").join(out, (F.col("_a_") == F.col("_a")) & F.col("asked_").eqNullSafe(F.col("asked")))
+    return out.select(*wanted.columns, *[c for c in addresses.columns if c not in keys])
 
 
 def source_preference(c: Column) -> Column:
