@@ -198,3 +198,32 @@ def test_components(spark):
     got = {r.node: r.root for r in connected_components(spark, spark.createDataFrame(edges, "u bigint, v bigint").repartition(5)).collect()}
     assert got == {k: 0 for k in range(1, 61)} | {101: 100, 200: 100}
     assert connected_components(spark, spark.createDataFrame([], "u bigint, v bigint")).count() == 0
+
+
+def test_points_of_one_place_meet_boxes_once(spark, monkeypatch):
+    met = []
+    whole = spatial.within_radius
+    monkeypatch.setattr(spatial, "within_radius", lambda points, *a: (met.append(points.count()), whole(points, *a))[1])
+    points = _points(spark, *[(k % 2 * 50, 0) for k in range(40)])
+    boxes = spark.createDataFrame([(k, 3.0, 0.0, 4.0, 1.0) for k in (9, 5, 7)], BOX)
+    got = {r.pt_id: (r.n_square, r.bld_id, r.d) for r in spatial.nearest(points, boxes, 10.0).collect()}
+    assert met == [2] and got == {k: (0, None, None) if k % 2 else (3, 5, 3.0) for k in range(40)}
+
+
+def test_cells_of_many_rows_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "SHARE", 10)
+    small = spark.range(300).selectExpr("id as a", "cast(id % 40 as double) as ax0", "cast(id % 7 as double) as ay0", "id % 40 + 0.5d as ax1", "id % 7 + 0.5d as ay1")
+    large = spark.createDataFrame([(k, 5.0 * k, 0.0, 5.0 * k + 9, 20.0) for k in range(4)], "b long, bx0 double, by0 double, bx1 double, by1 double")
+    assert spatial._shares({0: 300}, {4: 4}) == {0: (30, 1), 4: (30, 1)}
+    got = spatial.box_pairs(small, ("ax0", "ay0", "ax1", "ay1"), large, ("bx0", "by0", "bx1", "by1"), 1.0).select("a", "b").collect()
+    want = small.crossJoin(large).where("ax0 <= bx1 + 1 and ax1 >= bx0 - 1 and ay0 <= by1 + 1 and ay1 >= by0 - 1").select("a", "b").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_shapes_with_corners_in_one_cell_are_not_measured(spark, monkeypatch):
+    met = []
+    pairs = spatial.box_pairs
+    monkeypatch.setattr(spatial, "box_pairs", lambda a, *r: (met.append(a.count()), pairs(a, *r))[1])
+    boxes = spark.createDataFrame([(k, k % 30 * 1.0, k % 11 * 1.0, k % 30 + 1.0, k % 11 + 1.0) for k in range(330)] + [(1000, 70.0, 0.0, 71.0, 1.0), (1001, 36.0, 0.0, 37.0, 1.0)], BOX)
+    got = {r.bld_id for r in spatial.grown(boxes, boxes.where("bld_id < 330"), 6.0).collect()}
+    assert got == {*range(330), 1001} and met[0] == 2

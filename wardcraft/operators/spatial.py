@@ -41,9 +41,13 @@ def _own(df: DataFrame, box: tuple[str, ...], pad: float) -> DataFrame:
     return df.withColumn("own", F.expr(level(f"greatest({x1} - {x0}, {y1} - {y0}) + {2 * pad}")))
 
 
+def _level_rows(table: DataFrame) -> dict[int, int]:
+    """The levels that shapes have, with their rows: a row per power of two, so few."""
+    return {r.own: r["count"] for r in table.groupBy("own").count().collect() if r.own is not None}
+
+
 def _levels(table: DataFrame) -> list[int]:
-    """The levels that shapes have: a row per power of two, so few."""
-    return sorted(r.own for r in table.select("own").distinct().collect() if r.own is not None)
+    return sorted(_level_rows(table))
 
 
 def _cells(df: DataFrame, box: tuple[str, ...], pad: float) -> DataFrame:
@@ -59,19 +63,47 @@ def _upwards(df: DataFrame, others: list[int]) -> DataFrame:
     return df.withColumn("lv", F.explode(F.concat(F.array("own"), coarser)))
 
 
+#: Rows of a level beyond this are dealt out to more tasks than there are cells.
+SHARE = 200_000
+
+
+def _shares(own: dict[int, int], others: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """Rows by their own level of two tables -> level: (shares of the first, of the second). Where one has far more rows than the other at a level, they
+    are dealt out and the few of the other go to every share, which adds at most as many rows as there are."""
+    found = {}
+    for lv in own.keys() | others.keys():
+        a, b = (max(1, sum(n for k, n in t.items() if k <= lv)) for t in (own, others))
+        n = min(-(-max(a, b) // SHARE), max(a, b) // min(a, b))
+        found[lv] = (n, 1) if a >= b else (1, n)
+    return found
+
+
+def _dealt(df: DataFrame, shares: dict[int, int], others: dict[int, int]) -> DataFrame:
+    """Rows with lv -> with share: one of their level's shares, by the row's values, or all of the other table's."""
+    if max([1, *shares.values(), *others.values()]) == 1:
+        return df.withColumn("share", F.lit(0))
+    plain = [f.name for f in df.schema.fields if f.dataType.typeName() not in ("array", "map", "struct", "null", "variant")]
+    of = lambda m: "case lv " + " ".join(f"when {k} then {v}" for k, v in m.items()) + " else 1 end"
+    one = f"array(cast(pmod(xxhash64({', '.join(f'`{c}`' for c in plain)}), {of(shares)}) as int))"
+    return df.withColumn("share", F.explode(F.expr(f"case when {of(others)} > 1 then sequence(0, {of(others)} - 1) else {one} end")))
+
+
 def box_pairs(a: DataFrame, a_box: tuple[str, ...], b: DataFrame, b_box: tuple[str, ...], pad: float, *on: str) -> DataFrame:
     """Rows of a and b, columns apart but for `on`, which has to be equal, whose boxes are within pad of each other on both axes; each pair once.
 
     Shapes stand in cells as large as themselves, and a pair meets at the level of the larger one, so rows don't grow with the ratio of a
-    shape and a radius. Cells are met by sorting: what was made of cells is never sent to all tasks.
+    shape and a radius. Cells are met by sorting: what was made of cells is never sent to all tasks. A cell of many rows on one side and few on the other is met in shares.
     """
     left, right = _own(a, a_box, 0.0), _own(b, b_box, pad)
-    levels, others = _levels(left), _levels(right)
-    left, right = _cells(_upwards(left, others), a_box, 0.0), _cells(_upwards(right, levels).withColumnRenamed("own", "own_b"), b_box, pad)
+    rows, more = _level_rows(left), _level_rows(right)
+    shares = _shares(rows, more)
+    of = [{lv: n[k] for lv, n in shares.items()} for k in (0, 1)]
+    left, right = _dealt(_upwards(left, sorted(more)), of[0], of[1]), _dealt(_upwards(right, sorted(rows)), of[1], of[0])
+    left, right = _cells(left, a_box, 0.0), _cells(right.withColumnRenamed("own", "own_b"), b_box, pad)
     first = lambda p, q, c: f"{c} = greatest(floor({p} / pow(2e0, lv)), floor(({q} - {pad}) / pow(2e0, lv)))"
     once = f"lv = greatest(own, own_b) and {first(a_box[0], b_box[0], 'ci')} and {first(a_box[1], b_box[1], 'cj')}"
     near = " and ".join(f"{a_box[k]} <= {b_box[k + 2]} + {pad} and {a_box[k + 2]} >= {b_box[k]} - {pad}" for k in (0, 1))
-    return left.hint("merge").join(right, [*on, "lv", "ci", "cj"]).where(once).where(near).drop("lv", "ci", "cj", "own", "own_b")
+    return left.hint("merge").join(right, [*on, "lv", "ci", "cj", "share"]).where(once).where(near).drop("lv", "ci", "cj", "share", "own", "own_b")
 
 
 def polygons_of(edges: DataFrame) -> DataFrame:
@@ -104,18 +136,22 @@ def within_radius(points: DataFrame, boxes: DataFrame, radius: float) -> DataFra
 def nearest(points: DataFrame, boxes: DataFrame, radius: float) -> DataFrame:
     """pt_id, x, y, n_square, bld_id, d: the nearest box within the radius (the smallest id on a tie), null where there is none.
 
+    Points of one place have one answer, and boxes with the same bounds one distance: places and bounds meet once, whatever number has them.
     A polygon reaches every side of its bounds, so it is no farther than their farthest corner: only polygons whose bounds are nearer than
     the least of these are measured.
     """
-    found = within_radius(points, boxes.drop("edges"), radius)
+    places = points.select(*POINT).distinct()
+    bounds_ = boxes.groupBy(*BOX).agg(F.min("bld_id").alias("bld_id"), F.count(F.lit(1)).alias("k"))
+    found = within_radius(places, bounds_, radius)
     far = F.expr("sqrt(pow(greatest(abs(x - x0), abs(x - x1)), 2) + pow(greatest(abs(y - y0), abs(y - y1)), 2))")
     best = F.min(F.when(F.col("hit"), F.struct("d", "bld_id"))).alias("best")
-    each = found.groupBy("pt_id").agg(F.count(F.lit(1)).alias("n_square"), *([F.min(far).alias("far")] if "edges" in boxes.columns else [best]))
+    each = found.groupBy(*POINT).agg(F.sum("k").alias("n_square"), *([F.min(far).alias("far")] if "edges" in boxes.columns else [best]))
     if "edges" in boxes.columns:
-        near = within_radius(points.join(each.select("pt_id", "far"), "pt_id"), boxes.drop("edges"), radius).where("hit and d <= far").select("pt_id", "x", "y", "bld_id")
-        exact = near.join(boxes.select("bld_id", "edges"), "bld_id").select("pt_id", "bld_id", F.expr(point_polygon(*POINT, "edges")).alias("d")).where(F.col("d") <= radius)
-        each = each.join(exact.groupBy("pt_id").agg(F.min(F.struct("d", "bld_id")).alias("best")), "pt_id", "left")
-    return points.join(each, "pt_id", "left").select("pt_id", "x", "y", F.coalesce("n_square", F.lit(0)).cast("long").alias("n_square"), F.col("best.bld_id").alias("bld_id"), F.col("best.d").alias("d"))
+        each = materialise(points.sparkSession, each, "places")
+        near = within_radius(each.select(*POINT, "far"), bounds_, radius).where("hit and d <= far").select(*POINT, *BOX)
+        exact = near.join(boxes.select("bld_id", *BOX, "edges"), list(BOX)).select(*POINT, "bld_id", F.expr(point_polygon(*POINT, "edges")).alias("d")).where(F.col("d") <= radius)
+        each = each.join(exact.groupBy(*POINT).agg(F.min(F.struct("d", "bld_id")).alias("best")), list(POINT), "left")
+    return points.join(each, list(POINT), "left").select("pt_id", "x", "y", F.coalesce("n_square", F.lit(0)).cast("long").alias("n_square"), F.col("best.bld_id").alias("bld_id"), F.col("best.d").alias("d"))
 
 
 def nearest_by_steps(spark: SparkSession, points: DataFrame, boxes: DataFrame, radius: float, steps: tuple[float, ...] = (1 / 32, 1 / 8, 1.0)) -> DataFrame:
@@ -176,22 +212,39 @@ def seeds(points: DataFrame, boxes: DataFrame, corridor: DataFrame, radius: floa
 def close_pairs(candidates: DataFrame, seed_boxes: DataFrame, radius: float, *keys: str) -> DataFrame:
     """Candidates with the distinct keys of the seed boxes within the radius of them.
 
+    A candidate with a corner in a cell, of which the diagonal is the radius, where a seed of the key has one isn't measured. The others meet first the
+    bounds of all seeds of a key near one place, then those of the keys whose bounds are near.
     Polygons of which two corners are within the radius aren't measured any more, nor is a candidate again for a key that it has.
     """
     s = seed_boxes.select(*keys, *[F.col(c).alias(f"s{c}") for c in _shape(seed_boxes)])
     s = s.dropDuplicates([*keys, *[f"s{c}" for c in BOX]]) if "edges" not in seed_boxes.columns else s
-    shape = ["bld_id", *_shape(candidates)]
-    pairs = box_pairs(candidates.select(shape), BOX, s, ("sx0", "sy0", "sx1", "sy1"), radius).where(F.expr(f"{box_box(('sx0', 'sy0', 'sx1', 'sy1'), BOX)} <= {radius}"))
+    box, sbox = BOX, ("sx0", "sy0", "sx1", "sy1")
+    size = radius * 0.7 if radius > 0 else 1.0
+    cell = lambda t: F.explode(F.expr(f"array_distinct(transform({'edges' if 'edges' in t.columns else 'array(struct(x0, y0), struct(x0, y1 as y0), struct(x1 as x0, y0), struct(x1 as x0, y1 as y0))'}, e -> struct(cast(floor(e.x0 / {size}) as bigint) as ci, cast(floor(e.y0 / {size}) as bigint) as cj)))")).alias("c")
+    had = seed_boxes.select(*keys, cell(seed_boxes)).distinct()
+    sure = candidates.select("bld_id", cell(candidates)).join(had, "c").select(*keys, "bld_id").distinct() if radius > 0 else None
+    span = F.expr(f"cast(floor(sx0 / {4 * size}) as bigint)"), F.expr(f"cast(floor(sy0 / {4 * size}) as bigint)")
+    together = s.groupBy(*keys, span[0].alias("gi"), span[1].alias("gj")).agg(F.min("sx0").alias("sx0"), F.min("sy0").alias("sy0"), F.max("sx1").alias("sx1"), F.max("sy1").alias("sy1")).drop("gi", "gj")
+    spark = candidates.sparkSession
+    if sure is not None:
+        sure = materialise(spark, sure, "sure")
+        left = candidates if keys else candidates.join(sure, "bld_id", "left_anti")
+        near = box_pairs(left.select("bld_id", *BOX), BOX, together, sbox, radius).select(*keys, "bld_id").distinct()
+        near = (near.join(sure, [*keys, "bld_id"], "left_anti") if keys else near)
+        near = materialise(spark, near.join(candidates.select("bld_id", *_shape(candidates)), "bld_id"), "open")
+    pairs = box_pairs(near, box, s, sbox, radius, *keys) if sure is not None else box_pairs(candidates.select("bld_id", *_shape(candidates)), box, s, sbox, radius)
+    pairs = pairs.where(F.expr(f"{box_box(sbox, BOX)} <= {radius}"))
     found = pairs.select(*keys, "bld_id")
     if "edges" in candidates.columns:
         corner = f"exists(edges, e -> exists(sedges, f -> (e.x0 - f.x0) * (e.x0 - f.x0) + (e.y0 - f.y0) * (e.y0 - f.y0) <= {radius * radius}))"
-        pairs = materialise(candidates.sparkSession, pairs.select(*keys, "bld_id", F.expr(corner).alias("sure"), F.when(~F.expr(corner), F.struct("edges", "sedges")).alias("p")), "near")
-        sure = pairs.where("sure").select(*keys, "bld_id").distinct()
-        rest = pairs.where("not sure").join(sure, [*keys, "bld_id"], "left_anti").select(*keys, "bld_id", "p.*")
+        pairs = materialise(spark, pairs.select(*keys, "bld_id", F.expr(corner).alias("sure"), F.when(~F.expr(corner), F.struct("edges", "sedges")).alias("p")), "near")
+        by_corner = pairs.where("sure").select(*keys, "bld_id").distinct()
+        rest = pairs.where("not sure").join(by_corner, [*keys, "bld_id"], "left_anti").select(*keys, "bld_id", "p.*")
         held = f"{inside('edges[0].x0', 'edges[0].y0', 'sedges')} or {inside('sedges[0].x0', 'sedges[0].y0', 'edges')}"
         rest = rest.withColumn("held", F.expr(held)).withColumn("e", F.explode("edges")).withColumn("f", F.explode("sedges"))
         rest = rest.where(F.expr(f"held or {segment_segment(('f.x0', 'f.y0', 'f.x1', 'f.y1'), _EDGE)} <= {radius}"))
-        found = sure.union(rest.select(*keys, "bld_id"))
+        found = by_corner.union(rest.select(*keys, "bld_id"))
+    found = found if sure is None else found.unionByName(sure)
     return candidates.join(found.distinct(), "bld_id", "inner" if keys else "left_semi")
 
 
@@ -269,10 +322,16 @@ def samples(measured: DataFrame, segments: DataFrame, n: int = 300, pad: float =
 
 
 def points_in_polygons(points: DataFrame, edges: DataFrame, size: float = 100.0) -> DataFrame:
-    """edges(poly_id, x0, y0, x1, y1) of rings -> poly_id, pt_id of points inside, by ray casting. A point meets only the edges in the grid rows of its y."""
+    """edges(poly_id, x0, y0, x1, y1) of rings -> poly_id, pt_id of points inside, by ray casting.
+
+    Each place meets, once, the polygons whose bounds hold it, and of these the edges in the grid rows of its y.
+    """
+    places = points.select("x", "y", F.col("x").alias("x_"), F.col("y").alias("y_")).distinct()
+    boxes = _bounded(edges).groupBy("poly_id").agg(F.min("lx").alias("lx"), F.min("ly").alias("ly"), F.max("hx").alias("hx"), F.max("hy").alias("hy"))
+    at = box_pairs(boxes, ("lx", "ly", "hx", "hy"), places, ("x", "y", "x_", "y_"), 0.0).select("poly_id", "x", "y", F.expr(f"cast(floor(y / {size}) as bigint)").alias("cj"))
     rows = edges.withColumn("cj", F.explode(F.expr(f"sequence(cast(floor(least(y0, y1) / {size}) as bigint), cast(floor(greatest(y0, y1) / {size}) as bigint))")))
-    pairs = points.withColumn("cj", F.expr(f"cast(floor(y / {size}) as bigint)")).join(rows, "cj").where(F.expr(crosses_ray(*POINT, *SEGMENT)))
-    return pairs.groupBy("poly_id", "pt_id").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1").select("poly_id", "pt_id")
+    inner = at.join(rows, ["poly_id", "cj"]).where(F.expr(crosses_ray(*POINT, *SEGMENT))).groupBy("poly_id", "x", "y").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1")
+    return points.join(inner, ["x", "y"]).select("poly_id", "pt_id")
 
 
 def meeting_polygons(shapes: DataFrame, edges: DataFrame, size: float = 100.0) -> DataFrame:
