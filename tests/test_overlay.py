@@ -217,3 +217,14 @@ def test_stacked_boxes_take_few_lines(spark):
     lines = overlay.materialise(spark, overlay.noded(spark, summed).groupBy("key", "ax", "ay", "bx", "by").agg(F.sum("n").alias("n")).where("n <> 0"), "lines")
     rays, tiles = (sorted(map(tuple, t.select("ax", "ay", "bx", "by", "n", "d").collect())) for t in (overlay._right(lines), overlay._right_by_tiles(spark, lines)))
     assert rays == tiles and len(rays) > 200
+
+
+def test_neighbours_of_lists_share_a_task(spark, monkeypatch):
+    from wardcraft.plans import lists
+
+    heads = []
+    whole = lists.materialise
+    monkeypatch.setattr(lists, "materialise", lambda s, df, name: (heads.append(df.where("len is not null").count()) if name == "chains" else None, whole(s, df, name))[1])
+    links = spark.createDataFrame([(k, k + 1 if k % 50 != 49 else None) for k in range(1000)], "id long, next long").repartition(4, F.xxhash64("id"))
+    got = {(r.id, r.list, r.seq, r.n) for r in ranked(spark, links).collect()}
+    assert got == {(k, k // 50 * 50 + 49, k % 50, 50) for k in range(1000)} and heads[0] < 40

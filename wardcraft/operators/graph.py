@@ -69,7 +69,7 @@ def simplified(spark: SparkSession, edges: DataFrame) -> DataFrame:
     order, its path the places in order. Chains are ranked by doubling (`ranked`), so none passes through one task but as its one row. A ring
     without a crossing stays as it is.
     """
-    e = materialise(spark, edges.select(F.monotonically_increasing_id().alias("id"), "*"), "pieces")
+    e = materialise(spark, edges.repartitionByRange("u").select(F.monotonically_increasing_id().alias("id"), "*"), "pieces")  # nodes that follow each other mostly share a task
     passing = crossings(e).where("not crossing").select(F.col("node").alias("v"))
     on = e.join(passing, "v", "left_semi").select("id", "u", "v")
     after = e.select(F.col("id").alias("next"), F.col("u").alias("v"), F.col("v").alias("w"))

@@ -52,33 +52,34 @@ def traced(spark: SparkSession, links: DataFrame) -> DataFrame:
     Chains within a task become one link each; then every chain looks twice as far ahead each round for the least id of its ring, so rounds
     grow with the logarithm of the chains in a ring.
     """
-    chains = materialise(spark, links.select("id", "next").mapInArrow(_chains, _CHAIN), "chains")
+    chains = materialise(spark, links.select("id", "next").repartitionByRange("id").mapInArrow(_chains, _CHAIN), "chains")  # neighbours share a task
     heads = chains.where("len is not null").select("head", "nx", "len", "m", "off")
     now, last = heads, None
     while True:
         ahead = now.select(*[F.col(c).alias(f"{c}_") for c in now.columns if c != "changed"])
-        found = now.join(ahead, F.col("nx") == F.col("head_")).select("head", F.col("nx_").alias("nx"), F.expr("len + len_").alias("len"), F.least("m", "m_").alias("m"), F.expr("case when m_ < m then len + off_ else off end").alias("off"), F.expr("m_ < m").alias("changed"))
+        found = now.join(ahead.hint("merge"), F.col("nx") == F.col("head_")).select("head", F.col("nx_").alias("nx"), F.expr("len + len_").alias("len"), F.least("m", "m_").alias("m"), F.expr("case when m_ < m then len + off_ else off end").alias("off"), F.expr("m_ < m").alias("changed"))
         found = materialise(spark, found, "ahead")
         if last is not None:
             remove(spark, last)
         now = last = found
         if found.where("changed").isEmpty():
             break
-    rings = now.select("head", F.col("m").alias("ring"), F.col("off").alias("at")).join(heads.select("head", F.col("len").alias("own")), "head")
-    rings = rings.join(rings.groupBy("ring").agg(F.sum("own").alias("n")), "ring").select("head", "ring", "at", "n")
-    return chains.select("id", "head", "pos").join(rings, "head").select("id", "ring", F.expr("pmod(pos - at, n)").alias("seq"), "n")
+    rings = now.select("head", F.col("m").alias("ring"), F.col("off").alias("at")).join(heads.select("head", F.col("len").alias("own")).hint("merge"), "head")
+    rings = rings.join(rings.groupBy("ring").agg(F.sum("own").alias("n")).hint("merge"), "ring").select("head", "ring", "at", "n")
+    return chains.select("id", "head", "pos").join(rings.hint("merge"), "head").select("id", "ring", F.expr("pmod(pos - at, n)").alias("seq"), "n")
 
 
 def ranked(spark: SparkSession, links: DataFrame) -> DataFrame:
     """links(id, next), next null at a list's end and no two ids with the same -> id, list (its last id), seq (from 0 at its first), n. Items of rings are left out."""
-    chains = materialise(spark, links.select("id", "next").mapInArrow(_chains, _CHAIN), "chains")
+    chains = materialise(spark, links.select("id", "next").repartitionByRange("id").mapInArrow(_chains, _CHAIN), "chains")  # neighbours share a task
     heads = chains.where("len is not null").select("head", "nx", "len")
     tails = chains.groupBy("head").agg(F.max_by("id", "pos").alias("tail"))
-    now, last, left = heads.join(tails, "head"), None, None
+    now, last, left = heads.join(tails.hint("merge"), "head"), None, None
     while True:
         ahead = now.select(F.col("head").alias("head_"), F.col("nx").alias("nx_"), F.col("len").alias("len_"), F.col("tail").alias("tail_"))
-        found = now.join(ahead, F.col("nx") == F.col("head_"), "left").select("head", F.col("nx_").alias("nx"), F.expr("len + coalesce(len_, 0)").alias("len"), F.coalesce("tail_", "tail").alias("tail"))
-        found = materialise(spark, found, "ahead")
+        # lists at their end wait apart: a join would bring all of their nulls to one task
+        found = now.where("nx is not null").join(ahead.hint("merge"), F.col("nx") == F.col("head_"), "left").select("head", F.col("nx_").alias("nx"), F.expr("len + coalesce(len_, 0)").alias("len"), F.coalesce("tail_", "tail").alias("tail"))
+        found = materialise(spark, found.unionByName(now.where("nx is null").select("head", "nx", "len", "tail")), "ahead")
         if last is not None:
             remove(spark, last)
         now = last = found
@@ -87,5 +88,5 @@ def ranked(spark: SparkSession, links: DataFrame) -> DataFrame:
         if not row.open or not left:
             break
     lists = now.where("nx is null").select("head", F.col("len").alias("ahead"), F.col("tail").alias("list"))
-    lists = lists.join(lists.groupBy("list").agg(F.max("ahead").alias("n")), "list")
-    return chains.select("id", "head", "pos").join(lists, "head").select("id", "list", F.expr("n - ahead + pos").alias("seq"), "n")
+    lists = lists.join(lists.groupBy("list").agg(F.max("ahead").alias("n")).hint("merge"), "list")
+    return chains.select("id", "head", "pos").join(lists.hint("merge"), "head").select("id", "list", F.expr("n - ahead + pos").alias("seq"), "n")
