@@ -7,8 +7,14 @@ Set operations sweep over the ends of all runs of a row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardcraft.functions.geometry import point_box
 from wardcraft.plans.components import connected_components
@@ -42,35 +48,72 @@ def buffer_points(points: DataFrame, radius: float, c: float, *keys: str) -> Dat
     return _run(rows, c, F.col("x") - half, F.col("x") + half, f"(({{x}} - x) * ({{x}} - x) + (_y - y) * (_y - y) <= {radius * radius})", keys)
 
 
-def buffer_segments(segments: DataFrame, radius: float, c: float, *keys: str, merge: bool = True) -> DataFrame:
-    """Cells within the radius of any segment: of two discs and the rectangle between them. merge: runs become disjoint and as long as can be."""
-    s = segments.select(*keys, "x0", "y0", "x1", "y1").distinct()
-    s = held(s, _dx=F.expr("x1 - x0"), _dy=F.expr("y1 - y0"), _q=F.expr("(x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0)"))
-    s = held(s, _nx=F.expr(f"case when _q = 0 then 0e0 else -{radius} * _dy / sqrt(_q) end"), _ny=F.expr(f"case when _q = 0 then 0e0 else {radius} * _dx / sqrt(_q) end"))
-    rows = _rows(s, c, "least(y0, y1)", "greatest(y0, y1)", radius)
-    corners = [(f"(x{k} {sign} _nx)", f"(y{k} {sign} _ny)") for k, sign in ((0, "+"), (1, "+"), (1, "-"), (0, "-"))]
-    lows, highs = [], []
-    for k in (0, 1):
-        half = F.expr(f"case when abs(_y - y{k}) <= {radius} then sqrt({radius * radius} - (_y - y{k}) * (_y - y{k})) end")
-        lows.append(F.col(f"x{k}") - half)
-        highs.append(F.col(f"x{k}") + half)
-    for (ax, ay), (bx, by) in zip(corners, [*corners[1:], corners[0]], strict=True):
-        cut = F.expr(f"case when {ay} <> {by} and _y between least({ay}, {by}) and greatest({ay}, {by}) then {ax} + (_y - {ay}) / ({by} - {ay}) * ({bx} - {ax}) end")
-        lows.append(cut)
-        highs.append(cut)
-    ends = "((({x}) - x0) * (({x}) - x0) + (_y - y0) * (_y - y0))", "((({x}) - x1) * (({x}) - x1) + (_y - y1) * (_y - y1))"
-    along, across = "((({x}) - x0) * _dx + (_y - y0) * _dy)", "((({x}) - x0) * _dy - (_y - y0) * _dx)"
+#: Rows of the grid that a task works on at once. Fixed value.
+ROWS = 100_000
+
+
+def _segment_runs(batches: Iterator[pa.RecordBatch], radius: float, c: float) -> Iterator[pa.RecordBatch]:
+    """Batches of keys, x0, y0, x1, y1 -> keys, cj, a, b: the cells of each grid row whose centres lie in two discs and the rectangle between them.
+
+    The ends come from the outline; the exact test of a centre moves one by a cell where rounding misplaced it.
+    """
     square = radius * radius
-    near = f"(case when {along} <= 0 then {ends[0]} <= {square} when {along} >= _q then {ends[1]} <= {square} else {across} * {across} <= {square} * _q end)"
-    return _run(rows, c, F.least(*lows), F.greatest(*highs), near, keys, merge)
+    for batch in batches:
+        keys = batch.select(batch.schema.names[:-4])
+        ends = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns - 4, batch.num_columns)]
+        first, last = np.floor((np.minimum(ends[1], ends[3]) - radius) / c), np.floor((np.maximum(ends[1], ends[3]) + radius) / c)
+        known = np.isfinite(first + last + ends[0] + ends[2])
+        first = np.where(known, first, 0).astype(np.int64)
+        n = np.where(known, last - first + 1, 0).astype(np.int64)
+        upto = np.cumsum(n)
+        for start in range(0, int(n.sum()), ROWS):
+            at = np.arange(start, min(start + ROWS, int(upto[-1])))
+            of = np.searchsorted(upto, at, "right")
+            cj = first[of] + at - (upto[of] - n[of])
+            y = (cj + 0.5) * c
+            x0, y0, x1, y1 = (e[of] for e in ends)
+            dx, dy = x1 - x0, y1 - y0
+            q = dx * dx + dy * dy
+            with np.errstate(divide="ignore", invalid="ignore"):
+                nx, ny = np.where(q == 0, 0.0, -radius * dy / np.sqrt(q)), np.where(q == 0, 0.0, radius * dx / np.sqrt(q))
+                low, high = np.full(len(y), np.nan), np.full(len(y), np.nan)
+                for x, z in ((x0, y0), (x1, y1)):
+                    half = np.sqrt(np.where(np.abs(y - z) <= radius, square - (y - z) * (y - z), np.nan))
+                    low, high = np.fmin(low, x - half), np.fmax(high, x + half)
+                corners = [(x0 + nx, y0 + ny), (x1 + nx, y1 + ny), (x1 - nx, y1 - ny), (x0 - nx, y0 - ny)]
+                for (ax, ay), (bx, by) in zip(corners, [*corners[1:], corners[0]], strict=True):
+                    cut = np.where((ay != by) & (y >= np.minimum(ay, by)) & (y <= np.maximum(ay, by)), ax + (y - ay) / (by - ay) * (bx - ax), np.nan)
+                    low, high = np.fmin(low, cut), np.fmax(high, cut)
+
+            def near(cell, x0=x0, y0=y0, x1=x1, y1=y1, dx=dx, dy=dy, q=q, y=y):
+                x = (cell + 0.5) * c
+                along, across = (x - x0) * dx + (y - y0) * dy, (x - x0) * dy - (y - y0) * dx
+                by_end = np.where(along <= 0, (x - x0) * (x - x0) + (y - y0) * (y - y0), (x - x1) * (x - x1) + (y - y1) * (y - y1)) <= square
+                return np.where((along <= 0) | (along >= q), by_end, across * across <= square * q)
+
+            a, b = np.ceil(low / c - 0.5), np.floor(high / c - 0.5)
+            a = np.where(near(a - 1), a - 1, np.where(near(a), a, a + 1))
+            b = np.where(near(b + 1), b + 1, np.where(near(b), b, b - 1))
+            kept = np.flatnonzero(a <= b)
+            columns = [*keys.take(pa.array(of[kept])).columns, pa.array(cj[kept]), pa.array(a[kept].astype(np.int64)), pa.array(b[kept].astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, [*keys.schema.names, "cj", "a", "b"])
 
 
-def buffer_boxes(boxes: DataFrame, radius: float, c: float, *keys: str) -> DataFrame:
+def buffer_segments(segments: DataFrame, radius: float, c: float, *keys: str, merge: bool = True) -> DataFrame:
+    """Cells within the radius of any segment: of two discs and the rectangle between them. merge: runs become disjoint and as long as can be; else nothing is shuffled."""
+    s = segments.select(*keys, *[F.col(k).cast("double").alias(k) for k in ("x0", "y0", "x1", "y1")])
+    schema = T.StructType([*s.schema.fields[:-4], *[T.StructField(k, T.LongType()) for k in ("cj", "a", "b")]])
+    runs = (s.distinct() if merge else s).mapInArrow(partial(_segment_runs, radius=radius, c=c), schema)
+    return merged(runs, *keys) if merge else runs
+
+
+def buffer_boxes(boxes: DataFrame, radius: float, c: float, *keys: str, merge: bool = True) -> DataFrame:
     """Cells within the radius of any box; radius 0: of the boxes themselves."""
-    rows = _rows(boxes.select(*keys, "x0", "y0", "x1", "y1").distinct(), c, "y0", "y1", radius)
+    boxes = boxes.select(*keys, "x0", "y0", "x1", "y1")
+    rows = _rows(boxes.distinct() if merge else boxes, c, "y0", "y1", radius)
     half = F.expr(f"sqrt({radius * radius} - greatest(y0 - _y, 0e0, _y - y1) * greatest(y0 - _y, 0e0, _y - y1))")
     half = F.when(F.expr(f"greatest(y0 - _y, 0e0, _y - y1) <= {radius}"), half)
-    return _run(rows, c, F.col("x0") - half, F.col("x1") + half, f"({point_box('{x}', '_y', 'x0', 'y0', 'x1', 'y1')} <= {radius})", keys)
+    return _run(rows, c, F.col("x0") - half, F.col("x1") + half, f"({point_box('{x}', '_y', 'x0', 'y0', 'x1', 'y1')} <= {radius})", keys, merge)
 
 
 def fill_rings(edges: DataFrame, c: float, *keys: str, merge: bool = True) -> DataFrame:
@@ -83,6 +126,16 @@ def fill_rings(edges: DataFrame, c: float, *keys: str, merge: bool = True) -> Da
     return merged(runs, *keys) if merge else runs
 
 
+def fill_polygons(polygons: DataFrame, c: float, *keys: str) -> DataFrame:
+    """Runs of the cells in each polygon of a table with bounds and edges (spatial.polygons_of), by fill_rings' rule; of one polygon they are disjoint, and nothing is shuffled."""
+    rows = _rows(polygons.select(*keys, "y0", "y1", "edges"), c, "y0", "y1", 0.0)
+    crossed = "transform(filter(edges, e -> (e.y0 > _y) <> (e.y1 > _y)), e -> e.x0 + (_y - e.y0) * (e.x1 - e.x0) / (e.y1 - e.y0))"
+    rows = held(rows.select(*keys, "cj", "_y", "edges"), _x=F.expr(f"array_sort({crossed})")).where("size(_x) > 1")
+    run = f"struct(cast(ceil(_x[2 * k] / {c} - 0.5) as bigint) as a, cast(ceil(_x[2 * k + 1] / {c} - 0.5) as bigint) - 1 as b)"
+    runs = rows.select(*keys, "cj", F.explode(F.expr(f"transform(sequence(0, cast(size(_x) div 2 as int) - 1), k -> {run})")).alias("r"))
+    return runs.select(*keys, "cj", "r.a", "r.b").where("a <= b")
+
+
 def buffer_rings(edges: DataFrame, radius: float, c: float, *keys: str) -> DataFrame:
     """Cells within the radius of any polygon; edges: keys, id of the polygon, then x0, y0, x1, y1 of the edges of all its rings."""
     ids = edges.columns[:-4]

@@ -31,6 +31,26 @@ def _buffer(boxes: DataFrame, radius: float, c: float, *keys: str) -> DataFrame:
     return cells.buffer_rings(_edges(boxes, *[k for k in keys if k != "bld_id"]), radius, c, *keys)
 
 
+def _runs(shapes: DataFrame, radius: float, c: float, *keys: str) -> DataFrame:
+    """As _buffer, shape by shape: runs may overlap or repeat, and nothing is shuffled."""
+    if "edges" not in shapes.columns:
+        return cells.buffer_boxes(shapes, radius, c, *keys, merge=False)
+    filled = cells.fill_polygons(shapes, c, *keys)
+    if radius <= 0:
+        return filled
+    edges = shapes.select(*keys, F.explode("edges").alias("e")).select(*keys, "e.x0", "e.y0", "e.x1", "e.y1")
+    return filled.union(cells.buffer_segments(edges, radius, c, *keys, merge=False))
+
+
+def _on_side(spark: SparkSession, shapes: DataFrame, side: DataFrame, c: float) -> DataFrame:
+    """shapes with keys, an array -> bld_id, keys: those of the keys whose side (key, cj, a, b) has a cell of the shape. Shapes with the same run meet a side once."""
+    own = materialise(spark, _runs(shapes, 0.0, c, "bld_id", "keys"), "own")
+    runs = own.select("keys", "cj", "a", "b").distinct().select(F.explode("keys").alias("key"), "cj", "a", "b").distinct()
+    of = cells.touching(runs, side, ("cj", "a", "b", "key"), ("key",)).groupBy("cj", "a", "b").agg(F.collect_set("key").alias("of"))
+    met = own.join(of, ["cj", "a", "b"]).select("bld_id", F.array_intersect("keys", "of").alias("of")).where("size(of) > 0")
+    return met.groupBy("bld_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("of")))).alias("keys"))
+
+
 def _sampled_segments(samples: DataFrame) -> DataFrame:
     return spatial.segments_of(samples.select("line_id", F.col("i").alias("seq"), "x", "y"))
 
@@ -125,10 +145,13 @@ def seeds_and_strip(spark: SparkSession, points: DataFrame, boxes: DataFrame, se
     key is the section and has one line. The neighbourhood less the divider is taken whole, as it is one region
     unless points are far apart; of several regions the one nearest to the seeds' common centroid is taken.
     """
+    points = materialise(spark, points.groupBy("key", "line_id", "x", "y").agg(F.min("pt_id").alias("pt_id")), "places")  # points of one place have one seed and one disc
+    boxes = materialise(spark, boxes, "boxes")
     street, corridor, chosen = seed_layers(points, boxes, segments, local, pad, frontage, max_seed, n)
     seed = chosen.where("reason is null").join(points.select("pt_id", "key"), "pt_id").select("key", "bld_id").distinct().join(boxes, "bld_id")
     seed = materialise(spark, seed, "seed")
-    grown = materialise(spark, spatial.close_pairs(corridor, seed, grow, "key"), "grown")
+    grown = spatial.close_keys(corridor, seed, grow, "key").select("bld_id", F.array_sort(F.expr("transform(keys, k -> k.key)")).alias("keys"))
+    grown = materialise(spark, grown.join(corridor, "bld_id"), "grown")
     side = cells.difference(cells.buffer_points(points, neighbourhood, c, "key"), cells.buffer_segments(street, divider, c, "key"), "key")
     regions = materialise(spark, cells.parts(spark, materialise(spark, side, "side")), "regions")
     measured = spatial.ring_measures(_edges(seed, "key").withColumn("poly_id", F.struct("key", "bld_id"))).select("poly_id.key", "area", "cx", "cy")
@@ -137,9 +160,8 @@ def seeds_and_strip(spark: SparkSession, points: DataFrame, boxes: DataFrame, se
     gap = F.expr(f"{near} * {near} + ((cj + 0.5e0) * {c} - sy) * ((cj + 0.5e0) * {c} - sy)")
     best = regions.join(centre, "key").groupBy("key", "part").agg(F.min(gap).alias("d")).groupBy("key").agg(F.min_by("part", F.struct("d", "part")).alias("part"))
     side = materialise(spark, regions.join(best, ["key", "part"], "left_semi").drop("part"), "side")
-    one = grown.drop("key").dropDuplicates(["bld_id"])  # a shape's cells are the same for all sections
-    touching = cells.touching(_buffer(one, 0.0, c, "bld_id").join(grown.select("key", "bld_id"), "bld_id"), side, ("key", "bld_id"), ("key",))
-    houses = cells.merged(_buffer(one, fill, c, "bld_id").join(touching, "bld_id").select("key", "cj", "a", "b"), "key")
+    met = materialise(spark, _on_side(spark, grown, side, c), "met")
+    houses = cells.merged(_runs(met.join(grown.drop("keys"), "bld_id"), fill, c, "keys").distinct().select(F.explode("keys").alias("key"), "cj", "a", "b"), "key")
     band = cells.intersect(cells.buffer_segments(street, strip, c, "key"), side, "key")
     shape = cells.intersect(cells.union(houses, band, "key"), cells.buffer_points(points, clamp, c, "key"), "key")
     shape = materialise(spark, cells.merged(cells.intersect(shape, cells.fill_rings(boundary, c)), "key"), "shape")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardcraft.functions.geometry import box_box, crosses_ray, inside, param, point_box, point_polygon, point_segment, segment_segment
-from wardcraft.operators.cells import held
+from wardcraft.operators.cells import buffer_boxes, buffer_rings, buffer_segments, held
 from wardcraft.plans.shared import materialise
 
 POINT, BOX, SEGMENT = ("x", "y"), ("x0", "y0", "x1", "y1"), ("x0", "y0", "x1", "y1")
@@ -158,6 +158,8 @@ def nearest_by_steps(spark: SparkSession, points: DataFrame, boxes: DataFrame, r
     """As nearest, but each point looks in a small circle first and only those without a hit in the next one; n_square is that of the last circle."""
     left, out = points, None
     for k in steps:
+        if out is not None and left.isEmpty():
+            break
         found = materialise(spark, nearest(left, boxes, radius * k), "nearest")
         done = found if k == steps[-1] else found.where("bld_id is not null")
         out = done if out is None else out.union(done)
@@ -182,23 +184,55 @@ def _segment_box(pairs: DataFrame, s: tuple[str, ...], b: tuple[str, ...]) -> Da
     return pairs.select(*[c for c in pairs.columns if not c.startswith("_")])
 
 
+#: A cell of a quarter of the radius lies within the radius of a shape as a whole if its centre is within this share of it (1 less half a diagonal, rounded down).
+INNER = 1 - 0.7072 / 4
+
+
+def _corners(shapes: DataFrame, size: float, *keys: str) -> DataFrame:
+    """keys and the cells (ci, cj) that hold a corner of the shape, each once."""
+    at = "edges" if "edges" in shapes.columns else "array(struct(x0, y0), struct(x0, y1 as y0), struct(x1 as x0, y0), struct(x1 as x0, y1 as y0))"
+    cell = F.expr(f"array_distinct(transform({at}, e -> struct(cast(floor(e.x0 / {size}) as bigint) as ci, cast(floor(e.y0 / {size}) as bigint) as cj)))")
+    return shapes.select(*keys, F.explode(cell).alias("c")).select(*keys, "c.ci", "c.cj")
+
+
+def _spots(runs: DataFrame) -> DataFrame:
+    """Runs -> a row per cell."""
+    return runs.withColumn("ci", F.explode(F.sequence("a", "b"))).drop("a", "b")
+
+
+def _worth_cells(segments: DataFrame, boxes: DataFrame, radius: float) -> bool:
+    """Whether the grid rows and cells of a quarter of the radius along the segments are fewer than the boxes."""
+    if radius <= 0:
+        return False
+    n = segments.agg(F.sum(F.expr(f"10 + 32 * sqrt((sx1 - sx0) * (sx1 - sx0) + (sy1 - sy0) * (sy1 - sy0)) / {radius}"))).first()[0]
+    return n is not None and n <= boxes.count()
+
+
 def meeting(boxes: DataFrame, segments: DataFrame, radius: float) -> DataFrame:
     """Boxes within the radius of any of the segments (a corridor); each once.
 
+    A shape with a corner in a cell that lies within the radius of a segment as a whole isn't measured, however many segments are near it.
     A polygon whose bounds lie within the radius of one segment (no place of a box is farther than its corners) isn't measured itself.
     """
     s = segments.select(F.col("x0").alias("sx0"), F.col("y0").alias("sy0"), F.col("x1").alias("sx1"), F.col("y1").alias("sy1")).distinct()
     s = s.select("*", F.least("sx0", "sx1").alias("lx"), F.least("sy0", "sy1").alias("ly"), F.greatest("sx0", "sx1").alias("hx"), F.greatest("sy0", "sy1").alias("hy"))
     own = ("sx0", "sy0", "sx1", "sy1")
     near = lambda b: _segment_box(box_pairs(b.select("bld_id", *BOX), BOX, s, ("lx", "ly", "hx", "hy"), radius), own, BOX)
-    found = near(boxes).groupBy("bld_id").agg(F.min("d").alias("d"), F.min("far").alias("far")).where(F.col("d") <= radius)
+    by_cell, left = None, boxes
+    if _worth_cells(s, boxes, radius):
+        band = buffer_segments(s.select(*[F.col(f"s{c}").alias(c) for c in SEGMENT]), radius * INNER, radius / 4)
+        by_cell = materialise(boxes.sparkSession, _corners(boxes, radius / 4, "bld_id").join(_spots(band), ["ci", "cj"], "left_semi").select("bld_id").distinct(), "sure")
+        left = boxes.join(by_cell, "bld_id", "left_anti")
+    found = near(left).groupBy("bld_id").agg(F.min("d").alias("d"), F.min("far").alias("far")).where(F.col("d") <= radius)
     if "edges" not in boxes.columns:
-        return boxes.join(found.select("bld_id"), "bld_id", "left_semi")
+        found = found.select("bld_id")
+        return boxes.join(found.union(by_cell) if by_cell else found, "bld_id", "left_semi")
     found = materialise(boxes.sparkSession, found.select("bld_id", (F.col("far") <= radius).alias("sure")), "near")
     open_ = boxes.join(found.where("not sure").select("bld_id"), "bld_id", "left_semi")
     rest = near(open_).where(F.col("d") <= radius).select("bld_id", *own).join(boxes.select("bld_id", "edges"), "bld_id")
     rest = rest.withColumn("held", F.expr(inside("sx0", "sy0", "edges"))).withColumn("e", F.explode("edges")).where(F.expr(f"held or {segment_segment(own, _EDGE)} <= {radius}"))
-    return boxes.join(found.where("sure").select("bld_id").union(rest.select("bld_id")).distinct(), "bld_id", "left_semi")
+    found = found.where("sure").select("bld_id").union(rest.select("bld_id"))
+    return boxes.join((found.union(by_cell) if by_cell else found).distinct(), "bld_id", "left_semi")
 
 
 def seeds(points: DataFrame, boxes: DataFrame, corridor: DataFrame, radius: float) -> DataFrame:
@@ -209,30 +243,35 @@ def seeds(points: DataFrame, boxes: DataFrame, corridor: DataFrame, radius: floa
     return best.select("pt_id", "bld_id", "d", reason.alias("reason"))
 
 
-def close_pairs(candidates: DataFrame, seed_boxes: DataFrame, radius: float, *keys: str) -> DataFrame:
-    """Candidates with the distinct keys of the seed boxes within the radius of them.
+def close_keys(candidates: DataFrame, seed_boxes: DataFrame, radius: float, *keys: str) -> DataFrame:
+    """bld_id, keys: each candidate within the radius of a seed box, with the distinct keys (an array of structs) of the seed boxes that near.
 
-    A candidate with a corner in a cell, of which the diagonal is the radius, where a seed of the key has one isn't measured. The others meet first the
+    A candidate with a corner in a cell that lies within the radius of a seed as a whole isn't measured for the seed's key. The others meet first the
     bounds of all seeds of a key near one place, then those of the keys whose bounds are near.
     Polygons of which two corners are within the radius aren't measured any more, nor is a candidate again for a key that it has.
     """
+    spark, box, sbox = candidates.sparkSession, BOX, ("sx0", "sy0", "sx1", "sy1")
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("any"))
     s = seed_boxes.select(*keys, *[F.col(c).alias(f"s{c}") for c in _shape(seed_boxes)])
     s = s.dropDuplicates([*keys, *[f"s{c}" for c in BOX]]) if "edges" not in seed_boxes.columns else s
-    box, sbox = BOX, ("sx0", "sy0", "sx1", "sy1")
-    size = radius * 0.7 if radius > 0 else 1.0
-    cell = lambda t: F.explode(F.expr(f"array_distinct(transform({'edges' if 'edges' in t.columns else 'array(struct(x0, y0), struct(x0, y1 as y0), struct(x1 as x0, y0), struct(x1 as x0, y1 as y0))'}, e -> struct(cast(floor(e.x0 / {size}) as bigint) as ci, cast(floor(e.y0 / {size}) as bigint) as cj)))")).alias("c")
-    had = seed_boxes.select(*keys, cell(seed_boxes)).distinct()
-    sure = candidates.select("bld_id", cell(candidates)).join(had, "c").select(*keys, "bld_id").distinct() if radius > 0 else None
-    span = F.expr(f"cast(floor(sx0 / {4 * size}) as bigint)"), F.expr(f"cast(floor(sy0 / {4 * size}) as bigint)")
-    together = s.groupBy(*keys, span[0].alias("gi"), span[1].alias("gj")).agg(F.min("sx0").alias("sx0"), F.min("sy0").alias("sy0"), F.max("sx1").alias("sx1"), F.max("sy1").alias("sy1")).drop("gi", "gj")
-    spark = candidates.sparkSession
-    if sure is not None:
+    near, sure = candidates, None
+    if radius > 0:
+        if "edges" in seed_boxes.columns:
+            inner = buffer_rings(seed_boxes.select(*keys, "bld_id", F.explode("edges").alias("e")).select(*keys, "bld_id", *_EDGE), radius * INNER, radius / 4, *keys)
+        else:
+            inner = buffer_boxes(seed_boxes, radius * INNER, radius / 4, *keys)
+        spots = _spots(inner).groupBy("ci", "cj").agg(F.collect_set(key).alias("ks"))
+        sure = _corners(candidates, radius / 4, "bld_id").join(spots, ["ci", "cj"]).groupBy("bld_id").agg(F.array_distinct(F.flatten(F.collect_set("ks"))).alias("had"))
         sure = materialise(spark, sure, "sure")
-        left = candidates if keys else candidates.join(sure, "bld_id", "left_anti")
-        near = box_pairs(left.select("bld_id", *BOX), BOX, together, sbox, radius).select(*keys, "bld_id").distinct()
-        near = (near.join(sure, [*keys, "bld_id"], "left_anti") if keys else near)
+        size = radius * 2.8
+        together = s.groupBy(*keys, F.expr(f"cast(floor(sx0 / {size}) as bigint)").alias("gi"), F.expr(f"cast(floor(sy0 / {size}) as bigint)").alias("gj"))
+        together = together.agg(F.min("sx0").alias("sx0"), F.min("sy0").alias("sy0"), F.max("sx1").alias("sx1"), F.max("sy1").alias("sy1")).drop("gi", "gj")
+        left = candidates.join(sure, "bld_id", "left").select("bld_id", *BOX, "had") if keys else candidates.join(sure, "bld_id", "left_anti").select("bld_id", *BOX)
+        near = box_pairs(left, BOX, together, sbox, radius)
+        near = (near.where(F.col("had").isNull() | ~F.array_contains("had", key)) if keys else near).select(*keys, "bld_id").distinct()
         near = materialise(spark, near.join(candidates.select("bld_id", *_shape(candidates)), "bld_id"), "open")
-    pairs = box_pairs(near, box, s, sbox, radius, *keys) if sure is not None else box_pairs(candidates.select("bld_id", *_shape(candidates)), box, s, sbox, radius)
+    on = keys if radius > 0 else ()
+    pairs = box_pairs(near.select(*on, "bld_id", *_shape(candidates)), box, s, sbox, radius, *on)
     pairs = pairs.where(F.expr(f"{box_box(sbox, BOX)} <= {radius}"))
     found = pairs.select(*keys, "bld_id")
     if "edges" in candidates.columns:
@@ -244,8 +283,18 @@ def close_pairs(candidates: DataFrame, seed_boxes: DataFrame, radius: float, *ke
         rest = rest.withColumn("held", F.expr(held)).withColumn("e", F.explode("edges")).withColumn("f", F.explode("sedges"))
         rest = rest.where(F.expr(f"held or {segment_segment(('f.x0', 'f.y0', 'f.x1', 'f.y1'), _EDGE)} <= {radius}"))
         found = by_corner.union(rest.select(*keys, "bld_id"))
-    found = found if sure is None else found.unionByName(sure)
-    return candidates.join(found.distinct(), "bld_id", "inner" if keys else "left_semi")
+    found = found.groupBy("bld_id").agg(F.collect_set(key).alias("had"))
+    if sure is not None:
+        found = found.union(sure).groupBy("bld_id").agg(F.flatten(F.collect_list("had")).alias("had"))
+    return found.withColumnRenamed("had", "keys")
+
+
+def close_pairs(candidates: DataFrame, seed_boxes: DataFrame, radius: float, *keys: str) -> DataFrame:
+    """Candidates with the distinct keys of the seed boxes within the radius of them (see close_keys)."""
+    found = close_keys(candidates, seed_boxes, radius, *keys)
+    if not keys:
+        return candidates.join(found, "bld_id", "left_semi")
+    return candidates.join(found.select("bld_id", F.explode("keys").alias("k")).select("bld_id", "k.*"), "bld_id")
 
 
 def grown(candidates: DataFrame, seed_boxes: DataFrame, radius: float) -> DataFrame:
