@@ -63,3 +63,40 @@ def test_a_few_names_dont_stand_for_all_rows(spark, small):
     found = match.match_rows(specs, match.prepare_addresses(view(spark, small, "v_addr")))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_matches_are_made_last(spark):
+    """400 rules that ask for different things, each met by 3,000 addresses: the 1.2 million matches aren't shuffled, with the rules or without."""
+    specs = spark.createDataFrame([("B", k % 3, k, 0, "x", "str. a", "numbers", None, [("1", str(40 + k))], None) for k in range(400)], SPEC)
+    addresses = match.prepare_addresses(spark.createDataFrame([(f"way:{k}", "Str. A", str(1 + k % 30)) for k in range(3000)], "addr_id string, addr_street string, addr_housenumber string"))
+    sc = spark.sparkContext
+    sc.setJobGroup("matches", "matches")
+    try:
+        found = match.match_rows(specs, addresses).agg(F.count(F.lit(1)), F.countDistinct("rule_no"), F.countDistinct(F.substring("addr_id", 5, 1))).first()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert tuple(found) == (1_200_000, 400, 10)
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    tracker, store = sc.statusTracker(), sc._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup("matches") for s in tracker.getJobInfo(j).stageIds}
+    shuffled = [store.lastStageAttempt(s).shuffleWriteRecords() for s in stages]
+    assert 3000 < sum(shuffled) < 100_000
+
+
+@pytest.mark.parametrize("keys", [(), ("town",)])
+def test_lots_and_shares(spark, keys, monkeypatch):
+    """Kinds in several arrays and streets in several shares: every match is there as often as before."""
+    specs, addresses = _rows(spark, keys)
+    specs, addresses = specs if keys else specs.drop("town"), addresses.unionByName(addresses.limit(50))
+    names = ("rule_no", "sv", "addr_id", "street_norm", "addr_housenumber")
+    whole = sorted(map(str, match.match_rows(specs, addresses, keys, names).collect()))
+    for name, value in (("LOT", 3), ("MANY", 5), ("PARTS", 3)):
+        monkeypatch.setattr(match, name, value)
+    assert sorted(map(str, match.match_rows(specs, addresses, keys, names).collect())) == whole and len(set(whole)) < len(whole)
+
+
+def test_a_column_of_both_tables(spark):
+    specs, addresses = _rows(spark, ())
+    with pytest.raises(ValueError, match="town"):
+        match.match_rows(specs, addresses)
+    assert match.match_rows(specs, addresses, columns=("sv", "addr_id")).columns == ["sv", "addr_id"]

@@ -75,34 +75,56 @@ def street_links(norms: DataFrame, streets: DataFrame) -> DataFrame:
 
 
 _TEST = ("rule_norm", "kind", "parity", "ranges", "singles")
+#: So many rows of a kind stand in one array, about.
+LOT = 1024
+#: The rules of a street with more than MANY are dealt out in PARTS shares, and so are its addresses: each share of the one meets each of the other.
+MANY, PARTS = 1024, 6
 
 
-def match_rows(specs: DataFrame, addresses: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def _lots(rows: DataFrame, by: list[str], into: str) -> DataFrame:
+    """One row per kind (what is equal in `by`), with its other columns as the array `into`; a kind of many rows has several, told apart by lot."""
+    rest = [c for c in rows.columns if c not in by] or ["_n"]
+    rows = rows.withColumns({"_kind": F.xxhash64(*by), "_n": F.monotonically_increasing_id()})
+    many = rows.groupBy("_kind").agg(F.count(F.lit(1)).alias("_many")).where(F.col("_many") > LOT)
+    dealt = rows.join(many, "_kind", "left").withColumn("lot", F.expr(f"pmod(xxhash64(_n), coalesce(_many div {LOT} + 1, 1))"))
+    return dealt.groupBy(*by, "lot").agg(F.collect_list(F.struct(*rest)).alias(into))
+
+
+def match_rows(specs: DataFrame, addresses: DataFrame, keys: tuple[str, ...] = (), columns: tuple[str, ...] | None = None) -> DataFrame:
     """Every (spec, address) that matches. specs: as of flat_specs; addresses: as of prepare_addresses.
 
     keys: columns that both tables have and that have to be equal as well (a locality, so that the main streets of all towns don't meet); a null there meets nothing.
-    What a spec asks for is tested once on each cover of a street, however many sections ask for it and however many addresses have it.
-    Both tables are written once, and meet by sorting: a few names can stand for all rows, so that neither is sent to the tasks of the other.
+    columns: those of the result; all of both tables, unless they are named.
+    The result may have as many rows as the square of the tables, so it is made last and never shuffled. What is shuffled and written grows as the
+    tables do: a row per test and per cover, with the specs that ask for it and the addresses that have it as arrays. These meet by street, are
+    tested once, and are laid out then: addresses within a spec, so that a file of the result repeats itself and is small.
+    Streets with many rows are dealt out, and all meet by sorting: a few names can stand for all rows, so that neither table is sent to the tasks of the other.
     """
     spark = specs.sparkSession
-    addresses = materialise(spark, addresses, "addresses")
     wanted = specs.where("kind in ('integral', 'numbers') and street <> ''").withColumnRenamed("street_norm", "rule_norm").withColumnRenamed("row_id", "rule_no")
-    wanted = materialise(spark, wanted, "wanted")
-    links = street_links(wanted.select("rule_norm").distinct(), addresses.select("street_norm").distinct())
-    asked, had = F.struct(*_TEST), F.struct(*keys, "street_norm", "cover")
-    tests = wanted.select(*keys, asked.alias("test")).distinct()
-    covers_ = addresses.select(*keys, "street_norm", "cover").distinct()
-    few = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))  # a count, as names and covers are few rows for the tests that are to be made
-    pairs = tests.withColumn("rule_norm", F.col("test.rule_norm")).join(links, "rule_norm").repartition(few).join(covers_, [*keys, "street_norm"])
-    good = (F.col("test.kind") == "integral") | covers(F.col("cover"), F.col("test.parity"), F.col("test.ranges"), F.col("test.singles"))
-    pairs = pairs.where(good).select(F.struct(*keys, "test").alias("asked"), had.alias("had"))
-    # hashes go before the structs, so that these are compared where the hashes are equal only
-    pairs = materialise(spark, pairs.withColumns({"_a": F.xxhash64("asked"), "_h": F.xxhash64("had")}), "tested")
-    addresses_ = addresses.withColumn("had_", had).withColumn("_h_", F.xxhash64("had_")).drop(*keys)
-    wanted_ = wanted.withColumn("asked_", F.struct(*keys, asked.alias("test"))).withColumn("_a_", F.xxhash64("asked_"))
-    out = pairs.join(addresses_.hint("merge"), (F.col("_h") == F.col("_h_")) & F.col("had").eqNullSafe(F.col("had_"))).drop("had", "had_", "_h", "_h_")
-    out = wanted_.hint("merge").join(out, (F.col("_a_") == F.col("_a")) & F.col("asked_").eqNullSafe(F.col("asked")))
-    return out.select(*wanted.columns, *[c for c in addresses.columns if c not in keys])
+    columns = tuple(columns or (*wanted.columns, *[c for c in addresses.columns if c not in keys]))
+    if twice := sorted(set(wanted.columns) & set(addresses.columns) & set(columns) - set(keys)):
+        raise ValueError(f"both tables have {twice}: rename them, or name the columns of the result without them")
+    asked, street = [*keys, *_TEST], [*keys, "street_norm"]
+    had = [*street, "cover"]
+    wanted = materialise(spark, wanted.select(*asked, *[c for c in wanted.columns if c in columns and c not in asked]), "wanted")
+    addresses = materialise(spark, addresses.select(*had, *[c for c in addresses.columns if c in columns and c not in had]), "addresses")
+    links = materialise(spark, street_links(wanted.select("rule_norm").distinct(), addresses.select("street_norm").distinct()), "links")
+    rules = materialise(spark, _lots(wanted, asked, "rules"), "rules").join(links.hint("merge"), "rule_norm")
+    places = materialise(spark, _lots(addresses, had, "places"), "places")
+    shares = lambda rows, c: rows.groupBy(*street).agg(F.expr(f"if(sum(size({c})) > {MANY}, {PARTS}, 1)").alias(f"{c}_in"))
+    dealt = materialise(spark, shares(rules, "rules").join(shares(places, "places"), street), "dealt").hint("merge")
+    share = lambda c, *of: F.expr(f"cast(pmod(xxhash64({', '.join(of)}, lot), {c}_in) as int)").alias(f"{c}_at")
+    every = lambda c: F.explode(F.expr(f"sequence(0, {c}_in - 1)")).alias(f"{c}_at")
+    rules = rules.join(dealt, street).select(*street, *_TEST, "rules", share("rules", *_TEST), every("places"))
+    places = places.join(dealt, street).select(*had, "places", share("places", "cover"), every("rules"))
+    few, block = int(spark.conf.get("spark.sql.shuffle.partitions", "200")), [*street, "rules_at", "places_at"]  # a count, as arrays are few rows for what they are laid out to
+    rules, places = rules.repartition(few, *block).alias("w"), places.repartition(few, *block).alias("p")
+    good = (F.col("kind") == "integral") | covers(F.col("cover"), F.col("parity"), F.col("ranges"), F.col("singles"))
+    met = rules.hint("merge").join(places, [F.col(f"w.{c}") == F.col(f"p.{c}") for c in block] + [good])
+    asks, kept = [c for c in wanted.columns if c in columns and c not in asked], [c for c in dict.fromkeys([*asked, *had]) if c in columns]
+    met = met.select(*[F.col(f"w.{c}").alias(c) if c in street else c for c in kept], "places", F.inline("rules"))
+    return met.select(*kept, *asks, F.inline("places")).select(*columns)
 
 
 def source_preference(c: Column) -> Column:
@@ -129,5 +151,5 @@ def match_addresses(specs: DataFrame, addresses: DataFrame, keys: tuple[str, ...
     """
     ready = prepare_addresses(addresses)
     ready = dedupe_by_address(ready, (*keys, "cover"))
-    found = match_rows(specs, ready, keys).select("judet", "sv", *addresses.columns, *[c for c in ("street_norm", "addr_housenumber_int") if c not in addresses.columns])
+    found = match_rows(specs, ready, keys, ("judet", "sv", *addresses.columns, *[c for c in ("street_norm", "addr_housenumber_int") if c not in addresses.columns]))
     return dedupe_by_address(found, ("judet", "sv", *[k for k in keys if k not in ("judet", "sv")]))

@@ -188,7 +188,7 @@ def fallback_match(spark, sf):
 
 @query
 def match_pairs(spark, sf):
-    found = match.match_rows(_specs(spark, sf), match.prepare_addresses(view(spark, sf, "v_addr")))
+    found = match.match_rows(_specs(spark, sf), match.prepare_addresses(view(spark, sf, "v_addr")), columns=("judet", "sv", "rule_no", "spec_no", "addr_id"))
     return found.select("judet", "sv", "rule_no", _long("spec_no"), "addr_id")
 
 

@@ -27,7 +27,7 @@ def match_batches(specs: DataFrame, stream: DataFrame, folder: str, checkpoint:
     def one(batch: DataFrame, number: int) -> None:
         rows = prepare_addresses(batch)
         rows.select("street_norm").distinct().write.mode("overwrite").parquet(f"{folder}/streets/batch={number}")
-        found = match_rows(specs, rows).select("judet", "sv", "addr_id", "rule_no", "spec_no", "rule_norm", "street_norm")
+        found = match_rows(specs, rows, columns=("judet", "sv", "addr_id", "rule_no", "spec_no", "rule_norm", "street_norm"))
         found.write.mode("overwrite").parquet(f"{folder}/matches/batch={number}")
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
